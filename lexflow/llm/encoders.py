@@ -5,6 +5,7 @@ encodes each distinct unit once; ids of a text are the ids of its units. Files w
 places, and texts that hold a special token's string, go through the library whole.
 """
 
+import gc
 import json
 import os
 import re
@@ -16,8 +17,16 @@ import numpy as np
 #: Characters with the Unicode property White_Space. Fixed values.
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
-#: Units kept by a worker before it forgets them; a bound of memory only.
-KEEP = 250_000
+#: Latin letters below U+0250, and the parts of a unit that has no apostrophe and nothing above that: a run
+#: of letters with the space before it, or a run of others. Each is a whole number of tokens.
+LATIN = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f"
+PARTS = re.compile(rf" ?[{LATIN}]+|[^{LATIN}]+").findall
+
+#: Units, and parts of units, kept by a worker before it forgets them; a bound of memory only.
+KEEP = 800_000
+KEEP_PARTS = 1_000_000
+#: Parts of letters that are encoded as one text.
+TOGETHER = 4_000
 SLICE_CHARS = 1 << 20
 
 
@@ -37,7 +46,13 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             own = json.load(f)
         self.special = [t["content"] for t in own["added_tokens"]]
-        self.units, self.known = self._cut(own), {}
+        self.units, self.known, self.parts = self._cut(own), {}, {}
+        vocabulary = self.library.get_vocab()
+        ends = [i for t, i in vocabulary.items() if t.endswith("</w>")] if own["model"].get("end_of_word_suffix") == "</w>" else []
+        # between runs of letters in one text: a line feed is a token of its own, or each run's last token says so
+        self.line = None if ends else self._encode(["\n"])[0]
+        self.is_end = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.is_end[ends if ends else np.frombuffer(self.line, "<u4")] = True
 
     @staticmethod
     def _cut(own: dict):
@@ -51,31 +66,80 @@ class Encoder:
         parts = pre.get("pretokenizers", [])
         if kinds == ["NFC", "Replace", "Lowercase"] and [p["type"] for p in parts] == ["Split", "ByteLevel"] and parts[0]["behavior"] == "Removed" and r"[^\s\p{L}\p{N}]" in parts[0]["pattern"].get("Regex", "") and not parts[1]["use_regex"]:
             # no token holds white space, and nothing is composed across it
-            return lambda text: [w.decode() for w in text.encode().split()]
+            odd = re.compile("[\x1c-\x1f]").search  # white space to Python alone
+            return lambda text: [w.decode() for w in text.encode().split()] if odd(text) else text.split()
         return None
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _encode_parts(self, parts: list[str]) -> dict[str, bytes]:
+        """The library's ids of each part; runs of letters go to it many at a time."""
+        found, letters = {}, []
+        rest = []
+        for p in parts:
+            (letters if p[-1].isalpha() else rest).append(p)
+        for at in range(0, len(letters), TOGETHER):
+            some = letters[at : at + TOGETHER]
+            text = " ".join(some) if self.line is None else "\n".join(some) + "\n"
+            ids = np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.is_end[ids])
+            if len(ends) != len(some):
+                rest += some
+                continue
+            raw, begin, skip = ids.tobytes(), 0, 0 if self.line is None else 1
+            for p, e in zip(some, ends.tolist(), strict=True):
+                found[p] = raw[4 * begin : 4 * (e + 1 - skip)]
+                begin = e + 1
+        found.update(zip(rest, self._encode(rest), strict=True))
+        return found
+
+    def _learn(self, units: set[str]):
+        """Ids of new units: from their parts where they may be cut further, else from the library."""
+        if len(self.known) + len(units) > KEEP:
+            self.known.clear()
+        if len(self.parts) > KEEP_PARTS:
+            self.parts.clear()
+        cut, whole = [], []
+        for u in units:
+            if "'" not in u and max(u) < "\u0250" and "\u0130" not in u:
+                cut.append((u, PARTS(u)))
+            else:
+                whole.append(u)
+        parts, known = self.parts, self.known
+        parts.update(self._encode_parts(list({p for _, ps in cut for p in ps if p not in parts})))
+        known.update(zip(whole, self._encode(whole), strict=True))
+        for u, ps in cut:
+            known[u] = parts[ps[0]] if len(ps) == 1 else b"".join([parts[p] for p in ps])
+
     def __call__(self, texts: list[str]):
         """The ids of each text, in order."""
-        at = 0
-        while at < len(texts):
-            end, chars = at, 0
-            while end < len(texts) and (end == at or chars + len(texts[end]) <= SLICE_CHARS):
-                chars += len(texts[end])
-                end += 1
-            part = texts[at:end]
-            whole = [self.units is None or any(s in t for s in self.special) for t in part]
-            units = [[] if w else self.units(t) for w, t in zip(whole, part, strict=True)]
-            new = list({u for us in units for u in us if u not in self.known})
-            if len(self.known) + len(new) > KEEP:
-                self.known.clear()
-                new = list({u for us in units for u in us})
-            self.known.update(zip(new, self._encode(new), strict=True))
-            for w, t, us in zip(whole, part, units, strict=True):
-                yield self._encode([t])[0] if w else b"".join(map(self.known.__getitem__, us))
-            at = end
+        collects = gc.isenabled()
+        gc.disable()  # caches of strings and bytes hold no cycles, and walking them takes long
+        try:
+            at = 0
+            while at < len(texts):
+                end, chars = at, 0
+                while end < len(texts) and (end == at or chars + len(texts[end]) <= SLICE_CHARS):
+                    chars += len(texts[end])
+                    end += 1
+                yield from self._slice(texts[at:end])
+                at = end
+        finally:
+            if collects:
+                gc.enable()
+
+    def _slice(self, part: list[str]) -> list[bytes]:
+        whole = [self.units is None or any(s in t for s in self.special) for t in part]
+        units = [[] if w else self.units(t) for w, t in zip(whole, part, strict=True)]
+        every = set().union(*units)
+        if new := every.difference(self.known):
+            held = len(self.known)
+            self._learn(new)
+            if len(self.known) < held + len(new):  # forgot others
+                self._learn(every.difference(self.known))
+        find = self.known.__getitem__
+        return [self._encode([t])[0] if w else b"".join(map(find, us)) for w, t, us in zip(whole, part, units, strict=True)]
 
 
 def encoder(path: str) -> Encoder:

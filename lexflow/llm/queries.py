@@ -3,10 +3,14 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from lexflow.llm.chat import formatted_chats
 from lexflow.llm.common import table
 from lexflow.llm.exact_dedup import exact_groups
 from lexflow.llm.minhash import near_duplicates
 from lexflow.llm.packing import packed
+from lexflow.llm.pii import pii_report
+from lexflow.llm.quality_model import quality_scores
+from lexflow.llm.quality_rules import quality_rules
 from lexflow.llm.token_store import token_store
 
 
@@ -26,7 +30,26 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op3_token_store, op4_packing, op7_exact_dedup)}
+def op6_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_report(table(spark, sf_dir, "documents"))
+
+
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = "</s>[INST] ok [/INST]"
+    more = spark.sql(f"SELECT -7L AS conv_id, 0L AS turn, 'user' AS role, '{hard}' AS text UNION ALL SELECT -7L, 1L, 'assistant', '{hard}'")
+    return formatted_chats(rows.union(more))
+
+
+def op9_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where("quality = 1"))
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op3_token_store, op4_packing, op6_pii_pseudonyms, op7_exact_dedup, op8_chat_format, op9_quality_model, op10_quality_rules)}
 
 ORACLE_SQL = {
     "op7_exact_dedup": r"""
@@ -34,5 +57,17 @@ WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+',
 SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
        doc_id = min(doc_id) OVER w AS kept, sha256(norm) AS text_sha256
 FROM t WINDOW w AS (PARTITION BY norm)
+""",
+    "op8_chat_format": r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]'))
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(8 + length(role) + length(regexp_replace(role, '[^\\<\[\n]', '', 'g'))
+             + length(text) + length(regexp_replace(text, '[^\\<\[]', '', 'g')))::BIGINT AS formatted_chars
+FROM c GROUP BY conv_id
 """,
 }
