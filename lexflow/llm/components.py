@@ -31,10 +31,7 @@ def components(links: DataFrame, most: int = 60) -> DataFrame:
 
     No links give no rows. Loops and repeated links change nothing.
     """
-    edges = stored(links.select("u", "v").where("u <> v").distinct(), "cc")
-    if edges.isEmpty():
-        return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    before = None
+    edges, before = links.select("u", "v").where("u <> v"), None
     for _ in range(most):
         edges = stored(_small(_large(edges).distinct()).distinct(), "cc")
         now = _state(edges)

@@ -6,10 +6,10 @@
 2. Documents with the same set form a class, found with map-side combining; its smallest doc_id stands for it.
 3. Classes that share a band key form a bucket. Each bucket gives only edges between one centre and its
    members, so edges are linear in bucket entries. Edges are then confirmed on the full sets.
-4. Confirmed links make components. A bucket that still holds several components takes another centre each
-   round, from a component drawn evenly, with edges to the members of other components only, until rounds
-   in a row find no new link. Two linked documents share about ten buckets, so a link that one star misses
-   has some ten further chances a round, and it only matters while its ends are in different components.
+4. Confirmed links make components. A bucket that still holds several components gets further stars, from
+   centres of components drawn evenly, with edges to the members of other components only. Two linked
+   documents share about ten buckets, so a link that the first star misses has some ten times as many
+   further chances, and it only matters while its ends are in different components.
 
 Buckets hold each pair at the threshold with probability 1 - (1 - 0.75^4)^32, over 0.99999.
 """
@@ -23,7 +23,7 @@ from lexflow.llm.arrow_text import LOWER, chained, grams, mix, randoms, slices
 from lexflow.llm.common import bounded, stored
 from lexflow.llm.components import components
 
-BINS, ROWS, SHINGLE, PERCENT = 128, 4, 5, 75
+BINS, ROWS, SHINGLE, PERCENT, CENTRES = 128, 4, 5, 75, 3
 EMPTY = np.uint64(2**64 - 1)
 
 #: At most so many ids (8 bytes each) are broadcast to pick the texts of candidates.
@@ -123,12 +123,12 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * F.col("both") >= percent * (F.size("a") + F.size("b") - F.col("both"))).select("u", "v")
 
 
-def near_duplicates(docs: DataFrame, *, bins: int = BINS, rows: int = ROWS, width: int = SHINGLE, percent: int = PERCENT, quiet: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, bins: int = BINS, rows: int = ROWS, width: int = SHINGLE, percent: int = PERCENT, centres: int = CENTRES) -> DataFrame:
     """One row per row of docs with a doc_id: doc_id, n_shingles, component_id, kept, n_links.
 
     Documents are linked when 100 * |both sets| >= percent * |either set| of their distinct width-word
     shingles; component_id is the smallest doc_id that links reach, the document itself included, and kept
-    marks the documents with that id. Rounds end after quiet rounds in a row without a new link. n_links counts the confirmed links of a document's class to other
+    marks the documents with that id. n_links counts the confirmed links of a document's class to other
     classes, which need not be all. Defined cases: a null or blank text has an empty set and no link; a row without doc_id is
     no node and gives no row; rows that repeat a doc_id are one node and a row each; other columns play no
     part; no rows give no rows.
@@ -150,17 +150,11 @@ def near_duplicates(docs: DataFrame, *, bins: int = BINS, rows: int = ROWS, widt
     near = stored(pairs.join(sizes.withColumnRenamed("centre", "u"), "u").where(100 * F.least("n", "m") >= percent * F.greatest("n", "m")).select("u", "v"), "minhash-edges")
     links = stored(confirmed(near, sets, percent), "minhash-links")
     found = components(links)
-    seen, turn, idle = near, 0, 0
-    entries = buckets.select("key", "rep", "n")
-    while idle < quiet:
-        turn += 1
-        edges = stored(_next_round(entries, found, percent, turn).join(seen, ["u", "v"], "left_anti"), "minhash-edges")
-        more = stored(confirmed(edges, sets, percent), "minhash-links")
-        idle += 1
-        if not more.isEmpty():
-            idle, links = 0, stored(links.union(more), "minhash-links")
-            found = components(links)
-        seen = seen.union(edges)
+    edges = stored(_more_edges(buckets.select("key", "rep", "n"), found, percent, centres).join(near, ["u", "v"], "left_anti"), "minhash-edges")
+    more = stored(confirmed(edges, sets, percent), "minhash-links")
+    if not more.isEmpty():
+        links = links.union(more)
+        found = components(links)
 
     degree = links.select(F.explode(F.array("u", "v")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
     roots = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left")
@@ -170,13 +164,13 @@ def near_duplicates(docs: DataFrame, *, bins: int = BINS, rows: int = ROWS, widt
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
-def _next_round(entries: DataFrame, found: DataFrame, percent: int, turn: int) -> DataFrame:
-    """For buckets (key, rep, n) that hold several components: edges from a new centre to the members of other components.
+def _more_edges(entries: DataFrame, found: DataFrame, percent: int, centres: int) -> DataFrame:
+    """For buckets (key, rep, n) that hold several components: edges from further centres to the members of other components.
 
-    The centre's component is drawn evenly from those of the bucket, by a hash of component, key and turn.
+    A centre's component is drawn evenly from those of the bucket, by a hash of component, key and turn.
     """
     labelled = entries.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    drawn = F.struct(F.xxhash64("component", "key", F.lit(turn)).alias("draw"), F.xxhash64("rep", "key", F.lit(turn)).alias("own"), F.col("rep").alias("centre"), F.col("component").alias("of"), F.col("n").alias("m"))
-    centres = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min(drawn).alias("c")).where("low <> high").select("key", "c.*")
-    edges = labelled.join(centres, "key").where((F.col("component") != F.col("of")) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m")))
+    drawn = [F.min(F.struct(F.xxhash64("component", "key", F.lit(k)).alias("draw"), F.xxhash64("rep", "key", F.lit(k)).alias("own"), F.col("rep").alias("centre"), F.col("component").alias("of"), F.col("n").alias("m"))) for k in range(centres)]
+    mixed = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.array_distinct(F.array(*drawn)).alias("centres")).where("low <> high").select("key", F.inline("centres"))
+    edges = labelled.join(mixed, "key").where((F.col("component") != F.col("of")) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m")))
     return edges.select(F.least("rep", "centre").alias("u"), F.greatest("rep", "centre").alias("v")).distinct()
