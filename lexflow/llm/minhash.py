@@ -174,3 +174,13 @@ def _more_edges(entries: DataFrame, found: DataFrame, percent: int, centres: int
     mixed = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.array_distinct(F.array(*drawn)).alias("centres")).where("low <> high").select("key", F.inline("centres"))
     edges = labelled.join(mixed, "key").where((F.col("component") != F.col("of")) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m")))
     return edges.select(F.least("rep", "centre").alias("u"), F.greatest("rep", "centre").alias("v")).distinct()
+
+
+def drop_near_duplicates(docs: DataFrame, **parameters) -> DataFrame:
+    """The rows of docs but those of documents that near_duplicates doesn't keep, with all their columns.
+
+    A row without doc_id stays. Few dropped ids are broadcast; more of them leave by a shuffled anti-join.
+    """
+    dropped = near_duplicates(docs, **parameters).where("not kept").select("doc_id").distinct()
+    dropped = bounded(stored(dropped, "minhash-dropped"), BROADCAST_IDS).withColumnRenamed("doc_id", "__dropped")
+    return docs.join(dropped, docs["doc_id"] == dropped["__dropped"], "left_anti")
