@@ -28,8 +28,8 @@ from lexflow.llm.arrow_text import POWERS, Words, mix, randoms, slices
 from lexflow.llm.common import bounded, located, stored
 
 WINDOW, LEVELS = 20, 2
-#: Names and rows that are broadcast at most (8 and 16 bytes each).
-BROADCAST_NAMES, BROADCAST_ROWS = 1_000_000, 1_000_000
+#: Rows, by file and row (16 bytes each), that are broadcast at most to pick texts.
+BROADCAST_ROWS = 1_000_000
 #: Stands for a missing doc_id: after all others.
 LAST = 2**63 - 1
 
@@ -240,7 +240,7 @@ def repeated_windows(rows: DataFrame, width: int = WINDOW, levels: int = LEVELS)
     own = rows.join(bounded(copies, BROADCAST_ROWS), ["file", "row"], "left_anti").select("file", "row", "text", "id")
     found = stored(own.mapInArrow(_anchor_task(width, levels), "name long, file long, row long, a int, n int"), "passages-anchors")
     shared = stored(found.groupBy("name").agg(F.count("*").alias("many")).where("many > 1").select("name"), "passages-names")
-    spans = found.join(bounded(shared, BROADCAST_NAMES), "name", "left_semi").groupBy("file", "row").agg(F.collect_list(F.struct("a", "n")).alias("spans"))
+    spans = found.join(shared, "name", "left_semi").groupBy("file", "row").agg(F.collect_list(F.struct("a", "n")).alias("spans"))
     spans = stored(spans, "passages-spans")
     some = own.join(bounded(spans.select("file", "row"), BROADCAST_ROWS), ["file", "row"], "left_semi")
     windows = some.join(spans, ["file", "row"]).select("file", "row", "text", "id", "spans").mapInArrow(_window_task(width), "one long, two int, id long, file long, row long, at int")
