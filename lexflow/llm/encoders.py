@@ -22,8 +22,9 @@ WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 LATIN = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f"
 PARTS = re.compile(rf" ?[{LATIN}]+|[^{LATIN}]+").findall
 
-#: Units, and parts of units, kept by a worker before it forgets them; a bound of memory only.
-KEEP = 800_000
+#: Units that a worker learns before it forgets those it learned before the last such change, and the same for
+#: parts of units; a bound of memory only.
+KEEP = 500_000
 KEEP_PARTS = 1_000_000
 #: Parts of letters that are encoded as one text.
 TOGETHER = 4_000
@@ -46,7 +47,7 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             own = json.load(f)
         self.special = [t["content"] for t in own["added_tokens"]]
-        self.units, self.known, self.parts = self._cut(own), {}, {}
+        self.units, self.known, self.older, self.parts = self._cut(own), {}, {}, {}
         vocabulary = self.library.get_vocab()
         ends = [i for t, i in vocabulary.items() if t.endswith("</w>")] if own["model"].get("end_of_word_suffix") == "</w>" else []
         # between runs of letters in one text: a line feed is a token of its own, or each run's last token says so
@@ -96,8 +97,6 @@ class Encoder:
 
     def _learn(self, units: set[str]):
         """Ids of new units: from their parts where they may be cut further, else from the library."""
-        if len(self.known) + len(units) > KEEP:
-            self.known.clear()
         if len(self.parts) > KEEP_PARTS:
             self.parts.clear()
         cut, whole = [], []
@@ -132,12 +131,15 @@ class Encoder:
     def _slice(self, part: list[str]) -> list[bytes]:
         whole = [self.units is None or any(s in t for s in self.special) for t in part]
         units = [[] if w else self.units(t) for w, t in zip(whole, part, strict=True)]
-        every = set().union(*units)
-        if new := every.difference(self.known):
-            held = len(self.known)
+        if len(self.known) > KEEP:
+            self.known, self.older = {}, self.known
+        new = set().union(*units).difference(self.known)
+        if self.older:
+            held = new & self.older.keys()
+            self.known.update(zip(held, map(self.older.__getitem__, held)))
+            new -= held
+        if new:
             self._learn(new)
-            if len(self.known) < held + len(new):  # forgot others
-                self._learn(every.difference(self.known))
         find = self.known.__getitem__
         return [self._encode([t])[0] if w else b"".join(map(find, us)) for w, t, us in zip(whole, part, units, strict=True)]
 
