@@ -24,8 +24,8 @@ PARTS = re.compile(rf" ?[{LATIN}]+|[^{LATIN}]+").findall
 
 #: Units that a worker learns before it forgets those it learned before the last such change, and the same for
 #: parts of units; a bound of memory only.
-KEEP = 500_000
-KEEP_PARTS = 1_000_000
+KEEP = 300_000
+KEEP_PARTS = 600_000
 #: Parts of letters that are encoded as one text.
 TOGETHER = 4_000
 SLICE_CHARS = 1 << 20
