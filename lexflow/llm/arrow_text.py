@@ -79,20 +79,25 @@ class Words:
 
     def hashes(self, seed: int = 1, fold=None) -> np.ndarray:
         """A 64-bit hash of each word; fold maps bytes first, as LOWER does."""
+        return self.hashes_of(self.data, self.starts, self.ends, seed, fold)
+
+    @staticmethod
+    def hashes_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 1, fold=None) -> np.ndarray:
+        """The same of any ranges of bytes that follow one another."""
         letters = randoms(seed, 256)
         if fold is not None:
             letters = letters[fold]
-        out = np.empty(len(self.starts), np.uint64)
+        out = np.empty(len(starts), np.uint64)
         i, n = 0, len(out)
         with np.errstate(over="ignore"):
             while i < n:
-                at = self.starts[i]
-                j = max(i + 1, int(np.searchsorted(self.starts, at + CHUNK)))
-                s, e = self.starts[i:j] - at, self.ends[i:j] - at
+                at = starts[i]
+                j = max(i + 1, int(np.searchsorted(starts, at + CHUNK)))
+                s, e = starts[i:j] - at, ends[i:j] - at
                 up, down = POWERS.to(int(e[-1]) + 1)
                 total = np.empty(e[-1] + 1, np.uint64)
                 total[0] = 0
-                np.cumsum(letters[self.data[at : at + e[-1]]] * up[: e[-1]], out=total[1:])
+                np.cumsum(letters[data[at : at + e[-1]]] * up[: e[-1]], out=total[1:])
                 out[i:j] = mix((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64))
                 i = j
         return out

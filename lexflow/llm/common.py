@@ -7,13 +7,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from lexflow.session import prepare
+
 #: ASCII white space, as every word rule of this subpackage sees it.
 SPACE = r"[\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the corpus, read by Spark whatever store the path names."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,7 +37,7 @@ def shared_path(spark: SparkSession, what: str) -> str:
 
 def stored(df: DataFrame, what: str) -> DataFrame:
     """df written as a table in the shared folder and read again: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
+    spark = prepare(df.sparkSession)
     df.write.parquet(path := shared_path(spark, what))
     return spark.read.schema(df.schema).parquet(path)
 
@@ -46,6 +48,7 @@ def located(docs: DataFrame) -> DataFrame:
     The place is the Parquet file and the row in it. A frame that isn't a plain scan is written to the
     shared folder first.
     """
+    prepare(docs.sparkSession)
     place = [F.xxhash64("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row")]
     if "_metadata" not in docs.columns:
         try:

@@ -1,11 +1,11 @@
 """Token ids of public tokenizer files, with the library called once for each unit of text that a worker meets.
 
-A byte-level or word-level BPE file never merges across certain places. Texts are cut there, and the library
-encodes each distinct unit once; ids of a text are the ids of its units. Files whose settings give no such
-places, and texts that hold a special token's string, go through the library whole.
+A byte-level or word-level BPE file never merges across certain places. Texts are cut there, all at once with
+NumPy, and the library encodes each unit that the worker doesn't know yet, thousands in one call; ids of a
+text are the ids of its units, gathered. Files whose settings give no such places, and texts that hold a special token's
+string or rare white space, go through the library whole.
 """
 
-import gc
 import json
 import os
 import re
@@ -13,22 +13,18 @@ import sys
 import types
 
 import numpy as np
+import pyarrow as pa
 
-#: Characters with the Unicode property White_Space. Fixed values.
-WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+from lexflow.llm.arrow_text import Words, slices
 
-#: Latin letters below U+0250, and the parts of a unit that has no apostrophe and nothing above that: a run
-#: of letters with the space before it, or a run of others. Each is a whole number of tokens.
-LATIN = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f"
-PARTS = re.compile(rf" ?[{LATIN}]+|[^{LATIN}]+").findall
+#: UTF-8 of white space beyond ASCII. Fixed values.
+RARE_SPACE = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")
+GENERAL_SPACE = re.compile(rb"\xe2\x80[\x80-\x8a\xa8\xa9\xaf]")
 
-#: Units that a worker learns before it forgets those it learned before the last such change, and the same for
-#: parts of units; a bound of memory only.
-KEEP = 300_000
-KEEP_PARTS = 600_000
-#: Parts of letters that are encoded as one text.
-TOGETHER = 4_000
-SLICE_CHARS = 1 << 20
+#: Units that a worker knows before it starts anew; a bound of memory only (some 40 bytes each).
+KEEP = 2_000_000
+#: Units that go to the library as one text, and what stands between those of word-level files.
+TOGETHER, MARK = 4_000, "\x01"
 
 
 def _store() -> dict:
@@ -36,8 +32,14 @@ def _store() -> dict:
     return sys.modules.setdefault("_lexflow_worker", types.ModuleType("_lexflow_worker")).__dict__.setdefault("encoders", {})
 
 
+def gathered(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, … for each length, end to end."""
+    ends = np.cumsum(lengths)
+    return np.repeat(starts - (ends - lengths), lengths) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
 class Encoder:
-    """Ids of texts by a tokenizers file, as bytes of little-endian unsigned 32-bit integers."""
+    """Ids of texts by a tokenizers file, as arrays of unsigned 32-bit integers."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -46,102 +48,137 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             own = json.load(f)
-        self.special = [t["content"] for t in own["added_tokens"]]
-        self.units, self.known, self.older, self.parts = self._cut(own), {}, {}, {}
-        vocabulary = self.library.get_vocab()
-        ends = [i for t, i in vocabulary.items() if t.endswith("</w>")] if own["model"].get("end_of_word_suffix") == "</w>" else []
-        # between runs of letters in one text: a line feed is a token of its own, or each run's last token says so
-        self.line = None if ends else self._encode(["\n"])[0]
-        self.is_end = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.is_end[ends if ends else np.frombuffer(self.line, "<u4")] = True
+        self.special = [t["content"].encode() for t in own["added_tokens"]]
+        self.rule = self._rule(own)
+        if self.rule:
+            self.between = self._ids(["\n" if self.rule == "bytes" else MARK])[0]
+            if len(self.between) != 1:
+                self.rule = None
+        self._forget()
 
     @staticmethod
-    def _cut(own: dict):
+    def _rule(own: dict) -> str | None:
+        """bytes: a word with the one space before it is whole tokens, and so is white space besides; words: a word is."""
         pre, norm = own.get("pre_tokenizer") or {}, own.get("normalizer")
         if own.get("post_processor") or own["model"]["type"] != "BPE":
             return None
         if norm is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space"):
-            # a run of other characters, with a space before it, or a run of white space: whole tokens each
-            return re.compile(rf" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+").findall
+            return "bytes"
         kinds = [n["type"] for n in (norm or {}).get("normalizers", [])]
         parts = pre.get("pretokenizers", [])
         if kinds == ["NFC", "Replace", "Lowercase"] and [p["type"] for p in parts] == ["Split", "ByteLevel"] and parts[0]["behavior"] == "Removed" and r"[^\s\p{L}\p{N}]" in parts[0]["pattern"].get("Regex", "") and not parts[1]["use_regex"]:
-            # no token holds white space, and nothing is composed across it
-            odd = re.compile("[\x1c-\x1f]").search  # white space to Python alone
-            return lambda text: [w.decode() for w in text.encode().split()] if odd(text) else text.split()
+            return "words"
         return None
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _encode_parts(self, parts: list[str]) -> dict[str, bytes]:
-        """The library's ids of each part; runs of letters go to it many at a time."""
-        found, letters = {}, []
-        rest = []
-        for p in parts:
-            (letters if p[-1].isalpha() else rest).append(p)
-        for at in range(0, len(letters), TOGETHER):
-            some = letters[at : at + TOGETHER]
-            text = " ".join(some) if self.line is None else "\n".join(some) + "\n"
-            ids = np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.flatnonzero(self.is_end[ids])
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _forget(self):
+        """keys are sorted hashes of known units; a unit's ids lie in pool from at on, sizes of them."""
+        self.keys, self.at, self.sizes = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
+
+    def _encode_units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of units end to end, and how many each has."""
+        together, apart = [], []
+        for k, u in enumerate(units):
+            odd = MARK in u if self.rule == "words" else not u.strip(" \t\n\r\x0b\x0c") or "\n" in u
+            (apart if odd else together).append(k)
+        found: list = [None] * len(units)
+        join = f" {MARK} " if self.rule == "words" else "\n"
+        for a in range(0, len(together), TOGETHER):
+            some = together[a : a + TOGETHER]
+            ids = self._ids([join.join(units[k] for k in some) + join.rstrip(" ")])[0]
+            ends = np.flatnonzero(ids == self.between[0])
             if len(ends) != len(some):
-                rest += some
+                apart += some
                 continue
-            raw, begin, skip = ids.tobytes(), 0, 0 if self.line is None else 1
-            for p, e in zip(some, ends.tolist(), strict=True):
-                found[p] = raw[4 * begin : 4 * (e + 1 - skip)]
-                begin = e + 1
-        found.update(zip(rest, self._encode(rest), strict=True))
-        return found
-
-    def _learn(self, units: set[str]):
-        """Ids of new units: from their parts where they may be cut further, else from the library."""
-        if len(self.parts) > KEEP_PARTS:
-            self.parts.clear()
-        cut, whole = [], []
-        for u in units:
-            if "'" not in u and max(u) < "\u0250" and "\u0130" not in u:
-                cut.append((u, PARTS(u)))
-            else:
-                whole.append(u)
-        parts, known = self.parts, self.known
-        parts.update(self._encode_parts(list({p for _, ps in cut for p in ps if p not in parts})))
-        known.update(zip(whole, self._encode(whole), strict=True))
-        for u, ps in cut:
-            known[u] = parts[ps[0]] if len(ps) == 1 else b"".join([parts[p] for p in ps])
-
-    def __call__(self, texts: list[str]):
-        """The ids of each text, in order."""
-        collects = gc.isenabled()
-        gc.disable()  # caches of strings and bytes hold no cycles, and walking them takes long
-        try:
-            at = 0
-            while at < len(texts):
-                end, chars = at, 0
-                while end < len(texts) and (end == at or chars + len(texts[end]) <= SLICE_CHARS):
-                    chars += len(texts[end])
-                    end += 1
-                yield from self._slice(texts[at:end])
-                at = end
-        finally:
-            if collects:
-                gc.enable()
-
-    def _slice(self, part: list[str]) -> list[bytes]:
-        whole = [self.units is None or any(s in t for s in self.special) for t in part]
-        units = [[] if w else self.units(t) for w, t in zip(whole, part, strict=True)]
-        if len(self.known) > KEEP:
-            self.known, self.older = {}, self.known
-        new = set().union(*units).difference(self.known)
-        if self.older:
-            held = new & self.older.keys()
-            self.known.update(zip(held, map(self.older.__getitem__, held)))
-            new -= held
-        if new:
-            self._learn(new)
-        find = self.known.__getitem__
-        return [self._encode([t])[0] if w else b"".join(map(find, us)) for w, t, us in zip(whole, part, units, strict=True)]
+            for k, b, e in zip(some, np.concatenate([[0], ends[:-1] + 1]).tolist(), ends.tolist(), strict=True):
+                found[k] = ids[b:e]
+        for k, ids in zip(apart, self._ids([units[k] for k in apart]), strict=True):
+            found[k] = ids
+        return (np.concatenate(found) if found else np.zeros(0, np.uint32)), np.array([len(x) for x in found], np.int32)
+
+    def _units(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and ends of the units, in order."""
+        if self.rule == "words":
+            return w.starts, w.ends
+        spaced = np.zeros(len(w.starts), bool)
+        own = w.owners()
+        inner = w.starts > w.bounds[:-1][own]
+        spaced[inner] = w.data[w.starts[inner] - 1] == 32
+        starts = w.starts - spaced
+        # gaps: what is left before each word, and after a text's last one
+        begin = w.bounds[:-1][own]
+        same = np.zeros(len(own), bool)
+        same[1:] = own[1:] == own[:-1]
+        begin[same] = w.ends[:-1][same[1:]]
+        gap = np.flatnonzero(starts > begin)
+        last = np.where(spaced[gap], starts[gap], starts[gap] - 1)  # without a space, the gap's last character is by itself
+        tail = np.where(w.counts > 0, w.ends[np.maximum(w.first[1:] - 1, 0)] if len(w.ends) else 0, w.bounds[:-1])
+        parts = [(starts, w.ends), (begin[gap], last), (last, starts[gap]), (tail, w.bounds[1:])]
+        s, e = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+        full = e > s
+        s, e = s[full], e[full]
+        order = np.argsort(s, kind="stable")
+        return s[order], e[order]
+
+    def _odd(self, w: Words, raw: bytes) -> list[int]:
+        """Texts that have to go through the library whole."""
+        signs = [s for s in self.special if s in raw]
+        if self.rule == "bytes":
+            signs += [s for s in RARE_SPACE if s in raw]
+        general = self.rule == "bytes" and b"\xe2\x80" in raw and GENERAL_SPACE.search(raw) is not None
+        if not signs and not general:
+            return []
+        b = w.bounds.tolist()
+        texts = [raw[a:e] for a, e in zip(b[:-1], b[1:], strict=True)]
+        return [k for k, t in enumerate(texts) if any(s in t for s in signs) or (general and GENERAL_SPACE.search(t))]
+
+    def _learn(self, keys: np.ndarray, units: list[str]):
+        """Adds units, whose sorted keys aren't known."""
+        ids, sizes = self._encode_units(units)
+        if self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool[: self.used], np.zeros(max(len(self.pool), len(ids)), np.uint32)])
+        self.pool[self.used : self.used + len(ids)] = ids
+        where = np.searchsorted(self.keys, keys)
+        self.keys = np.insert(self.keys, where, keys)
+        self.at = np.insert(self.at, where, self.used + np.cumsum(sizes, dtype=np.int64) - sizes)
+        self.sizes = np.insert(self.sizes, where, sizes)
+        self.used += len(ids)
+
+    def _slice(self, w: Words):
+        raw = w.data.tobytes()
+        starts, ends = self._units(w)
+        h = Words.hashes_of(w.data, starts, ends, seed=61)
+        keys, first, place = np.unique(h, return_index=True, return_inverse=True)
+        if len(self.keys) + len(keys) > KEEP:
+            self._forget()
+        at = np.searchsorted(self.keys, keys)
+        new = np.ones(len(keys), bool)
+        inside = at < len(self.keys)
+        new[inside] = self.keys[at[inside]] != keys[inside]
+        if new.any():
+            f = first[new]
+            self._learn(keys[new], [raw[s:e].decode() for s, e in zip(starts[f].tolist(), ends[f].tolist(), strict=True)])
+            at = np.searchsorted(self.keys, keys)
+        sizes = self.sizes[at].astype(np.int64)[place]
+        ids = self.pool[gathered(self.at[at][place], sizes)]
+        per_text = np.concatenate([[0], np.cumsum(sizes)])[np.searchsorted(starts, w.bounds)].tolist()
+        odd = {k: None for k in self._odd(w, raw)}
+        for k, own in zip(odd, self._ids([raw[w.bounds[k] : w.bounds[k + 1]].decode() for k in odd]), strict=True):
+            odd[k] = own
+        for k in range(len(w.counts)):
+            yield odd[k] if k in odd else ids[per_text[k] : per_text[k + 1]]
+
+    def __call__(self, texts: pa.Array):
+        """The ids of each text, in order; a null text is empty."""
+        if self.rule is None:
+            for a in range(0, len(texts), 256):
+                yield from self._ids([t or "" for t in texts.slice(a, 256).to_pylist()])
+            return
+        for _, w in slices(texts):
+            yield from self._slice(w)
 
 
 def encoder(path: str) -> Encoder:

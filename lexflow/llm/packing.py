@@ -122,9 +122,8 @@ def _pack_task(path: str, tiers: tuple, end: int):
 
         def documents():
             for batch in batches:
-                texts = [t or "" for t in batch.column(1).to_pylist()]
-                for doc_id, ids in zip(batch.column(0).to_pylist(), encode(texts), strict=True):
-                    yield doc_id, ids + stop
+                for doc_id, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1)), strict=True):
+                    yield doc_id, ids.tobytes() + stop
 
         out = []
         for row in pack(documents(), tiers=tiers, base=TaskContext.get().partitionId() << 32):

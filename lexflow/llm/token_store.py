@@ -78,11 +78,10 @@ class ShardWriter:
     def __init__(self, stream, dtype: str):
         self.stream, self.dtype, self.keys, self.lengths = stream, dtype, [], []
 
-    def add(self, key: int, ids: bytes):
-        own = np.frombuffer(ids, "<u4")
-        self.stream.write(own.astype(self.dtype).tobytes())
+    def add(self, key: int, ids: np.ndarray, end: int):
+        self.stream.write(np.append(ids, end).astype(self.dtype).tobytes())
         self.keys.append(key)
-        self.lengths.append(len(own))
+        self.lengths.append(len(ids) + 1)
 
     def close(self):
         keys, first, counts = np.unique(np.array(self.keys, np.int64).view(np.uint64), return_index=True, return_counts=True)
@@ -143,20 +142,20 @@ def _write_task(folder: str, tokenizer: str, end: int, dtype: str):
     def run(batches):
         from pyarrow import fs
 
-        context, encode, stop = TaskContext.get(), encoder(tokenizer), end.to_bytes(4, "little")
+        context, encode = TaskContext.get(), encoder(tokenizer)
         shard = context.partitionId()
         uri = f"{folder}/shard-{shard:06d}-{context.taskAttemptId()}.ids"
         store, path = fs.FileSystem.from_uri(uri)
         writer, before, nth = None, None, 0
         for batch in batches:
             keys, rows = [NO_KEY if k is None else k for k in batch.column(0).to_pylist()], []
-            for key, ids in zip(keys, encode([t or "" for t in batch.column(1).to_pylist()]), strict=True):
+            for key, ids in zip(keys, encode(batch.column(1)), strict=True):
                 if writer is None:
                     writer = ShardWriter(store.open_output_stream(path), dtype)
-                writer.add(key, ids + stop)
+                writer.add(key, ids, end)
                 nth = nth + 1 if key == before else 0
                 before = key
-                rows.append((key, nth, len(ids) // 4 + 1))
+                rows.append((key, nth, len(ids) + 1))
             if rows:
                 key, n, size = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(n, pa.int64()), pa.array(size, pa.int64()), pa.array([shard] * len(key), pa.int32()), pa.array([uri] * len(key))], ["key", "nth", "n_tokens", "shard", "uri"])
