@@ -9,6 +9,7 @@ from lexflow.operators import checks, classify, export, markdown, outline, rende
 from lexflow.schemas import FOOTNOTE_DEFS, LAWS, SUBJECT_ROWS
 from lexflow.sources import ooxml, sinks
 from lexflow.sources.config import Config
+from lexflow.session import prepare
 
 
 @dataclass
@@ -26,7 +27,7 @@ def build(paragraphs: DataFrame, footnote_defs: DataFrame | None = None, laws: D
     All windows are over (doc_id, seq), so the stream is exchanged and sorted once. prefix_uids puts a law's
     prefix into the uids of its units, as pages do and Markdown doesn't.
     """
-    spark = paragraphs.sparkSession
+    spark = prepare(paragraphs.sparkSession)
     defs = footnote_defs if footnote_defs is not None else spark.createDataFrame([], FOOTNOTE_DEFS)
     events = structure.events(classify.classify(paragraphs))
     states = structure.states(events)
