@@ -9,6 +9,7 @@ from lexflow.llm.exact_dedup import exact_groups
 from lexflow.llm.minhash import near_duplicates
 from lexflow.llm.packing import packed
 from lexflow.llm.pii import pii_report
+from lexflow.llm.piece_lattice import encoded
 from lexflow.llm.quality_model import quality_scores
 from lexflow.llm.quality_rules import quality_rules
 from lexflow.llm.substrings import without_repeats
@@ -19,6 +20,10 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).drop("n_links")
 
 
+def op2_piece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoded(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -54,7 +59,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where("quality = 1"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op3_token_store, op4_packing, op5_substring_dedup, op6_pii_pseudonyms, op7_exact_dedup, op8_chat_format, op9_quality_model, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_piece_lattice, op3_token_store, op4_packing, op5_substring_dedup, op6_pii_pseudonyms, op7_exact_dedup, op8_chat_format, op9_quality_model, op10_quality_rules)}
 
 ORACLE_SQL = {
     "op1_minhash_near_dedup": r"""
