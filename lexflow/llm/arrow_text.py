@@ -4,12 +4,16 @@ Texts of a batch lie end to end in one buffer; starts, ends and owners of all wo
 over that buffer. Work goes through the buffer in slices, so memory doesn't follow the batch's size.
 """
 
+import ctypes
+import functools
+import gc
+
 import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are worked on together; a longer document is a slice by itself.
-SLICE = 1 << 21
-CHUNK = 1 << 19
+SLICE = 1 << 20
+CHUNK = 1 << 18
 
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -20,6 +24,27 @@ _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 _PINV = np.uint64(pow(int(_P), -1, 1 << 64))
 
 
+def task(run):
+    """A function of Arrow batches that gives memory back when its task ends.
+
+    Workers live on between tasks, and what a task has freed would stay with the allocators.
+    """
+
+    @functools.wraps(run)
+    def tidy(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return tidy
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit values (the splitmix64 finaliser)."""
     x = x.astype(np.uint64, copy=True)

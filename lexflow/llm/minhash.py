@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexflow.llm.arrow_text import LOWER, chained, grams, mix, randoms, slices
+from lexflow.llm.arrow_text import LOWER, chained, grams, mix, randoms, slices, task
 from lexflow.llm.common import bounded, stored
 from lexflow.llm.components import components
 
@@ -81,6 +81,7 @@ def band_keys(sig: np.ndarray, rows: int = ROWS) -> np.ndarray:
 
 
 def _sketch(bins: int, rows: int, width: int):
+    @task
     def run(batches):
         for batch in batches:
             ids = batch.column(0)
@@ -99,6 +100,7 @@ def _sketch(bins: int, rows: int, width: int):
 
 
 def _full_sets(width: int):
+    @task
     def run(batches):
         for batch in batches:
             ids = batch.column(0)

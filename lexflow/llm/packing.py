@@ -18,6 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexflow.llm.arrow_text import task
 from lexflow.llm.encoders import encoder
 
 TIERS = (4096, 2048, 1024, 512)
@@ -117,6 +118,8 @@ def _pack_task(path: str, tiers: tuple, end: int):
     names = [f.split()[0] for f in SCHEMA.split(", ")]
     types = [pa.int32() if f.endswith(" int") else pa.int64() for f in SCHEMA.split(", ")]
 
+    @task
+
     def run(batches):
         encode, stop = encoder(path), end.to_bytes(4, "little")
 

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexflow.llm.arrow_text import Words, slices
+from lexflow.llm.arrow_text import Words, slices, task
 from lexflow.llm.common import stored
 from lexflow.llm.encoders import gathered
 from lexflow.session import prepare
@@ -190,6 +190,8 @@ def _flags(isolated: list[int]) -> np.ndarray:
 def _unit_task(model: Model):
     isolated, prefix = _flags(model.isolated()), model.prefix
 
+    @task
+
     def run(batches):
         for batch in batches:
             for _, w in slices(_spaced(batch.column(0), prefix)):
@@ -303,6 +305,7 @@ def dictionary(units: DataFrame, model: Model) -> DataFrame:
         ids = viterbi(F.col("unit"), F.col("edges"), scores, min(s for *_, s in model.ranked()) - 10)
     ranks = {p: (r, i) for p, r, i, _ in model.ranked()}
 
+    @task
     def one_by_one(batches):
         for batch in batches:
             rows = [model.merge(u, ranks) if model.kind == "bpe" else model.best_path(u) for u in batch.column(1).to_pylist()]
@@ -363,6 +366,8 @@ SCHEMA = "doc_id long, n_pieces long, ids_crc32 long, decoded_sha256 string"
 def _encode_task(model: Model, path: str, with_ids: bool):
     isolated, table = _flags(model.isolated()), decode_table(model)
 
+    @task
+
     def run(batches):
         keys, at, sizes, pool = _held(path)
         rare: dict = {}
@@ -406,6 +411,8 @@ def _batch(doc_ids, rows, with_ids: bool):
 def _occurrence_task(model: Model):
     isolated, prefix = _flags(model.isolated()), model.prefix
 
+    @task
+
     def run(batches):
         for batch in batches:
             for row, w in slices(_spaced(batch.column(1), prefix)):
@@ -446,6 +453,7 @@ def encoded(docs: DataFrame, model_file: str, *, small: int = SMALL, with_ids: b
     table = decode_table(model)
     singles = {ord(p): i for p, i in model.normal().items() if len(p) == 1}
 
+    @task
     def finish(batches):
         rare: dict = {}
         for batch in batches:

@@ -16,6 +16,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from lexflow.llm.arrow_text import task
+
 KEY = b"lexflow pseudonyms, replace in production"
 ROUNDS = 10
 
@@ -213,6 +215,7 @@ def protect(text: str, key: bytes = KEY, *, any_number: bool = True, known: dict
 
 
 def _task(key: bytes, any_number: bool, at: int, counted: bool):
+    @task
     def run(batches):
         finder, known = re.compile(FINDER), {}
         for batch in batches:

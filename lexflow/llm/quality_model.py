@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexflow.llm.arrow_text import LOWER, slices
+from lexflow.llm.arrow_text import LOWER, slices, task
 from lexflow.llm.common import stored
 
 FEATURES = ("words", "word_chars", "marks", "bars", "shouts", "upper", "digits", "stutter", "distinct", "short", "stops", "lines")
@@ -98,6 +98,7 @@ class Discriminant:
         return 1 / (1 + np.exp(-np.clip(density[1] - density[0] + self.rest, -500, 500)))
 
 
+@task
 def _measure(batches):
     for batch in batches:
         x = statistics(batch.column(1))
@@ -133,6 +134,7 @@ def fitted(features: DataFrame, labels: DataFrame, *, held: int = 1, shrink: flo
 
 
 def _score(model: Discriminant):
+    @task
     def run(batches):
         for batch in batches:
             x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES))
@@ -163,6 +165,8 @@ def good_documents(docs: DataFrame, labels: DataFrame, **parameters) -> DataFram
     model = fitted(features, labels, **parameters)
     names = docs.schema
 
+    @task
+
     def run(batches):
         for batch in batches:
             keep = model.score(statistics(batch.column(batch.schema.get_field_index("text")))) >= 0.5

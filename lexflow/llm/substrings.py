@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexflow.llm.arrow_text import POWERS, Words, mix, randoms, slices
+from lexflow.llm.arrow_text import POWERS, Words, mix, randoms, slices, task
 from lexflow.llm.common import bounded, located, stored
 
 WINDOW, LEVELS = 20, 2
@@ -128,6 +128,7 @@ def window_hashes(words: Words, starts: np.ndarray, width: int) -> tuple[np.ndar
     return out[0].view(np.int64), (out[1] >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
+@task
 def _text_keys(batches):
     """Count and 128-bit hash of each text's words."""
     for batch in batches:
@@ -145,6 +146,7 @@ def _text_keys(batches):
 
 
 def _anchor_task(width: int, levels: int):
+    @task
     def run(batches):
         for batch in batches:
             for row, words in slices(batch.column(2)):
@@ -157,6 +159,7 @@ def _anchor_task(width: int, levels: int):
 
 
 def _window_task(width: int):
+    @task
     def run(batches):
         for batch in batches:
             for row, words in slices(batch.column(2)):
@@ -192,6 +195,7 @@ def _repeated_inside(words: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _cut_task(width: int, with_text: bool):
+    @task
     def run(batches):
         for batch in batches:
             ids, texts, whole, marks = batch.column(0), batch.column(1), batch.column(2), batch.column(3)

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexflow.llm.arrow_text import mix
+from lexflow.llm.arrow_text import mix, task
 from lexflow.llm.common import shared_path, stored
 from lexflow.llm.encoders import encoder
 
@@ -139,6 +139,7 @@ class ShardReader:
 
 
 def _write_task(folder: str, tokenizer: str, end: int, dtype: str):
+    @task
     def run(batches):
         from pyarrow import fs
 
@@ -187,6 +188,7 @@ def write_shards(docs: DataFrame, tokenizer: str, *, end: int = 2, shards: int |
 
 
 def _read_task(bases: dict[str, int]):
+    @task
     def run(batches):
         reader, at = None, None
         for batch in batches:
