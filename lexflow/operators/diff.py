@@ -40,11 +40,15 @@ def word_diff(old: str, new: str) -> list[tuple[str, str]]:
     return out[::-1]
 
 
-@F.pandas_udf(PARTS)
-def word_diff_column(old: pd.Series, new: pd.Series) -> pd.Series:
+def _word_diffs(old: pd.Series, new: pd.Series) -> pd.Series:
     return pd.Series([[{"op": o, "word": w} for o, w in word_diff(a, b)] for a, b in zip(old, new, strict=True)])
 
 
+def word_diff_column(old, new):
+    """The differences of two text columns, as PARTS."""
+    return F.pandas_udf(_word_diffs, PARTS)(old, new)
+
+
 def version_diffs(units: DataFrame) -> DataFrame:
     """doc_id, block_id, seq, next_seq, parts of each old provision that has a next version."""
     return next_versions(units).withColumn("parts", word_diff_column("text", "next_text")).drop("text", "next_text")

@@ -17,9 +17,18 @@ TRANSITIONAL = r"(?iuU)ATO\s+D[AO]S?\s+DISPOSI[ÇC][ÕO]ES\s+TRANSIT[ÓO]RIAS"
 GENERAL = r"(?iuU)DISPOSI[ÇC][ÕO]ES\s+GERAIS\s+E\s+TRANSIT[ÓO]RIAS"
 TRANSITIONAL_TITLE, GENERAL_TITLE = "ATO DAS DISPOSIÇÕES TRANSITÓRIAS", "DISPOSIÇÕES GERAIS E TRANSITÓRIAS"
 
-DOC = Window.partitionBy("doc_id").orderBy("seq")
-SO_FAR = DOC.rowsBetween(Window.unboundedPreceding, 0)
-BEFORE = DOC.rowsBetween(Window.unboundedPreceding, -1)
+
+
+def _doc():
+    return Window.partitionBy("doc_id").orderBy("seq")
+
+
+def _so_far():
+    return _doc().rowsBetween(Window.unboundedPreceding, 0)
+
+
+def _before():
+    return _doc().rowsBetween(Window.unboundedPreceding, -1)
 
 
 def _last(value: Column, over) -> Column:
@@ -40,7 +49,7 @@ def events(classified: DataFrame) -> DataFrame:
     mark = F.when(centered & text.rlike(LAW), "NORMA").when(centered & text.rlike(TRANSITIONAL), "ADT").when(centered & text.rlike(GENERAL), "DGT")
     takes = kind.isin(*HEADINGS) & F.col("mark").isNull() & ~((kind == "CAPITULO") & text.contains("\n"))
     rows = classified.withColumn("mark", mark).withColumn("takes", takes)
-    rows = rows.withColumns({"taken": (kind == "SUBTITLE") & F.coalesce(F.lag("takes").over(DOC), F.lit(False)), "next_type": F.lead("unit_type").over(DOC), "next_text": F.lead("text").over(DOC)})
+    rows = rows.withColumns({"taken": (kind == "SUBTITLE") & F.coalesce(F.lag("takes").over(_doc()), F.lit(False)), "next_type": F.lead("unit_type").over(_doc()), "next_text": F.lead("text").over(_doc())})
     event = F.when((kind == "EMPTY") | F.col("taken"), None).otherwise(F.coalesce("mark", "unit_type"))
     return rows.withColumn("event", event).drop("mark", "taken")
 
@@ -52,21 +61,21 @@ def states(events: DataFrame) -> DataFrame:
     art = event == "ARTIGO"
     rows = events.withColumns(
         {
-            "law_name": F.coalesce(_last(F.when(event == "NORMA", strip(F.regexp_extract("text", LAW, 1))), SO_FAR), F.lit("")),
-            "in_adt": F.coalesce(_last(F.when(event == "NORMA", False).when(event.isin("ADT", "DGT"), True), SO_FAR), F.lit(False)),
+            "law_name": F.coalesce(_last(F.when(event == "NORMA", strip(F.regexp_extract("text", LAW, 1))), _so_far()), F.lit("")),
+            "in_adt": F.coalesce(_last(F.when(event == "NORMA", False).when(event.isin("ADT", "DGT"), True), _so_far()), F.lit(False)),
             "is_art": F.coalesce(art, F.lit(False)),
             "is_key": F.coalesce(flush | art, F.lit(False)),
         }
     )
     rows = rows.withColumn("number", F.when(F.col("is_art"), F.concat(F.when(F.col("in_adt"), "ADT").otherwise(""), F.col("art_number"))))
     # before: '' after a heading, the article's number after an article
-    rows = rows.withColumn("before", _last(F.when(F.col("is_key"), F.coalesce("number", F.lit(""))), BEFORE))
+    rows = rows.withColumn("before", _last(F.when(F.col("is_key"), F.coalesce("number", F.lit(""))), _before()))
     rows = rows.withColumn("merges", F.col("is_art") & F.coalesce(F.col("before") == F.col("number"), F.lit(False)))
     rows = rows.withColumns(
         {
-            "block_id": _count(F.col("is_art") & ~F.col("merges"), SO_FAR),
-            "art_run": _count(F.col("is_art"), SO_FAR),
-            "open": _last(F.when(F.col("is_key"), F.coalesce("number", F.lit(""))), SO_FAR),
+            "block_id": _count(F.col("is_art") & ~F.col("merges"), _so_far()),
+            "art_run": _count(F.col("is_art"), _so_far()),
+            "open": _last(F.when(F.col("is_key"), F.coalesce("number", F.lit(""))), _so_far()),
         }
     )
     kept = F.col("is_art") | (event.isin(*SUB_UNITS) & (F.coalesce("open", F.lit("")) != ""))
@@ -83,7 +92,7 @@ def headings(events: DataFrame) -> DataFrame:
     section = F.when(event == "ADT", "adt").when(event == "DGT", "dgt")
     for k, name in counter.items():
         of = event.isin("SECAO", "SUBTITLE") if k == "SECAO" else event == k
-        section = section.when(of, F.concat(F.lit(name), _count(of, SO_FAR).cast("string")))
+        section = section.when(of, F.concat(F.lit(name), _count(of, _so_far()).cast("string")))
     rows = events.select(
         "doc_id",
         "seq",

@@ -3,12 +3,10 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = Window.partitionBy("doc_id", "block_id", "role").orderBy("seq")
-
-
 def mark_old(units: DataFrame) -> DataFrame:
     """units, with each child old that the next child of its article renames."""
-    renamed = (F.col("role") == "child") & (F.lead("identifier").over(BLOCK) == F.col("identifier"))
+    block = Window.partitionBy("doc_id", "block_id", "role").orderBy("seq")
+    renamed = (F.col("role") == "child") & (F.lead("identifier").over(block) == F.col("identifier"))
     return units.withColumn("is_old_version", F.col("is_old_version") | F.coalesce(renamed, F.lit(False)))
 
 
