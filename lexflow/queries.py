@@ -219,7 +219,7 @@ def section_ranges(spark, d):
 
 def outline_search(spark, d):
     index = outline.systematic_index(_headings(spark, d), _articles(spark, d))
-    return outline.outline_matches(index, "capitulo 1").select("doc_id", "seq", "section_id")
+    return outline.outline_matches(index, "capitulo").select("doc_id", "seq", "section_id")
 
 
 def context_headings(spark, d):
