@@ -46,9 +46,11 @@ def located(docs: DataFrame) -> DataFrame:
     """docs with the place of each row, ``__file`` and ``__row``, the same on every read.
 
     The place is the Parquet file and the row in it. A frame that isn't a plain scan is written to the
-    shared folder first.
+    shared folder first. A frame with these columns has its places.
     """
     prepare(docs.sparkSession)
+    if {"__file", "__row"} <= set(docs.columns):
+        return docs
     place = [F.xxhash64("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row")]
     if "_metadata" not in docs.columns:
         try:

@@ -113,5 +113,5 @@ def exact_groups(docs: DataFrame, *, digest=sha256, batch_bytes: int = 64 << 30)
 def drop_copies(docs: DataFrame) -> DataFrame:
     """The rows of docs that exact_groups keeps, with all their columns; a broadcast of few dropped places or a shuffled anti-join takes the others out."""
     placed = located(docs)
-    dropped = stored(exact_groups(docs).where("not kept").select("__file", "__row"), "dedup-dropped")
+    dropped = stored(exact_groups(placed).where("not kept").select("__file", "__row"), "dedup-dropped")
     return placed.join(bounded(dropped, 500_000), ["__file", "__row"], "left_anti").select(*[f"`{c}`" for c in docs.columns])
