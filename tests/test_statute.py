@@ -147,7 +147,7 @@ def test_caput_swap(spark):
 
 
 STREAM = [
-    ("NORMA: Regimento", {"centered": True}), ("TÍTULO I", {"centered": True}), ("DA CÂMARA", {"centered": True}), ("CAPÍTULO I", {"centered": True}),
+    ("NORMA: Estatuto", {"centered": True}), ("TÍTULO I", {"centered": True}), ("DA CÂMARA", {"centered": True}), ("CAPÍTULO I", {"centered": True}),
     ("Art. 1º - A Câmara <x>.", {"notes": [1]}), "§ 1º - Um.", "I - inciso;", "a) letra;", ("1) item", {"indent": 700}), "II - dois (Redação dada pela Res. 1);", "II - dois novo;",
     ("Art. 2º - old", {"struck": True}), "Art. 2º. New.", "Parágrafo único - PU", ("NORMA: Lei", {"centered": True}), "Art. 1º - outro", "§ 1º - Eleição",
 ]
@@ -171,7 +171,7 @@ def test_html(built):
 
 def test_markdown(built):
     text = markdown.document_markdown(built.headings, built.articles, built.units).first().markdown
-    assert text.startswith("# Regimento\n\n# TÍTULO I — DA CÂMARA\n\n## CAPÍTULO I\n\n#### Art. 1\n\nA Câmara <x>.\n\n> **Nota 1:** nota dentro\n\n**§ 1º** — Um.")
+    assert text.startswith("# Estatuto\n\n# TÍTULO I — DA CÂMARA\n\n## CAPÍTULO I\n\n#### Art. 1\n\nA Câmara <x>.\n\n> **Nota 1:** nota dentro\n\n**§ 1º** — Um.")
     assert "\n\n---\n\n*Versões anteriores deste artigo:*\n\n*[Versão supersedida]* II - dois" in text
     assert "#### Art. LO:1" in text and text.endswith("**§ 1º** — Eleição\n")
 
