@@ -213,17 +213,19 @@ def lattice(units: DataFrame, model: Model) -> DataFrame:
     """key, unit, edges of units with any: each edge is rank << 34 | start << 27 | end << 20 | id, sorted.
 
     Substrings are as long as the longest piece at most. The piece table has the vocabulary's size and is
-    broadcast; units stay in their partitions, so grouping their edges needs no exchange.
+    broadcast; units are dealt out by key once, so grouping their edges needs no further exchange.
     """
     spark, ranked = units.sparkSession, model.ranked()
     longest = max(len(p) for p, *_ in ranked)
     pieces = spark.createDataFrame([(p, r << 34 | i) for p, r, i, _ in ranked], "piece string, code long")
+    units = units.repartition("key")
     n = F.length("unit")
     at = units.select("key", "unit", n.alias("n"), F.explode(F.sequence(F.lit(0), n - 1)).alias("s"))
-    spans = at.select("key", "unit", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.col("n") - F.col("s")))).alias("l"))
-    edges = spans.withColumn("piece", F.expr("substring(unit, s + 1, l)")).join(F.broadcast(pieces), "piece")
+    spans = at.select("key", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.col("n") - F.col("s")))).alias("l"), "unit")
+    edges = spans.select("key", "s", "l", F.expr("substring(unit, s + 1, l)").alias("piece")).join(F.broadcast(pieces), "piece")
     code = F.col("code").bitwiseOR(F.shiftleft(F.col("s").cast("long"), 27)).bitwiseOR(F.shiftleft((F.col("s") + F.col("l")).cast("long"), 20))
-    return edges.select("key", "unit", code.alias("edge")).groupBy("key", "unit").agg(F.array_sort(F.collect_list("edge")).alias("edges"))
+    grouped = edges.select("key", code.alias("edge")).groupBy("key").agg(F.array_sort(F.collect_list("edge")).alias("edges"))
+    return grouped.join(units, "key")
 
 
 def _part(edge, shift: int, bits: int):
@@ -437,7 +439,7 @@ def encoded(docs: DataFrame, model_file: str, *, small: int = SMALL, with_ids: b
     spark: SparkSession = prepare(docs.sparkSession)
     with open(model_file, "rb") as f:
         model = Model.read(f.read())
-    units = distinct_units(docs, model)
+    units = stored(distinct_units(docs, model), "piece-units")
     words = stored(dictionary(units, model), "piece-dictionary")
     schema = SCHEMA + ", ids array<int>" * with_ids
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
