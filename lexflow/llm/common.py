@@ -35,9 +35,15 @@ def shared_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, what: str) -> DataFrame:
-    """df written as a table in the shared folder and read again: cuts the lineage, survives lost executors."""
+def stored(df: DataFrame, what: str, share: int = 1) -> DataFrame:
+    """df written as a table in the shared folder and read again: cuts the lineage, survives lost executors.
+
+    share says how many shuffle partitions make one file, for tables whose rows are few and small beside the
+    corpus (ids, edges): it saves files and tasks and grows with the session's number of partitions.
+    """
     spark = prepare(df.sparkSession)
+    if share > 1:
+        df = df.coalesce(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // share))
     df.write.parquet(path := shared_path(spark, what))
     return spark.read.schema(df.schema).parquet(path)
 

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from lexflow.llm.common import stored
 
+#: Shuffle partitions to a file of edges.
+SHARE = 8
+
 
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
@@ -33,7 +36,7 @@ def components(links: DataFrame, most: int = 60) -> DataFrame:
     """
     edges, before = links.select("u", "v").where("u <> v"), None
     for _ in range(most):
-        edges = stored(_small(_large(edges).distinct()).distinct(), "cc")
+        edges = stored(_small(_large(edges).distinct()).distinct(), "cc", SHARE)
         now = _state(edges)
         if now == before:
             break

@@ -28,7 +28,6 @@ STATE_CONF = {
     "spark.sql.streaming.stateStore.rocksdb.maxWriteBufferNumber": "2",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
-    "spark.sql.streaming.stateStore.maintenanceInterval": "10s",
     "spark.sql.streaming.noDataMicroBatches.enabled": "false",
     "spark.sql.streaming.metricsEnabled": "false",
 }
@@ -46,6 +45,10 @@ def sha256(text: Column) -> Column:
     return F.unhex(F.sha2(text, 256))
 
 
+#: On a local folder, the other kind of checkpoint files starts a process for each link it looks up.
+LOCAL_FILES = {"spark.sql.streaming.checkpointFileManagerClass": "org.apache.spark.sql.execution.streaming.checkpointing.FileSystemBasedCheckpointFileManager"}
+
+
 def fold_state(slim: DataFrame, batch_bytes: int = 64 << 30) -> DataFrame:
     """The keyed state after all rows of the stored table slim: digest, keeper, n.
 
@@ -57,8 +60,9 @@ def fold_state(slim: DataFrame, batch_bytes: int = 64 << 30) -> DataFrame:
     if not path:
         return slim.select("digest", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "file", "row").alias("keeper"), F.lit(0).cast("long").alias("n")).limit(0)
     folder = path[0].rsplit("/", 1)[0]
-    before = {k: spark.conf.get(k, None) for k in STATE_CONF}
-    for k, v in STATE_CONF.items():
+    conf = STATE_CONF | (LOCAL_FILES if state.startswith("file:") else {})
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
         spark.conf.set(k, v)
     try:
         rows = spark.readStream.schema(slim.schema).option("maxBytesPerTrigger", str(batch_bytes)).parquet(folder)
@@ -68,7 +72,7 @@ def fold_state(slim: DataFrame, batch_bytes: int = 64 << 30) -> DataFrame:
         read = spark.read.format("statestore").load(state)
         value = read.schema["value"].dataType.names
         index = read.select("key.digest", F.col(f"value.{value[0]}").alias("keeper"), F.col(f"value.{value[1]}").alias("n"))
-        return stored(index, "dedup-index")
+        return stored(index, "dedup-index", 4)
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
@@ -115,5 +119,5 @@ def exact_groups(docs: DataFrame, *, digest=sha256, batch_bytes: int = 64 << 30)
 def drop_copies(docs: DataFrame) -> DataFrame:
     """The rows of docs that exact_groups keeps, with all their columns; a broadcast of few dropped places or a shuffled anti-join takes the others out."""
     placed = located(docs)
-    dropped = stored(exact_groups(placed).where("not kept").select("__file", "__row"), "dedup-dropped")
+    dropped = stored(exact_groups(placed).where("not kept").select("__file", "__row"), "dedup-dropped", 8)
     return placed.join(bounded(dropped, 500_000), ["__file", "__row"], "left_anti").select(*[f"`{c}`" for c in docs.columns])

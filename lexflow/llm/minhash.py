@@ -138,13 +138,13 @@ def near_duplicates(docs: DataFrame, *, bins: int = BINS, rows: int = ROWS, widt
     sketch = stored(sketches(docs, bins=bins, rows=rows, width=width), "minhash")
     own = ["set_a", "set_b", "n_shingles"]
     classes = sketch.where("n_shingles > 0").groupBy(*own).agg(F.min("doc_id").alias("rep"))
-    classes = stored(classes, "minhash-classes")
+    classes = stored(classes, "minhash-classes", 4)
     reps = sketch.join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", *own], "left_semi").dropDuplicates(["doc_id"])
     entries = reps.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
     shared = entries.groupBy("key").agg(F.min("rep").alias("centre"), F.count("*").alias("size")).where("size > 1")
     buckets = stored(entries.join(shared, "key"), "minhash-buckets")
     ids = buckets.select(F.col("rep").alias("doc_id")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(bounded(stored(ids, "minhash-ids"), BROADCAST_IDS), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(bounded(stored(ids, "minhash-ids", 8), BROADCAST_IDS), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     sets = stored(texts.mapInArrow(_full_sets(width), "doc_id long, shingles array<long>"), "minhash-sets")
 
     sizes = buckets.select(F.col("rep").alias("centre"), F.col("n").alias("m")).distinct()
@@ -184,5 +184,5 @@ def drop_near_duplicates(docs: DataFrame, **parameters) -> DataFrame:
     A row without doc_id stays. Few dropped ids are broadcast; more of them leave by a shuffled anti-join.
     """
     dropped = near_duplicates(docs, **parameters).where("not kept").select("doc_id").distinct()
-    dropped = bounded(stored(dropped, "minhash-dropped"), BROADCAST_IDS).withColumnRenamed("doc_id", "__dropped")
+    dropped = bounded(stored(dropped, "minhash-dropped", 8), BROADCAST_IDS).withColumnRenamed("doc_id", "__dropped")
     return docs.join(dropped, docs["doc_id"] == dropped["__dropped"], "left_anti")
