@@ -148,3 +148,19 @@ def in_display_order(rows: DataFrame, column: str = "subject") -> DataFrame:
 
 def vide_display(vide: Column) -> Column:
     return F.replace(vide, F.lit("|"), F.lit(" — "))
+
+
+def filter_index(index: DataFrame, query: str) -> DataFrame:
+    """The subjects that have all of the query's words, whole; of others, those sub-subjects that have them.
+
+    A subject without a hit of its own or below is left out.
+    """
+    from lexflow.operators.search import has_all
+
+    if not query.strip():
+        return index
+    own = has_all(F.col("subject"), query)
+    below = F.filter(F.coalesce("children", F.array().cast(index.schema["children"].dataType)), lambda c: has_all(c["sub_subject"], query))
+    rows = index.withColumns({"__own": own, "__below": below})
+    rows = rows.where(F.col("__own") | (F.size("__below") > 0))
+    return rows.withColumn("children", F.when(F.col("__own"), F.col("children")).otherwise(F.col("__below"))).drop("__own", "__below")

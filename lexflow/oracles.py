@@ -217,6 +217,12 @@ FROM a JOIN (SELECT doc_id, block_id, string_agg(CASE WHEN p <> '' THEN 'art' ||
 SELECT subject, coalesce(nr, 0)::INTEGER AS n_own, ch::INTEGER AS n_children, vs::INTEGER AS n_vides, coalesce(na, 0)::INTEGER AS n_all
 FROM (SELECT subject, count(*) FILTER (sub_subject <> '') AS ch, coalesce(sum(len(vides)) FILTER (sub_subject = ''), 0) AS vs FROM entries GROUP BY subject)
 LEFT JOIN (SELECT subject, count(*) FILTER (sub_subject = '') AS nr, count(*) AS na FROM refs GROUP BY subject) USING (subject)""",
+    ),
+    "subject_filter": _sql(
+        "entries",
+        """
+SELECT 'subject' AS query, subject, CAST(count(*) FILTER (sub_subject <> '') AS INTEGER) AS n_children FROM entries WHERE contains(lower(subject), 'brand#1') AND contains(subject, '4') GROUP BY subject
+UNION ALL SELECT 'below', subject, CAST(count(*) AS INTEGER) FROM entries WHERE contains(lower(sub_subject), 'small') GROUP BY subject""",
     ),
     "formatted_refs": _sql(
         "refs",

@@ -169,6 +169,13 @@ def subject_index_nested(spark, d):
     return index.join(every, "subject").select("subject", F.coalesce(F.size("refs"), F.lit(0)).alias("n_own"), F.coalesce(F.size("children"), F.lit(0)).alias("n_children"), F.coalesce(F.size("vides"), F.lit(0)).alias("n_vides"), "n_all")
 
 
+def subject_filter(spark, d):
+    index = subjects.filter_index(subjects.nested_index(_entries(spark, d), _refs(spark, d)), "brand#1 4")
+    below = subjects.filter_index(subjects.nested_index(_entries(spark, d), _refs(spark, d)), "small")
+    rows = index.withColumn("query", F.lit("subject")).unionByName(below.withColumn("query", F.lit("below")))
+    return rows.select("query", "subject", F.coalesce(F.size("children"), F.lit(0)).alias("n_children"))
+
+
 def formatted_refs(spark, d):
     refs = _refs(spark, d)
     return subjects.formatted_refs(refs, subjects.summaries(_articles(spark, d))).select("row_no", "line", "step", "sub", "label", "hint")
@@ -352,7 +359,7 @@ QUERIES = {
         search_all_terms, search_phrase, search_keys, highlight_hits, page_text, filter_pages,
         classify_units, unit_type_counts, amendment_notes, section_headings, law_ffill, version_islands, hier_uid, uid_dedup, old_versions, article_revoked, next_versions,
         footnote_numbers, article_summaries, unit_paths, element_counts, document_elements, structure_snapshot,
-        device_lines, range_expand, subject_index_flat, subject_index_nested, formatted_refs, dangling_refs, dangling_see_also, see_also_links, sheet_lint, lint_codes, issue_counts, locale_sort,
+        device_lines, range_expand, subject_index_flat, subject_index_nested, subject_filter, formatted_refs, dangling_refs, dangling_see_also, see_also_links, sheet_lint, lint_codes, issue_counts, locale_sort,
         systematic_outline, section_ranges, outline_search, context_headings, ancestor_headings, current_section, heading_titles,
         subject_semi_filter, marker_filter, article_jump, search_view, search_paging, ref_resolve, marker_labels, word_diff, turn_diff,
         heading_cards, article_cards, old_version_lines, article_markdown, heading_markdown, subject_markdown, element_json, reference_entries, reference_filter, information_pages,

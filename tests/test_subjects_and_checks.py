@@ -103,3 +103,13 @@ def test_text_functions(spark):
     assert [one(T.section_level(F.lit(s))) for s in ("norma1", "adt", "cap2", "subsec1", "sec1", "x")] == ["norma", "tit", "cap", "subsec", "sec", ""]
     assert search.parse('R "Da Câmara" Lei') == search.Query(("da camara",), ("lei",), True)
     assert search.parse("aLO23-A").article == "23-A"
+
+
+def test_tabs(spark):
+    from lexflow.plans import tabs
+
+    index = subjects.nested_index(entries(spark), subjects.references(entries(spark)))
+    assert [r.subject for r in tabs.tab("subjects", index=index).collect()][-1] == "Mesa"
+    assert [(r.subject, len(r.children)) for r in tabs.tab("subjects", "eleicao", index=index).collect()] == [("Câmara", 1)]
+    assert {r.subject for r in tabs.tab("subjects", "CAMARA", index=index).collect()} == {"Câmara", "câmara"}
+    assert tabs.tab("info", information=index) is index
