@@ -142,18 +142,18 @@ def near_duplicates(docs: DataFrame, *, bins: int = BINS, rows: int = ROWS, widt
     reps = sketch.join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", *own], "left_semi").dropDuplicates(["doc_id"])
     entries = reps.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
     shared = entries.groupBy("key").agg(F.min("rep").alias("centre"), F.count("*").alias("size")).where("size > 1")
-    buckets = stored(entries.join(shared, "key"), "minhash-buckets")
+    buckets = stored(entries.join(shared, "key"), "minhash-buckets", 2)
     ids = buckets.select(F.col("rep").alias("doc_id")).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(bounded(stored(ids, "minhash-ids", 8), BROADCAST_IDS), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     sets = stored(texts.mapInArrow(_full_sets(width), "doc_id long, shingles array<long>"), "minhash-sets")
 
     sizes = buckets.select(F.col("rep").alias("centre"), F.col("n").alias("m")).distinct()
     pairs = buckets.where("rep <> centre").select(F.col("centre").alias("u"), F.col("rep").alias("v"), "n").distinct()
-    near = stored(pairs.join(sizes.withColumnRenamed("centre", "u"), "u").where(100 * F.least("n", "m") >= percent * F.greatest("n", "m")).select("u", "v"), "minhash-edges")
-    links = stored(confirmed(near, sets, percent), "minhash-links")
+    near = stored(pairs.join(sizes.withColumnRenamed("centre", "u"), "u").where(100 * F.least("n", "m") >= percent * F.greatest("n", "m")).select("u", "v"), "minhash-edges", 4)
+    links = stored(confirmed(near, sets, percent), "minhash-links", 4)
     found = components(links)
-    edges = stored(_more_edges(buckets.select("key", "rep", "n"), found, percent, centres).join(near, ["u", "v"], "left_anti"), "minhash-edges")
-    more = stored(confirmed(edges, sets, percent), "minhash-links")
+    edges = stored(_more_edges(buckets.select("key", "rep", "n"), found, percent, centres).join(near, ["u", "v"], "left_anti"), "minhash-edges", 4)
+    more = stored(confirmed(edges, sets, percent), "minhash-links", 4)
     if not more.isEmpty():
         links = links.union(more)
         found = components(links)
