@@ -32,7 +32,7 @@ from lexflow.session import prepare
 
 SPACE = "▁"
 #: Units of up to so many characters are folded by Spark; a dictionary of up to so many goes to each worker.
-MOST, SMALL = 63, 12_000_000
+MOST, SMALL = 61, 12_000_000
 
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
@@ -248,30 +248,47 @@ def _bound(value, use):
     return F.transform(F.array(value), use)[0]
 
 
+def _bit(k):
+    return F.call_function("shiftleft", F.lit(1).cast("long"), k)
+
+
 def merges(unit, edges):
-    """Ids of a unit by the best-ranked merge of neighbours, again and again; characters without piece are negative code points."""
+    """Ids of a unit by the best-ranked merge of neighbours, again and again; characters without piece are negative code points.
+
+    The places between symbols are bits of a number: an edge joins two neighbours where both its ends are set
+    and just one bit is set between them, and joining them clears that bit.
+    """
     n = F.length(unit)
-    wide, single = F.filter(edges, lambda e: _end(e) - _start(e) > 1), F.filter(edges, lambda e: _end(e) - _start(e) == 1)
+    spans = F.transform(edges, lambda e: F.struct(_start(e).alias("s"), _end(e).alias("e"), _id(e).alias("id")))
+
+    def work(spans):
+        single = F.filter(spans, lambda x: x["e"] - x["s"] == 1)
+        wide = F.transform(F.filter(spans, lambda x: x["e"] - x["s"] > 1), lambda x: F.struct(x["s"].alias("s"), x["id"].alias("id"), _bit(x["s"]).bitwiseOR(_bit(x["e"])).alias("ends"), (_bit(x["e"]) - _bit(x["s"] + 1)).alias("inner")))
+        return _bound(single, lambda single: _bound(wide, lambda wide: name(single, wide, fold(wide))))
 
     def fold(wide):
         def step(a, _):
             cuts = a["cuts"]
-            fits = F.get(F.filter(wide, lambda e: (F.array_position(cuts, _end(e)) - F.array_position(cuts, _start(e)) == 2) & (F.array_position(cuts, _start(e)) > 0)), F.lit(0))
-            new = _bound(fits, lambda e: F.when(e.isNull(), F.struct(cuts.alias("cuts"), F.lit(True).alias("done"))).otherwise(F.struct(F.array_remove(cuts, F.get(cuts, F.array_position(cuts, _start(e)).cast("int"))).alias("cuts"), F.lit(False).alias("done"))))
+            fits = F.get(F.filter(wide, lambda x: (cuts.bitwiseAND(x["ends"]) == x["ends"]) & (F.bit_count(cuts.bitwiseAND(x["inner"])) == 1)), F.lit(0))
+            new = _bound(fits["inner"], lambda i: F.struct(F.when(i.isNull(), cuts).otherwise(cuts.bitwiseAND(F.bitwise_not(i))).alias("cuts"), i.isNull().alias("done")))
             return F.when(a["done"], a).otherwise(new)
 
         rounds = F.when(F.size(wide) > 0, F.sequence(F.lit(1), n - 1)).otherwise(F.array().cast("array<int>"))
-        return F.aggregate(rounds, F.struct(F.sequence(F.lit(0), n).alias("cuts"), F.lit(False).alias("done")), step, lambda a: a["cuts"])
+        return F.aggregate(rounds, F.struct((_bit(n + 1) - 1).alias("cuts"), F.lit(False).alias("done")), step, lambda a: a["cuts"])
 
-    def name(cuts):
-        def one(b, i):
-            e = F.get(cuts, i + 1)
-            char = F.coalesce(_id(F.get(F.filter(single, lambda x: _start(x) == b), F.lit(0))), -F.ascii(F.substr(unit, b + 1, F.lit(1))))
-            return F.when(e - b == 1, char).otherwise(_id(F.get(F.filter(wide, lambda x: (_start(x) == b) & (_end(x) == e)), F.lit(0))))
+    def name(single, wide, cuts):
+        def parts(cuts):
+            joined = F.transform(F.filter(wide, lambda x: (cuts.bitwiseAND(x["ends"]) == x["ends"]) & (cuts.bitwiseAND(x["inner"]) == 0)), lambda x: F.struct(x["s"].alias("s"), x["id"].alias("id")))
+            both = lambda k: _bit(k).bitwiseOR(_bit(k + 1))
+            alone = F.transform(F.filter(single, lambda x: cuts.bitwiseAND(both(x["s"])) == both(x["s"])), lambda x: F.struct(x["s"].alias("s"), x["id"].alias("id")))
+            known = F.concat(joined, alone)
+            rare = F.filter(F.sequence(F.lit(0), n - 1), lambda k: (cuts.bitwiseAND(both(k)) == both(k)) & ~F.exists(single, lambda x: x["s"] == k))
+            unknown = F.transform(rare, lambda k: F.struct(k.alias("s"), (-F.ascii(F.substr(unit, k + 1, F.lit(1)))).alias("id")))
+            return _bound(known, lambda known: F.when(F.size(known) == F.bit_count(cuts) - 1, known).otherwise(F.concat(known, unknown)))
 
-        return F.transform(F.slice(cuts, F.lit(1), F.size(cuts) - 1), one)
+        return F.transform(F.array_sort(_bound(cuts, parts)), lambda x: x["id"])
 
-    return _bound(_bound(wide, fold), name)
+    return _bound(spans, work)
 
 
 def viterbi(unit, edges, scores, low: float):
@@ -377,22 +394,29 @@ def _encode_task(model: Model, path: str, with_ids: bool):
         for batch in batches:
             for row, w in slices(_spaced(batch.column(1), model.prefix)):
                 starts, ends, h = _units(w, isolated)
-                own, place = np.unique(h, return_inverse=True)
+                own, first, place = np.unique(h, return_index=True, return_inverse=True)
                 where = np.searchsorted(keys, own)
                 near = np.minimum(where, max(len(keys) - 1, 0))
                 held = (where < len(keys)) & (keys[near] == own) if len(keys) else np.zeros(len(own), bool)
+                begins, each, ids = (at[near], sizes[near].astype(np.int64), pool) if len(keys) else (np.zeros(len(own), np.int64), np.zeros(len(own), np.int64), pool)
+                if not held.all():  # units without any edge: characters one by one
+                    raw, more = w.data.tobytes(), []
+                    for u in np.flatnonzero(~held).tolist():
+                        k = first[u]
+                        more.append(np.array([singles.get(ord(c), -ord(c)) for c in raw[starts[k] : ends[k]].decode().replace(" ", SPACE)], np.int32))
+                    new = np.array([len(x) for x in more], np.int64)
+                    begins, each = begins.copy(), each.copy()
+                    begins[~held], each[~held] = np.cumsum(new) - new, new
+                    ids = np.concatenate(more)
+                size = each[place]
                 if held.all():
-                    size = sizes[near][place].astype(np.int64)
-                    ids = pool[gathered(at[near][place], size)]
-                else:  # units without any edge: characters one by one
-                    raw, parts = w.data.tobytes(), []
-                    for k, u in enumerate(place.tolist()):
-                        if held[u]:
-                            parts.append(pool[at[near[u]] : at[near[u]] + sizes[near[u]]])
-                        else:
-                            parts.append(np.array([singles.get(ord(c), -ord(c)) for c in raw[starts[k] : ends[k]].decode().replace(" ", SPACE)], np.int32))
-                    size = np.array([len(p) for p in parts], np.int64)
-                    ids = np.concatenate(parts)
+                    ids = pool[gathered(begins[place], size)]
+                else:  # known ones from the dictionary, the others from what was made here
+                    rare_unit, spread = ~held[place], np.repeat(~held[place], size)
+                    out = np.empty(int(size.sum()), np.int32)
+                    out[~spread] = pool[gathered(begins[place][~rare_unit], size[~rare_unit])]
+                    out[spread] = ids[gathered(begins[place][rare_unit], size[rare_unit])]
+                    ids = out
                 edge = np.concatenate([[0], np.cumsum(size)])[np.searchsorted(starts, w.bounds)].tolist()
                 n = len(w.counts)
                 rows = _rows((_expanded(ids[edge[k] : edge[k + 1]], model, rare) for k in range(n)), table, model.prefix)
