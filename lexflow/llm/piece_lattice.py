@@ -355,10 +355,20 @@ def _held(path: str):
     return store[path]
 
 
-def _expanded(ids: np.ndarray, model: Model, known: dict) -> np.ndarray:
-    if not (ids < 0).any():
-        return ids
-    return np.concatenate([np.array(known.setdefault(i, model.unknown(-i)), np.int32) if i < 0 else np.array([i], np.int32) for i in ids.tolist()])
+def _expanded(ids: np.ndarray, model: Model, known: dict) -> tuple[np.ndarray, np.ndarray]:
+    """ids with what characters without piece stand for, and where each id's part begins (and, last, the end)."""
+    rare = ids < 0
+    sizes = np.ones(len(ids), np.int64)
+    if not rare.any():
+        return ids, np.arange(len(ids) + 1)
+    codes, which = np.unique(ids[rare], return_inverse=True)
+    parts = [known.setdefault(c, np.array(model.unknown(-c), np.int32)) for c in codes.tolist()]
+    each = np.array([len(x) for x in parts], np.int64)
+    sizes[rare] = each[which]
+    out, spread = np.empty(int(sizes.sum()), np.int32), np.repeat(rare, sizes)
+    out[~spread] = ids[~rare]
+    out[spread] = np.concatenate(parts)[gathered((np.cumsum(each) - each)[which], each[which])]
+    return out, np.concatenate([[0], np.cumsum(sizes)])
 
 
 def _decoded(ids: list[int], table: list[bytes], prefix: bool) -> bytes:
@@ -417,9 +427,10 @@ def _encode_task(model: Model, path: str, with_ids: bool):
                     out[~spread] = pool[gathered(begins[place][~rare_unit], size[~rare_unit])]
                     out[spread] = ids[gathered(begins[place][rare_unit], size[rare_unit])]
                     ids = out
-                edge = np.concatenate([[0], np.cumsum(size)])[np.searchsorted(starts, w.bounds)].tolist()
-                n = len(w.counts)
-                rows = _rows((_expanded(ids[edge[k] : edge[k + 1]], model, rare) for k in range(n)), table, model.prefix)
+                edge = np.concatenate([[0], np.cumsum(size)])[np.searchsorted(starts, w.bounds)]
+                ids, moved = _expanded(ids, model, rare)
+                edge, n = moved[edge].tolist(), len(w.counts)
+                rows = _rows((ids[edge[k] : edge[k + 1]] for k in range(n)), table, model.prefix)
                 yield _batch(batch.column(0).slice(row, n), rows, with_ids)
 
     return run
@@ -484,6 +495,6 @@ def encoded(docs: DataFrame, model_file: str, *, small: int = SMALL, with_ids: b
         rare: dict = {}
         for batch in batches:
             raw = [np.array([singles.get(-i, i) if i < 0 else i for i in x or []], np.int32) for x in batch.column(1).to_pylist()]
-            yield _batch(batch.column(0), _rows((_expanded(x, model, rare) for x in raw), table, model.prefix), with_ids)
+            yield _batch(batch.column(0), _rows((_expanded(x, model, rare)[0] for x in raw), table, model.prefix), with_ids)
 
     return rows.select("row", "doc_id").join(ids, "row", "left").select("doc_id", "raw").mapInArrow(finish, schema)
