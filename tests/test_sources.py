@@ -80,7 +80,7 @@ def test_xlsx(spark, tmp_path):
 
 def side(path):
     bold = "<w:b/>"
-    return docx(path, "".join([para(run("antes – Art. 3.")), para(run("Leis"), props='<w:pStyle w:val="Heading1"/>'), para(run("GRUPO", bold)), para(run("Lei "), run("forte & cia", bold), run(" – Art. 10, II.")), para(), para(run("VAZIO", bold))]))
+    return docx(path, "".join([para(run("antes – Art. 3.")), para(run("Leis"), props='<w:pStyle w:val="Heading1"/>'), para(run("GRUPO", bold)), para(run("Lei "), run("forte &amp; cia", bold), run(" – Art. 10, II.")), para(), para(run("VAZIO", bold))]))
 
 
 def test_side_documents(spark, tmp_path):
