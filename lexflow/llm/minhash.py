@@ -10,6 +10,10 @@
    centres of components drawn evenly, with edges to the members of other components only. Two linked
    documents share about ten buckets, so a link that the first star misses has some ten times as many
    further chances, and it only matters while its ends are in different components.
+5. What is left is finished exactly: among the members of buckets that still hold several components, each
+   pair across components that meets the threshold shares a shingle in its prefixes (Chaudhuri et al., 2006;
+   positions as in Xiao et al., 2008). Frequent shingles are compared in blocks, so that no task takes a
+   whole group, and no pair is left out.
 
 Buckets hold each pair at the threshold with probability 1 - (1 - 0.75^4)^32, over 0.99999.
 """
@@ -29,6 +33,9 @@ EMPTY = np.uint64(2**64 - 1)
 #: At most so many ids (8 bytes each) are broadcast to pick the texts of candidates.
 BROADCAST_IDS = 2_000_000
 
+#: So many of a shingle's members are about one block; each block meets each other block of its shingle.
+BLOCK = 512
+
 
 def shingle_sets(texts: pa.Array, width: int = SHINGLE):
     """For consecutive rows: (first row, distinct shingle hashes end to end in ascending order per row, how many per row).
@@ -154,6 +161,11 @@ def near_duplicates(docs: DataFrame, *, bins: int = BINS, rows: int = ROWS, widt
     found = components(links)
     edges = stored(_more_edges(buckets.select("key", "rep", "n"), found, percent, centres).join(near, ["u", "v"], "left_anti"), "minhash-edges", 4)
     more = stored(confirmed(edges, sets, percent), "minhash-links", 4)
+    if not more.isEmpty():
+        links = links.union(more)
+        found = components(links)
+    left = stored(_left_edges(buckets.select("key", "rep", "n"), found, sets, percent), "minhash-edges", 4)
+    more = stored(confirmed(left, sets, percent), "minhash-links", 4)
     if not more.isEmpty():
         links = links.union(more)
         found = components(links)
@@ -178,6 +190,33 @@ def _more_edges(entries: DataFrame, found: DataFrame, percent: int, centres: int
     return edges.select(F.least("rep", "centre").alias("u"), F.greatest("rep", "centre").alias("v")).distinct()
 
 
+def _left_edges(entries: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """All pairs (u, v) across components that can meet the threshold, of the members of buckets that hold several components.
+
+    Shingles are ordered: those of one component first, which no such pair shares, then rare ones. A pair that
+    meets the threshold has its first shared shingle where enough of both sets is still to come.
+    """
+    labelled = entries.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    mixed = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
+    members = stored(labelled.join(mixed, "key").select(F.col("rep").alias("doc_id"), "component", "n").distinct(), "minhash-left", 8)
+    tokens = sets.join(bounded(members, BROADCAST_IDS), "doc_id").select("doc_id", "component", "n", F.explode("shingles").alias("token"))
+    tokens = stored(tokens, "minhash-tokens")
+    common = tokens.groupBy("token").agg(F.count("*").alias("df"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token", "df")
+    own = Window.partitionBy("doc_id")
+    place = F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("df", "token"))
+    prefix = tokens.join(common, "token").withColumn("place", place).where(100 * (F.col("n") - F.col("place") + 1) >= percent * F.col("n")).select("doc_id", "component", "n", "token", "place")
+    prefix = stored(prefix, "minhash-prefixes", 4)
+    blocks = prefix.groupBy("token").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token", "blocks")
+    dealt = prefix.join(blocks, "token").withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks"))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    a = dealt.select("token", F.col("block").alias("i"), every.alias("j"), F.col("doc_id").alias("u"), F.col("component").alias("cu"), F.col("n").alias("nu"), F.col("place").alias("pu"))
+    b = dealt.select("token", every.alias("i"), F.col("block").alias("j"), F.col("doc_id").alias("v"), F.col("component").alias("cv"), F.col("n").alias("nv"), F.col("place").alias("pv"))
+    most = F.least(F.col("nu") - F.col("pu"), F.col("nv") - F.col("pv")) + 1
+    enough = 100 * most >= percent * (F.col("nu") + F.col("nv") - most)
+    pairs = a.hint("merge").join(b, ["token", "i", "j"]).where((F.col("u") < F.col("v")) & (F.col("cu") != F.col("cv")) & enough)
+    return pairs.select("u", "v").distinct()
+
+
 def drop_near_duplicates(docs: DataFrame, **parameters) -> DataFrame:
     """The rows of docs but those of documents that near_duplicates doesn't keep, with all their columns.
 

@@ -151,6 +151,31 @@ def test_near_odd_rows(spark):
     assert left.columns == docs.columns and {i for i, _ in pairs(left)} == {r.doc_id for r in got if r.kept} | {None}
 
 
+def family(seed, pairs=150, size=240, changes=5):
+    """Linked pairs of copies of one text; the copies of different pairs are mostly below the threshold."""
+    rnd = random.Random(seed)
+    base = [f"b{k}" for k in range(size)]
+    out = []
+    for k in range(pairs):
+        own = list(base)
+        for c in range(2):
+            for at in rnd.sample(range(size), changes):
+                own[at] = f"m{k}.{c}.{at}"
+            out.append((2 * k + c, " ".join(own)))
+    return out
+
+
+def test_near_pairs_within_a_family(spark, monkeypatch):
+    rows = family(4)
+    want = near_model(rows)
+    assert 50 < sum(kept for *_, kept in want) < 200
+    got = minhash.near_duplicates(table(spark, rows))
+    assert {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got.collect()} == want
+    monkeypatch.setattr(minhash, "BLOCK", 16)
+    got = minhash.near_duplicates(table(spark, rows))
+    assert {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got.collect()} == want
+
+
 # passages
 
 
