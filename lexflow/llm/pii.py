@@ -5,11 +5,15 @@ format by a keyed Feistel network over their digits or letters: a number of n di
 n digits with the same separators and a right checksum, a date another date, an address another address.
 The permutation depends on key, kind and value only, so equal values get equal pseudonyms in all documents,
 and who has the key can invert it. Texts without a candidate pass through untouched.
+
+Patterns take as much as they can, so a match may be a value with its neighbour. Where matches meet, every
+start, kind and end at a separator is tried, and of the valid spans those are taken that together cover most.
 """
 
 import hashlib
 import hmac
 import re
+from bisect import bisect_right
 from datetime import date, timedelta
 
 import pyarrow as pa
@@ -36,6 +40,10 @@ FINDER = "|".join(f"(?P<{k}>{v})" for k, v in PATTERNS.items())
 #: What every candidate has; texts without it need no search (RE2 syntax, in Arrow).
 SCREEN = r"@|\d{3}|[0-9a-fA-F]{32}|\d\.\d+\.\d|\d[ -]\d|\d\d/\d"
 KINDS = tuple(PATTERNS)
+EACH = {k: re.compile(v) for k, v in PATTERNS.items()}
+#: Where a value may begin behind the start of another match, and what may end a shorter span of a match.
+START = re.compile(r"(?<![0-9A-Za-z])[\w+]|(?<=[^\W\d])\d")
+ENDS = {"iban": re.compile(" "), "phone": re.compile("[ .-]"), "card": re.compile("[ -]")}
 
 #: Days that dates are permuted among.
 FIRST, LAST = date(1900, 1, 1), date(2099, 12, 31)
@@ -198,20 +206,63 @@ def pseudonym(kind: str, text: str, key: bytes = KEY, back: bool = False, any_nu
 def protect(text: str, key: bytes = KEY, *, any_number: bool = True, known: dict | None = None, finder=re.compile(FINDER)) -> tuple[str, dict[str, int]]:
     """The text with pseudonyms and how many of each kind were put in."""
     counts: dict[str, int] = {}
+    parts, done, m = [], 0, finder.search(text)
 
-    def put(m: re.Match) -> str:
-        kind, own = m.lastgroup, m.group()
-        new = known.get((kind, own)) if known is not None else None
-        if new is None:
+    def new_of(kind: str, own: str) -> str | None:
+        if known is None:
+            return pseudonym(kind, own, key, any_number=any_number)
+        if (kind, own) not in known:
             new = pseudonym(kind, own, key, any_number=any_number)
-            if known is not None and new is not None and len(known) < 100_000:
-                known[kind, own] = new
-        if new is None:
-            return own
-        counts[kind] = counts.get(kind, 0) + 1
-        return new
-
-    return finder.sub(put, text), counts
+            if len(known) >= 100_000:
+                return new
+            known[kind, own] = new
+        return known[kind, own]
+
+    while m:
+        found, reach = _valid_spans(text, m.start(), new_of)
+        for at, to, kind, new in _widest(found):
+            parts += [text[done:at], new]
+            done = to
+            counts[kind] = counts.get(kind, 0) + 1
+        m = finder.search(text, reach)
+    return "".join(parts) + text[done:], counts
+
+
+def _valid_spans(text: str, at: int, new_of) -> tuple[list[tuple[int, int, str, str]], int]:
+    """Valid spans (start, end, kind, pseudonym) of the matches from at on that meet one another, and where these end."""
+    found, reach, mail = {}, at + 1, at
+    while True:
+        for kind, pattern in EACH.items():
+            if kind == "email" and at < mail or not (m := pattern.match(text, at)):
+                continue
+            to = m.end()
+            reach = max(reach, to)
+            mail = to if kind == "email" else mail
+            shorter = [e.start() for e in ENDS[kind].finditer(text, at, to)] if kind in ENDS else []
+            for end in [to, *reversed(shorter)]:
+                if (end == to or pattern.fullmatch(text, at, end)) and (at, end) not in found and (new := new_of(kind, text[at:end])) is not None:
+                    found[at, end] = (kind, new)
+        m = START.search(text, at + 1, reach)
+        if not m:
+            return [(a, b, *x) for (a, b), x in found.items()], reach
+        at = m.start()
+
+
+def _widest(spans: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, str]]:
+    """Spans that don't overlap and cover most characters together, in few pieces."""
+    if len(spans) < 2:
+        return spans
+    spans = sorted(spans, key=lambda x: (x[1], x[0]))
+    ends, best = [x[1] for x in spans], [(0, 0, -1, 0)]  # covered, less pieces, last span, what is before it
+    for k, (at, to, _, _) in enumerate(spans):
+        before = bisect_right(ends, at, 0, k)
+        with_it = (best[before][0] + to - at, best[before][1] - 1, k, before)
+        best.append(max(best[-1], with_it, key=lambda x: x[:2]))
+    out, now = [], best[-1]
+    while now[2] >= 0:
+        out.append(spans[now[2]])
+        now = best[now[3]]
+    return out[::-1]
 
 
 def _task(key: bytes, any_number: bool, at: int, counted: bool):

@@ -35,6 +35,23 @@ def test_clean_texts_stay(text):
     assert pii.protect(text) == (text, {})
 
 
+NEIGHBOURS = [
+    ("4111111111111111 123", {"card": 1}, "4111111111111111"), ("4111 1111 1111 1111 12/25", {"card": 1}, "4111 1111 1111 1111"), ("12 4111111111111111", {"card": 1}, "4111111111111111"),
+    ("4929348385146306 144.137.247.239", {"card": 1, "ipv4": 1}, "4929348385146306 144.137.247.239"), ("+1 (407) 555-7710 144.137.247.239", {"phone": 1, "ipv4": 1}, "+1 (407) 555-7710 144.137.247.239"),
+    ("1234 123-45-6789", {"ssn": 1}, "123-45-6789"), ("1234 5678 2020-01-02", {"date": 1}, "2020-01-02"), ("AT61 1904 3002 3457 3201 BY", {"iban": 1}, "AT61 1904 3002 3457 3201"),
+    ("+1 407 555 7710 4111 1111 1111 1111", {"phone": 1, "card": 1}, "+1 407 555 7710 4111 1111 1111 1111"), ("4111111111111111 une.92@mail6.example.com", {"card": 1, "email": 1}, "4111111111111111 une.92"),
+]
+
+
+@pytest.mark.parametrize("text,counts,private", NEIGHBOURS)
+def test_values_beside_others(text, counts, private):
+    new, found = pii.protect(f"see {text}, ok")
+    assert found == counts and ("ipv4" in counts or len(new) == len(text) + 8)
+    assert all(value not in new for value in private.split(" ") if len(value) > 4)
+    kept = text.replace(private, "\0").split("\0")
+    assert new.startswith(f"see {kept[0]}") and new.endswith(f"{kept[1]}, ok")
+
+
 def test_pii_in_tables(spark):
     docs = odd_table(spark).unionByName(table(spark, [(80, "call +1 (407) 555-7710 or mail une.92@mail6.example.com"), (81, "again une.92@mail6.example.com\nand 97.51.17.173")]))
     got = {r.doc_id: r for r in pii.pii_report(docs).collect()}
