@@ -54,11 +54,12 @@ def resolve_refs(refs: DataFrame, articles: DataFrame, units: DataFrame, fallbac
     found = refs.join(first_articles(articles).withColumnRenamed("law", "law_prefix").withColumnRenamed("seq", "art_seq"), ["doc_id", "law_prefix", "art"])
     detail = _detail(F.col("detail"))
     live = units.where("not is_old_version or role = 'caput'").select("doc_id", "block_id", F.col("seq").alias("unit_seq"), "role", "path", "identifier")
-    rows = found.where(detail != "").join(live, ["doc_id", "block_id"])
-    names = (F.col("path") == detail) | (F.col("identifier") == detail) | ((detail == "§ú") & (F.col("identifier") == "Parágrafo único"))
-    fits = F.when(F.lower(detail) == "caput", F.col("role") == "caput").otherwise(names)
-    hits = rows.where(fits).groupBy("ref_id").agg(F.min(F.struct(F.when(F.col("role") == "caput", 0).otherwise(1).alias("late"), "unit_seq", "role")).alias("hit"))
-    out = found.join(hits, "ref_id", "left")
+    names = F.array("path", "identifier", F.when(F.col("identifier") == "Parágrafo único", "§ú"))
+    names = F.filter(names, lambda x: x.isNotNull() & (x != "") & (F.lower(x) != "caput"))
+    names = F.array_distinct(F.concat(names, F.when(F.col("role") == "caput", F.array(F.lit("caput"))).otherwise(F.array().cast("array<string>"))))
+    named = live.select("doc_id", "block_id", F.explode(names).alias("name"), F.struct(F.when(F.col("role") == "caput", 0).otherwise(1).alias("late"), "unit_seq", "role").alias("hit"))
+    hits = named.groupBy("doc_id", "block_id", "name").agg(F.min("hit").alias("hit"))
+    out = found.withColumn("name", F.when(F.lower(detail) == "caput", "caput").otherwise(detail)).join(hits, ["doc_id", "block_id", "name"], "left")
     target = F.when(F.col("hit").isNotNull(), F.when(F.lower(detail) == "caput", "caput").otherwise("unit")).when((detail == "") | F.lit(fallback), "card")
     out = out.select("ref_id", "doc_id", "block_id", target.alias("target"), F.when(F.col("hit").isNotNull(), F.col("hit.unit_seq")).otherwise(F.col("art_seq")).alias("target_seq"))
     return out.where("target is not null")

@@ -274,7 +274,7 @@ def search_paging(spark, d):
 
 def ref_resolve(spark, d):
     s = _statute(spark, d)
-    refs = _refs(spark, d).where("row_no <= 64").select(F.concat_ws("/", "row_no", "line", "step", "sub").alias("ref_id"), (F.col("row_no") % views.DOCS).alias("doc_id"), "law_prefix", "art", "detail")
+    refs = _refs(spark, d).select(F.concat_ws("/", "row_no", "line", "step", "sub").alias("ref_id"), (F.col("row_no") % views.DOCS).alias("doc_id"), "law_prefix", "art", "detail")
     return targets.resolve_refs(refs, s.articles, s.units)
 
 
