@@ -1,5 +1,6 @@
 """The queries of the statute operators, one for each group of them, and the SQL that checks them."""
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -208,9 +209,9 @@ def issue_counts(spark, d):
 
 
 def locale_sort(spark, d):
-    """Last words of documents in dictionary order; the first 200 of them, a report."""
+    """All words of documents with their place in dictionary order."""
     words = table(spark, d, "documents").select(F.explode(F.split("text", r"[^\p{L}]+")).alias("subject")).where("subject <> ''").distinct()
-    return subjects.in_display_order(words).limit(200)
+    return subjects.display_places(words.persist(StorageLevel.MEMORY_AND_DISK))
 
 
 # Outline, context, targets.

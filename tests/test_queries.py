@@ -54,6 +54,19 @@ def test_all_references_are_resolved(spark, sf_dir):
 
 
 
+def test_all_words_have_their_place(spark, sf_dir):
+    import re
+
+    from lexflow.operators import subjects
+
+    words = {w for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect() for w in re.split(r"[\W\d_]+", r.text or "") if w}
+    got = queries.locale_sort(spark, sf_dir).collect()
+    ordered = [r.subject for r in subjects.in_display_order(spark.createDataFrame([(r.subject,) for r in got], "subject string")).collect()]
+    assert len(got) > 200 and abs(len(got) - len(words)) <= len(words) // 100
+    assert [r.subject for r in sorted(got, key=lambda r: r.place)] == ordered and sorted(r.place for r in got) == list(range(1, len(got) + 1))
+
+
+
 def test_entry(spark):
     assert entry.entry(spark).columns == ["doc_id", "source", "n"]
     assert set(entry.oracle_sql()) <= set(entry.queries())
