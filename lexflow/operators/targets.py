@@ -71,16 +71,16 @@ def base_article(art_ref: Column) -> Column:
 
 
 def marker_labels(markers: DataFrame, units: DataFrame, articles: DataFrame) -> DataFrame:
-    """markers (uid, colour) with label, short: the article and path of the unit, or the uid if there is none."""
+    """markers (uid, colour) with label, short: the article and path of the first unit with the uid, or the uid if there is none."""
     art = articles.select("doc_id", "block_id", "art_number", F.col("law_prefix").alias("law"))
-    rows = units.select("doc_id", "block_id", "uid", "identifier", "path").join(art, ["doc_id", "block_id"])
+    rows = units.select("doc_id", "block_id", "seq", "uid", "identifier", "path").join(art, ["doc_id", "block_id"])
     law = F.when(F.col("law") != "", F.concat("law", F.lit(":"))).otherwise("")
     label = (
         F.when(F.col("path") != "", F.concat(law, F.lit("Art."), F.col("art_number"), F.lit(","), F.col("path")))
         .when(~F.col("identifier").startswith("Art."), F.concat(law, F.lit("Art."), F.col("art_number"), F.lit(","), F.col("identifier")))
         .otherwise(F.concat(law, F.col("identifier")))
     )
-    named = rows.select("uid", label.alias("label")).dropDuplicates(["uid"])
+    named = rows.groupBy("uid").agg(F.min_by(label, F.struct("doc_id", "seq")).alias("label"))
     return markers.join(named, "uid", "left").withColumn("label", compact_label(F.coalesce("label", "uid")))
 
 

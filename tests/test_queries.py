@@ -67,6 +67,13 @@ def test_all_words_have_their_place(spark, sf_dir):
 
 
 
+def test_all_units_have_labels(spark, sf_dir):
+    units = queries._statute(spark, sf_dir).units.select("uid").distinct()
+    got = queries.marker_labels(spark, sf_dir).collect()
+    assert sorted(r.uid for r in got) == sorted(r.uid for r in units.collect()) and all(r.label for r in got)
+
+
+
 def test_entry(spark):
     assert entry.entry(spark).columns == ["doc_id", "source", "n"]
     assert set(entry.oracle_sql()) <= set(entry.queries())
