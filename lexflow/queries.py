@@ -334,8 +334,8 @@ def element_json(spark, d):
 
 
 def _lines(spark, d) -> DataFrame:
-    """The lines of English documents as styled paragraphs: the first line of every tenth document is a heading, a line in capitals bold."""
-    rows = table(spark, d, "documents").where("lang = 'en'").select((F.col("doc_id") % 16).alias("doc_id"), F.col("doc_id").alias("of"), F.posexplode(F.split("text", "\n")).alias("pos", "text"))
+    """The lines of documents as styled paragraphs: the first line of every tenth document is a heading, a line in capitals bold."""
+    rows = table(spark, d, "documents").select((F.col("doc_id") % 16).alias("doc_id"), F.col("doc_id").alias("of"), F.posexplode(F.split("text", "\n")).alias("pos", "text"))
     heading = (F.col("of") % 160 < 16) & (F.col("pos") == 0)
     bold = F.col("text") == F.upper("text")
     text = F.when(F.col("pos") % 7 == 3, F.concat("text", F.lit(" – Art. 10, II."))).otherwise(F.col("text"))

@@ -74,6 +74,15 @@ def test_all_units_have_labels(spark, sf_dir):
 
 
 
+def test_lines_of_all_languages(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text is not null")
+    got = queries._lines(spark, sf_dir).selectExpr("(seq - seq % 1000000) / 1000000 as of").distinct()
+    assert got.count() == docs.count()
+    entries = queries.reference_entries(spark, sf_dir).selectExpr("cast(floor(seq / 1000000) as bigint) as doc_id").distinct().join(docs, "doc_id")
+    assert {r.lang for r in entries.select("lang").distinct().collect()} == {r.lang for r in docs.select("lang").distinct().collect()}
+
+
+
 def test_entry(spark):
     assert entry.entry(spark).columns == ["doc_id", "source", "n"]
     assert set(entry.oracle_sql()) <= set(entry.queries())
