@@ -7,21 +7,22 @@ over that buffer. Work goes through the buffer in slices, so memory doesn't foll
 import ctypes
 import functools
 import gc
+import hashlib
 
 import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are worked on together; a longer document is a slice by itself.
 SLICE = 1 << 20
-CHUNK = 1 << 18
+#: Bytes of a range beyond which it is hashed by itself.
+LONG = 64
 
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-
-_P = np.uint64(0x9E3779B97F4A7C15 | 1)
-_PINV = np.uint64(pow(int(_P), -1, 1 << 64))
+#: The first 0 to 8 bytes of a number.
+MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def task(run):
@@ -61,25 +62,6 @@ def randoms(seed: int, n: int) -> np.ndarray:
         return mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed * 0x1000193 & (2**64 - 1)))
 
 
-class Powers:
-    """Powers of an odd base and of its inverse modulo 2^64, as many as were needed so far."""
-
-    def __init__(self):
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def to(self, n: int):
-        if len(self.up) < n:
-            n = max(n, CHUNK + 4096)
-            for name, base in (("up", _P), ("down", _PINV)):
-                a = np.full(n, base, np.uint64)
-                a[0] = 1
-                setattr(self, name, np.cumprod(a, dtype=np.uint64))
-        return self.up, self.down
-
-
-POWERS = Powers()
-
-
 class Words:
     """The words of texts lying end to end: data, the texts' bounds, starts, ends, owner and count per text."""
 
@@ -104,32 +86,63 @@ class Words:
 
     def hashes(self, seed: int = 1, fold=None) -> np.ndarray:
         """A 64-bit hash of each word; fold maps bytes first, as LOWER does."""
-        return self.hashes_of(self.data, self.starts, self.ends, seed, fold)
-
-    @staticmethod
-    def hashes_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 1, fold=None) -> np.ndarray:
-        """The same of any ranges of bytes that follow one another."""
-        letters = randoms(seed, 256)
-        if fold is not None:
-            letters = letters[fold]
-        out = np.empty(len(starts), np.uint64)
-        i, n = 0, len(out)
-        with np.errstate(over="ignore"):
-            while i < n:
-                at = starts[i]
-                j = max(i + 1, int(np.searchsorted(starts, at + CHUNK)))
-                s, e = starts[i:j] - at, ends[i:j] - at
-                up, down = POWERS.to(int(e[-1]) + 1)
-                total = np.empty(e[-1] + 1, np.uint64)
-                total[0] = 0
-                np.cumsum(letters[data[at : at + e[-1]]] * up[: e[-1]], out=total[1:])
-                out[i:j] = mix((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64))
-                i = j
-        return out
+        return hashes_of(self.data, self.starts, self.ends, seed, fold)
 
 
-def slices(texts: pa.Array):
-    """(first row, Words) for consecutive rows; a null text has no bytes."""
+def eights(data: np.ndarray, more: int = 8) -> np.ndarray:
+    """The eight bytes from each place of data on, as one number; past the end stand zeros."""
+    padded = np.zeros(len(data) + more + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + more + 1,), "<u8", padded, strides=(1,))
+
+
+def hashes_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 1, fold=None) -> np.ndarray:
+    """A 64-bit hash of ranges of bytes: eight bytes at a time go through a scramble that each seed begins elsewhere.
+
+    Ranges of over LONG bytes are hashed one by one, with the seed as BLAKE2's key. fold maps bytes first.
+    """
+    data = data if fold is None else fold[data]
+    size, begin = ends - starts, randoms(seed, 1)
+    out = mix(size.astype(np.uint64) ^ begin)
+    if not len(out):
+        return out
+    view = eights(data)
+    out = mix(out ^ (view[starts] & MASK[np.minimum(size, 8)]))
+    live, at = np.flatnonzero((size > 8) & (size <= LONG)), 8
+    while len(live):
+        out[live] = mix(out[live] ^ (view[starts[live] + at] & MASK[np.minimum(size[live] - at, 8)]))
+        at += 8
+        live = live[size[live] > at]
+    long = np.flatnonzero(size > LONG)
+    if len(long):
+        raw, key = data.tobytes(), begin.tobytes()
+        out[long] = np.frombuffer(b"".join([hashlib.blake2b(raw[s:e], digest_size=8, key=key).digest() for s, e in zip(starts[long].tolist(), ends[long].tolist(), strict=True)]), "<u8")
+    return out
+
+
+def identities(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two numbers that tell ranges of bytes apart: up to 15 bytes and their count, or 120 bits of a BLAKE2 digest."""
+    size, view = ends - starts, eights(data, 16)
+    one = view[starts] & MASK[np.minimum(size, 8)]
+    two = (view[starts + 8] & MASK[np.clip(size - 8, 0, 7)]) | (np.minimum(size, 255).astype(np.uint64) << np.uint64(56))
+    long = np.flatnonzero(size > 15)
+    if len(long):
+        raw = data.tobytes()
+        sums = np.frombuffer(b"".join([hashlib.blake2b(raw[s:e], digest_size=16).digest() for s, e in zip(starts[long].tolist(), ends[long].tolist(), strict=True)]), "<u8").reshape(-1, 2)
+        one[long], two[long] = sums[:, 0], sums[:, 1] | np.uint64(255 << 56)
+    return one, two
+
+
+def distinct(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of identities, the place of the first of each, and for all of them which of those they are."""
+    _, first, place = np.unique(mix(one ^ mix(two)), return_index=True, return_inverse=True)
+    if (one != one[first][place]).any() or (two != two[first][place]).any():  # two that differ have one hash
+        _, first, place = np.unique(np.stack([one, two], axis=1), axis=0, return_index=True, return_inverse=True)
+    return first, place.reshape(-1)
+
+
+def buffers(texts: pa.Array):
+    """(first row, bytes, bounds of the texts in them) for consecutive rows; a null text has no bytes."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     texts = texts.cast(pa.large_string()).fill_null("")
@@ -141,10 +154,16 @@ def slices(texts: pa.Array):
     i = 0
     while i < n:
         j = max(i + 1, int(np.searchsorted(ends, ends[i] + SLICE, "right")) - 1)
-        yield i, Words(data[ends[i] : ends[j]], (ends[i : j + 1] - ends[i]).astype(np.int64))
+        yield i, data[ends[i] : ends[j]], (ends[i : j + 1] - ends[i]).astype(np.int64)
         i = j
 
 
+def slices(texts: pa.Array):
+    """(first row, Words) for consecutive rows."""
+    for row, data, bounds in buffers(texts):
+        yield row, Words(data, bounds)
+
+
 def chained(parts: list[np.ndarray], seed: int) -> np.ndarray:
     """A hash of aligned hashes, in their order."""
     keys = randoms(seed, len(parts)) | np.uint64(1)

@@ -5,7 +5,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from lexflow.session import prepare
 
@@ -48,23 +47,54 @@ def stored(df: DataFrame, what: str, share: int = 1) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def located(docs: DataFrame) -> DataFrame:
-    """docs with the place of each row, ``__file`` and ``__row``, the same on every read.
+def free_name(name: str, columns: list[str]) -> str:
+    """name, or the first of name_, name__ and so on that no column has."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
-    The place is the Parquet file and the row in it. A frame that isn't a plain scan is written to the
-    shared folder first. A frame with these columns has its places.
+
+#: Plan nodes under which each row of a scan is one row still.
+ROW_BY_ROW = {"Project", "Filter", "SubqueryAlias", "LogicalRelation"}
+
+
+def _plain_scan(docs: DataFrame) -> bool:
+    node = docs._jdf.queryExecution().analyzed()
+    while node.nodeName() in ROW_BY_ROW and node.children().size() == 1:
+        node = node.children().apply(0)
+    return node.nodeName() == "LogicalRelation" and "_metadata" not in docs.columns
+
+
+def located(docs: DataFrame) -> tuple[DataFrame, list[str], str, str]:
+    """docs with the place of each row, the same on every read; the names of docs' columns there, and those of file and row.
+
+    The place is the Parquet file and the row in it. A frame that isn't a plain scan, or hides the scan's own
+    column, is written to the shared folder first. Names that docs has itself aren't taken.
     """
     prepare(docs.sparkSession)
-    if {"__file", "__row"} <= set(docs.columns):
-        return docs
-    place = [F.xxhash64("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row")]
-    if "_metadata" not in docs.columns:
-        try:
-            return docs.select("*", *place)
-        except AnalysisException:
-            pass
-    keep = [c for c in docs.columns if c != "_metadata"]
-    return stored(docs.select(*keep), "rows").select("*", *place)
+    if not _plain_scan(docs):
+        docs = docs.withColumnRenamed("_metadata", free_name("metadata", docs.columns))
+        docs = stored(docs, "rows")
+    names = docs.columns
+    file, row = free_name("__file", names), free_name("__row", names)
+    return docs.select("*", F.xxhash64("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(row)), names, file, row
+
+
+#: Keys that hold more than one of so many rows are hot; there can't be more than so many of them.
+HOT = 10_000
+
+
+def joined(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """big joined to small, which has each key once and in ``many`` how many rows of big have it.
+
+    The hot keys of a table are few whatever its size, so they are broadcast; the others are shuffled, and no
+    task gets more than its share. big is a stored table, as it is read twice.
+    """
+    total = big.count()
+    hot = F.broadcast(small.where(F.col("many") * HOT > total).drop("many"))
+    cold = small.where(F.col("many") * HOT <= total).drop("many")
+    return big.join(hot, on, how).unionByName(big.join(hot.select(*on), on, "left_anti").join(cold, on, how))
 
 
 def bounded(df: DataFrame, rows: int) -> DataFrame:

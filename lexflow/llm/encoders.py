@@ -3,7 +3,8 @@
 A byte-level or word-level BPE file never merges across certain places. Texts are cut there, all at once with
 NumPy, and the library encodes each unit that the worker doesn't know yet, thousands in one call; ids of a
 text are the ids of its units, gathered. Files whose settings give no such places, and texts that hold a special token's
-string or rare white space, go through the library whole.
+string or rare white space, go through the library whole. Units are told apart by their bytes (long ones by a
+120-bit digest), never by a short hash, and a worker forgets them at the end of its task.
 """
 
 import json
@@ -11,18 +12,19 @@ import os
 import re
 import sys
 import types
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 
-from lexflow.llm.arrow_text import Words, slices
+from lexflow.llm.arrow_text import Words, distinct, identities, mix, slices
 
 #: UTF-8 of white space beyond ASCII. Fixed values.
 RARE_SPACE = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")
 GENERAL_SPACE = re.compile(rb"\xe2\x80[\x80-\x8a\xa8\xa9\xaf]")
 
-#: Units that a worker knows before it starts anew; a bound of memory only (some 40 bytes each).
-KEEP = 2_000_000
+#: Units that a worker knows before it starts anew; a bound of memory only (some 60 bytes each).
+KEEP = 1_000_000
 #: Units that go to the library as one text, and what stands between those of word-level files.
 TOGETHER, MARK = 4_000, "\x01"
 
@@ -74,8 +76,9 @@ class Encoder:
         return [np.array(e.ids, np.uint32) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _forget(self):
-        """keys are sorted hashes of known units; a unit's ids lie in pool from at on, sizes of them."""
-        self.keys, self.at, self.sizes = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        """keys are sorted hashes of known units' identities (one, two); a unit's ids lie in pool from at on, sizes of them."""
+        self.keys, self.one, self.two = (np.zeros(0, np.uint64) for _ in range(3))
+        self.at, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int32)
         self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
 
     def _encode_units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -135,36 +138,54 @@ class Encoder:
         texts = [raw[a:e] for a, e in zip(b[:-1], b[1:], strict=True)]
         return [k for k, t in enumerate(texts) if any(s in t for s in signs) or (general and GENERAL_SPACE.search(t))]
 
-    def _learn(self, keys: np.ndarray, units: list[str]):
-        """Adds units, whose sorted keys aren't known."""
-        ids, sizes = self._encode_units(units)
-        if self.used + len(ids) > len(self.pool):
-            self.pool = np.concatenate([self.pool[: self.used], np.zeros(max(len(self.pool), len(ids)), np.uint32)])
-        self.pool[self.used : self.used + len(ids)] = ids
-        where = np.searchsorted(self.keys, keys)
-        self.keys = np.insert(self.keys, where, keys)
-        self.at = np.insert(self.at, where, self.used + np.cumsum(sizes, dtype=np.int64) - sizes)
-        self.sizes = np.insert(self.sizes, where, sizes)
-        self.used += len(ids)
+    def _known(self, keys: np.ndarray, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of sorted keys among the known ones, and which of these are the same unit."""
+        at = np.searchsorted(self.keys, keys)
+        near = np.minimum(at, max(len(self.keys) - 1, 0))
+        held = (self.keys[near] == keys) & (self.one[near] == one) & (self.two[near] == two) if len(self.keys) else np.zeros(len(keys), bool)
+        return at, held
+
+    def _ids_of(self, one: np.ndarray, two: np.ndarray, text_of) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For distinct identities: a pool of ids, and where in it each one's ids begin and how many they are."""
+        hashes = mix(one ^ mix(two))
+        order = np.argsort(hashes)
+        keys, one, two = hashes[order], one[order], two[order]
+        if len(self.keys) + len(keys) > KEEP:
+            self._forget()
+        at, held = self._known(keys, one, two)
+        clash = (keys[1:] == keys[:-1]).any() or (len(self.keys) and (~held & (self.keys[np.minimum(at, len(self.keys) - 1)] == keys)).any())
+        if clash:  # units that differ have one hash: these do without what is known
+            pool, sizes = self._encode_units([text_of(k) for k in order.tolist()])
+            begins = np.cumsum(sizes, dtype=np.int64) - sizes
+        else:
+            if not held.all():
+                new = ~held
+                ids, sizes = self._encode_units([text_of(k) for k in order[new].tolist()])
+                if self.used + len(ids) > len(self.pool):
+                    self.pool = np.concatenate([self.pool[: self.used], np.zeros(max(len(self.pool), len(ids)), np.uint32)])
+                self.pool[self.used : self.used + len(ids)] = ids
+                more = {"keys": keys, "one": one, "two": two}
+                for name, values in more.items():
+                    setattr(self, name, np.insert(getattr(self, name), at[new], values[new]))
+                self.at = np.insert(self.at, at[new], self.used + np.cumsum(sizes, dtype=np.int64) - sizes)
+                self.sizes = np.insert(self.sizes, at[new], sizes)
+                self.used += len(ids)
+                at = np.searchsorted(self.keys, keys)
+            pool, begins, sizes = self.pool, self.at[at], self.sizes[at]
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        return pool, begins[back], sizes[back].astype(np.int64)
 
     def _slice(self, w: Words):
         raw = w.data.tobytes()
         starts, ends = self._units(w)
-        h = Words.hashes_of(w.data, starts, ends, seed=61)
-        keys, first, place = np.unique(h, return_index=True, return_inverse=True)
-        if len(self.keys) + len(keys) > KEEP:
-            self._forget()
-        at = np.searchsorted(self.keys, keys)
-        new = np.ones(len(keys), bool)
-        inside = at < len(self.keys)
-        new[inside] = self.keys[at[inside]] != keys[inside]
-        if new.any():
-            f = first[new]
-            self._learn(keys[new], [raw[s:e].decode() for s, e in zip(starts[f].tolist(), ends[f].tolist(), strict=True)])
-            at = np.searchsorted(self.keys, keys)
-        sizes = self.sizes[at].astype(np.int64)[place]
-        ids = self.pool[gathered(self.at[at][place], sizes)]
-        per_text = np.concatenate([[0], np.cumsum(sizes)])[np.searchsorted(starts, w.bounds)].tolist()
+        one, two = identities(w.data, starts, ends)
+        first, place = distinct(one, two)
+        s, e = starts[first], ends[first]
+        pool, begins, sizes = self._ids_of(one[first], two[first], lambda k: raw[s[k] : e[k]].decode())
+        each = sizes[place]
+        ids = pool[gathered(begins[place], each)]
+        per_text = np.concatenate([[0], np.cumsum(each)])[np.searchsorted(starts, w.bounds)].tolist()
         odd = {k: None for k in self._odd(w, raw)}
         for k, own in zip(odd, self._ids([raw[w.bounds[k] : w.bounds[k + 1]].decode() for k in odd]), strict=True):
             odd[k] = own
@@ -181,9 +202,13 @@ class Encoder:
             yield from self._slice(w)
 
 
-def encoder(path: str) -> Encoder:
-    """The worker's encoder of this file."""
+@contextmanager
+def encoder(path: str):
+    """The worker's encoder of this file; what it has learned goes when the block ends."""
     store = _store()
     if path not in store:
         store[path] = Encoder(path)
-    return store[path]
+    try:
+        yield store[path]
+    finally:
+        store[path]._forget()

@@ -15,7 +15,7 @@ are counted to be few, and by a shuffled semi-join otherwise.
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexflow.llm.common import SPACE, bounded, located, shared_path, stored
+from lexflow.llm.common import SPACE, bounded, joined, located, shared_path, stored
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -35,6 +35,8 @@ STATE_CONF = {
 
 #: At most so many digests of hits are broadcast (32 bytes each).
 BROADCAST_HITS = 200_000
+#: At most so many places of dropped rows are broadcast (16 bytes each).
+BROADCAST_DROPPED = 500_000
 
 
 def normalised(text: Column) -> Column:
@@ -59,7 +61,7 @@ def fold_state(slim: DataFrame, batch_bytes: int = 64 << 30) -> DataFrame:
     spark = slim.sparkSession
     path, state = slim.inputFiles(), shared_path(spark, "dedup-state")
     if not path:
-        return slim.select("digest", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "file", "row").alias("keeper"), F.lit(0).cast("long").alias("n")).limit(0)
+        return slim.select("digest", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "file", "row").alias("keeper"), F.lit(0).cast("long").alias("n")).where("false")
     folder = path[0].rsplit("/", 1)[0]
     conf = STATE_CONF | (LOCAL_FILES if state.startswith("file:") else {})
     before = {k: spark.conf.get(k, None) for k in conf}
@@ -88,7 +90,7 @@ def colliding(docs: DataFrame, index: DataFrame, digest) -> DataFrame:
 
 
 def exact_groups(docs: DataFrame, *, digest=sha256, batch_bytes: int = 64 << 30) -> DataFrame:
-    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256, and its place __file, __row.
+    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256, and its place file, row.
 
     Texts are equal when identical after replacing each run of ASCII white space by one space. Of equal
     texts the row with the smallest doc_id stays. Defined cases: a null text counts as empty, so all empty
@@ -98,27 +100,34 @@ def exact_groups(docs: DataFrame, *, digest=sha256, batch_bytes: int = 64 << 30)
 
     digest maps the normalised text to the key of the state; a weak one costs time, never rightness.
     """
-    docs = located(docs)
-    norm = normalised(F.col("text"))
-    slim = docs.select("doc_id", F.col("__file").alias("file"), F.col("__row").alias("row"), norm.alias("norm"))
-    slim = stored(slim.select("doc_id", "file", "row", digest(F.col("norm")).alias("digest"), *([] if digest is sha256 else [F.sha2("norm", 256).alias("sha")])), "dedup-slim")
+    placed, _, file, row = located(docs.select("doc_id", "text"))
+    return _groups(placed, file, row, digest, batch_bytes)
+
+
+def _groups(placed: DataFrame, file: str, row: str, digest=sha256, batch_bytes: int = 64 << 30) -> DataFrame:
+    docs = placed.select("doc_id", F.col(file).alias("file"), F.col(row).alias("row"), normalised(F.col("text")).alias("norm"))
+    slim = stored(docs.select("doc_id", "file", "row", digest(F.col("norm")).alias("digest"), *([] if digest is sha256 else [F.sha2("norm", 256).alias("sha")])), "dedup-slim")
     index = fold_state(slim, batch_bytes)
     sha = F.lower(F.hex("digest")) if digest is sha256 else F.col("sha")
     kept = (F.col("keeper.file") == F.col("file")) & (F.col("keeper.row") == F.col("row"))
-    out = [F.col("doc_id"), F.col("keeper.doc_id").alias("keep_id"), F.col("n").alias("group_size"), kept.alias("kept"), sha.alias("text_sha256"), F.col("file").alias("__file"), F.col("row").alias("__row")]
-    mixed = colliding(docs, index, digest)
+    out = [F.col("doc_id"), F.col("keeper.doc_id").alias("keep_id"), F.col("n").alias("group_size"), kept.alias("kept"), sha.alias("text_sha256"), F.col("file"), F.col("row")]
+    mixed = colliding(placed.select("text"), index, digest)
     if mixed.isEmpty():
-        return slim.join(index, "digest").select(*out)
+        return joined(slim, index.withColumn("many", F.col("n")), ["digest"]).select(*out)
     mixed = stored(mixed, "dedup-mixed")
-    split = docs.select("doc_id", F.col("__file").alias("file"), F.col("__row").alias("row"), norm.alias("norm"))
-    split = split.withColumn("digest", digest(F.col("norm"))).join(mixed, "digest", "left_semi").withColumn("sha", F.sha2("norm", 256))
+    split = docs.withColumn("digest", digest(F.col("norm"))).join(mixed, "digest", "left_semi").withColumn("sha", F.sha2("norm", 256))
     each = split.groupBy("digest", "norm").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "file", "row")).alias("keeper"), F.count("*").alias("n"))
-    apart = split.withColumn("digest_", F.col("digest")).join(each, ["digest", "norm"]).select(*out[:4], F.col("sha").alias("text_sha256"), *out[5:])
+    apart = split.join(each, ["digest", "norm"]).select(*out[:4], F.col("sha").alias("text_sha256"), *out[5:])
     return slim.join(mixed, "digest", "left_anti").join(index, "digest").select(*out).unionByName(apart)
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The rows of docs that exact_groups keeps, with all their columns; a broadcast of few dropped places or a shuffled anti-join takes the others out."""
-    placed = located(docs)
-    dropped = stored(exact_groups(placed).where("not kept").select("__file", "__row"), "dedup-dropped", 8)
-    return placed.join(bounded(dropped, 500_000), ["__file", "__row"], "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    """The rows of docs that exact_groups keeps, with all their columns, whatever their names.
+
+    Few dropped places are broadcast, more of them leave by a shuffled anti-join. Nulls, ties, repeated rows
+    and empty tables: as exact_groups defines them; of rows that are equal in all columns one stays.
+    """
+    placed, names, file, row = located(docs)
+    dropped = stored(_groups(placed, file, row).where("not kept").select(F.col("file").alias(file), F.col("row").alias(row)), "dedup-dropped", 8)
+    kept = placed.join(bounded(dropped, BROADCAST_DROPPED), [file, row], "left_anti")
+    return kept.select(*[F.col(f"`{n}`").alias(c) for n, c in zip(names, docs.columns, strict=True)])

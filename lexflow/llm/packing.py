@@ -11,6 +11,7 @@ the same number of tokens, longest first.
 
 import bisect
 import heapq
+import itertools
 import zlib
 
 import pyarrow as pa
@@ -121,21 +122,20 @@ def _pack_task(path: str, tiers: tuple, end: int):
     @task
 
     def run(batches):
-        encode, stop = encoder(path), end.to_bytes(4, "little")
+        stop = end.to_bytes(4, "little")
 
-        def documents():
+        def documents(encode):
             for batch in batches:
                 for doc_id, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1)), strict=True):
                     yield doc_id, ids.tobytes() + stop
 
-        out = []
-        for row in pack(documents(), tiers=tiers, base=TaskContext.get().partitionId() << 32):
-            out.append(row)
-            if len(out) >= 20_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
-                out = []
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
+        def table(rows):
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+
+        with encoder(path) as encode:
+            rows = pack(documents(encode), tiers=tiers, base=TaskContext.get().partitionId() << 32)
+            while out := list(itertools.islice(rows, 20_000)):
+                yield table(out)
 
     return run
 

@@ -2,19 +2,21 @@
 
 Rounds name runs and pairs of symbols, from words up. A round parts the alphabet in two by a hash of each
 symbol's name; a left symbol and a right symbol that follow one another become a pair, equal symbols left
-over in a row become a run, and names are hashes of what they stand for. So names are the same in all
-documents without an exchange, and equal passages get equal symbols inside.
+over in a row become a run, and names are hashes of what they stand for. So a round names the same run or pair
+alike in all documents of the corpus, and equal passages get equal symbols inside.
 
 Each symbol carries its support: the words that decide that it stands there. A symbol whose support lies in
 a window stands wherever that window's words stand. The anchor of a window is, of the symbols of the highest level
 whose supports the window holds and start in its first half, the one with the least hash of its name (the
 leftmost of equal ones); a word is its own support, so each window has an anchor, and equal windows have the
-same one at the same place. An anchor goes by its name and the words of half a window from its support on. Only windows whose anchor stands more than once in the
-corpus can be repeats: those are compared by 96-bit hashes of their words, and a window is a repeat if a
-smaller document has it, or its own earlier. So nothing is missed and nothing is sampled.
+same one at the same place. An anchor goes by its name and the words of half a window from its support on.
+Spark counts anchors over the corpus. Only windows whose anchor stands more than once can be repeats: those are
+compared by 128 bits from two families of hashes of their words, and a window is a repeat if a smaller document
+has it, or its own earlier. So nothing is missed and nothing is sampled, as long as rounds name equal symbols alike.
 
 Shuffled are anchors (about one for nine words), windows with a shared anchor, and texts of documents that
-have such windows. Documents whose word sequence is a whole copy are set aside first, by a group minimum.
+have such windows. Documents whose word sequence is a whole copy are set aside first, by a group minimum. Keys
+with many rows (copies, common passages) are joined by broadcast, which their number bounds.
 """
 
 import hashlib
@@ -24,12 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexflow.llm.arrow_text import POWERS, Words, mix, randoms, slices, task
-from lexflow.llm.common import bounded, located, stored
+from lexflow.llm.arrow_text import Words, mix, randoms, slices, task
+from lexflow.llm.common import bounded, joined, located, stored
 
 WINDOW, LEVELS = 20, 2
 #: Rows, by file and row (16 bytes each), that are broadcast at most to pick texts.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 250_000
 #: Stands for a missing doc_id: after all others.
 LAST = 2**63 - 1
 
@@ -112,37 +114,47 @@ def anchors(words: Words, width: int = WINDOW, levels: int = LEVELS) -> tuple[np
     new[1:] = (place[1:] != place[:-1]) | (shift[1:] != shift[:-1]) | (chosen[1:] != chosen[:-1]) | (owner[1:] != owner[:-1])
     begin = np.flatnonzero(new)
     end = np.concatenate([begin[1:], [len(starts)]]) - 1
-    chosen = mix(chosen[begin] ^ window_hashes(words, place[begin], half)[0].view(np.uint64))
+    chosen = mix(chosen[begin] ^ runs(words.hashes(seed=31), half)[place[begin]])
     return chosen, owner[begin], starts[begin], starts[end]
 
 
+def runs(hashes: np.ndarray, width: int) -> np.ndarray:
+    """A hash of the width hashes from each place on, put together by halves; the last width - 1 places have none."""
+    n, out, at, size = max(len(hashes) - width + 1, 0), None, 0, 1
+    both = lambda a, b: mix(a * _K[5] + mix(b ^ _K[7]))
+    with np.errstate(over="ignore"):
+        while True:
+            if width & size:
+                part = hashes[at : at + n]
+                out, at = part if out is None else both(out, part), at + size
+            size *= 2
+            if size > width:
+                return out
+            hashes = both(hashes[: -size // 2], hashes[size // 2 :])
+
+
 def window_hashes(words: Words, starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two hashes, of 64 and 32 bits, of the words of each window."""
-    out = []
-    up, down = POWERS.to(len(words.starts) + 1)
-    for seed in (31, 32):
-        h = words.hashes(seed=seed)
-        with np.errstate(over="ignore"):
-            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * up[: len(h)], dtype=np.uint64)])
-            out.append(mix((total[starts + width] - total[starts]) * down[starts]))
-    return out[0].view(np.int64), (out[1] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    """Two hashes, from families of their own, of the words of each window."""
+    return tuple(runs(words.hashes(seed=seed), width)[starts].view(np.int64) for seed in (31, 32))
+
+
+def _first_of_equal(own: np.ndarray, one: np.ndarray, two: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order of windows in which equal ones of a text follow one another by place, and which of them are the first."""
+    order = np.lexsort((at, two, one, own))
+    new = np.ones(len(at), bool)
+    new[1:] = (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1]) | (own[order][1:] != own[order][:-1])
+    return order, new
 
 
 @task
 def _text_keys(batches):
-    """Count and 128-bit hash of each text's words."""
+    """Count and 128-bit digest of each text's words."""
     for batch in batches:
         for row, words in slices(batch.column(2)):
-            own, n = words.owners(), len(words.counts)
-            keys = []
-            for seed in (41, 42):
-                up, _ = POWERS.to(int(words.counts.max(initial=0)) + 1)
-                local = np.arange(len(own)) - words.first[own]
-                total = np.zeros(n, np.uint64)
-                with np.errstate(over="ignore"):
-                    np.add.at(total, own, words.hashes(seed=seed) * up[local])
-                keys.append(pa.array(mix(total + words.counts.astype(np.uint64)).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, n), batch.column(1).slice(row, n), batch.column(3).slice(row, n), pa.array(words.counts), *keys], ["file", "row", "id", "n", "key_a", "key_b"])
+            n, raw, b = len(words.counts), words.data.tobytes(), words.bounds.tolist()
+            sums = b"".join([hashlib.blake2b(b" ".join(raw[s:e].split()), digest_size=16).digest() for s, e in zip(b[:-1], b[1:], strict=True)])
+            keys = np.frombuffer(sums, "<i8").reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, n), batch.column(1).slice(row, n), batch.column(3).slice(row, n), pa.array(words.counts), pa.array(keys[:, 0]), pa.array(keys[:, 1])], ["file", "row", "id", "n", "key_a", "key_b"])
 
 
 def _anchor_task(width: int, levels: int):
@@ -172,10 +184,7 @@ def _window_task(width: int):
                 at = np.repeat(a - (np.cumsum(k) - k), k) + np.arange(int(k.sum()))
                 own = np.repeat(np.repeat(np.arange(n), each), k)
                 one, two = window_hashes(words, at, width)
-                # of equal windows of a text, the first
-                order = np.lexsort((at, one, own))
-                new = np.ones(len(at), bool)
-                new[1:] = (one[order][1:] != one[order][:-1]) | (own[order][1:] != own[order][:-1])
+                order, new = _first_of_equal(own, one, two, at)
                 keep = np.sort(order[new])
                 rows = pa.array(own[keep] + row)
                 yield pa.RecordBatch.from_arrays([pa.array(one[keep]), pa.array(two[keep]), batch.column(3).take(rows), batch.column(0).take(rows), batch.column(1).take(rows), pa.array((at[keep] - words.first[own[keep]]).astype(np.int32))], ["one", "two", "id", "file", "row", "at"])
@@ -186,11 +195,8 @@ def _window_task(width: int):
 def _repeated_inside(words: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Windows that stand earlier in their own text."""
     starts, own = window_starts(words, width)
-    one, _ = window_hashes(words, starts, width)
-    order = np.lexsort((starts, one, own))
-    again = np.zeros(len(starts), bool)
-    again[1:] = (one[order][1:] == one[order][:-1]) & (own[order][1:] == own[order][:-1])
-    again = np.sort(order[again])
+    order, new = _first_of_equal(own, *window_hashes(words, starts, width), starts)
+    again = np.sort(order[~new])
     return starts[again], own[again]
 
 
@@ -240,17 +246,17 @@ def repeated_windows(rows: DataFrame, width: int = WINDOW, levels: int = LEVELS)
     """For rows (file, row, text, id): whole copies (file, row), and first places of windows that a row with a smaller id has (file, row, at)."""
     keys = stored(rows.select("file", "row", "text", "id").mapInArrow(_text_keys, "file long, row long, id long, n long, key_a long, key_b long"), "passages-keys")
     least = keys.where(F.col("n") >= width).groupBy("key_a", "key_b", "n").agg(F.min("id").alias("least"), F.count("*").alias("many")).where("many > 1")
-    copies = stored(keys.join(least, ["key_a", "key_b", "n"]).where("id > least").select("file", "row"), "passages-copies")
+    copies = stored(joined(keys, stored(least, "passages-texts", 4), ["key_a", "key_b", "n"]).where("id > least").select("file", "row"), "passages-copies")
     own = rows.join(bounded(copies, BROADCAST_ROWS), ["file", "row"], "left_anti").select("file", "row", "text", "id")
     found = stored(own.mapInArrow(_anchor_task(width, levels), "name long, file long, row long, a int, n int"), "passages-anchors")
-    shared = stored(found.groupBy("name").agg(F.count("*").alias("many")).where("many > 1").select("name"), "passages-names")
-    spans = found.join(shared, "name", "left_semi").groupBy("file", "row").agg(F.collect_list(F.struct("a", "n")).alias("spans"))
+    shared = stored(found.groupBy("name").agg(F.count("*").alias("many")).where("many > 1"), "passages-names")
+    spans = joined(found, shared, ["name"], "left_semi").groupBy("file", "row").agg(F.collect_list(F.struct("a", "n")).alias("spans"))
     spans = stored(spans, "passages-spans")
     some = own.join(bounded(spans.select("file", "row"), BROADCAST_ROWS), ["file", "row"], "left_semi")
-    windows = some.join(spans, ["file", "row"]).select("file", "row", "text", "id", "spans").mapInArrow(_window_task(width), "one long, two int, id long, file long, row long, at int")
+    windows = some.join(spans, ["file", "row"]).select("file", "row", "text", "id", "spans").mapInArrow(_window_task(width), "one long, two long, id long, file long, row long, at int")
     windows = stored(windows, "passages-windows")
-    first = windows.groupBy("one", "two").agg(F.min("id").alias("least"), F.count("*").alias("many")).where("many > 1").drop("many")
-    marks = windows.join(first, ["one", "two"]).where("id > least").select("file", "row", "at")
+    first = windows.groupBy("one", "two").agg(F.min("id").alias("least"), F.count("*").alias("many")).where("many > 1")
+    marks = joined(windows, stored(first, "passages-first", 4), ["one", "two"]).where("id > least").select("file", "row", "at")
     return copies, stored(marks.groupBy("file", "row").agg(F.collect_list("at").alias("marks")), "passages-marks")
 
 
@@ -263,8 +269,8 @@ def without_repeats(docs: DataFrame, *, width: int = WINDOW, levels: int = LEVEL
     doc_id comes after all others; rows that share a doc_id, or have none, don't count as earlier than one
     another; no rows give no rows; other columns play no part.
     """
-    rows = located(docs.select("doc_id", "text") if "_metadata" in docs.columns else docs)
-    rows = rows.select(F.col("__file").alias("file"), F.col("__row").alias("row"), "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), F.col("doc_id").cast("long").alias("doc_id"))
+    rows, _, file, row = located(docs.select("doc_id", "text"))
+    rows = rows.select(F.col(file).alias("file"), F.col(row).alias("row"), "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), F.col("doc_id").cast("long").alias("doc_id"))
     copies, marks = repeated_windows(rows, width, levels)
     notes = stored(copies.select("file", "row", F.lit(True).alias("copy"), F.lit(None).cast("array<int>").alias("marks")).unionByName(marks.select("file", "row", F.lit(False).alias("copy"), "marks")), "passages-notes")
     touched = bounded(notes.select("file", "row"), BROADCAST_ROWS)

@@ -143,23 +143,24 @@ def _write_task(folder: str, tokenizer: str, end: int, dtype: str):
     def run(batches):
         from pyarrow import fs
 
-        context, encode = TaskContext.get(), encoder(tokenizer)
+        context = TaskContext.get()
         shard = context.partitionId()
         uri = f"{folder}/shard-{shard:06d}-{context.taskAttemptId()}.ids"
         store, path = fs.FileSystem.from_uri(uri)
         writer, before, nth = None, None, 0
-        for batch in batches:
-            keys, rows = [NO_KEY if k is None else k for k in batch.column(0).to_pylist()], []
-            for key, ids in zip(keys, encode(batch.column(1)), strict=True):
-                if writer is None:
-                    writer = ShardWriter(store.open_output_stream(path), dtype)
-                writer.add(key, ids, end)
-                nth = nth + 1 if key == before else 0
-                before = key
-                rows.append((key, nth, len(ids) + 1))
-            if rows:
-                key, n, size = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(n, pa.int64()), pa.array(size, pa.int64()), pa.array([shard] * len(key), pa.int32()), pa.array([uri] * len(key))], ["key", "nth", "n_tokens", "shard", "uri"])
+        with encoder(tokenizer) as encode:
+            for batch in batches:
+                keys, rows = [NO_KEY if k is None else k for k in batch.column(0).to_pylist()], []
+                for key, ids in zip(keys, encode(batch.column(1)), strict=True):
+                    if writer is None:
+                        writer = ShardWriter(store.open_output_stream(path), dtype)
+                    writer.add(key, ids, end)
+                    nth = nth + 1 if key == before else 0
+                    before = key
+                    rows.append((key, nth, len(ids) + 1))
+                if rows:
+                    key, n, size = zip(*rows, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(n, pa.int64()), pa.array(size, pa.int64()), pa.array([shard] * len(key), pa.int32()), pa.array([uri] * len(key))], ["key", "nth", "n_tokens", "shard", "uri"])
         if writer is not None:
             writer.close()
 

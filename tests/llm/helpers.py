@@ -19,7 +19,7 @@ TEXTS = [
 ]
 
 #: Columns beside those that operators read, with names that they use inside.
-CLASHES = "digest string, n long, size long, key long, file string, row long, text_ string, __x int, kept boolean, rep long, score double"
+CLASHES = "digest string, n long, size long, key long, file string, row long, text_ string, __x int, kept boolean, rep long, score double, __file long, __row long, __dropped long, unit string, at int, block long"
 
 
 def table(spark, rows, clash=True):
@@ -39,3 +39,11 @@ def odd_table(spark):
 
 def pairs(frame):
     return [(r[0], r[1]) for r in frame.select("doc_id", "text").collect()]
+
+
+def thue_morse(size):
+    """Two words of a and b that differ and that hashes which are linear modulo a power of two can't tell apart."""
+    word = "a"
+    while len(word) < size:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
