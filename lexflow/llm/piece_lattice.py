@@ -1,38 +1,43 @@
 """SentencePiece encoding and decoding by a relational lattice.
 
-Texts are cut into units that no piece crosses: a word with the spaces before it, and characters that stand
-in no longer piece by themselves. Each distinct unit of the corpus is encoded once: its substrings of bounded length are
-exploded and equi-joined to the piece table, the edges found are grouped by unit, and Spark's aggregate
-folds over them. For unigram models that fold is Viterbi's. Byte-pair models aren't defined by a best path but
-by the order of their merges, and Viterbi gives other ids for them; their fold applies, step by step, the
-best-ranked edge that joins two neighbouring symbols, the leftmost of equal ones.
-
-The dictionary is then met with the texts: workers hold it as arrays if it is counted to be small enough, and
-otherwise occurrences are shuffled to it. Units beyond MOST characters are folded one by one in Python, by
-the same rules, as a fold over arrays takes quadratic time.
+Texts are cut into units that no piece crosses: before a space, and between two characters that stand side by
+side in no piece. Texts are worked on in blocks of a bounded number of bytes. A block's task writes its texts,
+as numbers of units, to the shared folder and gives the block's distinct units on. Those of all blocks meet by
+unit, so each distinct unit of the corpus is encoded once: its substrings of bounded length are exploded and
+equi-joined to the piece table, the edges found are grouped by unit, and Spark's aggregate folds over them. For
+unigram models that fold is Viterbi's. Byte-pair models aren't defined by a best path but by the order of their
+merges, and Viterbi gives other ids for them; their fold applies, step by step, the best-ranked edge that joins
+two neighbouring symbols, the leftmost of equal ones.
+
+Ids go back to the blocks that have the unit, and each block is put together by itself: no task holds more than a
+block and its units, however large the dictionary gets. Units of more than MOST characters that merges may
+cross everywhere are folded in Python by the same rules, as a fold over arrays takes quadratic time.
 """
 
 import hashlib
 import heapq
-import sys
-import types
 import zlib
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexflow.llm.arrow_text import Words, slices, task
-from lexflow.llm.common import stored
+from lexflow.llm.arrow_text import buffers, distinct, identities, task
+from lexflow.llm.common import shared_path, stored
 from lexflow.llm.encoders import gathered
 from lexflow.session import prepare
 
 SPACE = "▁"
-#: Units of up to so many characters are folded by Spark; a dictionary of up to so many goes to each worker.
-MOST, SMALL = 61, 12_000_000
+#: Units of up to so many characters are folded by Spark, as places between characters are bits of a number.
+MOST = 61
+#: Bytes of text that make a block.
+BLOCK = 8 << 20
+#: Characters are told apart up to this code point when texts are cut; the others are as one.
+LATIN = 256
 
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
@@ -103,10 +108,16 @@ class Model:
         own = sorted(self.normal().items(), key=lambda x: (-self.scores[x[1]], x[1]))
         return [(p, r, i, self.scores[i]) for r, (p, i) in enumerate(own)]
 
-    def isolated(self) -> list[int]:
-        """ASCII characters, the space apart, that stand in no piece of several characters."""
-        used = {c for p in self.normal() if len(p) > 1 for c in p}
-        return [k for k in range(128) if chr(k) not in used and k != 32 and (k < 32 or not chr(k).isalnum())]
+    def cuts(self) -> np.ndarray:
+        """For two neighbouring characters, whether no piece has them side by side; characters from LATIN on are as one, that stays uncut."""
+        place = lambda c: 32 if c == SPACE else min(ord(c), LATIN)
+        out = np.ones((LATIN + 1, LATIN + 1), bool)
+        out[LATIN], out[:, LATIN] = False, False
+        for a, b in {x for p in self.normal() for x in zip(p, p[1:], strict=False)}:
+            out[place(a), place(b)] = False
+        out[:, 32] = True  # pieces have spaces in front only
+        out[32, 32] = False
+        return out
 
     def unknown(self, char: int) -> list[int]:
         """Ids of a character without piece: its bytes, or the unknown piece."""
@@ -163,69 +174,124 @@ def _spaced(texts: pa.Array, prefix: bool) -> pa.Array:
     return pc.if_else(pc.equal(texts, ""), texts, pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), texts, pa.scalar("", pa.large_string()))) if prefix else texts
 
 
-def _unit_starts(w: Words, isolated: np.ndarray) -> np.ndarray:
-    n = len(w.data)
+def _unit_starts(data: np.ndarray, bounds: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    n = len(data)
     if not n:
         return np.zeros(0, np.int64)
-    space, alone = w.data == 32, isolated[w.data]
-    start = alone.copy()
-    start[1:] |= (space[1:] & ~space[:-1]) | alone[:-1]
-    bounds = w.bounds[:-1]
-    start[bounds[bounds < n]] = True
+    at = np.flatnonzero((data & 0xC0) != 0x80)  # characters
+    lead = data[at].astype(np.int16)
+    two = (lead == 0xC2) | (lead == 0xC3)
+    code = np.where(lead < 128, lead, np.where(two, (lead - 0xC2) * 64 + data[np.minimum(at + 1, n - 1)], LATIN))
+    start = np.zeros(n, bool)
+    start[at[1:][cuts[code[:-1], code[1:]]]] = True
+    start[bounds[:-1][bounds[:-1] < n]] = True
     return np.flatnonzero(start)
 
 
-def _units(w: Words, isolated: np.ndarray):
-    starts = _unit_starts(w, isolated)
-    ends = np.append(starts[1:], len(w.data))
-    return starts, ends, Words.hashes_of(w.data, starts, ends, seed=71)
+class _Block:
+    """Texts as numbers of units, and the units by number."""
 
+    def __init__(self):
+        self.size, self.docs, self.counts, self.numbers, self.units = 0, [], [], [], {}
 
-def _flags(isolated: list[int]) -> np.ndarray:
-    out = np.zeros(256, bool)
-    out[isolated] = True
-    return out
+    def add(self, doc_ids: pa.Array, data: np.ndarray, bounds: np.ndarray, cuts: np.ndarray):
+        starts = _unit_starts(data, bounds, cuts)
+        ends = np.append(starts[1:], len(data))
+        first, place = distinct(*identities(data, starts, ends))
+        raw, known = data.tobytes(), self.units
+        own = [known.setdefault(raw[s:e], len(known)) for s, e in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+        self.docs.append(doc_ids)
+        self.counts.append(np.diff(np.searchsorted(starts, bounds)))
+        self.numbers.append(np.array(own, np.int32)[place] if len(own) else np.zeros(0, np.int32))
+        self.size += len(data)
 
+    def record(self) -> bytes:
+        ends = np.cumsum(np.concatenate([[0], *self.counts]))
+        numbers = pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(np.concatenate(self.numbers)))
+        batch = pa.RecordBatch.from_arrays([pa.concat_arrays(self.docs), numbers], ["doc_id", "numbers"])
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_batch(batch)
+        return sink.getvalue().to_pybytes()
 
-def _unit_task(model: Model):
-    isolated, prefix = _flags(model.isolated()), model.prefix
 
-    @task
+def _block_task(model: Model, folder: str, size: int):
+    cuts, prefix = model.cuts(), model.prefix
 
+    @task
     def run(batches):
+        from pyarrow import fs
+
+        context = TaskContext.get()
+        uri = f"{folder}/blocks-{context.partitionId():06d}-{context.taskAttemptId()}"
+        store, path = fs.FileSystem.from_uri(uri)
+        stream, at, number, block = None, 0, context.partitionId() << 32, _Block()
+
+        def flush():
+            """The block's units, by number, and a row that says where its texts are."""
+            nonlocal stream, at, number, block
+            if stream is None:
+                stream = store.open_output_stream(path)
+            record, names = block.record(), list(block.units)
+            stream.write(record)
+            for k in range(0, len(names), 50_000):
+                some = names[k : k + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), number)), pa.array(np.arange(k, k + len(some), dtype=np.int32)), pa.array(some, pa.binary()).cast(pa.string())], ["block", "at", "unit"])
+            yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([-1], pa.int32()), pa.array([f"{at} {len(record)} {uri}"])], ["block", "at", "unit"])
+            at, number, block = at + len(record), number + 1, _Block()
+
         for batch in batches:
-            for _, w in slices(_spaced(batch.column(0), prefix)):
-                starts, ends, h = _units(w, isolated)
-                keys, first = np.unique(h, return_index=True)
-                raw = w.data.tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array([raw[s:e].decode() for s, e in zip(starts[first].tolist(), ends[first].tolist(), strict=True)])], ["key", "unit"])
+            for row, data, bounds in buffers(_spaced(batch.column(1), prefix)):
+                block.add(batch.column(0).slice(row, len(bounds) - 1), data, bounds, cuts)
+                if block.size >= size:
+                    yield from flush()
+        if block.docs:
+            yield from flush()
+        if stream is not None:
+            stream.close()
 
     return run
 
 
-def distinct_units(docs: DataFrame, model: Model) -> DataFrame:
-    """key, unit of every distinct unit of all texts; spaces are as the model writes them."""
-    found = docs.select(F.col("text").cast("string")).mapInArrow(_unit_task(model), "key long, unit string").distinct()
-    return found.withColumn("unit", F.translate("unit", " ", SPACE))
+def _record(place: str) -> pa.RecordBatch:
+    """The block at a place that _block_task names."""
+    from pyarrow import fs
+
+    at, size, uri = place.split(" ", 2)
+    store, path = fs.FileSystem.from_uri(uri)
+    with store.open_input_file(path) as file:
+        return pa.ipc.open_stream(file.read_at(int(size), int(at))).read_next_batch()
+
+
+def blocks(docs: DataFrame, model: Model, size: int = BLOCK) -> DataFrame:
+    """block, at, unit of the distinct units of each block; the row with at -1 says where the block's texts are.
+
+    Spaces in units are as the model writes them.
+    """
+    from pyarrow import fs
+
+    folder = shared_path(docs.sparkSession, "piece-blocks")
+    store, path = fs.FileSystem.from_uri(folder)
+    store.create_dir(path, recursive=True)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return stored(texts.mapInArrow(_block_task(model, folder, size), "block long, at int, unit string"), "piece-units")
 
 
 def lattice(units: DataFrame, model: Model) -> DataFrame:
-    """key, unit, edges of units with any: each edge is rank << 34 | start << 27 | end << 20 | id, sorted.
+    """unit, edges of units of up to MOST characters with any: each edge is rank << 34 | start << 27 | end << 20 | id, sorted.
 
     Substrings are as long as the longest piece at most. The piece table has the vocabulary's size and is
-    broadcast; units are dealt out by key once, so grouping their edges needs no further exchange.
+    broadcast; units that are dealt out by unit need no further exchange to group their edges.
     """
     spark, ranked = units.sparkSession, model.ranked()
     longest = max(len(p) for p, *_ in ranked)
     pieces = spark.createDataFrame([(p, r << 34 | i) for p, r, i, _ in ranked], "piece string, code long")
-    units = units.repartition("key")
     n = F.length("unit")
-    at = units.select("key", "unit", n.alias("n"), F.explode(F.sequence(F.lit(0), n - 1)).alias("s"))
-    spans = at.select("key", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.col("n") - F.col("s")))).alias("l"), "unit")
-    edges = spans.select("key", "s", "l", F.expr("substring(unit, s + 1, l)").alias("piece")).join(F.broadcast(pieces), "piece")
+    at = units.select("unit", F.explode_outer(F.when(n <= MOST, F.sequence(F.lit(0), n - 1))).alias("s"))
+    spans = at.select("unit", "s", F.explode_outer(F.sequence(F.lit(1), F.least(F.lit(longest), n - F.col("s")))).alias("l"))
+    edges = spans.select("unit", "s", "l", F.expr("substring(unit, s + 1, l)").alias("piece")).join(F.broadcast(pieces), "piece")
     code = F.col("code").bitwiseOR(F.shiftleft(F.col("s").cast("long"), 27)).bitwiseOR(F.shiftleft((F.col("s") + F.col("l")).cast("long"), 20))
-    grouped = edges.select("key", code.alias("edge")).groupBy("key").agg(F.array_sort(F.collect_list("edge")).alias("edges"))
-    return grouped.join(units, "key")
+    return edges.select("unit", code.alias("edge")).groupBy("unit").agg(F.array_sort(F.collect_list("edge")).alias("edges"))
 
 
 def _part(edge, shift: int, bits: int):
@@ -314,45 +380,14 @@ def viterbi(unit, edges, scores, low: float):
 
 
 def dictionary(units: DataFrame, model: Model) -> DataFrame:
-    """key, ids of every distinct unit; negative ids are code points of characters without piece."""
-    short = units.where(F.length("unit") <= MOST)
-    edges = lattice(short, model)
+    """unit, ids of every distinct unit that has an edge; negative ids are code points of characters without piece."""
+    edges = lattice(units, model)
     if model.kind == "bpe":
         ids = merges(F.col("unit"), F.col("edges"))
     else:
         scores = F.split(F.lit(",".join(repr(s) for *_, s in model.ranked())), ",").cast("array<double>")
         ids = viterbi(F.col("unit"), F.col("edges"), scores, min(s for *_, s in model.ranked()) - 10)
-    ranks = {p: (r, i) for p, r, i, _ in model.ranked()}
-
-    @task
-    def one_by_one(batches):
-        for batch in batches:
-            rows = [model.merge(u, ranks) if model.kind == "bpe" else model.best_path(u) for u in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int32()))], ["key", "ids"])
-
-    long = units.where(F.length("unit") > MOST).mapInArrow(one_by_one, "key long, ids array<int>")
-    return edges.select("key", ids.alias("ids")).unionByName(long)
-
-
-def _held(path: str):
-    """The dictionary at path as a worker holds it: sorted keys, places, sizes and ids; read once by each worker."""
-    store = sys.modules.setdefault("_lexflow_worker", types.ModuleType("_lexflow_worker")).__dict__.setdefault("pieces", {})
-    if path not in store:
-        store.clear()  # one at a time
-        from pyarrow import dataset, fs
-
-        system, place = fs.FileSystem.from_uri(path)
-        keys, sizes, ids = [], [], []
-        for batch in dataset.dataset(place, filesystem=system, format="parquet").to_batches(columns=["key", "ids"]):
-            keys.append(batch.column(0).to_numpy())
-            sizes.append(batch.column(1).value_lengths().to_numpy().astype(np.int32))
-            ids.append(batch.column(1).flatten().to_numpy())
-        keys = np.concatenate([np.zeros(0, np.int64), *keys]).view(np.uint64)
-        sizes, ids = np.concatenate([np.zeros(0, np.int32), *sizes]), np.concatenate([np.zeros(0, np.int32), *ids])
-        order = np.argsort(keys)
-        starts = np.cumsum(sizes, dtype=np.int64) - sizes
-        store[path] = keys[order], starts[order], sizes[order], ids
-    return store[path]
+    return edges.select("unit", ids.alias("ids"))
 
 
 def _expanded(ids: np.ndarray, model: Model, known: dict) -> tuple[np.ndarray, np.ndarray]:
@@ -381,87 +416,52 @@ def decode_table(model: Model) -> list[bytes]:
     return [bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k == CONTROL else " ⁇ ".encode() if k == UNKNOWN else p.replace(SPACE, " ").encode() for p, k in zip(model.pieces, model.kinds, strict=True)]
 
 
-def _rows(ids_of_texts, table, prefix: bool):
-    out = []
-    for ids in ids_of_texts:
-        ids = ids.astype("<u4")
-        out.append((ids.tolist(), len(ids), zlib.crc32(ids.tobytes()), hashlib.sha256(_decoded(ids.tolist(), table, prefix)).hexdigest()))
-    return out
-
-
 SCHEMA = "doc_id long, n_pieces long, ids_crc32 long, decoded_sha256 string"
 
 
-def _encode_task(model: Model, path: str, with_ids: bool):
-    isolated, table = _flags(model.isolated()), decode_table(model)
-
-    @task
-
-    def run(batches):
-        keys, at, sizes, pool = _held(path)
-        rare: dict = {}
-        singles = {ord(p): i for p, i in model.normal().items() if len(p) == 1}
-        for batch in batches:
-            for row, w in slices(_spaced(batch.column(1), model.prefix)):
-                starts, ends, h = _units(w, isolated)
-                own, first, place = np.unique(h, return_index=True, return_inverse=True)
-                where = np.searchsorted(keys, own)
-                near = np.minimum(where, max(len(keys) - 1, 0))
-                held = (where < len(keys)) & (keys[near] == own) if len(keys) else np.zeros(len(own), bool)
-                begins, each, ids = (at[near], sizes[near].astype(np.int64), pool) if len(keys) else (np.zeros(len(own), np.int64), np.zeros(len(own), np.int64), pool)
-                if not held.all():  # units without any edge: characters one by one
-                    raw, more = w.data.tobytes(), []
-                    for u in np.flatnonzero(~held).tolist():
-                        k = first[u]
-                        more.append(np.array([singles.get(ord(c), -ord(c)) for c in raw[starts[k] : ends[k]].decode().replace(" ", SPACE)], np.int32))
-                    new = np.array([len(x) for x in more], np.int64)
-                    begins, each = begins.copy(), each.copy()
-                    begins[~held], each[~held] = np.cumsum(new) - new, new
-                    ids = np.concatenate(more)
-                size = each[place]
-                if held.all():
-                    ids = pool[gathered(begins[place], size)]
-                else:  # known ones from the dictionary, the others from what was made here
-                    rare_unit, spread = ~held[place], np.repeat(~held[place], size)
-                    out = np.empty(int(size.sum()), np.int32)
-                    out[~spread] = pool[gathered(begins[place][~rare_unit], size[~rare_unit])]
-                    out[spread] = ids[gathered(begins[place][rare_unit], size[rare_unit])]
-                    ids = out
-                edge = np.concatenate([[0], np.cumsum(size)])[np.searchsorted(starts, w.bounds)]
-                ids, moved = _expanded(ids, model, rare)
-                edge, n = moved[edge].tolist(), len(w.counts)
-                rows = _rows((ids[edge[k] : edge[k + 1]] for k in range(n)), table, model.prefix)
-                yield _batch(batch.column(0).slice(row, n), rows, with_ids)
-
-    return run
-
-
-def _batch(doc_ids, rows, with_ids: bool):
-    ids, n, crc, sha = zip(*rows, strict=True) if rows else ((), (), (), ())
-    columns, names = [doc_ids, pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_pieces", "ids_crc32", "decoded_sha256"]
-    if with_ids:
-        columns.append(pa.array(ids, pa.list_(pa.int32())))
-        names.append("ids")
-    return pa.RecordBatch.from_arrays(columns, names)
-
-
-def _occurrence_task(model: Model):
-    isolated, prefix = _flags(model.isolated()), model.prefix
-
-    @task
-
-    def run(batches):
-        for batch in batches:
-            for row, w in slices(_spaced(batch.column(1), prefix)):
-                starts, _, h = _units(w, isolated)
-                own = np.searchsorted(w.bounds, starts, "right") - 1
-                at = pa.array(own + row)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(2).take(at), pa.array(starts - w.bounds[own]), pa.array(h.view(np.int64))], ["row", "doc_id", "at", "key"])
+def _block_rows(model: Model, with_ids: bool):
+    """One block's rows, from the ids of its units and its texts."""
+    table, ranks = decode_table(model), {p: (r, i) for p, r, i, _ in model.ranked()}
+    one_by_one = (lambda u: model.merge(u, ranks)) if model.kind == "bpe" else model.best_path
+
+    def run(units: pa.Table) -> pa.Table:
+        units = units.combine_chunks()
+        number, names = units.column("at").to_numpy(), units.column("unit")
+        record = _record(names[int(np.flatnonzero(number < 0)[0])].as_py())
+        lists = units.column("ids").chunk(0) if units.num_rows else None
+        sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        pool = lists.flatten().to_numpy(zero_copy_only=False)
+        begins = np.cumsum(sizes) - sizes
+        long = np.flatnonzero((number >= 0) & ~pc.is_null(names).to_numpy(zero_copy_only=False))
+        if len(long):
+            more = [np.array(one_by_one(names[int(k)].as_py()), np.int32) for k in long]
+            sizes[long] = [len(x) for x in more]
+            begins[long] = len(pool) + np.cumsum(sizes[long]) - sizes[long]
+            pool = np.concatenate([pool, *more])
+        by_number = np.full(int(number.max()) + 1, -1)
+        by_number[number[number >= 0]] = np.flatnonzero(number >= 0)
+        docs, texts = record.column(0), record.column(1)
+        place = by_number[texts.flatten().to_numpy()]
+        each = sizes[place]
+        ids = pool[gathered(begins[place], each)].astype(np.int32)
+        ends = np.concatenate([[0], np.cumsum(each)])[texts.offsets.to_numpy()]
+        ids, moved = _expanded(ids, model, {})
+        ends = moved[ends].tolist()
+        rows = []
+        for a, b in zip(ends[:-1], ends[1:], strict=True):
+            own = ids[a:b]
+            rows.append((b - a, zlib.crc32(own.astype("<u4").tobytes()), hashlib.sha256(_decoded(own.tolist(), table, model.prefix)).hexdigest()))
+        n, crc, sha = zip(*rows, strict=True)
+        columns, names = [docs, pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_pieces", "ids_crc32", "decoded_sha256"]
+        if with_ids:
+            columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32())))
+            names.append("ids")
+        return pa.table(columns, names)
 
     return run
 
 
-def encoded(docs: DataFrame, model_file: str, *, small: int = SMALL, with_ids: bool = False) -> DataFrame:
+def encoded(docs: DataFrame, model_file: str, *, block: int = BLOCK, with_ids: bool = False) -> DataFrame:
     """One row per row of docs: doc_id, n_pieces, ids_crc32, decoded_sha256, and ids if with_ids.
 
     ids are those of the SentencePiece library for the model; decoded is what they say again: the text, with
@@ -469,32 +469,16 @@ def encoded(docs: DataFrame, model_file: str, *, small: int = SMALL, with_ids: b
     doc_id and repeated rows are rows like others; units of any length are encoded; no rows give no rows;
     other columns play no part.
 
-    small bounds the units of a dictionary that each worker holds; beyond it, occurrences of units are shuffled.
+    block is the number of bytes of text that a task puts together at a time; a longer text is a block by itself.
     """
-    spark: SparkSession = prepare(docs.sparkSession)
     with open(model_file, "rb") as f:
         model = Model.read(f.read())
-    units = stored(distinct_units(docs, model), "piece-units")
-    words = stored(dictionary(units, model), "piece-dictionary")
-    schema = SCHEMA + ", ids array<int>" * with_ids
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    if words.count() <= small:
-        path = words.inputFiles()[0].rsplit("/", 1)[0] if words.inputFiles() else None
-        if path is None:
-            return spark.createDataFrame([], schema)
-        return texts.mapInArrow(_encode_task(model, path, with_ids), schema)
-    rows = stored(texts.withColumn("row", F.monotonically_increasing_id()), "piece-rows")
-    places = rows.select("row", "text", "doc_id").mapInArrow(_occurrence_task(model), "row long, doc_id long, at long, key long")
-    known = words.join(units.select("key", "unit"), "key", "right").select("key", F.coalesce("ids", F.transform(F.split("unit", ""), lambda c: -F.ascii(c))).alias("ids"))
-    ids = places.join(known, "key").groupBy("row").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "ids"))), lambda x: x["ids"])).alias("raw"))
-    table = decode_table(model)
-    singles = {ord(p): i for p, i in model.normal().items() if len(p) == 1}
-
-    @task
-    def finish(batches):
-        rare: dict = {}
-        for batch in batches:
-            raw = [np.array([singles.get(-i, i) if i < 0 else i for i in x or []], np.int32) for x in batch.column(1).to_pylist()]
-            yield _batch(batch.column(0), _rows((_expanded(x, model, rare)[0] for x in raw), table, model.prefix), with_ids)
-
-    return rows.select("row", "doc_id").join(ids, "row", "left").select("doc_id", "raw").mapInArrow(finish, schema)
+    sent = blocks(docs, model, block)
+    # never null, and read with all columns on both sides of the join, so that one exchange serves both
+    places = sent.where("at >= 0").select("block", "at", F.coalesce(F.translate("unit", " ", SPACE), F.lit("")).alias("unit")).repartition("unit")
+    units = places.groupBy("unit").agg(F.min(F.struct("block", "at")).alias("first")).where("first is not null").select("unit")
+    n = F.length("unit")
+    rare = F.when(n <= MOST, F.transform(F.sequence(F.lit(1), n), lambda k: -F.ascii(F.substr(F.col("unit"), k, F.lit(1)))))
+    found = places.join(dictionary(units, model), "unit", "left").select("block", "at", F.coalesce("ids", rare).alias("ids"), F.when(n > MOST, F.col("unit")).alias("unit"))
+    where = sent.where("at < 0").select("block", "at", F.lit(None).cast("array<int>").alias("ids"), "unit")
+    return found.unionByName(where).groupBy("block").applyInArrow(_block_rows(model, with_ids), SCHEMA + ", ids array<int>" * with_ids)

@@ -5,9 +5,9 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
-from helpers import odd_table, pairs, table
+from helpers import odd_table, pairs, table, thue_morse
 
-from lexflow.llm import encoders, packing, piece_lattice, token_store
+from lexflow.llm import arrow_text, encoders, packing, piece_lattice, token_store
 
 BYTES, WORDS, PIECES = (public_tokenizers.path(f) for f in ("byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"))
 
@@ -28,6 +28,22 @@ def test_encoder_equals_library(path):
     assert [x.tolist() for x in encoders.Encoder(path)(pa.array(texts))] == library(path, texts)
 
 
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_encoder_tells_words_apart(path):
+    e = encoders.Encoder(path)
+    for text in [" ".join(thue_morse(n)) for n in (1024, 4096)] + ["abcdefgh" * 2, "abcdefgh" * 2 + "\0", "abcdefghijklmno", "abcdefghijklmnop"]:
+        assert [x.tolist() for x in e(pa.array([text]))] == library(path, [text])
+
+
+def test_units_with_one_hash(monkeypatch):
+    """Units that differ are told apart even where all hashes are equal."""
+    monkeypatch.setattr(encoders, "mix", lambda x: np.zeros_like(x))
+    monkeypatch.setattr(arrow_text, "mix", lambda x: np.zeros_like(x))
+    texts = ["one two three two", "four one " + "long" * 9 + " " + "long" * 10]
+    e = encoders.Encoder(BYTES)
+    assert [x.tolist() for t in texts for x in e(pa.array([t]))] == library(BYTES, texts)
+
+
 def test_encoder_forgets(monkeypatch):
     monkeypatch.setattr(encoders, "KEEP", 5)
     texts = [f"word{k} other{k % 3}" for k in range(50)]
@@ -119,12 +135,12 @@ def test_packed(spark):
     assert packing.packed(table(spark, []), WORDS).count() == 0
 
 
-@pytest.mark.parametrize("small", [piece_lattice.SMALL, 0])
-def test_pieces_equal_library(spark, small):
+@pytest.mark.parametrize("block", [piece_lattice.BLOCK, 100])
+def test_pieces_equal_library(spark, block):
     import sentencepiece
 
     docs, model = odd_table(spark), sentencepiece.SentencePieceProcessor(model_file=PIECES)
-    got = piece_lattice.encoded(docs, PIECES, small=small, with_ids=True).collect()
+    got = piece_lattice.encoded(docs, PIECES, block=block, with_ids=True).collect()
     want = sorted((str(i), model.encode(t or "")) for i, t in pairs(docs))
     assert sorted((str(r.doc_id), list(r.ids)) for r in got) == want
     for r in got:
@@ -133,6 +149,33 @@ def test_pieces_equal_library(spark, small):
     assert piece_lattice.encoded(table(spark, []), PIECES).count() == 0
 
 
+def test_pieces_of_like_words(spark):
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    rows = [(k, " ".join(thue_morse(n))) for k, n in enumerate((32, 1024, 4096))] + [(9, "été d'Été naïve Ünï ñandú l’œuvre x²y 1234,56 a\u00a0b ÿþ")]
+    got = {r.doc_id: list(r.ids) for r in piece_lattice.encoded(table(spark, rows), PIECES, with_ids=True).collect()}
+    assert got == {i: model.encode(t) for i, t in rows}
+
+
+def test_units_cross_no_piece():
+    import random
+
+    import sentencepiece
+
+    with open(PIECES, "rb") as f:
+        model = piece_lattice.Model.read(f.read())
+    own, rnd = sentencepiece.SentencePieceProcessor(model_file=PIECES), random.Random(3)
+    letters = list("abeinrst AEST  019.,;-'\"#\n\té\u00a0ñß\u0100ж日👍▁$") + ["the", " of", "tion"]
+    cuts, ranks = model.cuts(), {p: (r, i) for p, r, i, _ in model.ranked()}
+    for _ in range(400):
+        text = "".join(rnd.choices(letters, k=rnd.randint(1, 60)))
+        (_, data, bounds) = next(piece_lattice.buffers(piece_lattice._spaced(pa.array([text]), model.prefix)))
+        at = [*piece_lattice._unit_starts(data, bounds, cuts).tolist(), len(data)]
+        units = [data.tobytes()[a:b].decode().replace(" ", piece_lattice.SPACE) for a, b in zip(at[:-1], at[1:], strict=True)]
+        assert [i for u in units for i in model.merge(u, ranks)] == own.encode(text)
+
+
 def test_viterbi(spark):
     """A unigram model made by hand, against all segmentations."""
     pieces = {"▁": -3.0, "▁a": -2.0, "a": -2.5, "b": -2.6, "ab": -3.5, "ba": -3.1, "aba": -6.0, "▁ab": -4.9, "bb": -5.5}
@@ -151,10 +194,10 @@ def test_viterbi(spark):
         return max(options)
 
     units = ["▁abab", "▁", "▁bbaab", "▁acb", "ba"]
-    frame = spark.createDataFrame(list(enumerate(units)), "key long, unit string")
-    got = {r.key: r.ids for r in piece_lattice.dictionary(frame, model).collect()}
-    for k, u in enumerate(units):
-        ids = got[k]
+    frame = spark.createDataFrame([(u,) for u in units], "unit string")
+    got = {r.unit: r.ids for r in piece_lattice.dictionary(frame, model).collect()}
+    for u in units:
+        ids = got[u]
         score = sum(pieces[names[i]] if i > 0 else low for i in ids)
         assert abs(score - best(u)[0]) < 1e-9
         assert [i if i > 0 else 0 for i in ids] == model.best_path(u)
