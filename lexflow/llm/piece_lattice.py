@@ -3,14 +3,14 @@
 Texts are cut into units that no piece crosses: before a space, and between two characters that stand side by
 side in no piece. Texts are worked on in blocks of a bounded number of bytes. A block's task writes its texts,
 as numbers of units, to the shared folder and gives the block's distinct units on. Those of all blocks meet by
-unit, so each distinct unit of the corpus is encoded once: its substrings of bounded length are exploded and
+unit in one exchange, so each distinct unit of the corpus is encoded once: its substrings of bounded length are exploded and
 equi-joined to the piece table, the edges found are grouped by unit, and Spark's aggregate folds over them. For
 unigram models that fold is Viterbi's. Byte-pair models aren't defined by a best path but by the order of their
 merges, and Viterbi gives other ids for them; their fold applies, step by step, the best-ranked edge that joins
 two neighbouring symbols, the leftmost of equal ones.
 
-Ids go back to the blocks that have the unit, and each block is put together by itself: no task holds more than a
-block and its units, however large the dictionary gets. Units of more than MOST characters that merges may
+Ids go back to the blocks that have the unit, many in a row, and each block is put together by itself: no task
+holds more than a block and its units, however large the dictionary gets. Units of more than MOST characters that merges may
 cross everywhere are folded in Python by the same rules, as a fold over arrays takes quadratic time.
 """
 
@@ -27,15 +27,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexflow.llm.arrow_text import buffers, distinct, identities, task
-from lexflow.llm.common import shared_path, stored
+from lexflow.llm.common import shared_path
 from lexflow.llm.encoders import gathered
 from lexflow.session import prepare
 
 SPACE = "▁"
 #: Units of up to so many characters are folded by Spark, as places between characters are bits of a number.
 MOST = 61
-#: Bytes of text that make a block.
-BLOCK = 8 << 20
+#: Bytes of text that make a block; units whose ids go back together; units of a block that are expanded together.
+BLOCK, REPLY, CHUNK = 16 << 20, 400_000, 200_000
 #: Characters are told apart up to this code point when texts are cut; the others are as one.
 LATIN = 256
 
@@ -206,13 +206,36 @@ class _Block:
         self.size += len(data)
 
     def record(self) -> bytes:
-        ends = np.cumsum(np.concatenate([[0], *self.counts]))
-        numbers = pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(np.concatenate(self.numbers)))
-        batch = pa.RecordBatch.from_arrays([pa.concat_arrays(self.docs), numbers], ["doc_id", "numbers"])
+        """Units are numbered anew, the most frequent one first, so that high bytes are mostly zero."""
+        numbers = np.concatenate([np.zeros(0, np.int32), *self.numbers])
+        order = np.argsort(-np.bincount(numbers, minlength=len(self.units)), kind="stable")
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order))
+        names = list(self.units)
+        self.names = [names[k] for k in order.tolist()]
+        batch = pa.RecordBatch.from_arrays([pa.concat_arrays(self.docs), pa.array(np.concatenate(self.counts))], ["doc_id", "units"])
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
             out.write_batch(batch)
-        return sink.getvalue().to_pybytes()
+        head = sink.getvalue().to_pybytes()
+        return len(head).to_bytes(8, "little") + head + _squeezed(rank[numbers])
+
+
+def _squeezed(*arrays: np.ndarray) -> bytes:
+    """32-bit numbers, byte by byte of their weight, compressed."""
+    raw = b"".join(np.ascontiguousarray(a.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes() for a in arrays)
+    head = np.array([len(raw), *map(len, arrays)], "<i8").tobytes()
+    return head + pa.Codec("zstd").compress(raw, asbytes=True)
+
+
+def _spread(data: bytes, n: int) -> list[np.ndarray]:
+    """The n arrays that _squeezed was given."""
+    total, *sizes = np.frombuffer(data, "<i8", n + 1).tolist()
+    raw, at, out = pa.Codec("zstd").decompress(data[8 * (n + 1) :], decompressed_size=total, asbytes=True), 0, []
+    for size in sizes:
+        out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8, 4 * size, at).reshape(4, size).T).view("<i4").reshape(-1))
+        at += 4 * size
+    return out
 
 
 def _block_task(model: Model, folder: str, size: int):
@@ -232,8 +255,9 @@ def _block_task(model: Model, folder: str, size: int):
             nonlocal stream, at, number, block
             if stream is None:
                 stream = store.open_output_stream(path)
-            record, names = block.record(), list(block.units)
+            record = block.record()
             stream.write(record)
+            names = block.names
             for k in range(0, len(names), 50_000):
                 some = names[k : k + 50_000]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), number)), pa.array(np.arange(k, k + len(some), dtype=np.int32)), pa.array(some, pa.binary()).cast(pa.string())], ["block", "at", "unit"])
@@ -253,14 +277,16 @@ def _block_task(model: Model, folder: str, size: int):
     return run
 
 
-def _record(place: str) -> pa.RecordBatch:
-    """The block at a place that _block_task names."""
+def _record(place: str) -> tuple[pa.RecordBatch, np.ndarray]:
+    """The block at a place that _block_task names: documents with their counts of units, and the units' numbers."""
     from pyarrow import fs
 
     at, size, uri = place.split(" ", 2)
     store, path = fs.FileSystem.from_uri(uri)
     with store.open_input_file(path) as file:
-        return pa.ipc.open_stream(file.read_at(int(size), int(at))).read_next_batch()
+        data = file.read_at(int(size), int(at))
+    head = 8 + int.from_bytes(data[:8], "little")
+    return pa.ipc.open_stream(data[8:head]).read_next_batch(), _spread(data[head:], 1)[0]
 
 
 def blocks(docs: DataFrame, model: Model, size: int = BLOCK) -> DataFrame:
@@ -274,7 +300,8 @@ def blocks(docs: DataFrame, model: Model, size: int = BLOCK) -> DataFrame:
     store, path = fs.FileSystem.from_uri(folder)
     store.create_dir(path, recursive=True)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return stored(texts.mapInArrow(_block_task(model, folder, size), "block long, at int, unit string"), "piece-units")
+    rows = texts.mapInArrow(_block_task(model, folder, size), "block long, at int, unit string")
+    return rows.withColumn("unit", F.coalesce(F.when(F.col("at") < 0, F.col("unit")).otherwise(F.translate("unit", " ", SPACE)), F.lit("")))
 
 
 def lattice(units: DataFrame, model: Model) -> DataFrame:
@@ -419,42 +446,79 @@ def decode_table(model: Model) -> list[bytes]:
 SCHEMA = "doc_id long, n_pieces long, ids_crc32 long, decoded_sha256 string"
 
 
-def _block_rows(model: Model, with_ids: bool):
-    """One block's rows, from the ids of its units and its texts."""
-    table, ranks = decode_table(model), {p: (r, i) for p, r, i, _ in model.ranked()}
+def _reply_task(model: Model):
+    """Rows (block, at, ids, unit) packed by block, many in a row; units that aren't folded yet are, and places of blocks go on as they are."""
+    ranks = {p: (r, i) for p, r, i, _ in model.ranked()}
     one_by_one = (lambda u: model.merge(u, ranks)) if model.kind == "bpe" else model.best_path
 
-    def run(units: pa.Table) -> pa.Table:
-        units = units.combine_chunks()
-        number, names = units.column("at").to_numpy(), units.column("unit")
-        record = _record(names[int(np.flatnonzero(number < 0)[0])].as_py())
-        lists = units.column("ids").chunk(0) if units.num_rows else None
-        sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-        pool = lists.flatten().to_numpy(zero_copy_only=False)
-        begins = np.cumsum(sizes) - sizes
-        long = np.flatnonzero((number >= 0) & ~pc.is_null(names).to_numpy(zero_copy_only=False))
-        if len(long):
-            more = [np.array(one_by_one(names[int(k)].as_py()), np.int32) for k in long]
-            sizes[long] = [len(x) for x in more]
-            begins[long] = len(pool) + np.cumsum(sizes[long]) - sizes[long]
-            pool = np.concatenate([pool, *more])
-        by_number = np.full(int(number.max()) + 1, -1)
-        by_number[number[number >= 0]] = np.flatnonzero(number >= 0)
-        docs, texts = record.column(0), record.column(1)
-        place = by_number[texts.flatten().to_numpy()]
-        each = sizes[place]
-        ids = pool[gathered(begins[place], each)].astype(np.int32)
-        ends = np.concatenate([[0], np.cumsum(each)])[texts.offsets.to_numpy()]
-        ids, moved = _expanded(ids, model, {})
-        ends = moved[ends].tolist()
-        rows = []
-        for a, b in zip(ends[:-1], ends[1:], strict=True):
-            own = ids[a:b]
-            rows.append((b - a, zlib.crc32(own.astype("<u4").tobytes()), hashlib.sha256(_decoded(own.tolist(), table, model.prefix)).hexdigest()))
-        n, crc, sha = zip(*rows, strict=True)
-        columns, names = [docs, pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_pieces", "ids_crc32", "decoded_sha256"]
+    def packed(parts):
+        block, at, sizes, ids = (np.concatenate(x) for x in zip(*parts, strict=True))
+        begins, order = np.cumsum(sizes) - sizes, np.lexsort((at, block))
+        block, at, sizes, begins = block[order], at[order], sizes[order], begins[order]
+        edge = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1], [True]])).tolist()
+        data = [_squeezed(np.diff(at[a:e], prepend=0), sizes[a:e], ids[gathered(begins[a:e], sizes[a:e])]) for a, e in zip(edge[:-1], edge[1:], strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(block[edge[:-1]]), pa.nulls(len(data), pa.string()), pa.array(data, pa.binary())], ["block", "place", "data"])
+
+    @task
+    def run(batches):
+        parts, many = [], 0
+        for batch in batches:
+            block, at, lists, names = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2), batch.column(3)
+            sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            ids = lists.flatten().to_numpy(zero_copy_only=False)
+            place = np.flatnonzero(at < 0)
+            if len(place):
+                yield pa.RecordBatch.from_arrays([pa.array(block[place]), names.take(pa.array(place)), pa.nulls(len(place), pa.binary())], ["block", "place", "data"])
+            long = np.flatnonzero((at >= 0) & ~pc.is_null(names).to_numpy(zero_copy_only=False))
+            for k in long.tolist():
+                own = np.array(one_by_one(names[k].as_py()), np.int32)
+                parts.append((block[k : k + 1], at[k : k + 1], np.array([len(own)]), own))
+            short = pc.is_null(names).to_numpy(zero_copy_only=False)
+            parts.append((block[short], at[short], sizes[short], ids))  # the others have no ids yet
+            many += len(batch)
+            if many >= REPLY:
+                yield packed(parts)
+                parts, many = [], 0
+        if sum(len(p[0]) for p in parts):
+            yield packed(parts)
+
+    return run
+
+
+def _block_rows(model: Model, with_ids: bool):
+    """One block's rows, from the ids of its units and its texts."""
+    table = decode_table(model)
+
+    def run(replies: pa.Table) -> pa.Table:
+        places = [p for p in replies.column("place").to_pylist() if p is not None]
+        docs, numbers = _record(places[0])
+        pools, ats, each = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for data in replies.column("data").to_pylist():
+            if data is not None:
+                at, sizes, ids = _spread(data, 3)
+                pools.append(ids)
+                ats.append(np.cumsum(at, dtype=np.int64))
+                each.append(sizes.astype(np.int64))
+        pool, at, each = np.concatenate(pools), np.concatenate(ats), np.concatenate(each)
+        begins, sizes = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+        begins[at], sizes[at] = np.cumsum(each) - each, each
+        bounds = np.concatenate([[0], np.cumsum(docs.column(1).to_numpy())])
+        rows, rare, k = [], {}, 0
+        while k < len(docs):
+            e = max(k + 1, int(np.searchsorted(bounds, bounds[k] + CHUNK, "right")) - 1)
+            place = numbers[bounds[k] : bounds[e]]
+            each = sizes[place]
+            ids, moved = _expanded(pool[gathered(begins[place], each)], model, rare)
+            ends = moved[np.concatenate([[0], np.cumsum(each)])[bounds[k : e + 1] - bounds[k]]].tolist()
+            for a, b in zip(ends[:-1], ends[1:], strict=True):
+                own = ids[a:b]
+                digest = hashlib.sha256(_decoded(own.tolist(), table, model.prefix)).hexdigest()
+                rows.append((b - a, zlib.crc32(own.astype("<u4").tobytes()), digest, own if with_ids else None))
+            k = e
+        n, crc, sha, own = zip(*rows, strict=True)
+        columns, names = [docs.column(0), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_pieces", "ids_crc32", "decoded_sha256"]
         if with_ids:
-            columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32())))
+            columns.append(pa.array(own, pa.list_(pa.int32())))
             names.append("ids")
         return pa.table(columns, names)
 
@@ -473,12 +537,13 @@ def encoded(docs: DataFrame, model_file: str, *, block: int = BLOCK, with_ids: b
     """
     with open(model_file, "rb") as f:
         model = Model.read(f.read())
-    sent = blocks(docs, model, block)
-    # never null, and read with all columns on both sides of the join, so that one exchange serves both
-    places = sent.where("at >= 0").select("block", "at", F.coalesce(F.translate("unit", " ", SPACE), F.lit("")).alias("unit")).repartition("unit")
+    # both sides of the join read all columns, and units are never null, so that one exchange serves both; the
+    # rows that say where blocks are go along as units without edges
+    places = blocks(docs, model, block).repartition("unit")
     units = places.groupBy("unit").agg(F.min(F.struct("block", "at")).alias("first")).where("first is not null").select("unit")
     n = F.length("unit")
     rare = F.when(n <= MOST, F.transform(F.sequence(F.lit(1), n), lambda k: -F.ascii(F.substr(F.col("unit"), k, F.lit(1)))))
-    found = places.join(dictionary(units, model), "unit", "left").select("block", "at", F.coalesce("ids", rare).alias("ids"), F.when(n > MOST, F.col("unit")).alias("unit"))
-    where = sent.where("at < 0").select("block", "at", F.lit(None).cast("array<int>").alias("ids"), "unit")
-    return found.unionByName(where).groupBy("block").applyInArrow(_block_rows(model, with_ids), SCHEMA + ", ids array<int>" * with_ids)
+    place = F.col("at") < 0
+    found = places.join(dictionary(units, model), "unit", "left").select("block", "at", F.when(~place, F.coalesce("ids", rare)).alias("ids"), F.when(place | (n > MOST), F.col("unit")).alias("unit"))
+    replies = found.mapInArrow(_reply_task(model), "block long, place string, data binary")
+    return replies.groupBy("block").applyInArrow(_block_rows(model, with_ids), SCHEMA + ", ids array<int>" * with_ids)
