@@ -1,11 +1,12 @@
 """Near-duplicate documents: one-permutation MinHash, optimal densification, bands, star-shaped candidates.
 
-1. One pass over the whole texts hashes all shingles and gives, for each document, the size and a 128-bit
-   identity of its shingle set and the keys of its bands. A single hash per shingle fills BINS bins;
+1. One pass over the whole texts hashes all shingles and gives, for each document, the size of its shingle set,
+   a 128-bit digest of the whole set and the keys of its bands. A single hash per shingle fills BINS bins;
    an empty bin takes the value of a bin that a hash of (bin, attempt) names (Shrivastava, 2017).
 2. Documents with the same set form a class, found with map-side combining; its smallest doc_id stands for it.
 3. Classes that share a band key form a bucket. Each bucket gives only edges between one centre and its
-   members, so edges are linear in bucket entries. Edges are then confirmed on the full sets.
+   members, so edges are linear in bucket entries. Edges are then confirmed on the full sets; a centre of many
+   edges is dealt to several tasks.
 4. Confirmed links make components. A bucket that still holds several components gets further stars, from
    centres of components drawn evenly, with edges to the members of other components only. Two linked
    documents share about ten buckets, so a link that the first star misses has some ten times as many
@@ -18,13 +19,15 @@
 Buckets hold each pair at the threshold with probability 1 - (1 - 0.75^4)^32, over 0.99999.
 """
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexflow.llm.arrow_text import LOWER, chained, grams, mix, randoms, slices, task
-from lexflow.llm.common import bounded, stored
+from lexflow.llm.common import HOT, bounded, free_name, joined, stored
 from lexflow.llm.components import components
 
 BINS, ROWS, SHINGLE, PERCENT, CENTRES = 128, 4, 5, 75, 3
@@ -33,6 +36,9 @@ EMPTY = np.uint64(2**64 - 1)
 #: At most so many ids (8 bytes each) are broadcast to pick the texts of candidates.
 BROADCAST_IDS = 2_000_000
 
+#: An end of more pairs than this that is hot has its set in a task for each so many of them.
+PART = 256
+
 #: So many of a shingle's members are about one block; each block meets each other block of its shingle.
 BLOCK = 512
 
@@ -87,21 +93,24 @@ def band_keys(sig: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return keys
 
 
+def _digests(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """128 bits of each set, as two numbers; zeros for an empty one."""
+    raw, ends = values.tobytes(), (8 * np.cumsum(sizes)).tolist()
+    sums = [hashlib.blake2b(raw[a:e], digest_size=16).digest() if e > a else bytes(16) for a, e in zip([0, *ends], ends, strict=False)]
+    return np.frombuffer(b"".join(sums), "<i8").reshape(-1, 2)
+
+
 def _sketch(bins: int, rows: int, width: int):
     @task
     def run(batches):
         for batch in batches:
             ids = batch.column(0)
             for row, values, sizes in shingle_sets(batch.column(1), width):
-                owner = np.repeat(np.arange(len(sizes)), sizes)
-                one, two = np.zeros(len(sizes), np.uint64), np.zeros(len(sizes), np.uint64)
-                with np.errstate(over="ignore"):
-                    np.add.at(one, owner, mix(values ^ np.uint64(0xA0761D6478BD642F)))
-                    np.add.at(two, owner, mix(values ^ np.uint64(0xE7037ED1A0B428DB)))
+                digests = _digests(values, sizes)
                 keys = band_keys(signatures(values, sizes, bins), rows)
                 some = sizes > 0
                 lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(np.where(some, keys.shape[1], 0))]).astype(np.int32), pa.array(keys[some].reshape(-1).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([ids.slice(row, len(sizes)), pa.array(sizes), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), lists], ["doc_id", "n_shingles", "set_a", "set_b", "bands"])
+                yield pa.RecordBatch.from_arrays([ids.slice(row, len(sizes)), pa.array(sizes), pa.array(digests[:, 0]), pa.array(digests[:, 1]), lists], ["doc_id", "n_shingles", "set_a", "set_b", "bands"])
 
     return run
 
@@ -113,7 +122,8 @@ def _full_sets(width: int):
             ids = batch.column(0)
             for row, values, sizes in shingle_sets(batch.column(1), width):
                 lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), pa.array(values.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([ids.slice(row, len(sizes)), lists], ["doc_id", "shingles"])
+                digests = _digests(values, sizes)
+                yield pa.RecordBatch.from_arrays([ids.slice(row, len(sizes)), pa.array(digests[:, 0]), pa.array(digests[:, 1]), lists], ["doc_id", "set_a", "set_b", "shingles"])
 
     return run
 
@@ -124,11 +134,20 @@ def sketches(docs: DataFrame, *, bins: int = BINS, rows: int = ROWS, width: int
     return texts.mapInArrow(_sketch(bins, rows, width), "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>")
 
 
+def beside(pairs: DataFrame, rows: DataFrame, sets: DataFrame, end: str, name: str) -> DataFrame:
+    """rows of pairs with the set of their end (u or v) under a name; ends of many pairs have their set in several tasks."""
+    total = pairs.count()
+    hot = pairs.groupBy(end).agg(F.count("*").alias("many")).where((F.col("many") * HOT > total) & (F.col("many") > PART))
+    hot = F.broadcast(hot.select(end, F.ceil(F.col("many") / PART).alias("parts")))  # at most HOT rows
+    parts = F.coalesce("parts", F.lit(1))
+    left = rows.join(hot, end, "left").withColumn("part", F.pmod(F.xxhash64("u", "v"), parts)).drop("parts")
+    right = sets.select(F.col("doc_id").alias(end), F.col("shingles").alias(name)).join(hot, end, "left")
+    return left.join(right.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("parts"), [end, "part"]).drop("part")
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) whose full sets meet the threshold."""
-    a = sets.select(F.col("doc_id").alias("u"), F.col("shingles").alias("a"))
-    b = sets.select(F.col("doc_id").alias("v"), F.col("shingles").alias("b"))
-    both = pairs.join(b, "v").join(a, "u").withColumn("both", F.size(F.array_intersect("a", "b")).cast("long"))
+    """The pairs (u, v) of a stored table whose full sets meet the threshold."""
+    both = beside(pairs, beside(pairs, pairs, sets, "v", "b"), sets, "u", "a").withColumn("both", F.size(F.array_intersect("a", "b")).cast("long"))
     return both.where(100 * F.col("both") >= percent * (F.size("a") + F.size("b") - F.col("both"))).select("u", "v")
 
 
@@ -139,20 +158,33 @@ def near_duplicates(docs: DataFrame, *, bins: int = BINS, rows: int = ROWS, widt
     shingles; component_id is the smallest doc_id that links reach, the document itself included, and kept
     marks the documents with that id. n_links counts the confirmed links of a document's class to other
     classes, which need not be all. Defined cases: a null or blank text has an empty set and no link; a row without doc_id is
-    no node and gives no row; rows that repeat a doc_id are one node and a row each; other columns play no
-    part; no rows give no rows.
+    no node and gives no row; rows that repeat a doc_id are one node and a row each, and if their sets differ, the
+    node's is that with the least digest; other columns play no part; no rows give no rows.
     """
     sketch = stored(sketches(docs, bins=bins, rows=rows, width=width), "minhash")
-    own = ["set_a", "set_b", "n_shingles"]
-    classes = sketch.where("n_shingles > 0").groupBy(*own).agg(F.min("doc_id").alias("rep"))
+    own = ["set_a", "set_b", "size"]
+    all_rows, empty = sketch.where("n_shingles > 0").withColumn("size", F.col("n_shingles")), sketch.where("n_shingles = 0").select("doc_id", "n_shingles")
+    repeated = sketch.groupBy("doc_id").agg(F.count("*").alias("many"), F.min(F.when(F.col("n_shingles") > 0, F.struct("set_a", "set_b", F.col("n_shingles").alias("size")))).alias("least")).where("many > 1")
+    nodes, alone = all_rows, repeated.isEmpty()
+    if not alone:
+        repeated = stored(repeated, "minhash-repeated", 8)
+        nodes = all_rows.join(repeated, "doc_id", "left").where(F.col("least").isNull() | (F.struct(*own) == F.col("least"))).drop("many", "least").dropDuplicates(["doc_id"])
+        several = repeated.where("least is not null").select("doc_id", "many", "least.*")
+        all_rows = all_rows.join(repeated.select("doc_id"), "doc_id", "left_anti").select("doc_id", "n_shingles", *own).unionByName(joined(all_rows.select("doc_id", "n_shingles"), several, ["doc_id"]))
+        all_rows = stored(all_rows, "minhash-rows")
+    classes = nodes.groupBy(*own).agg(F.min("doc_id").alias("rep"))
     classes = stored(classes, "minhash-classes", 4)
-    reps = sketch.join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", *own], "left_semi").dropDuplicates(["doc_id"])
-    entries = reps.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
+    reps = nodes.join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", *own], "left_semi")
+    entries = reps.select(F.col("doc_id").alias("rep"), F.col("size").alias("n"), "set_a", "set_b", F.explode("bands").alias("key"))
     shared = entries.groupBy("key").agg(F.min("rep").alias("centre"), F.count("*").alias("size")).where("size > 1")
     buckets = stored(entries.join(shared, "key"), "minhash-buckets", 2)
-    ids = buckets.select(F.col("rep").alias("doc_id")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(bounded(stored(ids, "minhash-ids", 8), BROADCAST_IDS), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = stored(texts.mapInArrow(_full_sets(width), "doc_id long, shingles array<long>"), "minhash-sets")
+    ids = stored(buckets.select(F.col("rep").alias("doc_id"), "set_a", "set_b").distinct(), "minhash-ids", 8)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(bounded(ids.select("doc_id"), BROADCAST_IDS), "doc_id", "left_semi")
+    sets = texts.mapInArrow(_full_sets(width), "doc_id long, set_a long, set_b long, shingles array<long>")
+    if not alone:  # of the rows of a node, one that has its set
+        sets = sets.join(bounded(ids, BROADCAST_IDS), ["doc_id", "set_a", "set_b"], "left_semi").dropDuplicates(["doc_id"])
+    sets = stored(sets.select("doc_id", "shingles"), "minhash-sets")
+    buckets = buckets.drop("set_a", "set_b")
 
     sizes = buckets.select(F.col("rep").alias("centre"), F.col("n").alias("m")).distinct()
     pairs = buckets.where("rep <> centre").select(F.col("centre").alias("u"), F.col("rep").alias("v"), "n").distinct()
@@ -171,11 +203,17 @@ def near_duplicates(docs: DataFrame, *, bins: int = BINS, rows: int = ROWS, widt
         found = components(links)
 
     degree = links.select(F.explode(F.array("u", "v")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
-    roots = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left")
-    roots = roots.select(*own, F.coalesce("component", "rep").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    out = sketch.drop("bands").join(roots, own, "left")
-    component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    counts = all_rows.groupBy(*own).agg(F.count("*").alias("many"))
+    roots = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left").join(counts, own)
+    roots = stored(roots.select(*own, "many", F.coalesce("component", "rep").alias("component"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "minhash-roots", 4)
+    out = joined(all_rows.select("doc_id", "n_shingles", *own), roots, own)
+    if alone:
+        out = out.select("doc_id", "n_shingles", "component", "n_links").unionByName(empty.select("doc_id", "n_shingles", F.col("doc_id").alias("component"), F.lit(0).cast("long").alias("n_links")))
+    else:  # an empty row of a node that has a set elsewhere is that node's
+        several = several.drop("many").join(roots.drop("many"), own).select("doc_id", "component", "n_links")
+        empty = empty.join(several, "doc_id", "left")
+        out = out.select("doc_id", "n_shingles", "component", "n_links").unionByName(empty.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")))
+    return out.select("doc_id", "n_shingles", F.col("component").alias("component_id"), (F.col("doc_id") == F.col("component")).alias("kept"), "n_links")
 
 
 def _more_edges(entries: DataFrame, found: DataFrame, percent: int, centres: int) -> DataFrame:
@@ -201,13 +239,13 @@ def _left_edges(entries: DataFrame, found: DataFrame, sets: DataFrame, percent:
     members = stored(labelled.join(mixed, "key").select(F.col("rep").alias("doc_id"), "component", "n").distinct(), "minhash-left", 8)
     tokens = sets.join(bounded(members, BROADCAST_IDS), "doc_id").select("doc_id", "component", "n", F.explode("shingles").alias("token"))
     tokens = stored(tokens, "minhash-tokens")
-    common = tokens.groupBy("token").agg(F.count("*").alias("df"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token", "df")
+    common = tokens.groupBy("token").agg(F.count("*").alias("df"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token", "df", F.col("df").alias("many"))
     own = Window.partitionBy("doc_id")
     place = F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("df", "token"))
-    prefix = tokens.join(common, "token").withColumn("place", place).where(100 * (F.col("n") - F.col("place") + 1) >= percent * F.col("n")).select("doc_id", "component", "n", "token", "place")
+    prefix = joined(tokens, stored(common, "minhash-common", 4), ["token"]).withColumn("place", place).where(100 * (F.col("n") - F.col("place") + 1) >= percent * F.col("n")).select("doc_id", "component", "n", "token", "place")
     prefix = stored(prefix, "minhash-prefixes", 4)
-    blocks = prefix.groupBy("token").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token", "blocks")
-    dealt = prefix.join(blocks, "token").withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks"))
+    blocks = prefix.groupBy("token").agg(F.count("*").alias("many"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token", "many", F.ceil(F.col("many") / BLOCK).alias("blocks"))
+    dealt = joined(prefix, stored(blocks, "minhash-blocks", 4), ["token"]).withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks"))
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     a = dealt.select("token", F.col("block").alias("i"), every.alias("j"), F.col("doc_id").alias("u"), F.col("component").alias("cu"), F.col("n").alias("nu"), F.col("place").alias("pu"))
     b = dealt.select("token", every.alias("i"), F.col("block").alias("j"), F.col("doc_id").alias("v"), F.col("component").alias("cv"), F.col("n").alias("nv"), F.col("place").alias("pv"))
@@ -218,10 +256,12 @@ def _left_edges(entries: DataFrame, found: DataFrame, sets: DataFrame, percent:
 
 
 def drop_near_duplicates(docs: DataFrame, **parameters) -> DataFrame:
-    """The rows of docs but those of documents that near_duplicates doesn't keep, with all their columns.
+    """The rows of docs but those of documents that near_duplicates doesn't keep, with all their columns, whatever their names.
 
-    A row without doc_id stays. Few dropped ids are broadcast; more of them leave by a shuffled anti-join.
+    A row without doc_id stays, and so do rows with null or blank texts; rows that repeat a kept doc_id all stay;
+    no rows give no rows. Few dropped ids are broadcast; more of them leave by a shuffled anti-join.
     """
     dropped = near_duplicates(docs, **parameters).where("not kept").select("doc_id").distinct()
-    dropped = bounded(stored(dropped, "minhash-dropped", 8), BROADCAST_IDS).withColumnRenamed("doc_id", "__dropped")
-    return docs.join(dropped, docs["doc_id"] == dropped["__dropped"], "left_anti")
+    name = free_name("__dropped", docs.columns)
+    dropped = bounded(stored(dropped, "minhash-dropped", 8), BROADCAST_IDS).withColumnRenamed("doc_id", name)
+    return docs.join(dropped, docs["doc_id"] == dropped[name], "left_anti")
