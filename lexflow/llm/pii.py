@@ -3,8 +3,9 @@
 Candidates found by patterns are validated (checksums, ranges, calendar) and then permuted within their own
 format by a keyed Feistel network over their digits or letters: a number of n digits becomes another of
 n digits with the same separators and a right checksum, a date another date, an address another address.
-The permutation depends on key, kind and value only, so equal values get equal pseudonyms in all documents,
-and who has the key can invert it. Texts without a candidate pass through untouched.
+The permutation depends on key, kind and value only, not on how the value is written: phone numbers are permuted
+behind their country's code whatever their groups, and days whatever the order of their parts. So equal values
+get equal pseudonyms in all documents, and who has the key can invert it. Texts without a candidate pass through untouched.
 
 Patterns take as much as they can, so a match may be a value with its neighbour. Where matches meet, every
 start, kind and end at a separator is tried, and of the valid spans those are taken that together cover most.
@@ -18,20 +19,24 @@ from datetime import date, timedelta
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from lexflow.llm.arrow_text import task
 
-KEY = b"lexflow pseudonyms, replace in production"
+#: The session's setting that holds the secret key.
+SETTING = "spark.lexflow.pii.key"
 ROUNDS = 10
 
+#: Country codes of one and two digits; all others have three. Fixed values.
+CODES = {"1", "7", *"20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()}
+
 #: One pattern a kind, in order of precedence.
 PATTERNS = {
     "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "secret": r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![0-9A-Za-z])",
     "iban": r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])",
     "date": r"(?<![\d.-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\d-])",
-    "phone": r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{2,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)",
+    "phone": r"(?<![\w+])\+\d(?:(?: ?\(|\)[ .-]?|[ .-])?\d){6,14}(?!\d)",
     "card": r"(?<![\d.])\d(?:[ -]?\d){12,18}(?![\d])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "ipv4": r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d]|\.\d)",
@@ -138,12 +143,11 @@ def _date(key, text, back):
         return None
     if not FIRST <= day <= LAST:
         return None
-    spans = (LAST - FIRST).days + 1
-    at = (day - FIRST).days
-    while True:
+    spans, at = (LAST - FIRST).days + 1, (day - FIRST).days
+    while True:  # days that show whether the month is first stay among themselves, in all notations
         at = feistel(key, "date", at, spans, back)
         new = FIRST + timedelta(at)
-        if not flip or new.day > 12:  # stays readable as month first
+        if (new.day > 12) == (day.day > 12):
             break
     y, m, d = f"{new.year:04d}", f"{new.month:02d}", f"{new.day:02d}"
     if "-" in text:
@@ -161,12 +165,18 @@ def _ipv4(key, text, back):
 
 
 def _phone(key, text, back):
-    head = re.match(r"\+\d{1,3}(?=[ .(-])|\+\d", text).group()
-    rest = text[len(head) :]
-    d = re.sub(r"\D", "", rest)
-    if not 6 <= len(d) <= 14:
+    trunk = re.match(r"\+\d{1,3} ?(\(0\))", text)  # a zero that is only dialled within the country
+    d = re.sub(r"\D", "", text if trunk is None else text[: trunk.start(1)] + text[trunk.end(1) :])
+    code = next((d[:n] for n in (1, 2) if d[:n] in CODES), d[:3])
+    own = d[len(code) :]
+    if not 6 <= len(own) or len(d) > 15 or code[0] == "0":
         return None
-    return head + _refill(rest, _digits(key, "phone" + head, d, back))
+    new = code + _digits(key, "phone" + code, own, back)
+    if trunk is None:
+        return _refill(text, new)
+    shape = text[: trunk.start(1)] + text[trunk.end(1) :]
+    out = _refill(shape, new)
+    return out[: trunk.start(1)] + "(0)" + out[trunk.start(1) :]
 
 
 def _ssn(key, text, back):
@@ -195,7 +205,7 @@ def _email(key, text, back):
 _RULES = {"email": _email, "secret": _secret, "iban": _iban, "date": _date, "phone": _phone, "card": _card, "ssn": _ssn, "ipv4": _ipv4}
 
 
-def pseudonym(kind: str, text: str, key: bytes = KEY, back: bool = False, any_number: bool = True) -> str | None:
+def pseudonym(kind: str, text: str, key: bytes, back: bool = False, any_number: bool = True) -> str | None:
     """The pseudonym of a candidate, or what it stands for with back; None if the candidate isn't valid."""
     found = _RULES[kind](key, text, back)
     if found is None and kind == "card" and any_number and re.fullmatch(r"\d{13,19}", text):
@@ -203,7 +213,7 @@ def pseudonym(kind: str, text: str, key: bytes = KEY, back: bool = False, any_nu
     return found
 
 
-def protect(text: str, key: bytes = KEY, *, any_number: bool = True, known: dict | None = None, finder=re.compile(FINDER)) -> tuple[str, dict[str, int]]:
+def protect(text: str, key: bytes, *, any_number: bool = True, known: dict | None = None, finder=re.compile(FINDER)) -> tuple[str, dict[str, int]]:
     """The text with pseudonyms and how many of each kind were put in."""
     counts: dict[str, int] = {}
     parts, done, m = [], 0, finder.search(text)
@@ -265,6 +275,14 @@ def _widest(spans: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str,
     return out[::-1]
 
 
+def key_of(spark: SparkSession, otherwise: bytes | None = None) -> bytes:
+    """The session's key; without one, and without another to use in its place, an error."""
+    key = spark.conf.get(SETTING, None)
+    if not key and otherwise is None:
+        raise ValueError(f"{SETTING} isn't set")
+    return key.encode() if key else otherwise
+
+
 def _task(key: bytes, any_number: bool, at: int, counted: bool):
     @task
     def run(batches):
@@ -290,7 +308,7 @@ def _task(key: bytes, any_number: bool, at: int, counted: bool):
     return run
 
 
-def pseudonymised(docs: DataFrame, *, key: bytes = KEY, any_number: bool = True) -> DataFrame:
+def pseudonymised(docs: DataFrame, *, key: bytes, any_number: bool = True) -> DataFrame:
     """docs with pseudonyms in text; its rows, columns and their order stay.
 
     Defined cases: null and empty texts stay; a candidate that fails its validation stays, but any_number
@@ -300,7 +318,7 @@ def pseudonymised(docs: DataFrame, *, key: bytes = KEY, any_number: bool = True)
     return docs.mapInArrow(_task(key, any_number, docs.columns.index("text"), False), docs.schema)
 
 
-def pii_report(docs: DataFrame, *, key: bytes = KEY, any_number: bool = True) -> DataFrame:
+def pii_report(docs: DataFrame, *, key: bytes, any_number: bool = True) -> DataFrame:
     """doc_id, text with pseudonyms, and n_<kind> of each row of docs."""
     own = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
     schema = "doc_id long, text string, " + ", ".join(f"n_{k} long" for k in KINDS)
