@@ -1,8 +1,8 @@
 """Document quality by regularised quadratic discriminants over transformed text statistics.
 
 One pass over the whole texts gives a fixed vector of statistics for each document. Each class's count, mean
-and second moments are sums over its labelled training rows, added up by Spark, so a fit uses all of them
-and two rows reach the driver. Covariances are shrunk towards their class's diagonal, the pooled covariance and a floor;
+and second moments are sums over its labelled training rows (a bounded number of them, by a hash of their ids),
+added up by Spark, so two rows reach the driver. Covariances are shrunk towards their class's diagonal, the pooled covariance and a floor;
 their Cholesky factors are kept, and a score compares the classes' Mahalanobis log densities.
 """
 
@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from lexflow.llm.arrow_text import LOWER, slices, task
 from lexflow.llm.common import stored
 
+#: Labelled rows that a fit uses at most, those with the least hashes of their ids; so many ids are broadcast.
+TRAIN = 100_000
+
 FEATURES = ("words", "word_chars", "marks", "bars", "shouts", "upper", "digits", "stutter", "distinct", "short", "stops", "lines")
 
 _MARK, _UPPER, _DIGIT, _HIGH = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
@@ -115,12 +118,21 @@ def remainder(doc_id, folds: int = 3):
     return F.crc32(doc_id.cast("string")) % folds
 
 
-def fitted(features: DataFrame, labels: DataFrame, *, held: int = 1, shrink: float = 0.05, pool: float = 0.0, floor: float = 0.1, prior: float | None = None) -> Discriminant:
-    """The model of labels.quality 0 and 1, from the labelled rows whose crc32(doc_id) mod 3 isn't held."""
-    d = len(FEATURES)
+def marks_of(labels: DataFrame, held: int = 1, train: int = TRAIN) -> DataFrame:
+    """doc_id, quality of at most train labelled rows whose crc32(doc_id) mod 3 isn't held; ids with labels that differ have none."""
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
-    marks = marks.where(F.col("quality").isin(0, 1) & (remainder(F.col("doc_id")) != held)).dropDuplicates(["doc_id"])
-    rows = features.join(marks, "doc_id").select("quality", *[F.col("x")[i].alias(f"x{i}") for i in range(d)])
+    marks = marks.where(F.col("quality").isin(0, 1) & (remainder(F.col("doc_id")) != held))
+    marks = marks.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("most")).where("quality = most")
+    return marks.select("doc_id", "quality").orderBy(F.xxhash64("doc_id"), "doc_id").limit(train)
+
+
+def fitted(features: DataFrame, marks: DataFrame, *, shrink: float = 0.05, pool: float = 0.0, floor: float = 0.1, prior: float | None = None) -> Discriminant:
+    """The model of classes 0 and 1, from the rows of features that marks has.
+
+    Spark adds the sums up in any order, so scores of two runs may differ in their last digits.
+    """
+    d = len(FEATURES)
+    rows = features.join(F.broadcast(marks), "doc_id").select("quality", *[F.col("x")[i].alias(f"x{i}") for i in range(d)])
     pairs = [(i, j) for i in range(d) for j in range(i, d)]
     sums = rows.groupBy("quality").agg(F.count("*").alias("n"), *[F.sum(f"x{i}").alias(f"s{i}") for i in range(d)], *[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"q{i}_{j}") for i, j in pairs])
     counts, means, squares = [0, 0], [np.zeros(d), np.zeros(d)], [np.zeros((d, d)), np.zeros((d, d))]
@@ -144,32 +156,37 @@ def _score(model: Discriminant):
     return run
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, **parameters) -> DataFrame:
+def quality_scores(docs: DataFrame, labels: DataFrame, *, held: int = 1, train: int = TRAIN, **parameters) -> DataFrame:
     """One row per row of docs: doc_id, held_out, score, predicted.
 
     score is the model's probability of label 1, predicted is 1 where it is at least 0.5, held_out marks rows
-    that no fit uses. Defined cases: a null text is an empty one and has a score; a row without doc_id is
-    scored, with held_out null; labels that are null, repeated or of other rows aren't used; without two
+    that no fit uses; a fit uses train labelled rows at most. Defined cases: a null text is an empty one and has
+    a score; a row without doc_id is scored, with held_out null; rows that repeat a labelled doc_id all count;
+    labels that are null, contradict one another or are of other rows aren't used; without two
     labelled rows of each class every score is the classes' smoothed share; no rows give no rows; other columns of docs and
     labels play no part.
     """
     features = stored(measured(docs), "quality-features")
-    model = fitted(features, labels, **parameters)
+    model = fitted(features, marks_of(labels, held, train), **parameters)
     scored = features.mapInArrow(_score(model), "doc_id long, score double, predicted int")
-    return scored.select("doc_id", (remainder(F.col("doc_id")) == parameters.get("held", 1)).alias("held_out"), "score", "predicted")
+    return scored.select("doc_id", (remainder(F.col("doc_id")) == held).alias("held_out"), "score", "predicted")
 
 
-def good_documents(docs: DataFrame, labels: DataFrame, **parameters) -> DataFrame:
-    """The rows of docs that the model doesn't reject, with all their columns, without a shuffle of texts."""
-    features = stored(measured(docs), "quality-features")
-    model = fitted(features, labels, **parameters)
-    names = docs.schema
+def good_documents(docs: DataFrame, labels: DataFrame, *, held: int = 1, train: int = TRAIN, **parameters) -> DataFrame:
+    """The rows of docs that the model doesn't reject, with all their columns, without a shuffle of texts.
 
-    @task
+    Only rows that the fit uses are measured for it. Null and empty texts, repeated rows, contradicting labels, missing ids
+    and empty tables: as for quality_scores; a row is kept if its score there is 0.5 or more. Columns of any
+    name are carried along.
+    """
+    marks = stored(marks_of(labels, held, train), "quality-marks", 1000)
+    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(marks.select("doc_id")), "doc_id", "left_semi")
+    model = fitted(measured(some), marks, **parameters)
+    at, names = docs.columns.index("text"), docs.schema
 
+    @task
     def run(batches):
         for batch in batches:
-            keep = model.score(statistics(batch.column(batch.schema.get_field_index("text")))) >= 0.5
-            yield batch.filter(pa.array(keep))
+            yield batch.filter(pa.array(model.score(statistics(batch.column(at))) >= 0.5))
 
     return docs.mapInArrow(run, names)

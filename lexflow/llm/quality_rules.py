@@ -13,12 +13,14 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexflow.llm.common import SPACE, bounded
+from lexflow.llm.common import SPACE
 
+#: THRESHOLD is the mean log ratio of a word or pair below which a text reads less like the trusted ones than like
+#: the corpus at large; it lies in the gap between the scores of documents that are labelled 1 and 0 at sf0.1.
 BUCKETS, SMOOTH, THRESHOLD = 1 << 16, 1.0, -0.09
 MIN_WORDS, REPEAT_PERCENT = 50, 50
-#: Trusted ids that are broadcast at most (8 bytes each); more of them are joined by a shuffle.
-BROADCAST_IDS = 2_000_000
+#: Trusted documents that the target's counts come from at most, those with the least hashes of their ids; so many are broadcast.
+TRUSTED = 200_000
 
 
 def words_of(text: Column) -> Column:
@@ -65,10 +67,11 @@ def repeat_words(words: Column) -> Column:
     return bound(bound(words, windows), seen)
 
 
-def bucket_weights(docs: DataFrame, trusted: DataFrame, *, buckets: int = BUCKETS, smooth: float = SMOOTH) -> list[float]:
+def bucket_weights(docs: DataFrame, trusted: DataFrame, *, buckets: int = BUCKETS, smooth: float = SMOOTH, most: int = TRUSTED) -> list[float]:
     """For each bucket, log of its share in trusted documents over its share in all; buckets rows reach the driver at most."""
-    ids = trusted.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().withColumn("good", F.lit(1))
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(bounded(ids, BROADCAST_IDS), "doc_id", "left")
+    ids = trusted.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
+    ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).withColumn("good", F.lit(1))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id", "left")
     grams = own.select(F.coalesce("good", F.lit(0)).alias("good"), F.explode(bucket_list(words_of(F.col("text")), buckets)).alias("bucket"))
     raw, good = [0] * buckets, [0] * buckets
     for row in grams.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("good").alias("good")).collect():
@@ -77,15 +80,15 @@ def bucket_weights(docs: DataFrame, trusted: DataFrame, *, buckets: int = BUCKET
     return [math.log((g + smooth) / all_good) - math.log((r + smooth) / all_raw) for g, r in zip(good, raw, strict=True)]
 
 
-def quality_rules(docs: DataFrame, trusted: DataFrame, *, buckets: int = BUCKETS, smooth: float = SMOOTH, threshold: float = THRESHOLD) -> DataFrame:
+def quality_rules(docs: DataFrame, trusted: DataFrame, *, buckets: int = BUCKETS, smooth: float = SMOOTH, threshold: float = THRESHOLD, most: int = TRUSTED) -> DataFrame:
     """One row per row of docs: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, score.
 
-    trusted names the documents of the target by doc_id. Defined cases: a null, empty or blank text has no
+    trusted names the documents of the target by doc_id; most of them are counted at most, the corpus is counted whole. Defined cases: a null, empty or blank text has no
     words, fails the base rules and scores 0; without trusted documents every score compares the smoothed
     uniform shares with the corpus; a row without doc_id is judged but never trusted; repeated rows count as often as they
     stand there; no rows give no rows; other columns play no part.
     """
-    weights = bucket_weights(docs, trusted, buckets=buckets, smooth=smooth)
+    weights = bucket_weights(docs, trusted, buckets=buckets, smooth=smooth, most=most)
     weights = F.split(F.lit(",".join(f"{w:.9g}" for w in weights)), ",").cast("array<double>")  # one literal after constant folding
     text = F.coalesce("text", F.lit(""))
     mean = lambda g: F.when(F.size(g) == 0, 0.0).otherwise(F.aggregate(g, F.lit(0.0), lambda a, b: a + F.get(weights, b)) / F.size(g))
