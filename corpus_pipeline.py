@@ -1,7 +1,9 @@
 """A corpus pipeline: quality, exact copies, near copies, personal data, packing.
 
 Each stage takes the rows that the stage before it kept, read again from Parquet, and its decisions take
-effect on them; all but the last return the columns of documents.
+effect on them; all but the last return the columns of documents. For all stages: null, empty and blank texts are
+texts without words; columns beside doc_id and text are carried along whatever their names; an empty table gives
+an empty one; what a stage does with ties, repeated rows and missing ids it says itself.
 """
 
 import public_tokenizers
@@ -11,32 +13,37 @@ from lexflow.llm.common import stored, table
 from lexflow.llm.exact_dedup import drop_copies
 from lexflow.llm.minhash import drop_near_duplicates
 from lexflow.llm.packing import packed
-from lexflow.llm.pii import pseudonymised
+from lexflow.llm.pii import key_of, pseudonymised
 from lexflow.llm.quality_model import good_documents
+from lexflow.llm.queries import TEST_KEY
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier, trained on the corpus's labels, doesn't reject."""
+    """Documents that the quality classifier, trained on the corpus's labels, doesn't reject.
+
+    A row is judged by its text alone, so repeated rows stay or go together and a missing doc_id doesn't matter;
+    without two labelled rows of each class all rows stay or all go, by which class has more.
+    """
     return good_documents(docs, table(spark, sf_dir, "labels"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of equal texts."""
+    """One row of each group of equal texts, that with the smallest doc_id; a row without one loses, and of rows that tie the first in its file stays."""
     return drop_copies(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one with the smallest doc_id."""
+    """One document of each group of near duplicates, the one with the smallest doc_id; rows that repeat it stay, and so do rows without doc_id or words."""
     return drop_near_duplicates(docs)
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts with pseudonyms for personal data."""
-    return pseudonymised(docs)
+    """Texts with pseudonyms for personal data, by the session's key; all rows stay, and equal texts stay equal."""
+    return pseudonymised(docs, key=key_of(spark, TEST_KEY))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of training sequences."""
+    """The pieces of training sequences; each row is a document by itself, a text without words being its closing id."""
     return packed(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
