@@ -1,13 +1,30 @@
 """Text functions as Spark expressions: white space, accents, escaping, highlighting, compact labels."""
 
 import re
+import sys
+import unicodedata
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Letters with diacritics and what they are without, for the Latin letters of Western Europe. Fixed values.
-ACCENTED = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-PLAIN = "AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyy"
+#: Combining marks that count as accents.
+MARKS = "".join(map(chr, range(0x300, 0x370)))
+
+
+def _folds() -> dict[str, str]:
+    """Every letter that is one other character with accents, by Unicode's canonical decomposition."""
+    out = {}
+    for c in map(chr, range(0xC0, sys.maxunicode + 1)):
+        base = unicodedata.normalize("NFD", c).translate(dict.fromkeys(range(0x300, 0x370)))
+        if len(base) == 1 and base != c:
+            out[c] = base
+    return out
+
+
+_FOLDS = _folds()
+#: Letters with accents, and what they are without, in the same order.
+ACCENTED, PLAIN = "".join(_FOLDS), "".join(_FOLDS.values())
+_TABLE = str.maketrans(ACCENTED, PLAIN, MARKS)
 
 #: Which letters a letter of a search term also finds. Fixed values.
 VARIANTS = {"a": "aáàâãä", "e": "eéèêë", "i": "iíìîï", "o": "oóòôõö", "u": "uúùûü", "c": "cç", "n": "nñ"}
@@ -19,8 +36,13 @@ def strip(text: Column) -> Column:
 
 
 def strip_accents(text: Column) -> Column:
-    """Without combining marks and diacritics of Western European letters."""
-    return F.regexp_replace(F.translate(text, ACCENTED, PLAIN), "[\\u0300-\\u036f]", "")
+    """Without accents, in any script: letters that are one character with accents become it, and combining marks go."""
+    return F.translate(text, ACCENTED + MARKS, PLAIN)
+
+
+def plain(text: str) -> str:
+    """The driver's side of search_key, for what a user types."""
+    return text.lower().translate(_TABLE).replace("\u00a0", " ")
 
 
 def search_key(text: Column) -> Column:
@@ -54,11 +76,17 @@ def accent_pattern(term: str) -> str:
     return "".join(f"[{VARIANTS[c.lower()]}]" if c.lower() in VARIANTS else re.escape(c) for c in term)
 
 
+#: Stand for the tags until the text is escaped; Unicode gives these code points to no character.
+_OPEN, _CLOSE = "\ufdd0", "\ufdd1"
+
+
 def highlight(text: Column, phrases: list[str], words: list[str]) -> Column:
-    """text, escaped, with every hit of a phrase or word in <mark>; longer phrases win over words."""
-    found = [accent_pattern(p).replace(r"\ ", r"[\s ]+") for p in phrases] + [accent_pattern(w) for w in words]
-    escaped = escape_html(text)
-    return F.regexp_replace(escaped, f"(?iu)({'|'.join(found)})", "<mark>$1</mark>") if found else escaped
+    """text, escaped, with every hit of a phrase or word in <mark>; longer phrases win over words. Hits are those of the text before it is escaped."""
+    found = [accent_pattern(p).replace(r"\ ", r"[\s\u00a0]+") for p in phrases] + [accent_pattern(w) for w in words]
+    text = F.translate(text, _OPEN + _CLOSE, "")
+    if found:
+        text = F.regexp_replace(text, f"(?iu)({'|'.join(found)})", f"{_OPEN}$1{_CLOSE}")
+    return _each(escape_html(text), [(_OPEN, "<mark>"), (_CLOSE, "</mark>")])
 
 
 def heading_short_title(text: Column, subtitle: Column) -> Column:

@@ -13,30 +13,52 @@ from lexflow.operators.versions import next_versions
 PARTS = "array<struct<op:string,word:string>>"
 
 
+def _rows(x: np.ndarray, y: np.ndarray, start: np.ndarray):
+    """Rows of the table of common lengths after start, one for each of x: each is one running maximum, as no row falls."""
+    row = start
+    for c in x:
+        best = np.maximum(row[1:], np.where(y == c, row[:-1] + 1, 0))
+        row = np.concatenate([[0], np.maximum.accumulate(best)])
+        yield row
+
+
+def _steps(row: np.ndarray) -> np.ndarray:
+    """Where a row rises, by one each time, as bits: what it takes to know the row."""
+    return np.packbits(np.diff(row).astype(bool))
+
+
 def word_diff(old: str, new: str) -> list[tuple[str, str]]:
     """(op, word) of kept, added and removed words; where either would do, words are removed before they are added.
 
-    Each row of the table of common lengths is one running maximum, as a row never falls.
+    Of the table's rows every k-th is kept, as bits, and those between are made again as the way back gets
+    there; so n words against m take about m * sqrt(n) / 4 bytes.
     """
     a, b = (old or "").split(), (new or "").split()
     codes = {w: k for k, w in enumerate(dict.fromkeys(a + b))}
     x, y = np.array([codes[w] for w in a], np.int64), np.array([codes[w] for w in b], np.int64)
-    common = np.zeros((len(a) + 1, len(b) + 1), np.int32)
-    for i, c in enumerate(x):
-        best = common[i, 1:].copy()
-        np.maximum(best, np.where(y == c, common[i, :-1] + 1, 0), out=best)
-        np.maximum.accumulate(best, out=common[i + 1, 1:])
     out, i, j = [], len(a), len(b)
+    while i and j and x[i - 1] == y[j - 1]:  # the way back begins with what both end in
+        i, j = i - 1, j - 1
+        out.append(("eq", a[i]))
+    x, y = x[:i], y[:j]
+    every = max(1, int(len(x) ** 0.5))
+    first = np.zeros(len(y) + 1, np.int64)
+    kept = [_steps(first)] + [_steps(r) for k, r in enumerate(_rows(x, y, first), 1) if k % every == 0]
     while i or j:
-        if i and j and x[i - 1] == y[j - 1]:
-            i, j = i - 1, j - 1
-            out.append(("eq", a[i]))
-        elif j and (not i or common[i, j - 1] >= common[i - 1, j]):
-            j -= 1
-            out.append(("ins", b[j]))
-        else:
-            i -= 1
-            out.append(("del", a[i]))
+        block, at = [], max(i - 1, 0) // every  # rows from this block's first on
+        if i and j:
+            start = np.concatenate([[0], np.cumsum(np.unpackbits(kept[at], count=len(y)), dtype=np.int64)])
+            block = [_steps(r) for r in _rows(x[at * every : i], y, start)]
+        while (i or j) and (not i or not j or i > at * every):
+            if i and j and x[i - 1] == y[j - 1]:
+                i, j = i - 1, j - 1
+                out.append(("eq", a[i]))
+            elif j and (not i or not block[i - 1 - at * every][(j - 1) >> 3] >> (7 - (j - 1 & 7)) & 1):
+                j -= 1  # the row doesn't rise here, so leaving this word out costs nothing
+                out.append(("ins", b[j]))
+            else:
+                i -= 1
+                out.append(("del", a[i]))
     return out[::-1]
 
 

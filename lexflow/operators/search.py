@@ -5,21 +5,15 @@ two are made once when cards are stored, so a search is a filter on stored colum
 """
 
 import re
-import unicodedata
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexflow.functions.text import search_key
+from lexflow.functions.text import plain, search_key
 from lexflow.operators.outline import context_headings
 
 
-def plain(text: str) -> str:
-    """The driver's side of search_key, for what a user types."""
-    return "".join(c for c in unicodedata.normalize("NFD", text.lower()) if not "̀" <= c <= "ͯ")
-
-
 @dataclass(frozen=True)
 class Query:
     phrases: tuple[str, ...] = ()

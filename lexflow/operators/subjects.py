@@ -10,12 +10,14 @@ PREFIXED = r"(?U)^([A-Z]{2,})\s*:\s*(.+)$"
 HINT = r"(?U)\(([^)]+)\)\s*$"
 RANGE = r"(?U)^(\d+)\s*[-–—]\s*(\d+)$"
 ARTICLE_REF = r"^(?:ADT)?\d+[-A-Za-z]*$"
+HINT_PART = r"(?U)\([^)]+\)\s*$"
+NUMBERED, SHORT_NUMBERED = r"(?U)^[§Ss]\s*(\d+)$", r"(?iu)^p(\d+)$"
 
 
 def normal_detail(raw: Column) -> Column:
     """A detail as cards name it: PU as §ú; §1, S1 and p1 as § 1º; the rest as it is."""
     raw = strip(raw)
-    number = F.coalesce(F.nullif(F.regexp_extract(raw, r"(?U)^[§Ss]\s*(\d+)$", 1), F.lit("")), F.nullif(F.regexp_extract(raw, r"(?iu)^p(\d+)$", 1), F.lit("")))
+    number = F.coalesce(F.nullif(F.regexp_extract(raw, NUMBERED, 1), F.lit("")), F.nullif(F.regexp_extract(raw, SHORT_NUMBERED, 1), F.lit("")))
     return F.when((F.upper(raw) == "PU") | (raw == "§ú"), "§ú").when(number.isNotNull(), F.concat(F.lit("§ "), number, F.lit("º"))).otherwise(raw)
 
 
@@ -45,7 +47,7 @@ def device_lines(entries: DataFrame) -> DataFrame:
     rows = entries.select("row_no", "subject", "sub_subject", F.posexplode(F.split("devices", "\n")).alias("line", "raw"))
     rows = rows.withColumn("raw", strip("raw")).where("raw <> ''")
     rows = rows.withColumns({"law_prefix": F.regexp_extract("raw", PREFIXED, 1), "body": F.when(F.col("raw").rlike(PREFIXED), strip(F.regexp_extract("raw", PREFIXED, 2))).otherwise(F.col("raw"))})
-    rows = rows.withColumns({"hint": strip(F.regexp_extract("body", HINT, 1)), "body": F.when(F.col("body").rlike(HINT), strip(F.regexp_replace("body", r"(?U)\([^)]+\)\s*$", ""))).otherwise(F.col("body"))})
+    rows = rows.withColumns({"hint": strip(F.regexp_extract("body", HINT, 1)), "body": F.when(F.col("body").rlike(HINT), strip(F.regexp_replace("body", HINT_PART, ""))).otherwise(F.col("body"))})
     parts = F.split("body", ",", 2)
     rows = rows.withColumns({"lo": F.regexp_extract("body", RANGE, 1).try_cast("long"), "hi": F.regexp_extract("body", RANGE, 2).try_cast("long"), "art": strip(parts[0]), "detail": F.when(F.size(parts) == 2, normal_detail(F.get(parts, 1))).otherwise("")})
     return rows.where(F.col("lo").isNotNull() | F.col("art").rlike(ARTICLE_REF)).drop("raw", "body")

@@ -5,10 +5,19 @@ patterns. Queries without SQL here are checked by tests.
 """
 
 from lexflow.functions.text import ACCENTED, PLAIN
+from lexflow.operators.checks import FAULTS
 from lexflow.plans.views import FOOTNOTE_KIND, LAWS_SQL, STATUTE_SQL, SUBJECT_SQL
 
 _NAMES = {"orders": "orders", "lineitem": "lineitem", "part": "part"}
 
+
+
+def _fault(name: str, *values: str) -> str:
+    """A fault's text with the values of SQL expressions."""
+    first, *rest = (t.replace("'", "''") for t in FAULTS[name].split("{}"))
+    return f"'{first}'" + "".join(f" || {v} || '{t}'" for v, t in zip(values, rest, strict=True))
+
+
 #: Named parts that a query's SQL is put together from, each with those it needs.
 _PARTS: dict[str, tuple[str, tuple[str, ...]]] = {
     "p": (STATUTE_SQL.format(**_NAMES), ()),
@@ -144,6 +153,102 @@ FROM h""",
     ),
     "fn": (f"SELECT doc_id, seq, fn_id, {FOOTNOTE_KIND} AS kind, block_id - CASE WHEN is_art AND coalesce(prev, '') <> number THEN 1 ELSE 0 END AS blk FROM k WHERE {FOOTNOTE_KIND} IN ('public', 'private')", ("k",)),
     "entries": ("SELECT row_no, trim(subject) AS subject, trim(sub_subject) AS sub_subject, list_filter(list_transform(str_split(see_also, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS vides FROM sheet", ("sheet",)),
+    "p0": (
+        r"""
+SELECT doc_id, seq, CASE WHEN lv IS NULL THEN '' ELSE concat_ws(',', CASE WHEN r0.d = 0 THEN r0.s END, CASE WHEN r1.d = 1 THEN r1.s END, CASE WHEN r2.d = 2 THEN r2.s END, CASE WHEN r3.d = 3 THEN r3.s END) END AS path
+FROM (SELECT *, last_value(CASE WHEN lv <= 0 THEN st END IGNORE NULLS) OVER w AS r0, last_value(CASE WHEN lv <= 1 THEN st END IGNORE NULLS) OVER w AS r1,
+    last_value(CASE WHEN lv <= 2 THEN st END IGNORE NULLS) OVER w AS r2, last_value(CASE WHEN lv <= 3 THEN st END IGNORE NULLS) OVER w AS r3
+  FROM (SELECT *, {'d': lv, 's': CASE lv WHEN 0 THEN CASE WHEN unit_type = 'PARAGRAFO_UNICO' THEN '§ú' ELSE identifier END WHEN 2 THEN substr(identifier, 1, 1) WHEN 3 THEN regexp_extract(identifier, '^\d+') ELSE identifier END} AS st
+    FROM (SELECT *, CASE WHEN unit_type LIKE 'PARAGRAFO%' THEN 0 WHEN unit_type = 'INCISO' THEN 1 WHEN unit_type = 'ALINEA' THEN 2 WHEN unit_type IN ('SUB_ALINEA','ITEM_NUM') THEN 3 END AS lv
+      FROM v WHERE role = 'child' AND NOT is_old_version))
+  WINDOW w AS (PARTITION BY doc_id, block_id ORDER BY seq ROWS UNBOUNDED PRECEDING))""",
+        ("v",),
+    ),
+    "fnn": ("SELECT doc_id, seq, fn_id, kind = 'private' AS is_private, row_number() OVER (PARTITION BY doc_id, kind, CASE WHEN kind = 'private' THEN blk END ORDER BY seq) AS number FROM fn", ("fn",)),
+    # provisions with all that pages show of them: law, path, footnote, and the text behind the identifier
+    "m": (
+        r"""
+SELECT v.doc_id, v.block_id, v.seq, v.role, v.unit_type, v.identifier, v.text, v.is_old_version, v.is_revoked, v.has_strike, a.law_prefix, a.art_number, a.seq AS art_seq, coalesce(p0.path, '') AS path,
+  CASE WHEN a.law_prefix <> '' THEN 'art' || a.law_prefix || substr(v.uid, 4) ELSE v.uid END AS uid, regexp_extract(v.text, '\((Redação dada|Revogado)[^)]*\)') AS note, v.role = 'version' OR (v.role = 'child' AND v.is_old_version) AS old,
+  CASE WHEN v.identifier = '' THEN v.text ELSE regexp_replace(substr(v.text, length(v.identifier) + 1), '^(\s*[-–—.]\s*|\s+)', '') END AS body,
+  CASE WHEN is_private THEN 'b' ELSE '' END || fnn.number AS fn_no, is_private, fnn.fn_id
+FROM v JOIN a USING (doc_id, block_id) LEFT JOIN p0 ON p0.doc_id = v.doc_id AND p0.seq = v.seq LEFT JOIN fnn ON fnn.doc_id = v.doc_id AND fnn.seq = v.seq""",
+        ("v", "a", "p0", "fnn"),
+    ),
+    "nv": (
+        r"""
+SELECT doc_id, seq, text, CASE WHEN by_old THEN old.seq ELSE live.seq END AS next_seq, CASE WHEN by_old THEN old.text ELSE live.text END AS next_text
+FROM (SELECT *, old IS NOT NULL AND (live IS NULL OR (old.rk, old.seq) < (live.rk, live.seq)) AS by_old,
+    live IS NOT NULL AND (ident = '' OR ident = regexp_replace(live.identifier, '\s+', '', 'g') OR live.role = 'caput') AS fits
+  FROM (SELECT *, lead({'seq': seq, 'text': text, 'rk': rk}) OVER (PARTITION BY doc_id, block_id, is_old, ident ORDER BY rk, seq) AS old,
+      first_value(CASE WHEN NOT is_old THEN {'seq': seq, 'text': text, 'identifier': identifier, 'role': role, 'rk': rk} END IGNORE NULLS) OVER (PARTITION BY doc_id, block_id ORDER BY rk, seq ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS live
+    FROM (SELECT *, is_old_version AND role <> 'caput' AS is_old, CASE role WHEN 'version' THEN 0 WHEN 'caput' THEN 1 ELSE 2 END AS rk, regexp_replace(regexp_extract(text, '^(.+?)\s+[-–—]\s', 1), '\s+', '', 'g') AS ident FROM v))
+  WHERE is_old) WHERE by_old OR fits""",
+        ("v",),
+    ),
+    "ft": (
+        """
+SELECT row_no, field, context, k AS line_no, line, fixed, upper(regexp_extract(fixed, '^([A-Za-z]{2,})\\s*:\\s*.+$', 1)) AS prefix,
+  trim(regexp_replace(trim(regexp_replace(fixed, '^[A-Za-z]{2,}\\s*:\\s*', '')), '\\([^)]+\\)\\s*$', '')) AS body
+FROM (SELECT *, replace(line, ', ', ',') AS fixed FROM (
+  SELECT row_no, field, context, CAST(unnest(range(1, len(ls) + 1)) AS INTEGER) AS k, trim(unnest(ls)) AS line FROM (
+    SELECT row_no, 'Dispositivos' AS field, subject || CASE WHEN sub_subject <> '' THEN ' > ' || sub_subject ELSE '' END AS context, str_split(trim(devices), chr(10)) AS ls FROM sheet
+    UNION ALL SELECT row_no, 'Vide', subject || CASE WHEN sub_subject <> '' THEN ' > ' || sub_subject ELSE '' END, str_split(trim(see_also), chr(10)) FROM sheet))
+  WHERE line <> '')""",
+        ("sheet",),
+    ),
+    "sf": (
+        f"""
+SELECT row_no, field, line_no, CAST(row_number() OVER (PARTITION BY row_no, field, line_no ORDER BY k) - 1 AS INTEGER) AS fault_no, fault FROM (
+  SELECT row_no, field, line_no, unnest(range(1, 8)) AS k, unnest(faults) AS fault FROM (
+    SELECT row_no, field, line_no, [
+      CASE WHEN contains(line, ', ') THEN {_fault("comma_space", "fixed", "line")} END,
+      CASE WHEN regexp_matches(fixed, '^[A-Za-z]{{2,}}(\\s+:|:\\s+)') THEN {_fault("colon_space", "line")} END,
+      CASE WHEN prefix NOT IN ('', 'CF', 'LO') THEN {_fault("prefix_unknown", "prefix", "'CF, LO'")} END,
+      CASE WHEN lo >= hi THEN {_fault("range_down", "lo", "hi")} END,
+      CASE WHEN body = '' THEN {_fault("reference_empty")} END,
+      CASE WHEN lo IS NULL AND body <> '' AND NOT fits THEN {_fault("article_invalid", "art")} END,
+      CASE WHEN lo IS NULL AND fits AND d <> '' AND NOT (lower(d) = 'caput' OR upper(d) = 'PU' OR d IN ('§ú', '§u') OR regexp_matches(d, '^(§\\d+|[IVXLC]+|[a-z]|\\d+|[IVXLC]+\\s*,\\s*[a-z](\\s*,\\s*\\d+)?|[a-z]\\s*,\\s*\\d+|§(\\d+|ú|u)\\s*,\\s*[IVXLC]+)$')) THEN
+        CASE WHEN n = 1 THEN {_fault("detail_unknown", "d")} WHEN n = 2 AND regexp_matches(d, '^[IVXLC]+\\s*,\\s*[IVXLC]+$') THEN {_fault("detail_romans", "trim(str_split(d, ',')[1])", "trim(str_split(d, ',')[2])")}
+          WHEN n = 2 AND regexp_matches(d, '^[a-z]\\s*,\\s*[a-z]$') THEN {_fault("detail_letters")} WHEN n = 2 THEN {_fault("detail_pair", "d")} WHEN n = 3 THEN {_fault("detail_triple", "d")} ELSE {_fault("detail_long", "d")} END END] AS faults
+    FROM (SELECT *, try_cast(regexp_extract(body, '^(\\d+)\\s*[-–—]\\s*\\d+$', 1) AS BIGINT) AS lo, try_cast(regexp_extract(body, '^\\d+\\s*[-–—]\\s*(\\d+)$', 1) AS BIGINT) AS hi, trim(str_split(body, ',')[1]) AS art,
+        regexp_matches(trim(str_split(body, ',')[1]), '^(ADT)?\\d+[-A-Za-z]*$') AS fits, CASE WHEN contains(body, ',') THEN trim(substr(body, instr(body, ',') + 1)) ELSE '' END AS d, len(str_split(body, ',')) - 1 AS n FROM ft WHERE field = 'Dispositivos')
+    UNION ALL SELECT row_no, field, line_no, [CASE WHEN n > 2 THEN {_fault("bars")} END, CASE WHEN n = 2 AND trim(ps[1]) = '' THEN {_fault("left_empty")} END, CASE WHEN n = 2 AND trim(ps[2]) = '' THEN {_fault("right_empty")} END, NULL, NULL, NULL, NULL]
+    FROM (SELECT *, str_split(line, '|') AS ps, len(str_split(line, '|')) AS n FROM ft WHERE field = 'Vide')))
+WHERE fault IS NOT NULL""",
+        ("ft",),
+    ),
+    "ol": (
+        """
+SELECT doc_id, seq, section_id, parent_seq, title FROM (
+  SELECT n.doc_id, n.seq, data_section AS section_id, text || CASE WHEN subtitle <> '' THEN ' — ' || subtitle ELSE '' END AS title,
+    CASE WHEN is_norma THEN NULL ELSE coalesce((SELECT max(x.seq) FROM hr x WHERE x.doc_id = n.doc_id AND x.seq < n.seq AND x.rank < n.rank AND x.rank <> 0
+        AND NOT EXISTS (SELECT 1 FROM hr y WHERE y.doc_id = n.doc_id AND y.seq > x.seq AND y.seq < n.seq AND y.rank < x.rank)
+        AND NOT EXISTS (SELECT 1 FROM hr z WHERE z.doc_id = n.doc_id AND z.seq < n.seq AND z.seq > x.seq AND z.rank > x.rank AND z.rank < n.rank)),
+      CASE WHEN norma_no > 1 THEN (SELECT max(x.seq) FROM hr x WHERE x.doc_id = n.doc_id AND x.seq < n.seq AND x.is_norma) END) END AS parent_seq
+  FROM hr n WHERE NOT is_norma OR norma_no > 1)""",
+        ("hr",),
+    ),
+    "ln": (
+        r"""
+SELECT doc_id, seq, heading, bold, text, trim(text, _ws()) AS label, CASE WHEN heading THEN 'category' WHEN bold AND trim(text, _ws()) = upper(trim(text, _ws())) THEN 'group' ELSE 'entry' END AS kind
+FROM (SELECT CAST(floor(of / 64) AS BIGINT) AS doc_id, of * 1000000 + pos AS seq, of % 10 = 0 AND pos = 0 AS heading, line = upper(line) AS bold, CASE WHEN pos % 7 = 3 THEN line || ' – Art. 10, II.' ELSE line END AS text
+  FROM (SELECT doc_id AS of, unnest(range(0, len(ls))) AS pos, unnest(ls) AS line FROM (SELECT doc_id, str_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL)))
+WHERE trim(text, _ws()) <> ''""".replace("_ws()", "chr(9) || chr(11) || chr(12) || chr(13) || ' ' || chr(133) || chr(160) || chr(8232) || chr(8233) || chr(12288)"),
+        (),
+    ),
+    "en": (
+        r"""
+SELECT doc_id, seq, kind, category_no, group_no, CASE WHEN mk.kind = 'group' THEN mk.label ELSE '' END AS title,
+  CASE WHEN cut > 0 THEN rtrim(trim(regexp_extract(text, '[–—-]\s*Art\.\s*(.+)$', 1)), '.') END AS art_ref,
+  trim(CASE WHEN bold AND trim(shown) <> '' THEN '<b>' || esc || '</b>' ELSE esc END) AS html
+FROM (SELECT *, replace(replace(replace(shown, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS esc FROM (
+  SELECT *, CASE WHEN cut > 0 THEN regexp_replace(text, '\s*[–—-]\s*Art\.\s*.+$', '') ELSE text END AS shown FROM (
+    SELECT *, CASE WHEN regexp_matches(text, '[–—-]\s*Art\.\s*.+$') THEN 1 ELSE 0 END AS cut, CAST(count(*) FILTER (kind = 'category') OVER w AS BIGINT) AS category_no, CAST(count(*) FILTER (kind = 'group') OVER w AS BIGINT) AS group_no,
+      last_value(CASE WHEN kind <> 'entry' THEN {'kind': kind, 'label': label} END IGNORE NULLS) OVER w AS mk
+    FROM ln WINDOW w AS (PARTITION BY doc_id ORDER BY seq ROWS UNBOUNDED PRECEDING)))) WHERE kind = 'entry'""",
+        ("ln",),
+    ),
     "vd": ("SELECT row_no, subject, sub_subject, CAST(unnest(range(0, len(vides))) AS INTEGER) AS pos, unnest(vides) AS target FROM entries", ("entries",)),
 }
 
@@ -156,9 +261,29 @@ def _order(names: tuple[str, ...], seen: list[str]) -> list[str]:
     return seen
 
 
-def _sql(needs: str, body: str) -> str:
+def _sql(needs: str, body: str, recursive: bool = False) -> str:
     parts = ",\n".join(f"{n} AS ({_PARTS[n][0]})" for n in _order(tuple(needs.split()), []))
-    return f"WITH {parts}\n{body}" if parts else body
+    return f"WITH {'RECURSIVE ' * recursive}{parts}\n{body}" if parts else body
+
+
+#: Differences of pairs (x, y) of word lists: a table of common lengths by rows, then the way back through it.
+_DIFF = """
+base AS (SELECT row_number() OVER () AS id, x, y FROM (SELECT DISTINCT x, y FROM pairs)),
+dp AS (SELECT id, 0 AS i, list_transform(range(0, len(y) + 1), lambda z: CAST(0 AS BIGINT)) AS r FROM base
+  UNION ALL SELECT dp.id, i + 1, list_prepend(CAST(0 AS BIGINT), list_transform(range(1, len(y) + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda k: CASE WHEN y[k] = x[i + 1] THEN r[k] + 1 ELSE r[k + 1] END))))
+  FROM dp JOIN base USING (id) WHERE i < len(x)),
+back AS (SELECT id, len(x) AS i, len(y) AS j, CAST([] AS STRUCT(op VARCHAR, word VARCHAR)[]) AS parts FROM base
+  UNION ALL SELECT id, i - CAST(op <> 'ins' AS INTEGER), j - CAST(op <> 'del' AS INTEGER), list_prepend({'op': op, 'word': CASE WHEN op = 'ins' THEN y[j] ELSE x[i] END}, parts) FROM (
+    SELECT b.id, b.i, b.j, b.parts, x, y, CASE WHEN b.i > 0 AND b.j > 0 AND x[b.i] = y[b.j] THEN 'eq' WHEN b.j > 0 AND (b.i = 0 OR p.r[b.j] >= q.r[b.j + 1]) THEN 'ins' ELSE 'del' END AS op
+    FROM back b JOIN base USING (id) JOIN dp p ON p.id = b.id AND p.i = b.i LEFT JOIN dp q ON q.id = b.id AND q.i = b.i - 1 WHERE b.i > 0 OR b.j > 0)),
+parts AS (SELECT x, y, parts FROM back JOIN base USING (id) WHERE i = 0 AND j = 0)"""
+_WORDS = "list_filter(regexp_split_to_array({0}, '\\s+'), lambda w: w <> '')"
+
+
+
+
+def _escaped(column: str) -> str:
+    return f"replace(replace(replace(replace(replace({column}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;'), chr(39), '&#x27;')"
 
 
 _KEY = f"replace(translate(lower(text), '{ACCENTED}', '{PLAIN}'), chr(160), ' ')"
@@ -169,10 +294,11 @@ FROM a JOIN hr ON hr.doc_id = a.doc_id AND hr.seq < a.seq
 WHERE NOT EXISTS (SELECT 1 FROM hr x WHERE x.doc_id = a.doc_id AND x.seq > hr.seq AND x.seq < a.seq AND {closes}) GROUP BY ALL"""
 
 ORACLE_SQL: dict[str, str] = {
-    "search_all_terms": f"SELECT doc_id, source, CAST(length(text) AS INTEGER) AS n FROM documents WHERE lang = 'fr' AND contains({_KEY}, 'eaux') AND contains({_KEY}, 'tion')",
+    "search_all_terms": f"SELECT doc_id, lang, source, CAST(length(text) AS INTEGER) AS n FROM documents WHERE contains({_KEY}, 'eaux') AND contains({_KEY}, 'tion')",
     "search_phrase": f"SELECT doc_id, lang FROM documents WHERE contains({_KEY}, 'de la') AND contains({_KEY}, 'element')",
-    "search_keys": f"SELECT doc_id, md5({_KEY}) AS key_md5, replace(replace(replace(substr(text, 1, 200), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS start FROM documents",
+    "search_keys": f"SELECT doc_id, md5({_KEY}) AS key_md5, md5(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')) AS html_md5 FROM documents",
     "highlight_hits": f"SELECT doc_id, len(regexp_extract_all(text, '(?i)[eéèêë]l[eéèêë]m[eéèêë][nñ]t'))::INTEGER AS hits FROM documents WHERE contains({_KEY}, 'element')",
+    "highlight_html": "SELECT doc_id, md5(replace(replace(replace(replace(replace(regexp_replace(text, '(?i)([aáàâãä]mp[\\s\u00a0]+[eéèêë]t|[aáàâãä]mp|lt|q[uúùûü][eéèêë])', chr(64976) || '\\1' || chr(64977), 'g'), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(64976), '<mark>'), chr(64977), '</mark>')) AS html_md5 FROM documents",
     "page_text": "SELECT page_id, md5(regexp_replace(html, '<[^>]*>', '', 'g')) AS text_md5 FROM pages",
     "filter_pages": f"SELECT page_id FROM (SELECT page_id, regexp_replace(html, '<[^>]*>', '', 'g') AS text FROM pages) WHERE contains({_KEY}, 'reau') AND contains({_KEY}, 'elle')",
     "classify_units": _sql("c", "SELECT doc_id, seq, unit_type, identifier, art_number FROM c"),
@@ -187,17 +313,7 @@ ORACLE_SQL: dict[str, str] = {
     "article_revoked": _sql("v", "SELECT doc_id, block_id, bool_or(role = 'caput' AND is_revoked) AND NOT bool_or(role = 'child' AND NOT is_old_version AND NOT is_revoked) AS is_revoked FROM v GROUP BY doc_id, block_id"),
     "footnote_numbers": _sql("fn", "SELECT doc_id, seq, CAST(fn_id AS INTEGER) AS fn_id, kind = 'private' AS is_private, CAST(row_number() OVER (PARTITION BY doc_id, kind, CASE WHEN kind = 'private' THEN blk END ORDER BY seq) AS INTEGER) AS number FROM fn"),
     "article_summaries": _sql("a", "SELECT doc_id, block_id, art_number, law_prefix, summary FROM a"),
-    "unit_paths": _sql(
-        "v",
-        r"""
-SELECT doc_id, seq, CASE WHEN lv IS NULL THEN '' ELSE concat_ws(',', CASE WHEN r0.d = 0 THEN r0.s END, CASE WHEN r1.d = 1 THEN r1.s END, CASE WHEN r2.d = 2 THEN r2.s END, CASE WHEN r3.d = 3 THEN r3.s END) END AS path
-FROM (SELECT *, last_value(CASE WHEN lv <= 0 THEN st END IGNORE NULLS) OVER w AS r0, last_value(CASE WHEN lv <= 1 THEN st END IGNORE NULLS) OVER w AS r1,
-    last_value(CASE WHEN lv <= 2 THEN st END IGNORE NULLS) OVER w AS r2, last_value(CASE WHEN lv <= 3 THEN st END IGNORE NULLS) OVER w AS r3
-  FROM (SELECT *, {'d': lv, 's': CASE lv WHEN 0 THEN CASE WHEN unit_type = 'PARAGRAFO_UNICO' THEN '§ú' ELSE identifier END WHEN 2 THEN substr(identifier, 1, 1) WHEN 3 THEN regexp_extract(identifier, '^\d+') ELSE identifier END} AS st
-    FROM (SELECT *, CASE WHEN unit_type LIKE 'PARAGRAFO%' THEN 0 WHEN unit_type = 'INCISO' THEN 1 WHEN unit_type = 'ALINEA' THEN 2 WHEN unit_type IN ('SUB_ALINEA','ITEM_NUM') THEN 3 END AS lv
-      FROM v WHERE role = 'child' AND NOT is_old_version))
-  WINDOW w AS (PARTITION BY doc_id, block_id ORDER BY seq ROWS UNBOUNDED PRECEDING))""",
-    ),
+    "unit_paths": _sql("p0", "SELECT doc_id, seq, path FROM p0"),
     "element_counts": _sql("h a v", "SELECT 'headings' AS what, (SELECT count(*) FROM h) AS n UNION ALL SELECT 'articles', (SELECT count(*) FROM a) UNION ALL SELECT 'old_versions', (SELECT count(*) FROM v WHERE is_old_version) UNION ALL SELECT 'articles of ' || law_name, count(*) FROM a GROUP BY law_name"),
     "document_elements": _sql("h a", "SELECT doc_id, seq, 'heading' AS kind, data_section AS key FROM h UNION ALL SELECT doc_id, seq, 'article', CAST(block_id AS VARCHAR) FROM a"),
     "structure_snapshot": _sql(
@@ -328,4 +444,112 @@ SELECT doc_id, seq, '    <p class="old-version"' || CASE WHEN ii <> '' THEN ' da
 FROM (SELECT *, text AS ww, trim(regexp_extract(text, '^(.+?)\s+[-–—]\s', 1)) AS ii, regexp_extract(text, '\((Redação dada|Revogado)[^)]*\)') AS nn FROM v WHERE role = 'version')""",
     ),
     "heading_markdown": _sql("h", "SELECT doc_id, seq, CASE level WHEN 'TITULO' THEN '#' WHEN 'CAPITULO' THEN '##' ELSE '###' END || ' ' || text || CASE WHEN subtitle <> '' THEN ' — ' || subtitle ELSE '' END AS markdown FROM h"),
+    "next_versions": _sql("nv", "SELECT doc_id, seq, next_seq FROM nv"),
+    "word_diff": _sql(
+        "nv",
+        f"""
+, pairs AS (SELECT doc_id, seq, next_seq, {_WORDS.format("text")} AS x, {_WORDS.format("next_text")} AS y FROM nv),{_DIFF}
+SELECT doc_id, seq, next_seq, CAST(len(list_filter(parts, lambda p: p.op = 'eq')) AS INTEGER) AS kept, array_to_string(list_transform(list_filter(parts, lambda p: p.op = 'del'), lambda p: p.word), ' ') AS removed,
+  array_to_string(list_transform(list_filter(parts, lambda p: p.op = 'ins'), lambda p: p.word), ' ') AS added FROM pairs JOIN parts USING (x, y)""",
+        recursive=True,
+    ),
+    "turn_diff": f"""
+WITH RECURSIVE pairs AS (SELECT conv_id, turn, {_WORDS.format("coalesce(text, '')")} AS x, {_WORDS.format("next")} AS y
+  FROM (SELECT *, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS next FROM conversations WHERE role = 'assistant') WHERE next IS NOT NULL),{_DIFF}
+SELECT conv_id, turn, CAST(len(list_filter(parts, lambda p: p.op = 'eq')) AS INTEGER) AS kept, CAST(len(list_filter(parts, lambda p: p.op = 'del')) AS INTEGER) AS removed, CAST(len(list_filter(parts, lambda p: p.op = 'ins')) AS INTEGER) AS added
+FROM pairs JOIN parts USING (x, y)""",
+    "sheet_lint": _sql("sf", "SELECT * FROM sf"),
+    "locale_sort": r"""
+SELECT subject, CAST(row_number() OVER (ORDER BY subject COLLATE pt, subject) AS BIGINT) AS place
+FROM (SELECT DISTINCT unnest(regexp_split_to_array(text, '[^\p{L}]+')) AS subject FROM documents) WHERE subject <> ''""",
+    "outline_search": _sql(
+        "ol",
+        f"""
+, h0 AS (SELECT doc_id, seq, parent_seq FROM ol WHERE contains({_KEY.replace("text", "title")}, 'capitulo')),
+h1 AS (SELECT DISTINCT o.doc_id, o.seq, o.parent_seq FROM ol o JOIN h0 ON h0.doc_id = o.doc_id AND h0.parent_seq = o.seq), h2 AS (SELECT DISTINCT o.doc_id, o.seq, o.parent_seq FROM ol o JOIN h1 ON h1.doc_id = o.doc_id AND h1.parent_seq = o.seq),
+h3 AS (SELECT DISTINCT o.doc_id, o.seq, o.parent_seq FROM ol o JOIN h2 ON h2.doc_id = o.doc_id AND h2.parent_seq = o.seq)
+SELECT doc_id, seq, section_id FROM ol WHERE (doc_id, seq) IN (SELECT (doc_id, seq) FROM h0 UNION SELECT (doc_id, seq) FROM h1 UNION SELECT (doc_id, seq) FROM h2 UNION SELECT (doc_id, seq) FROM h3)""",
+    ),
+    "ref_resolve": _sql(
+        "refs m",
+        """
+, r AS (SELECT row_no || '/' || line || '/' || step || '/' || sub AS ref_id, CAST(floor(row_no * 15 / 512) AS BIGINT) AS doc_id, law_prefix AS law, art, trim(detail) AS d FROM refs),
+t AS (SELECT r.ref_id, r.doc_id, r.d, arg_min({'block_id': a.block_id, 'seq': a.seq}, (CASE WHEN law = '' THEN CAST(a.law_prefix <> '' AS INTEGER) ELSE 0 END, a.seq)) AS a
+  FROM r JOIN a ON a.doc_id = r.doc_id AND a.art_number = r.art AND (law = '' OR a.law_prefix = law) GROUP BY ALL),
+live AS (SELECT *, CASE WHEN role = 'caput' THEN 'caput' END AS c FROM m WHERE NOT is_old_version OR role = 'caput')
+SELECT t.ref_id, t.doc_id, t.a.block_id AS block_id, CASE WHEN max(u.seq) IS NULL THEN 'card' WHEN lower(t.d) = 'caput' THEN 'caput' ELSE 'unit' END AS target, coalesce(arg_min(u.seq, (CAST(u.role <> 'caput' AS INTEGER), u.seq)), t.a.seq) AS target_seq
+FROM t LEFT JOIN live u ON u.doc_id = t.doc_id AND u.block_id = t.a.block_id AND t.d <> '' AND (CASE WHEN lower(t.d) = 'caput' THEN u.c = 'caput' ELSE u.path = t.d OR u.identifier = t.d OR (u.identifier = 'Parágrafo único' AND t.d = '§ú') END)
+GROUP BY t.ref_id, t.doc_id, t.d, t.a""",
+    ),
+    "marker_labels": _sql(
+        "m",
+        r"""
+SELECT uid, replace(regexp_replace(regexp_replace(replace(label, 'Parágrafo único', '§ú'), 'Art\.\s*', '', 'g'), '\s+', '', 'g'), 'º', '') AS label FROM (
+  SELECT uid, arg_min(CASE WHEN law_prefix <> '' THEN law_prefix || ':' ELSE '' END || CASE WHEN path <> '' THEN 'Art.' || art_number || ',' || path WHEN NOT starts_with(identifier, 'Art.') THEN 'Art.' || art_number || ',' || identifier ELSE identifier END, (doc_id, seq)) AS label
+  FROM m GROUP BY uid)""",
+    ),
+    "article_cards": _sql(
+        "m",
+        f"""
+, g AS (SELECT *, {_escaped("body")} AS b, {_escaped("text")} AS t, CASE WHEN path = '' THEN 1 ELSE len(str_split(path, ',')) END AS depth,
+    list_prepend(regexp_replace(art_number, '^ADT', ''), list_transform(list_slice(str_split(path, ','), 1, len(str_split(path, ',')) - 1), lambda s: regexp_replace(s, '§\\s*(\\d+)º', '§\\1'))) AS above,
+    trim(regexp_extract(text, '^(.+?)\\s+[-–—]\\s', 1)) AS ident FROM m),
+l AS (SELECT *, CASE WHEN old THEN '    <p class="old-version' || CASE WHEN role = 'child' THEN ' art-para' ELSE '' END || '"' || CASE WHEN ident <> '' THEN ' data-ident="' || ident || '"' ELSE '' END || '>' || t || CASE WHEN note <> '' THEN ' <span class="amendment-note">' || note || '</span>' ELSE '' END || '</p>'
+  ELSE '    <p' || CASE WHEN role = 'caput' THEN '' ELSE ' class="art-para"' || CASE WHEN depth > 1 THEN ' style="--depth:' || depth || '"' ELSE '' END END || '>'
+    || CASE WHEN role <> 'caput' AND depth >= 2 THEN array_to_string(list_transform(range(1, len(above) + 1), lambda k: '<span class="indent-path" style="--col:' || (k - 1) || '">' || above[k] || '</span>'), '') ELSE '' END
+    || '<span class="unit-id" data-uid="' || uid || '"' || CASE WHEN path <> '' THEN ' data-path="' || path || '"' ELSE '' END || '>' || identifier || '</span> — ' || CASE WHEN b <> '' AND has_strike THEN '<s>' || b || '</s>' ELSE b END
+    || CASE WHEN fn_no IS NOT NULL THEN '<sup class="footnote-ref" data-note="' || fn_no || '">[' || fn_no || ']</sup>' ELSE '' END || '</p>'
+    || CASE WHEN fn_no IS NOT NULL THEN chr(10) || '    <div class="footnote-box" data-note="' || fn_no || '">' || chr(10) || '      <button class="footnote-close">&times;</button>' || chr(10) || '      <strong>Nota ' || fn_no || ':</strong> note ' || fn_id || chr(10) || '    </div>' ELSE '' END END AS line FROM g),
+q AS (SELECT doc_id, block_id, string_agg(line, chr(10) ORDER BY CASE role WHEN 'version' THEN 0 WHEN 'caput' THEN 1 ELSE 2 END, seq) AS lines, bool_or(role = 'caput' AND is_revoked) AND NOT bool_or(role = 'child' AND NOT is_old_version AND NOT is_revoked) AS revoked FROM l GROUP BY ALL)
+SELECT a.doc_id, a.seq, '  <div class="card card-artigo' || CASE WHEN revoked THEN ' revoked' ELSE '' END || '" data-art="' || art_number || '"' || CASE WHEN law_prefix <> '' THEN ' data-law="' || law_prefix || '"' ELSE '' END || '>' || chr(10)
+  || '    <span class="art-compact-label">Art. ' || art_number || '</span>' || chr(10) || CASE WHEN summary <> '' THEN '    <span class="art-summary">' || summary || '</span>' || chr(10) ELSE '' END
+  || CASE WHEN law_prefix <> '' THEN '    <span class="law-badge">' || law_prefix || '</span>' || chr(10) ELSE '' END || lines || chr(10) || '  </div>' AS html FROM a JOIN q USING (doc_id, block_id)""",
+    ),
+    "article_markdown": _sql(
+        "m",
+        """
+, l AS (SELECT *, CASE WHEN old THEN '*[Versão supersedida]* ' || text || CASE WHEN note <> '' THEN ' *' || note || '*' ELSE '' END
+    ELSE concat_ws(chr(10) || chr(10), CASE WHEN role = 'caput' THEN nullif(trim(shown), '') ELSE CASE WHEN unit_type = 'ALINEA' THEN '  ' WHEN unit_type IN ('SUB_ALINEA', 'ITEM_NUM') THEN '    ' ELSE '' END || '**' || identifier || '** — ' || shown END,
+      CASE WHEN fn_no IS NOT NULL THEN '> **Nota ' || fn_no || ':** note ' || fn_id || CASE WHEN is_private THEN ' *(nota privada)*' ELSE '' END END) END AS block,
+    CASE WHEN role = 'caput' THEN 0 WHEN NOT old THEN 1 WHEN role = 'version' THEN 2 ELSE 3 END AS rk FROM (SELECT *, CASE WHEN has_strike AND body <> '' THEN '~~' || body || '~~' ELSE body END AS shown FROM m)),
+q AS (SELECT doc_id, block_id, string_agg(block, chr(10) || chr(10) ORDER BY rk, seq) FILTER (rk < 2 AND block <> '') AS now, string_agg(block, chr(10) || chr(10) ORDER BY rk, seq) FILTER (rk > 1) AS older FROM l GROUP BY ALL)
+SELECT a.doc_id, a.seq, concat_ws(chr(10) || chr(10), '#### Art. ' || CASE WHEN law_prefix <> '' THEN law_prefix || ':' ELSE '' END || art_number || CASE WHEN summary <> '' THEN ' — ' || summary ELSE '' END, now,
+  '---' || chr(10) || chr(10) || '*Versões anteriores deste artigo:*' || chr(10) || chr(10) || older) AS markdown FROM a JOIN q USING (doc_id, block_id)""",
+    ),
+    "subject_markdown": _sql(
+        "refs entries",
+        """
+, rl AS (SELECT row_no, string_agg(chr(10) || '- Art. ' || CASE WHEN law_prefix <> '' THEN law_prefix || ':' ELSE '' END || art || CASE WHEN detail <> '' THEN ', ' || detail ELSE '' END || CASE WHEN hint <> '' THEN ' *(' || hint || ')*' ELSE '' END, '' ORDER BY line, step, sub) AS rs FROM refs GROUP BY row_no),
+x AS (SELECT e.*, coalesce(rs, '') AS rs, array_to_string(list_transform(vides, lambda z: chr(10) || chr(10) || '*Vide: ' || replace(z, '|', ' — ') || '*'), '') AS vs FROM entries e LEFT JOIN rl USING (row_no))
+SELECT subject, chr(10) || '## ' || subject || coalesce(string_agg(rs, '' ORDER BY row_no) FILTER (sub_subject = ''), '') || coalesce(string_agg(vs, '' ORDER BY row_no) FILTER (sub_subject = ''), '')
+  || coalesce(string_agg(chr(10) || chr(10) || '### ' || sub_subject || rs || vs, '' ORDER BY row_no, sub_subject) FILTER (sub_subject <> ''), '') AS markdown FROM x GROUP BY subject""",
+    ),
+    "element_json": _sql(
+        "m h",
+        """
+, o AS (SELECT *, '{"unit_type":"' || unit_type || '","identifier":' || to_json(identifier) || ',"uid":' || to_json(uid) || ',"text":' || to_json(text) || ',"runs":[' || CASE WHEN instr(text, ' - ') > 0 THEN
+      '{"text":' || to_json(substr(text, 1, instr(text, ' - '))) || ',"bold":true' || st || '},{"text":' || to_json(substr(text, instr(text, ' - ') + 1)) || st || '}' ELSE '{"text":' || to_json(text) || st || '}' END
+    || '],"is_revoked":' || is_revoked || ',"is_old_version":' || is_old_version || ',"amendment_note":' || to_json(note) || ',"children":[]}' AS j FROM (SELECT *, CASE WHEN has_strike THEN ',"strike":true' ELSE '' END AS st FROM m)),
+q AS (SELECT doc_id, block_id, any_value(j) FILTER (role = 'caput') AS caput, coalesce(string_agg(j, ',' ORDER BY seq) FILTER (role = 'child'), '') AS children, coalesce(string_agg(j, ',' ORDER BY seq) FILTER (role = 'version'), '') AS versions,
+  bool_or(role = 'caput' AND is_revoked) AND NOT bool_or(role = 'child' AND NOT is_old_version AND NOT is_revoked) AS revoked FROM o GROUP BY ALL)
+SELECT doc_id, seq, '{"type":"heading","level":"' || level || '","text":' || to_json(text) || ',"subtitle":' || to_json(subtitle) || ',"data_section":"' || data_section || '"}' AS json FROM h
+UNION ALL SELECT a.doc_id, a.seq, '{"type":"article","art_number":"' || art_number || '","is_adt":' || is_adt || ',"is_revoked":' || revoked || ',"caput":' || caput || ',"children":[' || children || '],"all_versions":[' || versions || ']'
+  || CASE WHEN summary <> '' THEN ',"summary":"' || summary || '"' ELSE '' END || CASE WHEN law_name <> '' THEN ',"law_name":' || to_json(law_name) ELSE '' END || CASE WHEN law_prefix <> '' THEN ',"law_prefix":"' || law_prefix || '"' ELSE '' END || '}' FROM a JOIN q USING (doc_id, block_id)""",
+    ),
+    "reference_entries": _sql("en", "SELECT doc_id, seq, category_no, group_no, title, md5(html) AS html_md5, art_ref FROM en"),
+    "reference_filter": _sql(
+        "en",
+        f"""
+SELECT doc_id, seq, trim(regexp_split_to_array(replace(replace(replace(coalesce(art_ref, ''), 'º', ''), '°', ''), 'ª', ''), '[,\\s]')[1]) AS article
+FROM (SELECT *, regexp_replace(html, '<[^>]*>', '', 'g') AS text FROM en) WHERE (contains({_KEY}, 'the') AND contains({_KEY}, 'tion')) OR (contains({_KEY.replace("text", "title")}, 'the') AND contains({_KEY.replace("text", "title")}, 'tion'))""",
+    ),
+    "information_pages": _sql(
+        "ln",
+        """
+SELECT doc_id, CAST(length(html) AS INTEGER) AS chars, md5(html) AS html_md5 FROM (SELECT doc_id, string_agg(CASE WHEN heading THEN '<h3>' ELSE '<p>' END || replace(replace(replace(label, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || CASE WHEN heading THEN '</h3>' ELSE '</p>' END, chr(10) ORDER BY seq) AS html FROM ln GROUP BY doc_id)""",
+    ),
 }
+_of = lambda name: f"SELECT count(*) FROM ({ORACLE_SQL[name]})"
+ORACLE_SQL["issue_counts"] = f"""
+SELECT * FROM (SELECT 'ref_cruzada' AS category, 'erro' AS severity, ({_of("dangling_refs")}) AS n UNION ALL SELECT 'vide', 'aviso', ({_of("dangling_see_also")})
+  UNION ALL SELECT 'formato', 'aviso', ({_of("sheet_lint")}) UNION ALL SELECT 'docx', 'aviso', ({_of("lint_codes")})) WHERE n > 0"""

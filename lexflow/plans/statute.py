@@ -2,7 +2,6 @@
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +9,7 @@ from lexflow.operators import checks, classify, export, markdown, outline, rende
 from lexflow.schemas import FOOTNOTE_DEFS, LAWS, SUBJECT_ROWS
 from lexflow.sources import ooxml, sinks
 from lexflow.sources.config import Config
-from lexflow.session import prepare
+from lexflow.session import prepare, stored
 
 
 @dataclass
@@ -25,17 +24,17 @@ class Statute:
 def build(paragraphs: DataFrame, footnote_defs: DataFrame | None = None, laws: DataFrame | None = None, prefix_uids: bool = True) -> Statute:
     """The statute of a paragraph table: versions resolved, articles stamped with their laws.
 
-    All windows are over (doc_id, seq), so the stream is exchanged and sorted once, and the states of its rows
-    are kept, on disk where memory is short, as headings, articles, units and footnotes all come from them.
+    All windows are over (doc_id, seq), so the stream is exchanged and sorted once. The states of its rows, its
+    provisions and its articles are tables in the shared folder (see lexflow.session), as all else comes from them.
     prefix_uids puts a law's prefix into the uids of its units, as pages do and Markdown doesn't.
     """
     spark = prepare(paragraphs.sparkSession)
     defs = footnote_defs if footnote_defs is not None else spark.createDataFrame([], FOOTNOTE_DEFS)
-    states = structure.states(structure.events(classify.classify(paragraphs))).persist(StorageLevel.MEMORY_AND_DISK)
-    units = versions.resolve(structure.units(states))
+    states = stored(structure.states(structure.events(classify.classify(paragraphs))), "states")
+    units = stored(versions.resolve(structure.units(states)), "units")
     articles = structure.articles(states, structure.article_summaries(states, defs))
     articles = targets.stamp_articles(articles, laws if laws is not None else spark.createDataFrame([], LAWS))
-    articles = articles.join(versions.revoked_articles(units), ["doc_id", "block_id"])
+    articles = stored(articles.join(versions.revoked_articles(units), ["doc_id", "block_id"]), "articles")
     units = targets.stamp_units(units, articles) if prefix_uids else units.join(articles.select("doc_id", "block_id", "law_prefix"), ["doc_id", "block_id"])
     notes = structure.footnotes(states, defs)
     return Statute(structure.headings(states), articles, render.with_notes(targets.paths(units), notes, defs), notes, defs)

@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 from lexflow.schemas import RUNS
 from lexflow.session import prepare
 
-DOCS = 64
+#: Orders that make a document: documents keep their size as tables grow, and there are more of them.
+SIZE = 256
 
 STATUTE_SQL = """
 WITH o AS (
-  SELECT o_orderkey % 64 AS doc_id, CAST(floor(o_orderkey / 64) AS BIGINT) AS k, o_orderkey, o_orderstatus, o_orderpriority, o_custkey
+  SELECT CAST(floor(o_orderkey / 256) AS BIGINT) AS doc_id, o_orderkey % 256 AS k, o_orderkey, o_orderstatus, o_orderpriority, o_custkey
   FROM {orders}),
 l AS (
   SELECT o.doc_id, o.k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate) AS rn,

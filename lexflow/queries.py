@@ -1,6 +1,5 @@
 """The queries of the statute operators, one for each group of them, and the SQL that checks them."""
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -8,6 +7,7 @@ from lexflow.functions import text as T
 from lexflow.operators import checks, classify, diff, export, markdown, outline, render, search, side_documents, structure, subjects, targets, versions
 from lexflow.plans import statute, views
 from lexflow.plans.views import table
+from lexflow.session import stored
 
 
 def _classified(spark, d) -> DataFrame:
@@ -39,9 +39,13 @@ def _entries(spark, d) -> DataFrame:
     return subjects.entries(views.subject_sheet(spark, d))
 
 
-def _refs(spark, d) -> DataFrame:
-    arts = _articles(spark, d)
-    lettered = arts.select("art_number").where("art_number rlike '^[0-9]+-[A-Z]$'").distinct()
+def _known(spark, d) -> DataFrame:
+    """The articles as a table, for what reads them more than once."""
+    return stored(_articles(spark, d), "articles")
+
+
+def _refs(spark, d, articles: DataFrame) -> DataFrame:
+    lettered = articles.select("art_number").where("art_number rlike '^[0-9]+-[A-Z]$'").distinct()
     return subjects.references(_entries(spark, d), lettered)
 
 
@@ -49,8 +53,8 @@ def _refs(spark, d) -> DataFrame:
 
 
 def search_all_terms(spark: SparkSession, d: str) -> DataFrame:
-    rows = search.search_texts(table(spark, d, "documents").where("lang = 'fr'"), "eaux tion")
-    return rows.select("doc_id", "source", F.length("text").alias("n"))
+    rows = search.search_texts(table(spark, d, "documents"), "eaux tion")
+    return rows.select("doc_id", "lang", "source", F.length("text").alias("n"))
 
 
 def search_phrase(spark, d):
@@ -59,7 +63,7 @@ def search_phrase(spark, d):
 
 def search_keys(spark, d):
     rows = table(spark, d, "documents")
-    return rows.select("doc_id", F.md5(T.search_key(F.col("text"))).alias("key_md5"), T.escape_html(F.substring("text", 1, 200)).alias("start"))
+    return rows.select("doc_id", F.md5(T.search_key(F.col("text"))).alias("key_md5"), F.md5(T.escape_html(F.col("text"))).alias("html_md5"))
 
 
 def highlight_hits(spark, d):
@@ -67,6 +71,11 @@ def highlight_hits(spark, d):
     return rows.select("doc_id", F.regexp_count(T.highlight(F.col("text"), [], ["element"]), F.lit("<mark>")).alias("hits"))
 
 
+def highlight_html(spark, d):
+    """Hits beside and inside entities of the escaped text."""
+    return table(spark, d, "documents").select("doc_id", F.md5(T.highlight(F.col("text"), ["amp et"], ["amp", "lt", "que"])).alias("html_md5"))
+
+
 def page_text(spark, d):
     return table(spark, d, "pages").select("page_id", F.md5(T.tagless(F.col("html"))).alias("text_md5"))
 
@@ -156,34 +165,36 @@ def device_lines(spark, d):
 
 
 def range_expand(spark, d):
-    return _refs(spark, d).where("step > 0").select("row_no", "line", "step", "art")
+    return _refs(spark, d, _articles(spark, d)).where("step > 0").select("row_no", "line", "step", "art")
 
 
 def subject_index_flat(spark, d):
-    refs = subjects.transitional_refs(_refs(spark, d), _articles(spark, d))
+    arts = _known(spark, d)
+    refs = subjects.transitional_refs(_refs(spark, d, arts), arts)
     return refs.groupBy("subject", "sub_subject").agg(F.count("*").alias("n_refs"), F.countDistinct("law_prefix", "art").alias("n_articles"))
 
 
 def subject_index_nested(spark, d):
-    index = subjects.nested_index(_entries(spark, d), _refs(spark, d))
+    index = subjects.nested_index(_entries(spark, d), _refs(spark, d, _known(spark, d)))
     every = subjects.all_refs(index).select("subject", F.size("refs").alias("n_all"))
     return index.join(every, "subject").select("subject", F.coalesce(F.size("refs"), F.lit(0)).alias("n_own"), F.coalesce(F.size("children"), F.lit(0)).alias("n_children"), F.coalesce(F.size("vides"), F.lit(0)).alias("n_vides"), "n_all")
 
 
 def subject_filter(spark, d):
-    index = subjects.filter_index(subjects.nested_index(_entries(spark, d), _refs(spark, d)), "brand#1 4")
-    below = subjects.filter_index(subjects.nested_index(_entries(spark, d), _refs(spark, d)), "small")
+    whole = subjects.nested_index(_entries(spark, d), _refs(spark, d, _known(spark, d)))
+    index, below = subjects.filter_index(whole, "brand#1 4"), subjects.filter_index(whole, "small")
     rows = index.withColumn("query", F.lit("subject")).unionByName(below.withColumn("query", F.lit("below")))
     return rows.select("query", "subject", F.coalesce(F.size("children"), F.lit(0)).alias("n_children"))
 
 
 def formatted_refs(spark, d):
-    refs = _refs(spark, d)
-    return subjects.formatted_refs(refs, subjects.summaries(_articles(spark, d))).select("row_no", "line", "step", "sub", "label", "hint")
+    arts = _known(spark, d)
+    return subjects.formatted_refs(_refs(spark, d, arts), subjects.summaries(arts)).select("row_no", "line", "step", "sub", "label", "hint")
 
 
 def dangling_refs(spark, d):
-    return checks.dangling_references(_refs(spark, d), _articles(spark, d))
+    arts = _known(spark, d)
+    return checks.dangling_references(_refs(spark, d, arts), arts)
 
 
 def dangling_see_also(spark, d):
@@ -203,15 +214,15 @@ def lint_codes(spark, d):
 
 
 def issue_counts(spark, d):
-    refs, entries = _refs(spark, d), _entries(spark, d)
-    found = checks.issues(checks.dangling_references(refs, _articles(spark, d)), checks.dangling_see_also(entries), checks.sheet_faults(views.subject_sheet(spark, d), ["CF", "LO"]), checks.document_lint(views.paragraphs(spark, d)))
+    arts, entries = _known(spark, d), _entries(spark, d)
+    found = checks.issues(checks.dangling_references(_refs(spark, d, arts), arts), checks.dangling_see_also(entries), checks.sheet_faults(views.subject_sheet(spark, d), ["CF", "LO"]), checks.document_lint(views.paragraphs(spark, d)))
     return checks.issue_counts(found)
 
 
 def locale_sort(spark, d):
     """All words of documents with their place in dictionary order."""
     words = table(spark, d, "documents").select(F.explode(F.split("text", r"[^\p{L}]+")).alias("subject")).where("subject <> ''").distinct()
-    return subjects.display_places(words.persist(StorageLevel.MEMORY_AND_DISK))
+    return subjects.display_places(stored(words, "words"))
 
 
 # Outline, context, targets.
@@ -226,7 +237,7 @@ def section_ranges(spark, d):
 
 
 def outline_search(spark, d):
-    index = outline.systematic_index(_headings(spark, d), _articles(spark, d))
+    index = stored(outline.systematic_index(_headings(spark, d), _known(spark, d)), "outline")
     return outline.outline_matches(index, "capitulo").select("doc_id", "seq", "section_id")
 
 
@@ -249,7 +260,7 @@ def heading_titles(spark, d):
 
 def subject_semi_filter(spark, d):
     s = _statute(spark, d)
-    refs = _refs(spark, d).where("subject = 'Brand#11'")
+    refs = _refs(spark, d, s.articles).where("subject = 'Brand#11'")
     return search.of_subject(statute.cards(s), refs).select("doc_id", "seq", "law_prefix", "art_number")
 
 
@@ -275,7 +286,7 @@ def search_paging(spark, d):
 
 def ref_resolve(spark, d):
     s = _statute(spark, d)
-    refs = _refs(spark, d).select(F.concat_ws("/", "row_no", "line", "step", "sub").alias("ref_id"), (F.col("row_no") % views.DOCS).alias("doc_id"), "law_prefix", "art", "detail")
+    refs = _refs(spark, d, s.articles).select(F.concat_ws("/", "row_no", "line", "step", "sub").alias("ref_id"), F.floor(F.col("row_no") * 15 / 512).alias("doc_id"), "law_prefix", "art", "detail")
     return targets.resolve_refs(refs, s.articles, s.units)
 
 
@@ -285,8 +296,11 @@ def marker_labels(spark, d):
 
 
 def word_diff(spark, d):
-    rows = diff.version_diffs(_units(spark, d))
-    return rows.select("doc_id", "seq", "next_seq", F.size(F.filter("parts", lambda p: p["op"] == "eq")).alias("kept"), F.array_join(F.transform(F.filter("parts", lambda p: p["op"] == "del"), lambda p: p["word"]), " ").alias("removed"), F.array_join(F.transform(F.filter("parts", lambda p: p["op"] == "ins"), lambda p: p["word"]), " ").alias("added"))
+    def of(op: str):
+        return F.filter("parts", lambda p: p["op"] == op)
+
+    words = lambda op: F.array_join(F.transform(of(op), lambda p: p["word"]), " ")
+    return diff.version_diffs(_units(spark, d)).select("doc_id", "seq", "next_seq", F.size(of("eq")).alias("kept"), words("del").alias("removed"), words("ins").alias("added"))
 
 
 def turn_diff(spark, d):
@@ -296,7 +310,11 @@ def turn_diff(spark, d):
     rows = table(spark, d, "conversations").where("role = 'assistant'")
     rows = rows.withColumn("next", F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))).where("next is not null")
     parts = diff.word_diff_column(F.coalesce("text", F.lit("")), "next")
-    return rows.select("conv_id", "turn", parts.alias("parts")).select("conv_id", "turn", *[F.size(F.filter("parts", lambda p, o=o: p["op"] == o)).alias(n) for o, n in (("eq", "kept"), ("del", "removed"), ("ins", "added"))])
+
+    def of(op: str, name: str):
+        return F.size(F.filter("parts", lambda p: p["op"] == op)).alias(name)
+
+    return rows.select("conv_id", "turn", parts.alias("parts")).select("conv_id", "turn", of("eq", "kept"), of("del", "removed"), of("ins", "added"))
 
 
 # Renderers.
@@ -325,7 +343,7 @@ def heading_markdown(spark, d):
 
 
 def subject_markdown(spark, d):
-    return markdown.subject_markdown(subjects.nested_index(_entries(spark, d), _refs(spark, d))).drop("first_row")
+    return markdown.subject_markdown(subjects.nested_index(_entries(spark, d), _refs(spark, d, _known(spark, d)))).drop("first_row")
 
 
 def element_json(spark, d):
@@ -334,9 +352,9 @@ def element_json(spark, d):
 
 
 def _lines(spark, d) -> DataFrame:
-    """The lines of documents as styled paragraphs: the first line of every tenth document is a heading, a line in capitals bold."""
-    rows = table(spark, d, "documents").select((F.col("doc_id") % 16).alias("doc_id"), F.col("doc_id").alias("of"), F.posexplode(F.split("text", "\n")).alias("pos", "text"))
-    heading = (F.col("of") % 160 < 16) & (F.col("pos") == 0)
+    """The lines of documents as styled paragraphs, 64 documents in one: the first line of every tenth is a heading, a line in capitals bold."""
+    rows = table(spark, d, "documents").select(F.floor(F.col("doc_id") / 64).alias("doc_id"), F.col("doc_id").alias("of"), F.posexplode(F.split("text", "\n")).alias("pos", "text"))
+    heading = (F.col("of") % 10 == 0) & (F.col("pos") == 0)
     bold = F.col("text") == F.upper("text")
     text = F.when(F.col("pos") % 7 == 3, F.concat("text", F.lit(" – Art. 10, II."))).otherwise(F.col("text"))
     return rows.select("doc_id", (F.col("of") * 1_000_000 + F.col("pos")).alias("seq"), F.when(heading, "Heading1").alias("style"), F.array(F.struct(text.alias("text"), bold.alias("bold"))).alias("runs"), text.alias("text"), bold.alias("all_bold"), (T.strip(text) == "").alias("is_empty"))
@@ -357,7 +375,7 @@ def information_pages(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        search_all_terms, search_phrase, search_keys, highlight_hits, page_text, filter_pages,
+        search_all_terms, search_phrase, search_keys, highlight_hits, highlight_html, page_text, filter_pages,
         classify_units, unit_type_counts, amendment_notes, section_headings, law_ffill, version_islands, hier_uid, uid_dedup, old_versions, article_revoked, next_versions,
         footnote_numbers, article_summaries, unit_paths, element_counts, document_elements, structure_snapshot,
         device_lines, range_expand, subject_index_flat, subject_index_nested, subject_filter, formatted_refs, dangling_refs, dangling_see_also, see_also_links, sheet_lint, lint_codes, issue_counts, locale_sort,

@@ -1,6 +1,9 @@
-"""What every query needs of its session."""
+"""What every query needs of its session: settings, and the folder that its executors share."""
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -8,7 +11,47 @@ def prepare(spark: SparkSession) -> SparkSession:
 
     There a union of two children with the same hash partitioning keeps it; when adaptive execution then
     coalesces the children's shuffles differently, partitions of one child are read past. The setting holds
-    for plans made later, so it stays set.
+    for plans made later, so it stays set for the session.
     """
     spark.conf.set("spark.sql.unionOutputPartitioning", "false")
     return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of this application within the one that driver and executors share, ``spark.checkpoint.dir`` of the session.
+
+    Where that is unset, a session whose executors are threads of the driver gets a temporary folder for it, as
+    in tests; any other is an error.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="lexflow-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return f"{root.rstrip('/')}/lexflow-{spark.sparkContext.applicationId}"
+
+
+def shared_path(spark: SparkSession, what: str) -> str:
+    """A new path below the shared folder."""
+    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, what: str, share: int = 1) -> DataFrame:
+    """df written as a table in the shared folder and read again: cuts the lineage, survives lost executors.
+
+    share says how many shuffle partitions make one file, for tables whose rows are few and small beside the
+    input (ids, edges): it saves files and tasks and grows with the session's number of partitions.
+    """
+    spark = prepare(df.sparkSession)
+    if share > 1:
+        df = df.coalesce(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // share))
+    df.write.parquet(path := shared_path(spark, what))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all intermediate tables of this application; frames that still read them must have been written."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
