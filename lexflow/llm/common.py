@@ -1,12 +1,11 @@
-"""Things that several corpus operators share: tables, the shared folder, row locators and word rules."""
-
-import tempfile
-import uuid
+"""Things that several corpus operators share: tables, row locators, joins on hot keys and word rules."""
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexflow.session import prepare
+from lexflow.session import prepare, shared_path, stored
+
+__all__ = ["HOT", "ROW_BY_ROW", "SPACE", "bounded", "free_name", "joined", "located", "shared_path", "stored", "table"]
 
 #: ASCII white space, as every word rule of this subpackage sees it.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -17,36 +16,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
-
-    Only where it is unset, as in local tests, a temporary folder takes its place.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="lexflow-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
-def shared_path(spark: SparkSession, what: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, what: str, share: int = 1) -> DataFrame:
-    """df written as a table in the shared folder and read again: cuts the lineage, survives lost executors.
-
-    share says how many shuffle partitions make one file, for tables whose rows are few and small beside the
-    corpus (ids, edges): it saves files and tasks and grows with the session's number of partitions.
-    """
-    spark = prepare(df.sparkSession)
-    if share > 1:
-        df = df.coalesce(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // share))
-    df.write.parquet(path := shared_path(spark, what))
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def free_name(name: str, columns: list[str]) -> str:
     """name, or the first of name_, name__ and so on that no column has."""
     taken = {c.lower() for c in columns}
