@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from lexflow.functions.text import escape_html, strip, tagless
 from lexflow.operators.search import has_all
+from lexflow.operators.targets import base_article
 
 #: An article named at a text's end. Fixed value.
 ARTICLE_AT_END = r"(?U)\s*[–—-]\s*Art\.\s*(.+)$"
@@ -67,6 +68,20 @@ def filter_entries(entries: DataFrame, query: str) -> DataFrame:
     return entries.where(has_all(tagless(F.col("html")), query) | has_all(F.col("title"), query))
 
 
+def category_rows(entries: DataFrame, category_no: int, query: str = "") -> DataFrame:
+    """One category's tab, a row a line: doc_id, group_no, seq, kind (title or entry), html, article.
+
+    A group's title (seq of its first entry) comes before its entries; untitled groups have none. With a query, entries
+    are those of filter_entries, and a title shows with any of its own. article is where an entry's link leads.
+    """
+    rows = entries.where(F.col("category_no") == category_no)
+    shown = filter_entries(rows, query) if query.strip() else rows
+    link = F.when(F.col("art_ref").isNotNull(), F.concat(F.lit(" — Art. "), "art_ref")).otherwise("")
+    lines = shown.select("doc_id", "group_no", "seq", F.lit("entry").alias("kind"), F.concat("html", escape_html(link)).alias("html"), base_article(F.coalesce("art_ref", F.lit(""))).alias("article"))
+    titles = shown.where("title <> ''").groupBy("doc_id", "group_no", "title").agg(F.min("seq").alias("seq")).select("doc_id", "group_no", "seq", F.lit("title").alias("kind"), escape_html(F.col("title")).alias("html"), F.lit("").alias("article"))
+    return lines.unionByName(titles)
+
+
 def information_html(paragraphs: DataFrame) -> DataFrame:
     """doc_id, html of information pages: headings as h3, other text as p."""
     rows = paragraphs.withColumn("text", strip(F.col("text"))).where("text <> ''")

@@ -190,3 +190,35 @@ def filter_index(index: DataFrame, query: str) -> DataFrame:
     rows = index.withColumns({"__own": own, "__below": below})
     rows = rows.where(F.col("__own") | (F.size("__below") > 0))
     return rows.withColumn("children", F.when(F.col("__own"), F.col("children")).otherwise(F.col("__below"))).drop("__own", "__below")
+
+
+def index_rows(entries: DataFrame, refs: DataFrame, summaries: DataFrame, query: str = "") -> DataFrame:
+    """The subject index as a page shows it, a row a line: subject, row_no, at, kind, key, has_refs, html, hint.
+
+    kind is subject, sub, ref or vide. A subject's line (row_no 0) comes first, then its own references and
+    see-also lines, then each sub-subject with its own, in the sheet's order; key names (sub-)subjects without
+    accents and case; has_refs says whether a click on one finds anything, below it included; hint is a reference's hint or its
+    article's summary. With a query, subjects and sub-subjects are those of filter_index, and its words are marked.
+    """
+    from lexflow.functions.text import highlight, plain
+    from lexflow.operators.search import has_all
+
+    show = lambda c: highlight(c, [], plain(query).split())
+    own = F.when(F.col("sub_subject") == "", 0).otherwise(F.col("row_no"))
+    rows = entries.select("subject", "row_no", "sub_subject", "vides", own.alias("part"))
+    if query.strip():
+        hit = has_all(F.col("subject"), query)
+        rows = rows.where(hit | ((F.col("part") > 0) & has_all(F.col("sub_subject"), query)))
+        whole = entries.select("subject", "row_no", "sub_subject", "vides", own.alias("part")).where("part = 0").join(rows.select("subject").distinct(), "subject", "left_semi")
+        rows = rows.where("part > 0").unionByName(whole)  # what stands right under a subject shows with any hit
+    counts = refs.groupBy("row_no").agg(F.count("*").alias("n"))
+    below = entries.select("subject", "row_no").join(counts, "row_no").select("subject").distinct().withColumn("__some", F.lit(True))
+    key = search_key("subject")
+    subjects = rows.select("subject").distinct().join(below, "subject", "left").select("subject", F.lit(0).alias("row_no"), F.lit(0).cast("long").alias("at"), F.lit("subject").alias("kind"), key.alias("key"), F.coalesce("__some", F.lit(False)).alias("has_refs"), show(F.col("subject")).alias("html"), F.lit("").alias("hint"))
+    subs = rows.where("part > 0").join(counts, "row_no", "left").select("subject", "row_no", F.lit(0).cast("long").alias("at"), F.lit("sub").alias("kind"), F.concat(key, F.lit("|"), search_key("sub_subject")).alias("key"), F.col("n").isNotNull().alias("has_refs"), show(F.concat(F.lit("— "), F.col("sub_subject"))).alias("html"), F.lit("").alias("hint"))
+    place = F.row_number().over(Window.partitionBy("row_no").orderBy("line", "step", "sub")).cast("long")
+    lines = formatted_refs(refs.drop("subject", "sub_subject").withColumn("at", place), summaries).join(rows.select("subject", "row_no"), "row_no")
+    lines = lines.select("subject", "row_no", "at", F.lit("ref").alias("kind"), F.lit("").alias("key"), F.lit(True).alias("has_refs"), show(F.col("label")).alias("html"), F.col("hint"))
+    vides = see_also(rows).join(rows.select("subject", "row_no"), "row_no")
+    vides = vides.select("subject", "row_no", (F.col("pos") + 1_000_000).cast("long").alias("at"), F.lit("vide").alias("kind"), F.col("subject_key").alias("key"), F.lit(False).alias("has_refs"), show(F.col("label")).alias("html"), F.lit("").alias("hint"))
+    return subjects.unionByName(subs).unionByName(lines).unionByName(vides).withColumn("row_no", F.col("row_no").cast("long"))

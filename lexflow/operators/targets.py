@@ -41,10 +41,6 @@ def first_articles(articles: DataFrame) -> DataFrame:
     return exact.unionByName(loose).withColumn("__k", F.row_number().over(w)).where("__k = 1").drop("__k", "rank")
 
 
-def _detail(detail: Column) -> Column:
-    return F.trim(detail)
-
-
 def resolve_refs(refs: DataFrame, articles: DataFrame, units: DataFrame, fallback: bool = True) -> DataFrame:
     """refs (ref_id, doc_id, law_prefix, art, detail) with block_id, target (card, caput or unit) and target_seq.
 
@@ -52,7 +48,7 @@ def resolve_refs(refs: DataFrame, articles: DataFrame, units: DataFrame, fallbac
     detail has no target. units have path, and their caput is a unit like others.
     """
     found = refs.join(first_articles(articles).withColumnRenamed("law", "law_prefix").withColumnRenamed("seq", "art_seq"), ["doc_id", "law_prefix", "art"])
-    detail = _detail(F.col("detail"))
+    detail = F.trim("detail")
     live = units.where("not is_old_version or role = 'caput'").select("doc_id", "block_id", F.col("seq").alias("unit_seq"), "role", "path", "identifier")
     names = F.array("path", "identifier", F.when(F.col("identifier") == "Parágrafo único", "§ú"))
     names = F.filter(names, lambda x: x.isNotNull() & (x != "") & (F.lower(x) != "caput"))

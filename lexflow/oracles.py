@@ -5,7 +5,7 @@ patterns. Queries without SQL here are checked by tests.
 """
 
 from lexflow.functions.text import ACCENTED, PLAIN
-from lexflow.operators.checks import FAULTS
+from lexflow.operators.checks import CODE_LABELS, FAULTS
 from lexflow.plans.views import FOOTNOTE_KIND, LAWS_SQL, STATUTE_SQL, SUBJECT_SQL
 
 _NAMES = {"orders": "orders", "lineitem": "lineitem", "part": "part"}
@@ -293,6 +293,14 @@ SELECT a.doc_id, a.seq, ['norma','tit','cap','sec','subsec'][lv + 1] AS level, m
 FROM a JOIN hr ON hr.doc_id = a.doc_id AND hr.seq < a.seq
 WHERE NOT EXISTS (SELECT 1 FROM hr x WHERE x.doc_id = a.doc_id AND x.seq > hr.seq AND x.seq < a.seq AND {closes}) GROUP BY ALL"""
 
+#: For each article, the titles of the headings over it and its own label.
+_CRUMBS = """
+, oh AS ("""+_CLOSED.format(closes="(x.lv = hr.lv OR x.lv = 0)")+"""),
+tt AS (SELECT doc_id, seq, CASE WHEN subtitle <> '' THEN CASE WHEN num <> '' THEN num || '-' ELSE '' END || subtitle WHEN num <> '' THEN num ELSE text END AS short
+  FROM (SELECT *, trim(regexp_replace(text, '(?i)^(T[IÍ]TULO|CAP[IÍ]TULO|SE[CÇ][AÃ]O|SUBSE[CÇ][AÃ]O)\\s*', '')) AS num FROM hr)),
+cr AS (SELECT a.doc_id, a.seq, CASE WHEN any_value(law_prefix) <> '' THEN any_value(law_prefix) || chr(160) ELSE '' END || any_value(art_number) AS label, string_agg(short, ' › ' ORDER BY heading_seq) AS crumbs
+  FROM a JOIN oh ON oh.doc_id = a.doc_id AND oh.seq = a.seq JOIN tt ON tt.doc_id = oh.doc_id AND tt.seq = oh.heading_seq GROUP BY a.doc_id, a.seq)"""
+
 ORACLE_SQL: dict[str, str] = {
     "search_all_terms": f"SELECT doc_id, lang, source, CAST(length(text) AS INTEGER) AS n FROM documents WHERE contains({_KEY}, 'eaux') AND contains({_KEY}, 'tion')",
     "search_phrase": f"SELECT doc_id, lang FROM documents WHERE contains({_KEY}, 'de la') AND contains({_KEY}, 'element')",
@@ -548,7 +556,53 @@ FROM (SELECT *, regexp_replace(html, '<[^>]*>', '', 'g') AS text FROM en) WHERE
         """
 SELECT doc_id, CAST(length(html) AS INTEGER) AS chars, md5(html) AS html_md5 FROM (SELECT doc_id, string_agg(CASE WHEN heading THEN '<h3>' ELSE '<p>' END || replace(replace(replace(label, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || CASE WHEN heading THEN '</h3>' ELSE '</p>' END, chr(10) ORDER BY seq) AS html FROM ln GROUP BY doc_id)""",
     ),
+    "breadcrumbs": _sql(
+        "hr a",
+        f"""
+{_CRUMBS}
+SELECT doc_id, seq, crumbs || ' › ' || label AS text FROM cr""",
+    ),
+    "unit_breadcrumbs": _sql(
+        "hr a m",
+        f"""
+{_CRUMBS}
+SELECT m.doc_id, m.seq, crumbs || ' › ' || label || ' › ' || replace(path, ',', ' › ') AS text FROM m JOIN cr ON cr.doc_id = m.doc_id AND cr.seq = m.art_seq WHERE path <> ''""",
+    ),
+    "index_rows": _sql(
+        "refs entries",
+        f"""
+, su AS (SELECT CASE WHEN law_prefix <> '' THEN law_prefix || ':' ELSE '' END || art_number AS key, arg_max(summary, (doc_id, seq)) AS summary FROM a WHERE summary <> '' GROUP BY 1),
+sel AS (SELECT *, '' AS query FROM entries UNION ALL SELECT *, 'small brass' FROM entries WHERE (contains(lower(subject), 'small') AND contains(lower(subject), 'brass')) OR (contains(lower(sub_subject), 'small') AND contains(lower(sub_subject), 'brass'))
+  OR (sub_subject = '' AND subject IN (SELECT subject FROM entries WHERE contains(lower(sub_subject), 'small') AND contains(lower(sub_subject), 'brass')))),
+x AS (
+  SELECT DISTINCT query, subject, 0 AS row_no, 0 AS "at", 'subject' AS kind, lower(subject) AS key, subject IN (SELECT subject FROM refs) AS has_refs, subject AS t, '' AS hint FROM sel
+  UNION ALL SELECT query, subject, row_no, 0, 'sub', lower(subject) || '|' || lower(sub_subject), row_no IN (SELECT row_no FROM refs), '— ' || sub_subject, '' FROM sel WHERE sub_subject <> ''
+  UNION ALL SELECT query, sel.subject, row_no, r."at", 'ref', '', true, r.label, r.hint FROM sel JOIN (SELECT row_no, row_number() OVER (PARTITION BY row_no ORDER BY line, step, sub) AS "at",
+      CASE WHEN law_prefix <> '' THEN law_prefix || ' ' ELSE '' END || 'art. ' || art || CASE WHEN detail <> '' THEN ', ' || detail ELSE '' END AS label, CASE WHEN hint <> '' THEN hint ELSE coalesce(su.summary, '') END AS hint
+    FROM refs LEFT JOIN su ON su.key = CASE WHEN law_prefix <> '' THEN law_prefix || ':' ELSE '' END || art) r USING (row_no)
+  UNION ALL SELECT query, subject, row_no, 1000000 + pos, 'vide', lower(CASE WHEN r <> '' THEN l || '|' || r ELSE l END), false, CASE WHEN r <> '' THEN l || ' — ' || r ELSE target END, '' FROM (
+    SELECT *, trim(str_split(target, '|')[1]) AS l, CASE WHEN contains(target, '|') THEN trim(substr(target, instr(target, '|') + 1)) ELSE '' END AS r
+    FROM (SELECT query, subject, row_no, unnest(range(0, len(vides))) AS pos, unnest(vides) AS target FROM sel)))
+SELECT query, subject, CAST(row_no AS BIGINT) AS row_no, CAST("at" AS BIGINT) AS "at", kind, key, has_refs, hint, CASE WHEN query = '' THEN e ELSE regexp_replace(e, '(?i)(sm[aáàâãä]ll|br[aáàâãä]ss)', '<mark>\\1</mark>', 'g') END AS html
+FROM (SELECT *, replace(replace(replace(t, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS e FROM x)""",
+    ),
+    "reference_tab": _sql(
+        "en",
+        f"""
+, hit AS (SELECT * FROM (SELECT *, regexp_replace(html, '<[^>]*>', '', 'g') AS text FROM en WHERE category_no = 1) WHERE contains({_KEY}, 'tion') OR contains({_KEY.replace("text", "title")}, 'tion'))
+SELECT doc_id, group_no, seq, 'entry' AS kind, md5(html || CASE WHEN art_ref IS NOT NULL THEN ' — Art. ' || replace(replace(replace(art_ref, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') ELSE '' END) AS html,
+  trim(regexp_split_to_array(replace(replace(replace(coalesce(art_ref, ''), 'º', ''), '°', ''), 'ª', ''), '[,\\s]')[1]) AS article FROM hit
+UNION ALL SELECT doc_id, group_no, min(seq), 'title', md5(replace(replace(replace(title, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')), '' FROM hit WHERE title <> '' GROUP BY doc_id, group_no, title""",
+    ),
+    "marker_paths": _sql(
+        "v p0",
+        """
+SELECT v.doc_id, v.seq, CASE WHEN coalesce(path, '') = '' THEN '' ELSE '/' || array_to_string(list_transform(range(1, len(str_split(path, ',')) + 1), lambda k: array_to_string(list_slice(str_split(path, ','), 1, k), ',')), '/') END AS paths
+FROM v LEFT JOIN p0 ON p0.doc_id = v.doc_id AND p0.seq = v.seq""",
+    ),
+    "snapshot_changes": _sql("a", "SELECT art_number, 'removed' AS change FROM (SELECT art_number FROM a WHERE n_versions > 1 EXCEPT SELECT art_number FROM a WHERE summary <> '') UNION ALL SELECT art_number, 'added' FROM (SELECT art_number FROM a WHERE summary <> '' EXCEPT SELECT art_number FROM a WHERE n_versions > 1)"),
 }
+ORACLE_SQL["lint_report"] = f"SELECT code, '{CODE_LABELS['ART_NO_ORDINAL']}' AS label, count(*) AS n FROM ({ORACLE_SQL['lint_codes']}) GROUP BY code"
 _of = lambda name: f"SELECT count(*) FROM ({ORACLE_SQL[name]})"
 ORACLE_SQL["issue_counts"] = f"""
 SELECT * FROM (SELECT 'ref_cruzada' AS category, 'erro' AS severity, ({_of("dangling_refs")}) AS n UNION ALL SELECT 'vide', 'aviso', ({_of("dangling_see_also")})

@@ -83,9 +83,12 @@ def _optional(read, spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.createDataFrame([], f"doc_id long, path string, {schema}")
 
 
-def run(spark: SparkSession, config: Config, *, strict: bool = False, template: str = TEMPLATE, style: str = "") -> int:
+def run(spark: SparkSession, config: Config, *, strict: bool = False, template: str = TEMPLATE, style: str = "", template_file: str = "", style_file: str = "", script_file: str = "", debug_dir: str = "") -> int:
     """Builds page, Markdown, JSON and report of one statute from its files; 1 if it fails its checks.
 
+    template, style and the script that a template may name come from files where these are given. debug_dir gets
+    the statute, the indexes, the references and the findings as JSON.
+
     Optional sources that are missing or broken are empty. The private page has the private notes too, and
     so has the Markdown.
     """
@@ -120,8 +123,9 @@ def run(spark: SparkSession, config: Config, *, strict: bool = False, template:
     private = build(paragraphs, defs[True], laws)
     for folder, statute in ((config.export_dir, public), (config.private_dir, private)):
         if folder:
+            parts = {"style": sinks.read_text(spark, style_file) if style_file else style, "script": sinks.read_text(spark, script_file) if script_file else ""}
             page = "\n".join(r["html"] for r in render.document_html(statute.headings, statute.articles, statute.units).collect())
-            sinks.write_text(f"{folder}/index.html", sinks.assemble(template, {"title": "Statute", "style": style, "cards": page, **data}))
+            sinks.write_text(f"{folder}/index.html", sinks.assemble(sinks.read_text(spark, template_file) if template_file else template, {"title": "Statute", **parts, "cards": page, **data}))
     if config.export_dir:
         plain = build(paragraphs, defs[True], laws, prefix_uids=False)
         sinks.write_text(f"{config.export_dir}/statute.md", "".join(r["markdown"] for r in markdown.document_markdown(plain.headings, plain.articles, plain.units).collect()))
@@ -132,4 +136,9 @@ def run(spark: SparkSession, config: Config, *, strict: bool = False, template:
         whole = export.document_json(export.element_json(public.headings, public.articles, public.units)).collect()
         sinks.write_text(f"{config.export_dir}/statute.json", json.dumps([json.loads(r["json"]) for r in whole], ensure_ascii=False))
         sinks.write_text(f"{config.export_dir}/report.txt", sinks.issue_report(found))
+    if debug_dir:
+        whole = export.document_json(export.element_json(public.headings, public.articles, public.units)).collect()
+        findings = "[" + ",".join(r["value"] for r in checks.issues_json(found).collect()) + "]"
+        dumps = {"parsed_document": "[" + ",".join(r["json"] for r in whole) + "]", "systematic_index": data["systematic"], "subject_index": data["subjects"], "references": data["references"], "validation_report": findings}
+        sinks.write_dumps(debug_dir, dumps, spark)
     return int(checks.failed(found, strict))

@@ -187,6 +187,14 @@ def subject_filter(spark, d):
     return rows.select("query", "subject", F.coalesce(F.size("children"), F.lit(0)).alias("n_children"))
 
 
+def index_rows(spark, d):
+    """The whole subject index line by line, and what a filter leaves of it."""
+    arts = _known(spark, d)
+    refs, entries = _refs(spark, d, arts), _entries(spark, d)
+    rows = [subjects.index_rows(entries, refs, subjects.summaries(arts), q).withColumn("query", F.lit(q)) for q in ("", "small brass")]
+    return rows[0].unionByName(rows[1])
+
+
 def formatted_refs(spark, d):
     arts = _known(spark, d)
     return subjects.formatted_refs(_refs(spark, d, arts), subjects.summaries(arts)).select("row_no", "line", "step", "sub", "label", "hint")
@@ -253,6 +261,15 @@ def current_section(spark, d):
     return outline.current_section(_headings(spark, d), _articles(spark, d))
 
 
+def breadcrumbs(spark, d):
+    return outline.breadcrumbs(_headings(spark, d), _known(spark, d))
+
+
+def unit_breadcrumbs(spark, d):
+    s = _statute(spark, d)
+    return outline.breadcrumbs(s.headings, s.articles, s.units)
+
+
 def heading_titles(spark, d):
     rows = _headings(spark, d)
     return rows.select("doc_id", "seq", T.heading_short_title(F.col("text"), F.col("subtitle")).alias("short"), T.section_level(F.col("data_section")).alias("level"), T.level_colour(F.lit("heading"), F.col("data_section")).alias("colour"))
@@ -290,6 +307,20 @@ def ref_resolve(spark, d):
     return targets.resolve_refs(refs, s.articles, s.units)
 
 
+def marker_paths(spark, d):
+    return targets.paths(_units(spark, d)).select("doc_id", "seq", F.array_join(T.ancestor_paths(F.col("path")), "/").alias("paths"))
+
+
+def snapshot_changes(spark, d):
+    """Numbers of articles that have older versions somewhere but no summary anywhere, and the other way round."""
+    arts = _known(spark, d)
+    return export.snapshot_changes(arts.where("n_versions > 1"), arts.where("summary <> ''"))
+
+
+def lint_report(spark, d):
+    return checks.lint_report(checks.document_lint(views.paragraphs(spark, d)))
+
+
 def marker_labels(spark, d):
     s = _statute(spark, d)
     return targets.marker_labels(s.units.select("uid").distinct(), s.units, s.articles)
@@ -368,6 +399,11 @@ def reference_filter(spark, d):
     return side_documents.filter_entries(side_documents.reference_entries(_lines(spark, d)), "the tion").select("doc_id", "seq", targets.base_article(F.coalesce("art_ref", F.lit(""))).alias("article"))
 
 
+def reference_tab(spark, d):
+    entries = side_documents.reference_entries(_lines(spark, d))
+    return side_documents.category_rows(entries, 1, "tion").withColumn("html", F.md5("html"))
+
+
 def information_pages(spark, d):
     return side_documents.information_html(_lines(spark, d)).select("doc_id", F.length("html").alias("chars"), F.md5("html").alias("html_md5"))
 
@@ -378,9 +414,9 @@ QUERIES = {
         search_all_terms, search_phrase, search_keys, highlight_hits, highlight_html, page_text, filter_pages,
         classify_units, unit_type_counts, amendment_notes, section_headings, law_ffill, version_islands, hier_uid, uid_dedup, old_versions, article_revoked, next_versions,
         footnote_numbers, article_summaries, unit_paths, element_counts, document_elements, structure_snapshot,
-        device_lines, range_expand, subject_index_flat, subject_index_nested, subject_filter, formatted_refs, dangling_refs, dangling_see_also, see_also_links, sheet_lint, lint_codes, issue_counts, locale_sort,
-        systematic_outline, section_ranges, outline_search, context_headings, ancestor_headings, current_section, heading_titles,
-        subject_semi_filter, marker_filter, article_jump, search_view, search_paging, ref_resolve, marker_labels, word_diff, turn_diff,
-        heading_cards, article_cards, old_version_lines, article_markdown, heading_markdown, subject_markdown, element_json, reference_entries, reference_filter, information_pages,
+        device_lines, range_expand, subject_index_flat, subject_index_nested, subject_filter, index_rows, formatted_refs, dangling_refs, dangling_see_also, see_also_links, sheet_lint, lint_codes, issue_counts, locale_sort,
+        systematic_outline, section_ranges, outline_search, context_headings, ancestor_headings, current_section, breadcrumbs, unit_breadcrumbs, heading_titles,
+        subject_semi_filter, marker_filter, article_jump, search_view, search_paging, ref_resolve, marker_labels, marker_paths, snapshot_changes, lint_report, word_diff, turn_diff,
+        heading_cards, article_cards, old_version_lines, article_markdown, heading_markdown, subject_markdown, element_json, reference_entries, reference_filter, reference_tab, information_pages,
     )
 }

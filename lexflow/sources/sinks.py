@@ -3,10 +3,9 @@
 import json
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexflow.functions.text import escape_html  # noqa: F401  (part of this module's surface)
 from lexflow.operators.checks import CODE_LABELS
 
 
@@ -31,9 +30,29 @@ def assemble(template: str, parts: dict[str, str]) -> str:
     return "".join(out)
 
 
-def write_text(path: str, text: str) -> None:
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(text, encoding="utf-8")
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file, a template for one, in any store that Spark reads."""
+    return spark.read.text(path, wholetext=True).first()[0]
+
+
+def write_text(path: str, text: str, spark: SparkSession | None = None) -> None:
+    """A file that the driver writes: a local one, or with a session one in any store that Spark writes to."""
+    if spark is None or "://" not in path:
+        Path(path).parent.mkdir(parents=True, exist_ok=True)
+        Path(path).write_text(text, encoding="utf-8")
+        return
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    stream = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+
+
+def write_dumps(folder: str, parts: dict[str, str], spark: SparkSession | None = None) -> None:
+    """JSON texts for a look inside, a file a name, indented."""
+    for name, text in parts.items():
+        write_text(f"{folder}/{name}.json", json.dumps(json.loads(text), ensure_ascii=False, indent=2), spark)
 
 
 def write_json_lines(df: DataFrame, path: str) -> None:
@@ -46,10 +65,33 @@ def write_pages(df: DataFrame, path: str, column: str) -> None:
     df.select("doc_id", F.col(column).alias("value")).write.mode("overwrite").partitionBy("doc_id").text(path)
 
 
+#: Rows of a table that people edit, at most.
+EDITED = 100_000
+
+
 def save_table(df: DataFrame, path: str) -> None:
-    """Overwrites a small table that people edit, markers for one; the rows are read before the old ones go."""
-    rows, schema = df.collect(), df.schema
-    df.sparkSession.createDataFrame(rows, schema).coalesce(1).write.mode("overwrite").parquet(path)
+    """Replaces a small table that people edit, markers for one: it is written beside the old one, which then makes room."""
+    spark = df.sparkSession
+    if df.limit(EDITED + 1).count() > EDITED:
+        raise ValueError(f"tables of over {EDITED} rows aren't saved in one piece")
+    df.coalesce(1).write.mode("overwrite").parquet(f"{path}.new")
+    new, old = (spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p) for p in (f"{path}.new", path))
+    store = old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    store.delete(old, True)
+    if not store.rename(new, old):
+        raise OSError(f"{path} couldn't be replaced; the rows are in {path}.new")
+
+
+def load_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A table that save_table wrote, with this schema; an empty one where there is none yet, or none that can be read."""
+    from pyspark.errors import PySparkException
+
+    try:
+        rows = spark.read.schema(schema).parquet(path)
+        rows.limit(1).collect()
+        return rows
+    except PySparkException:
+        return spark.createDataFrame([], schema)
 
 
 #: Titles of issue categories in a report. Fixed values.
