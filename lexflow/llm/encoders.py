@@ -1,10 +1,11 @@
 """Token ids of public tokenizer files, with the library called once for each unit of text that a worker meets.
 
-A byte-level or word-level BPE file never merges across certain places. Texts are cut there, all at once with
+A byte-level or word-level BPE file never merges across certain places: between words, and inside them where a run
+of ASCII letters, digits or signs ends. Texts are cut there, all at once with
 NumPy, and the library encodes each unit that the worker doesn't know yet, thousands in one call; ids of a
 text are the ids of its units, gathered. Files whose settings give no such places, and texts that hold a special token's
 string or rare white space, go through the library whole. Units are told apart by their bytes (long ones by a
-120-bit digest), never by a short hash, and a worker forgets them at the end of its task.
+120-bit digest), never by a short hash. At the end of its task a worker forgets all units but those it met again.
 """
 
 import json
@@ -23,8 +24,18 @@ from lexflow.llm.arrow_text import Words, distinct, identities, mix, slices
 RARE_SPACE = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")
 GENERAL_SPACE = re.compile(rb"\xe2\x80[\x80-\x8a\xa8\xa9\xaf]")
 
+#: ASCII letters, digits and signs; white space and all other bytes are of no kind.
+KIND = np.zeros(256, np.int8)
+KIND[1:9] = KIND[14:32] = KIND[33:128] = 3
+KIND[65:91] = KIND[97:123] = 1
+KIND[48:58] = 2
+KIND[1] = 0  # stands between units
+APOSTROPHE = ord("'")
+
 #: Units that a worker knows before it starts anew; a bound of memory only (some 60 bytes each).
 KEEP = 1_000_000
+#: Units met again that a worker still knows in its next task, at most.
+FREQUENT = 400_000
 #: Units that go to the library as one text, and what stands between those of word-level files.
 TOGETHER, MARK = 4_000, "\x01"
 
@@ -78,9 +89,21 @@ class Encoder:
     def _forget(self):
         """keys are sorted hashes of known units' identities (one, two); a unit's ids lie in pool from at on, sizes of them."""
         self.keys, self.one, self.two = (np.zeros(0, np.uint64) for _ in range(3))
-        self.at, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.at, self.sizes, self.again = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, bool)
         self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
 
+    def rest(self):
+        """Forgets units that were met once."""
+        some = np.flatnonzero(self.again)
+        if len(some) > FREQUENT:
+            self._forget()
+            return
+        sizes = self.sizes[some]
+        pool = self.pool[gathered(self.at[some], sizes.astype(np.int64))]
+        self.keys, self.one, self.two, self.sizes = self.keys[some], self.one[some], self.two[some], sizes
+        self.at, self.again = np.cumsum(sizes, dtype=np.int64) - sizes, np.zeros(len(some), bool)
+        self.pool, self.used = pool, len(pool)
+
     def _encode_units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of units end to end, and how many each has."""
         together, apart = [], []
@@ -103,9 +126,27 @@ class Encoder:
         return (np.concatenate(found) if found else np.zeros(0, np.uint32)), np.array([len(x) for x in found], np.int32)
 
     def _units(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
-        """Starts and ends of the units, in order."""
+        """Starts and ends of the units, in order: words or gaps, cut where a run of letters, digits or signs ends.
+
+        Both kinds of file tell these runs apart without looking back; only an apostrophe takes letters after it.
+        """
+        starts, ends = (w.starts, w.ends) if self.rule == "words" else self._spaced(w)
+        if not len(starts):
+            return starts, ends
+        a, b = w.data[:-1], w.data[1:]
+        kind, after = KIND[a], KIND[b]
+        cut = (kind != after) & (kind > 0) & (after > 0) & ~((a == APOSTROPHE) & (after == 1))
         if self.rule == "words":
-            return w.starts, w.ends
+            cut |= (kind == 2) & (after == 2)  # each digit is by itself
+        begin = np.zeros(len(w.data), bool)
+        begin[1:] = cut
+        begin[starts] = True  # where a text begins, a unit does
+        every = np.flatnonzero(begin)
+        own = np.searchsorted(starts, every, "right") - 1
+        return every, np.minimum(np.append(every[1:], len(w.data)), ends[own])
+
+    def _spaced(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
+        """Words with the one space before them, and what else lies between."""
         spaced = np.zeros(len(w.starts), bool)
         own = w.owners()
         inner = w.starts > w.bounds[:-1][own]
@@ -158,6 +199,7 @@ class Encoder:
             pool, sizes = self._encode_units([text_of(k) for k in order.tolist()])
             begins = np.cumsum(sizes, dtype=np.int64) - sizes
         else:
+            self.again[at[held]] = True
             if not held.all():
                 new = ~held
                 ids, sizes = self._encode_units([text_of(k) for k in order[new].tolist()])
@@ -169,6 +211,7 @@ class Encoder:
                     setattr(self, name, np.insert(getattr(self, name), at[new], values[new]))
                 self.at = np.insert(self.at, at[new], self.used + np.cumsum(sizes, dtype=np.int64) - sizes)
                 self.sizes = np.insert(self.sizes, at[new], sizes)
+                self.again = np.insert(self.again, at[new], False)
                 self.used += len(ids)
                 at = np.searchsorted(self.keys, keys)
             pool, begins, sizes = self.pool, self.at[at], self.sizes[at]
@@ -204,11 +247,11 @@ class Encoder:
 
 @contextmanager
 def encoder(path: str):
-    """The worker's encoder of this file; what it has learned goes when the block ends."""
+    """The worker's encoder of this file; most of what it has learned goes when the block ends."""
     store = _store()
     if path not in store:
         store[path] = Encoder(path)
     try:
         yield store[path]
     finally:
-        store[path]._forget()
+        store[path].rest()

@@ -51,6 +51,21 @@ def test_encoder_forgets(monkeypatch):
     assert [x.tolist() for t in texts for x in e(pa.array([t]))] == library(BYTES, texts)
 
 
+def test_encoder_keeps_frequent_units(monkeypatch):
+    texts = [f"word{k} other{k % 3} again" for k in range(30)]
+    e = encoders.Encoder(BYTES)
+    for _ in range(3):
+        assert [x.tolist() for t in texts for x in e(pa.array([t]))] == library(BYTES, texts)
+        known = len(e.keys)
+        e.rest()
+        assert 0 < len(e.keys) < known and e.used == e.sizes.sum()
+    monkeypatch.setattr(encoders, "FREQUENT", 1)
+    next(iter(e(pa.array([" ".join(texts)]))))
+    e.rest()
+    assert len(e.keys) == 0
+    assert [x.tolist() for x in e(pa.array(texts))] == library(BYTES, texts)
+
+
 def test_token_store(spark):
     docs = odd_table(spark)
     rows = sorted(pairs(docs), key=lambda r: (r[0] is not None, r[0] or 0))
