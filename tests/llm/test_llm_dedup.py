@@ -3,8 +3,10 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
-from helpers import TEXTS, odd_table, pairs, table
+from helpers import TEXTS, odd_table, pairs, table, thue_morse
 from pyspark.sql import functions as F
 
 from lexflow.llm import common, components, exact_dedup, minhash, substrings
@@ -206,6 +208,59 @@ def test_passages(spark, seed):
     assert all(hashlib.sha256(r.kept_text.encode()).hexdigest() == r.kept_sha256 for r in got.collect())
 
 
+def test_passages_come_from_equal_names(monkeypatch):
+    """Rounds that name symbols differently from text to text lose anchors that a passage shares, and so its repeats."""
+    passage = " ".join(f"p{k}" for k in range(200))
+    ((_, words),) = substrings.slices(pa.array([passage + " a b c", "x y " + passage]))
+    right = substrings.recompress
+
+    def salted(*symbols):
+        name, lo, hi, own = right(*symbols)
+        return substrings.mix(name ^ own.astype(np.uint64)), lo, hi, own
+
+    def shared():
+        name, own, a, b = substrings.anchors(words)
+        both = set(name[own == 0].tolist()) & set(name[own == 1].tolist())
+        return sum(int(z - y) + 1 for n, o, y, z in zip(name.tolist(), own.tolist(), a.tolist(), b.tolist(), strict=True) if o == 1 and n in both)
+
+    assert shared() == 200 - 19  # all windows of the passage
+    monkeypatch.setattr(substrings, "recompress", salted)
+    assert shared() < 20
+
+
+def test_words_that_weak_hashes_confuse(spark):
+    a, b = thue_morse(1024)
+    c, d = thue_morse(4096)
+    head, tail = " ".join(f"h{k}" for k in range(12)), " ".join(f"t{k}" for k in range(12))
+    rows = [(k, f"{head} {w} {tail}") for k, w in enumerate((a, b, c, d, a))]
+    got = substrings.without_repeats(table(spark, rows))
+    assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got.collect()) == passages_model(rows)
+    rows += [(10, f"a {a}"), (11, f"a {b}"), (12, f"A {a}")]
+    near = minhash.near_duplicates(table(spark, rows))
+    assert {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near.collect()} == near_model(rows)
+
+
+def test_near_repeated_ids_with_other_texts(spark):
+    one, two = " ".join(f"w{k}" for k in range(40)), " ".join(f"v{k}" for k in range(40))
+    rows = [(1, one), (50, one), (50, two), (60, two), (70, None), (70, one), (80, "")]
+    got = minhash.near_duplicates(table(spark, rows)).collect()
+    assert Counter(r.doc_id for r in got) == Counter(i for i, _ in rows)
+    of = {}
+    for r in got:
+        assert of.setdefault(r.doc_id, r.component_id) == r.component_id and r.kept == (r.component_id == r.doc_id)
+    assert of[1] == of[70] == 1 and of[80] == 80 and {of[50], of[60]} in ({1, 60}, {50})
+
+
+def test_places_of_odd_frames(spark, tmp_path):
+    """Rows have places of their own in frames that aren't plain scans, or that have columns named like those of places."""
+    path = f"file://{tmp_path}/docs"
+    table(spark, [(k, f"text {k % 3}") for k in range(9)]).write.parquet(path)
+    docs = spark.read.parquet(path)
+    twice = docs.crossJoin(spark.range(2).select("id")).drop("id")
+    assert exact_dedup.drop_copies(twice).count() == 3 and exact_dedup.drop_copies(docs.withColumn("_metadata", F.lit(1))).columns[-1] == "_metadata"
+    assert substrings.without_repeats(twice).count() == 18
+
+
 def test_passages_by_shuffle_only(spark, monkeypatch):
     monkeypatch.setattr(substrings, "BROADCAST_ROWS", 0)
     monkeypatch.setattr(minhash, "BROADCAST_IDS", 0)

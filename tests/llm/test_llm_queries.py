@@ -5,6 +5,7 @@ from collections import Counter
 import pytest
 
 import corpus_pipeline
+from helpers import odd_table
 from lexflow.llm import queries
 
 TABLES = "documents labels conversations".split()
@@ -41,3 +42,24 @@ def test_pipeline(spark, sf_dir):
     pieces = corpus_pipeline.run(spark, sf_dir)
     assert {r.doc_id for r in pieces.select("doc_id").distinct().collect()} == ids
     assert corpus_pipeline.ORACLE_SQL is None and [n for n, _ in corpus_pipeline.STAGES] == ["quality", "exact", "near", "private", "packing"]
+
+
+def test_pipeline_odd_rows(spark, sf_dir, tmp_path):
+    """Stages over nulls, blanks, long texts, repeated rows, clashing names, and over no rows at all."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    some = spark.read.parquet(f"{sf_dir}/documents.parquet").join(labels.select("doc_id"), "doc_id", "left_semi").select("doc_id", "text")
+    odd = odd_table(spark)
+    for name, docs in (("odd", odd.unionByName(some, allowMissingColumns=True)), ("empty", odd.limit(0))):
+        folder = f"file://{tmp_path}/{name}"
+        docs.write.parquet(f"{folder}/documents.parquet")
+        labels.write.parquet(f"{folder}/labels.parquet")
+        docs = spark.read.parquet(f"{folder}/documents.parquet")
+        before = docs.count()
+        for stage, function in corpus_pipeline.STAGES[:-1]:
+            after = corpus_pipeline.stored(function(spark, docs, folder), stage)
+            assert after.columns == docs.columns and after.count() <= before
+            docs, before = after, after.count()
+        kept = Counter(r.doc_id for r in docs.select("doc_id").collect())
+        pieces = corpus_pipeline.run(spark, folder)
+        assert Counter(r.doc_id for r in pieces.where("start = 0").collect()) == kept
+        assert (before > 100) == (name == "odd") and kept[50] <= 2
