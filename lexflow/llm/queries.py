@@ -2,16 +2,20 @@
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from lexflow.llm.best_fit import best_fitted
 from lexflow.llm.chat import formatted_chats
 from lexflow.llm.common import table
 from lexflow.llm.exact_dedup import exact_groups
+from lexflow.llm.fill_middle import fill_middle, restored
 from lexflow.llm.minhash import near_duplicates
 from lexflow.llm.packing import packed
 from lexflow.llm.pii import key_of, pii_report
 from lexflow.llm.piece_lattice import encoded
 from lexflow.llm.quality_model import quality_scores
 from lexflow.llm.quality_rules import quality_rules
+from lexflow.llm.ranking import ranked_lines
 from lexflow.llm.substrings import without_repeats
 from lexflow.llm.token_store import token_store
 
@@ -63,7 +67,20 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where("quality = 1"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_piece_lattice, op3_token_store, op4_packing, op5_substring_dedup, op6_pii_pseudonyms, op7_exact_dedup, op8_chat_format, op9_quality_model, op10_quality_rules)}
+def op11_grouped_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_lines(table(spark, sf_dir, "sale_lines"))
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fim = fill_middle(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "fim.*")
+    return fim.select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
+def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fitted(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_piece_lattice, op3_token_store, op4_packing, op5_substring_dedup, op6_pii_pseudonyms, op7_exact_dedup, op8_chat_format, op9_quality_model, op10_quality_rules, op11_grouped_ranks, op12_fill_middle, op13_best_fit_packing)}
 
 ORACLE_SQL = {
     "op1_minhash_near_dedup": r"""
@@ -109,5 +126,36 @@ SELECT conv_id, count(*) AS n_turns,
        sum(8 + length(role) + length(regexp_replace(role, '[^\\<\[\n]', '', 'g'))
              + length(text) + length(regexp_replace(text, '[^\\<\[]', '', 'g')))::BIGINT AS formatted_chars
 FROM c GROUP BY conv_id
+""",
+    "op11_grouped_ranks": r"""
+WITH steps AS (
+  SELECT sale_id, flatten(list_transform(range(1, length(sale_id::VARCHAR) + 1), lambda i: [ascii(substr(sale_id::VARCHAR, i, 1))::BIGINT, 0, 0, 0, 0, 0, 0, 0])) AS s
+  FROM (SELECT DISTINCT sale_id FROM sale_lines WHERE sale_id IS NOT NULL)),
+pooled AS (
+  SELECT sale_id, xor(list_reduce(list_prepend(4294967295::BIGINT, s), lambda a, x: xor(xor(a, x) >> 1, 3988292384 * (xor(a, x) & 1))), 4294967295) % 5 = 0 AS pooled
+  FROM steps),
+k AS (
+  SELECT CASE WHEN pooled THEN -1 ELSE vendor_id END::BIGINT AS vendor_id,
+         CASE WHEN pooled THEN -1 ELSE coalesce((item_id % 5 + 5) % 5, -1) END::BIGINT AS part,
+         CASE WHEN pooled THEN -1 ELSE coalesce(100 * year(shipped_at) + month(shipped_at), -1) END::BIGINT AS month,
+         floor(quantity / 10.0)::BIGINT AS bucket, floor(100 * discount + 0.5)::BIGINT AS percent,
+         sale_id, line_no::BIGINT AS line_no, quantity::BIGINT AS quantity, floor(100 * amount + 0.5)::BIGINT AS amount_cents
+  FROM sale_lines LEFT JOIN pooled USING (sale_id)),
+r AS (
+  SELECT *, row_number() OVER (g ORDER BY bucket DESC NULLS FIRST, percent NULLS FIRST, sale_id NULLS LAST, line_no NULLS LAST, quantity NULLS LAST, amount_cents NULLS LAST) AS pos,
+         count(*) OVER (PARTITION BY vendor_id, part, month, bucket, percent) AS tied
+  FROM k WINDOW g AS (PARTITION BY vendor_id, part, month))
+SELECT vendor_id, part, month, pos, pos AS place, sale_id, line_no, quantity, percent, amount_cents, tied FROM r WHERE pos <= 2
+""",
+    "op12_fill_middle": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+u AS (SELECT *, ('0x' || substr(h, 1, 8))::BIGINT % (n + 1) AS a, ('0x' || substr(h, 9, 8))::BIGINT % (n + 1) AS b, ('0x' || substr(h, 17, 8))::BIGINT % 100 AS h3, ('0x' || substr(h, 25, 8))::BIGINT % 100 AS h4 FROM d),
+f AS (SELECT *, least(a, b) AS p, greatest(a, b) AS q,
+             CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 >= 90 THEN 'plain' WHEN h4 < 20 THEN 'spm' ELSE 'psm' END AS form FROM u)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN p END AS prefix_chars, CASE WHEN form <> 'plain' THEN q - p END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || substr(t, 1, p) || '<S>' || substr(t, q + 1) || '<M>' || substr(t, p + 1, q - p)
+              ELSE '<S>' || substr(t, q + 1) || '<P>' || substr(t, 1, p) || '<M>' || substr(t, p + 1, q - p) END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM f
 """,
 }

@@ -8,7 +8,7 @@ import corpus_pipeline
 from helpers import odd_table
 from lexflow.llm import queries
 
-TABLES = "documents labels conversations".split()
+TABLES = "documents labels conversations sale_lines".split()
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
