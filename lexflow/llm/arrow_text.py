@@ -14,8 +14,6 @@ import pyarrow as pa
 
 #: Bytes of text that are worked on together; a longer document is a slice by itself.
 SLICE = 1 << 20
-#: Bytes of a range beyond which it is hashed by itself.
-LONG = 64
 
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -84,9 +82,9 @@ class Words:
     def owners(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.counts)), self.counts)
 
-    def hashes(self, seed: int = 1, fold=None) -> np.ndarray:
+    def hashes(self, seed: int = 1, fold=None, key: bytes = b"") -> np.ndarray:
         """A 64-bit hash of each word; fold maps bytes first, as LOWER does."""
-        return hashes_of(self.data, self.starts, self.ends, seed, fold)
+        return hashes_of(self.data, self.starts, self.ends, seed, fold, key)
 
 
 def eights(data: np.ndarray, more: int = 8) -> np.ndarray:
@@ -96,28 +94,19 @@ def eights(data: np.ndarray, more: int = 8) -> np.ndarray:
     return np.ndarray((len(data) + more + 1,), "<u8", padded, strides=(1,))
 
 
-def hashes_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 1, fold=None) -> np.ndarray:
-    """A 64-bit hash of ranges of bytes: eight bytes at a time go through a scramble that each seed begins elsewhere.
+def hashes_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 1, fold=None, key: bytes = b"") -> np.ndarray:
+    """A 64-bit BLAKE2 hash of ranges of bytes, by seed and key; fold maps bytes first.
 
-    Ranges of over LONG bytes are hashed one by one, with the seed as BLAKE2's key. fold maps bytes first.
+    Each distinct range of a call is hashed once. What is told apart by combinations of these hashes (shingles,
+    windows) can't be made to collide by who writes the texts as long as the key is not known.
     """
     data = data if fold is None else fold[data]
-    size, begin = ends - starts, randoms(seed, 1)
-    out = mix(size.astype(np.uint64) ^ begin)
-    if not len(out):
-        return out
-    view = eights(data)
-    out = mix(out ^ (view[starts] & MASK[np.minimum(size, 8)]))
-    live, at = np.flatnonzero((size > 8) & (size <= LONG)), 8
-    while len(live):
-        out[live] = mix(out[live] ^ (view[starts[live] + at] & MASK[np.minimum(size[live] - at, 8)]))
-        at += 8
-        live = live[size[live] > at]
-    long = np.flatnonzero(size > LONG)
-    if len(long):
-        raw, key = data.tobytes(), begin.tobytes()
-        out[long] = np.frombuffer(b"".join([hashlib.blake2b(raw[s:e], digest_size=8, key=key).digest() for s, e in zip(starts[long].tolist(), ends[long].tolist(), strict=True)]), "<u8")
-    return out
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    first, place = distinct(*identities(data, starts, ends))
+    raw, salt = data.tobytes(), seed.to_bytes(8, "little")
+    sums = [hashlib.blake2b(raw[s:e], digest_size=8, key=key, salt=salt).digest() for s, e in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+    return np.frombuffer(b"".join(sums), "<u8")[place]
 
 
 def identities(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

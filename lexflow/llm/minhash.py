@@ -1,6 +1,7 @@
 """Near-duplicate documents: one-permutation MinHash, optimal densification, bands, star-shaped candidates.
 
-1. One pass over the whole texts hashes all shingles and gives, for each document, the size of its shingle set,
+1. One pass over the whole texts hashes all shingles, by a key that each run draws for itself, so that no text can
+   be written to collide with another, and gives, for each document, the size of its shingle set,
    a 128-bit digest of the whole set and the keys of its bands. A single hash per shingle fills BINS bins;
    an empty bin takes the value of a bin that a hash of (bin, attempt) names (Shrivastava, 2017).
 2. Documents with the same set form a class, found with map-side combining; its smallest doc_id stands for it.
@@ -20,6 +21,7 @@ Buckets hold each pair at the threshold with probability 1 - (1 - 0.75^4)^32, ov
 """
 
 import hashlib
+import secrets
 
 import numpy as np
 import pyarrow as pa
@@ -43,13 +45,13 @@ PART = 256
 BLOCK = 512
 
 
-def shingle_sets(texts: pa.Array, width: int = SHINGLE):
+def shingle_sets(texts: pa.Array, width: int = SHINGLE, key: bytes = b""):
     """For consecutive rows: (first row, distinct shingle hashes end to end in ascending order per row, how many per row).
 
     Words are lower-cased (A-Z). A text with fewer words than width has them all as its one shingle.
     """
     for row, words in slices(texts):
-        h = words.hashes(seed=11, fold=LOWER)
+        h = words.hashes(seed=11, fold=LOWER, key=key)
         g, _, have = grams(h, words.first, words.counts, width, seed=5)
         ends = np.cumsum(have)
         parts, sizes = [], np.zeros(len(have), np.int64)
@@ -100,12 +102,12 @@ def _digests(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.frombuffer(b"".join(sums), "<i8").reshape(-1, 2)
 
 
-def _sketch(bins: int, rows: int, width: int):
+def _sketch(bins: int, rows: int, width: int, key: bytes):
     @task
     def run(batches):
         for batch in batches:
             ids = batch.column(0)
-            for row, values, sizes in shingle_sets(batch.column(1), width):
+            for row, values, sizes in shingle_sets(batch.column(1), width, key):
                 digests = _digests(values, sizes)
                 keys = band_keys(signatures(values, sizes, bins), rows)
                 some = sizes > 0
@@ -115,12 +117,12 @@ def _sketch(bins: int, rows: int, width: int):
     return run
 
 
-def _full_sets(width: int):
+def _full_sets(width: int, key: bytes):
     @task
     def run(batches):
         for batch in batches:
             ids = batch.column(0)
-            for row, values, sizes in shingle_sets(batch.column(1), width):
+            for row, values, sizes in shingle_sets(batch.column(1), width, key):
                 lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), pa.array(values.view(np.int64)))
                 digests = _digests(values, sizes)
                 yield pa.RecordBatch.from_arrays([ids.slice(row, len(sizes)), pa.array(digests[:, 0]), pa.array(digests[:, 1]), lists], ["doc_id", "set_a", "set_b", "shingles"])
@@ -128,10 +130,10 @@ def _full_sets(width: int):
     return run
 
 
-def sketches(docs: DataFrame, *, bins: int = BINS, rows: int = ROWS, width: int = SHINGLE) -> DataFrame:
+def sketches(docs: DataFrame, *, bins: int = BINS, rows: int = ROWS, width: int = SHINGLE, key: bytes = b"") -> DataFrame:
     """doc_id, n_shingles, set_a, set_b (the set's identity) and bands of every row with a doc_id."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    return texts.mapInArrow(_sketch(bins, rows, width), "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>")
+    return texts.mapInArrow(_sketch(bins, rows, width, key), "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>")
 
 
 def beside(pairs: DataFrame, rows: DataFrame, sets: DataFrame, end: str, name: str) -> DataFrame:
@@ -151,7 +153,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * F.col("both") >= percent * (F.size("a") + F.size("b") - F.col("both"))).select("u", "v")
 
 
-def near_duplicates(docs: DataFrame, *, bins: int = BINS, rows: int = ROWS, width: int = SHINGLE, percent: int = PERCENT, centres: int = CENTRES) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, bins: int = BINS, rows: int = ROWS, width: int = SHINGLE, percent: int = PERCENT, centres: int = CENTRES, key: bytes | None = None) -> DataFrame:
     """One row per row of docs with a doc_id: doc_id, n_shingles, component_id, kept, n_links.
 
     Documents are linked when 100 * |both sets| >= percent * |either set| of their distinct width-word
@@ -159,9 +161,10 @@ def near_duplicates(docs: DataFrame, *, bins: int = BINS, rows: int = ROWS, widt
     marks the documents with that id. n_links counts the confirmed links of a document's class to other
     classes, which need not be all. Defined cases: a null or blank text has an empty set and no link; a row without doc_id is
     no node and gives no row; rows that repeat a doc_id are one node and a row each, and if their sets differ, the
-    node's is that with the least digest; other columns play no part; no rows give no rows.
+    node's is that with the least digest; other columns play no part; no rows give no rows. key keys the hashes of words (None: one drawn for this run).
     """
-    sketch = stored(sketches(docs, bins=bins, rows=rows, width=width), "minhash")
+    key = secrets.token_bytes(16) if key is None else key
+    sketch = stored(sketches(docs, bins=bins, rows=rows, width=width, key=key), "minhash")
     own = ["set_a", "set_b", "size"]
     all_rows, empty = sketch.where("n_shingles > 0").withColumn("size", F.col("n_shingles")), sketch.where("n_shingles = 0").select("doc_id", "n_shingles")
     repeated = sketch.groupBy("doc_id").agg(F.count("*").alias("many"), F.min(F.when(F.col("n_shingles") > 0, F.struct("set_a", "set_b", F.col("n_shingles").alias("size")))).alias("least")).where("many > 1")
@@ -180,7 +183,7 @@ def near_duplicates(docs: DataFrame, *, bins: int = BINS, rows: int = ROWS, widt
     buckets = stored(entries.join(shared, "key"), "minhash-buckets", 2)
     ids = stored(buckets.select(F.col("rep").alias("doc_id"), "set_a", "set_b").distinct(), "minhash-ids", 8)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(bounded(ids.select("doc_id"), BROADCAST_IDS), "doc_id", "left_semi")
-    sets = texts.mapInArrow(_full_sets(width), "doc_id long, set_a long, set_b long, shingles array<long>")
+    sets = texts.mapInArrow(_full_sets(width, key), "doc_id long, set_a long, set_b long, shingles array<long>")
     if not alone:  # of the rows of a node, one that has its set
         sets = sets.join(bounded(ids, BROADCAST_IDS), ["doc_id", "set_a", "set_b"], "left_semi").dropDuplicates(["doc_id"])
     sets = stored(sets.select("doc_id", "shingles"), "minhash-sets")

@@ -11,7 +11,7 @@ whose supports the window holds and start in its first half, the one with the le
 leftmost of equal ones); a word is its own support, so each window has an anchor, and equal windows have the
 same one at the same place. An anchor goes by its name and the words of half a window from its support on.
 Spark counts anchors over the corpus. Only windows whose anchor stands more than once can be repeats: those are
-compared by 128 bits from two families of hashes of their words, and a window is a repeat if a smaller document
+compared by 128 bits from two families of hashes of their words, whose key each run draws for itself, and a window is a repeat if a smaller document
 has it, or its own earlier. So nothing is missed and nothing is sampled, as long as rounds name equal symbols alike.
 
 Shuffled are anchors (about one for nine words), windows with a shared anchor, and texts of documents that
@@ -20,6 +20,7 @@ with many rows (copies, common passages) are joined by broadcast, which their nu
 """
 
 import hashlib
+import secrets
 
 import numpy as np
 import pyarrow as pa
@@ -91,12 +92,12 @@ def least_of(values: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndar
     return out
 
 
-def anchors(words: Words, width: int = WINDOW, levels: int = LEVELS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def anchors(words: Words, width: int = WINDOW, levels: int = LEVELS, key: bytes = b"") -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For each stretch of windows with the same anchor: its name, text, first window and last window (by first word)."""
     starts, owner = window_starts(words, width)
     if not len(starts):
         return np.zeros(0, np.uint64), owner, starts, starts
-    name, own = words.hashes(seed=21), words.owners()
+    name, own = words.hashes(seed=21, key=key), words.owners()
     lo = np.arange(len(name))
     hi = lo + 1
     half = width // 2
@@ -114,7 +115,7 @@ def anchors(words: Words, width: int = WINDOW, levels: int = LEVELS) -> tuple[np
     new[1:] = (place[1:] != place[:-1]) | (shift[1:] != shift[:-1]) | (chosen[1:] != chosen[:-1]) | (owner[1:] != owner[:-1])
     begin = np.flatnonzero(new)
     end = np.concatenate([begin[1:], [len(starts)]]) - 1
-    chosen = mix(chosen[begin] ^ runs(words.hashes(seed=31), half)[place[begin]])
+    chosen = mix(chosen[begin] ^ runs(words.hashes(seed=31, key=key), half)[place[begin]])
     return chosen, owner[begin], starts[begin], starts[end]
 
 
@@ -133,9 +134,9 @@ def runs(hashes: np.ndarray, width: int) -> np.ndarray:
             hashes = both(hashes[: -size // 2], hashes[size // 2 :])
 
 
-def window_hashes(words: Words, starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+def window_hashes(words: Words, starts: np.ndarray, width: int, key: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
     """Two hashes, from families of their own, of the words of each window."""
-    return tuple(runs(words.hashes(seed=seed), width)[starts].view(np.int64) for seed in (31, 32))
+    return tuple(runs(words.hashes(seed=seed, key=key), width)[starts].view(np.int64) for seed in (31, 32))
 
 
 def _first_of_equal(own: np.ndarray, one: np.ndarray, two: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -157,12 +158,12 @@ def _text_keys(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, n), batch.column(1).slice(row, n), batch.column(3).slice(row, n), pa.array(words.counts), pa.array(keys[:, 0]), pa.array(keys[:, 1])], ["file", "row", "id", "n", "key_a", "key_b"])
 
 
-def _anchor_task(width: int, levels: int):
+def _anchor_task(width: int, levels: int, key: bytes):
     @task
     def run(batches):
         for batch in batches:
             for row, words in slices(batch.column(2)):
-                name, own, a, b = anchors(words, width, levels)
+                name, own, a, b = anchors(words, width, levels, key)
                 at = pa.array(own + row)
                 base = words.first[own]
                 yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), batch.column(0).take(at), batch.column(1).take(at), pa.array((a - base).astype(np.int32)), pa.array((b - a + 1).astype(np.int32))], ["name", "file", "row", "a", "n"])
@@ -170,7 +171,7 @@ def _anchor_task(width: int, levels: int):
     return run
 
 
-def _window_task(width: int):
+def _window_task(width: int, key: bytes):
     @task
     def run(batches):
         for batch in batches:
@@ -183,7 +184,7 @@ def _window_task(width: int):
                 k = flat.field("n").to_numpy(zero_copy_only=False).astype(np.int64)
                 at = np.repeat(a - (np.cumsum(k) - k), k) + np.arange(int(k.sum()))
                 own = np.repeat(np.repeat(np.arange(n), each), k)
-                one, two = window_hashes(words, at, width)
+                one, two = window_hashes(words, at, width, key)
                 order, new = _first_of_equal(own, one, two, at)
                 keep = np.sort(order[new])
                 rows = pa.array(own[keep] + row)
@@ -192,15 +193,15 @@ def _window_task(width: int):
     return run
 
 
-def _repeated_inside(words: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
+def _repeated_inside(words: Words, width: int, key: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
     """Windows that stand earlier in their own text."""
     starts, own = window_starts(words, width)
-    order, new = _first_of_equal(own, *window_hashes(words, starts, width), starts)
+    order, new = _first_of_equal(own, *window_hashes(words, starts, width, key), starts)
     again = np.sort(order[~new])
     return starts[again], own[again]
 
 
-def _cut_task(width: int, with_text: bool):
+def _cut_task(width: int, with_text: bool, key: bytes):
     @task
     def run(batches):
         for batch in batches:
@@ -210,7 +211,7 @@ def _cut_task(width: int, with_text: bool):
                 spans = marks.slice(row, n)
                 each = spans.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
                 at = spans.flatten().to_numpy(zero_copy_only=False).astype(np.int64) + np.repeat(words.first[:-1], each)
-                inside, _ = _repeated_inside(words, width)
+                inside, _ = _repeated_inside(words, width, key)
                 edge = np.zeros(len(words.starts) + 1, np.int64)
                 for p in (at, inside):
                     np.add.at(edge, p, 1)
@@ -242,40 +243,41 @@ def _cut_task(width: int, with_text: bool):
     return run
 
 
-def repeated_windows(rows: DataFrame, width: int = WINDOW, levels: int = LEVELS) -> tuple[DataFrame, DataFrame]:
+def repeated_windows(rows: DataFrame, width: int = WINDOW, levels: int = LEVELS, key: bytes = b"") -> tuple[DataFrame, DataFrame]:
     """For rows (file, row, text, id): whole copies (file, row), and first places of windows that a row with a smaller id has (file, row, at)."""
     keys = stored(rows.select("file", "row", "text", "id").mapInArrow(_text_keys, "file long, row long, id long, n long, key_a long, key_b long"), "passages-keys")
     least = keys.where(F.col("n") >= width).groupBy("key_a", "key_b", "n").agg(F.min("id").alias("least"), F.count("*").alias("many")).where("many > 1")
     copies = stored(joined(keys, stored(least, "passages-texts", 4), ["key_a", "key_b", "n"]).where("id > least").select("file", "row"), "passages-copies")
     own = rows.join(bounded(copies, BROADCAST_ROWS), ["file", "row"], "left_anti").select("file", "row", "text", "id")
-    found = stored(own.mapInArrow(_anchor_task(width, levels), "name long, file long, row long, a int, n int"), "passages-anchors")
+    found = stored(own.mapInArrow(_anchor_task(width, levels, key), "name long, file long, row long, a int, n int"), "passages-anchors")
     shared = stored(found.groupBy("name").agg(F.count("*").alias("many")).where("many > 1"), "passages-names")
     spans = joined(found, shared, ["name"], "left_semi").groupBy("file", "row").agg(F.collect_list(F.struct("a", "n")).alias("spans"))
     spans = stored(spans, "passages-spans")
     some = own.join(bounded(spans.select("file", "row"), BROADCAST_ROWS), ["file", "row"], "left_semi")
-    windows = some.join(spans, ["file", "row"]).select("file", "row", "text", "id", "spans").mapInArrow(_window_task(width), "one long, two long, id long, file long, row long, at int")
+    windows = some.join(spans, ["file", "row"]).select("file", "row", "text", "id", "spans").mapInArrow(_window_task(width, key), "one long, two long, id long, file long, row long, at int")
     windows = stored(windows, "passages-windows")
     first = windows.groupBy("one", "two").agg(F.min("id").alias("least"), F.count("*").alias("many")).where("many > 1")
     marks = joined(windows, stored(first, "passages-first", 4), ["one", "two"]).where("id > least").select("file", "row", "at")
     return copies, stored(marks.groupBy("file", "row").agg(F.collect_list("at").alias("marks")), "passages-marks")
 
 
-def without_repeats(docs: DataFrame, *, width: int = WINDOW, levels: int = LEVELS, with_text: bool = False) -> DataFrame:
+def without_repeats(docs: DataFrame, *, width: int = WINDOW, levels: int = LEVELS, with_text: bool = False, key: bytes | None = None) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_removed, kept_sha256, and kept_text if with_text.
 
     A word goes if a window of width words over it also starts earlier: in a row with a smaller doc_id, or
     earlier in the same row. Windows are judged on the input. Defined cases: a null or empty text has no
     words, and the digest is that of the empty text; texts shorter than a window lose nothing; a row without
     doc_id comes after all others; rows that share a doc_id, or have none, don't count as earlier than one
-    another; no rows give no rows; other columns play no part.
+    another; no rows give no rows; other columns play no part. key keys the hashes of words (None: one drawn for this run).
     """
+    key = secrets.token_bytes(16) if key is None else key
     rows, _, file, row = located(docs.select("doc_id", "text"))
     rows = rows.select(F.col(file).alias("file"), F.col(row).alias("row"), "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), F.col("doc_id").cast("long").alias("doc_id"))
-    copies, marks = repeated_windows(rows, width, levels)
+    copies, marks = repeated_windows(rows, width, levels, key)
     notes = stored(copies.select("file", "row", F.lit(True).alias("copy"), F.lit(None).cast("array<int>").alias("marks")).unionByName(marks.select("file", "row", F.lit(False).alias("copy"), "marks")), "passages-notes")
     touched = bounded(notes.select("file", "row"), BROADCAST_ROWS)
     plain = rows.join(touched, ["file", "row"], "left_anti").select("doc_id", "text", F.lit(False).alias("copy"), F.lit(None).cast("array<int>").alias("marks"))
     noted = rows.join(touched, ["file", "row"], "left_semi").join(notes, ["file", "row"]).select("doc_id", "text", "copy", "marks")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
-    cut = _cut_task(width, with_text)
+    cut = _cut_task(width, with_text, key)
     return plain.mapInArrow(cut, schema).unionByName(noted.mapInArrow(cut, schema))
