@@ -39,18 +39,27 @@ def _count(condition: Column, over) -> Column:
     return F.sum(F.when(condition, 1).otherwise(0)).over(over)
 
 
-def events(classified: DataFrame) -> DataFrame:
+def marks(classified: DataFrame) -> DataFrame:
+    """classified with mark (a law or transitional provisions) and takes (a heading that takes a title line after it), by each row alone."""
+    text, kind, centered = F.col("text"), F.col("unit_type"), F.coalesce("is_centered", F.lit(False)) & (F.col("unit_type") != "EMPTY")
+    mark = F.when(centered & text.rlike(LAW), "NORMA").when(centered & text.rlike(TRANSITIONAL), "ADT").when(centered & text.rlike(GENERAL), "DGT")
+    takes = kind.isin(*HEADINGS) & F.col("mark").isNull() & ~((kind == "CAPITULO") & text.contains("\n"))
+    return classified.withColumn("mark", mark).withColumn("takes", takes)
+
+
+def neighbours(marked: DataFrame) -> DataFrame:
+    """marked with taken (the row before takes this line), next_type and next_text."""
+    return marked.withColumns({"taken": (F.col("unit_type") == "SUBTITLE") & F.coalesce(F.lag("takes").over(_doc()), F.lit(False)), "next_type": F.lead("unit_type").over(_doc()), "next_text": F.lead("text").over(_doc())})
+
+
+def events(classified: DataFrame, beside=neighbours) -> DataFrame:
     """Each paragraph's event: a law, a marker, a heading, an article, a sub-unit or nothing.
 
     A heading takes the title line right after it; only a chapter that has a line break in its own text
     does not. The line taken is no event, whatever it says.
     """
-    text, kind, centered = F.col("text"), F.col("unit_type"), F.coalesce("is_centered", F.lit(False)) & (F.col("unit_type") != "EMPTY")
-    mark = F.when(centered & text.rlike(LAW), "NORMA").when(centered & text.rlike(TRANSITIONAL), "ADT").when(centered & text.rlike(GENERAL), "DGT")
-    takes = kind.isin(*HEADINGS) & F.col("mark").isNull() & ~((kind == "CAPITULO") & text.contains("\n"))
-    rows = classified.withColumn("mark", mark).withColumn("takes", takes)
-    rows = rows.withColumns({"taken": (kind == "SUBTITLE") & F.coalesce(F.lag("takes").over(_doc()), F.lit(False)), "next_type": F.lead("unit_type").over(_doc()), "next_text": F.lead("text").over(_doc())})
-    event = F.when((kind == "EMPTY") | F.col("taken"), None).otherwise(F.coalesce("mark", "unit_type"))
+    rows = beside(marks(classified))
+    event = F.when((F.col("unit_type") == "EMPTY") | F.col("taken"), None).otherwise(F.coalesce("mark", "unit_type"))
     return rows.withColumn("event", event).drop("mark", "taken")
 
 
@@ -82,17 +91,21 @@ def states(events: DataFrame) -> DataFrame:
     return rows.withColumn("kept", F.coalesce(kept, F.lit(False)))
 
 
-def headings(events: DataFrame) -> DataFrame:
-    """doc_id, seq, level, text, subtitle, data_section of each heading."""
+def sections() -> dict[str, Column]:
+    """The rows that each section counter counts."""
+    return {name: F.col("event").isin("SECAO", "SUBTITLE") if k == "SECAO" else F.col("event") == k for k, name in {"TITULO": "tit", "CAPITULO": "cap", "SECAO": "sec", "SUBSECAO": "subsec", "NORMA": "norma"}.items()}
+
+
+def headings(events: DataFrame, counted: dict[str, Column] | None = None) -> DataFrame:
+    """doc_id, seq, level, text, subtitle, data_section of each heading; counted has the section counters where events have them already."""
     event, text = F.col("event"), F.col("text")
     chapter_lines = (event == "CAPITULO") & text.contains("\n")
     lines = F.split(text, "\n")
     subtitle = F.when(chapter_lines, strip(F.array_join(F.slice(lines, 2, 1_000_000), "\n"))).when(event.isin(*HEADINGS) & (F.col("next_type") == "SUBTITLE"), F.col("next_text")).otherwise("")
-    counter = {"TITULO": "tit", "CAPITULO": "cap", "SECAO": "sec", "SUBSECAO": "subsec", "NORMA": "norma"}
     section = F.when(event == "ADT", "adt").when(event == "DGT", "dgt")
-    for k, name in counter.items():
-        of = event.isin("SECAO", "SUBTITLE") if k == "SECAO" else event == k
-        section = section.when(of, F.concat(F.lit(name), _count(of, _so_far()).cast("string")))
+    for name, of in sections().items():
+        n = _count(of, _so_far()) if counted is None else counted[name]
+        section = section.when(of, F.concat(F.lit(name), n.cast("string")))
     rows = events.select(
         "doc_id",
         "seq",
@@ -105,7 +118,13 @@ def headings(events: DataFrame) -> DataFrame:
     return rows.where(F.col("event").isin("NORMA", "ADT", "DGT", *HEADINGS, "SUBTITLE")).drop("event")
 
 
-def base_uids(states: DataFrame) -> DataFrame:
+def latest(rows: DataFrame) -> DataFrame:
+    """rows with at0 to at3: depth and suffix of the latest row of an article's run at that depth or above it."""
+    run = Window.partitionBy("doc_id", "art_run").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumns({f"at{k}": F.last(F.when(F.col("depth") <= k, F.struct("depth", "suffix")), ignorenulls=True).over(run) for k in range(4)})
+
+
+def base_uids(states: DataFrame, above=latest) -> DataFrame:
     """Kept rows with base_uid: the article's uid, then the suffixes of what a provision stands under.
 
     A level's context is the suffix of the latest row at that level or above it, if it is at that level,
@@ -113,13 +132,9 @@ def base_uids(states: DataFrame) -> DataFrame:
     """
     kind = F.col("unit_type")
     level = F.when(kind.isin("PARAGRAFO_UNICO", "PARAGRAFO_NUM"), 0).when(kind == "INCISO", 1).when(kind == "ALINEA", 2).when(kind == "SUB_ALINEA", 3)
-    rows = states.where("kept").withColumns({"prefix": F.concat(F.lit("art"), F.col("open")), "suffix": uid_suffix(kind, F.col("text")), "depth": level})
-    run = Window.partitionBy("doc_id", "art_run").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    context = []
-    for k in range(4):
-        at = F.last(F.when(F.col("depth") <= k, F.struct("depth", "suffix")), ignorenulls=True).over(run)
-        context.append(F.when(at["depth"] == k, at["suffix"]).otherwise(""))
-    rows = rows.withColumn("context", F.concat(*context))
+    rows = above(states.where("kept").withColumns({"prefix": F.concat(F.lit("art"), F.col("open")), "suffix": uid_suffix(kind, F.col("text")), "depth": level}))
+    context = [F.when(F.col(f"at{k}.depth") == k, F.col(f"at{k}.suffix")).otherwise("") for k in range(4)]
+    rows = rows.withColumn("context", F.concat(*context)).drop(*[f"at{k}" for k in range(4)])
     base = F.when(F.col("is_art"), F.col("prefix")).when(kind == "ITEM_NUM", F.concat("prefix", "context", "suffix")).when(kind == "OTHER", F.col("prefix")).otherwise(F.concat("prefix", "context"))
     return rows.withColumn("base_uid", base)
 
@@ -131,11 +146,14 @@ def unique_uids(rows: DataFrame) -> DataFrame:
     return rows.withColumn("uid", F.when(F.col("is_art") | (k == 0), F.col("base_uid")).otherwise(F.concat("base_uid", F.lit("_"), (k + 1).cast("string"))))
 
 
-def units(states: DataFrame) -> DataFrame:
+def caputs(rows: DataFrame) -> DataFrame:
+    """rows with caput_seq: the last article row of their block."""
+    return rows.withColumn("caput_seq", F.max(F.when(F.col("is_art"), F.col("seq"))).over(Window.partitionBy("doc_id", "block_id")))
+
+
+def units(states: DataFrame, above=latest, unique=unique_uids, last=caputs) -> DataFrame:
     """doc_id, block_id, seq, role (caput, child, version), type, identifier, uid, text, runs and flags of each provision."""
-    rows = unique_uids(base_uids(states))
-    block = Window.partitionBy("doc_id", "block_id")
-    rows = rows.withColumn("caput_seq", F.max(F.when(F.col("is_art"), F.col("seq"))).over(block))
+    rows = last(unique(base_uids(states, above)))
     role = F.when(F.col("seq") < F.col("caput_seq"), "version").when(F.col("is_art"), "caput").otherwise("child")
     whole = full_text(F.col("runs")) if "runs" in states.columns else F.col("text")
     return rows.select(
@@ -181,7 +199,13 @@ def article_summaries(states: DataFrame, footnote_defs: DataFrame) -> DataFrame:
     return found.groupBy("doc_id", "seq").agg(F.min_by("summary", "pos").alias("summary"))
 
 
-def footnotes(states: DataFrame, footnote_defs: DataFrame) -> DataFrame:
+def numbers(notes: DataFrame) -> DataFrame:
+    """notes with number: their place among those of their counter."""
+    order = Window.partitionBy("doc_id", "is_private", "counter").orderBy("seq", "pos")
+    return notes.withColumn("number", F.row_number().over(order))
+
+
+def footnotes(states: DataFrame, footnote_defs: DataFrame, numbered=numbers) -> DataFrame:
     """doc_id, seq, pos, fn_id, is_private, number of the footnotes of kept rows.
 
     Public notes are numbered through the document. Private ones start anew with each block, but the
@@ -190,9 +214,7 @@ def footnotes(states: DataFrame, footnote_defs: DataFrame) -> DataFrame:
     kept = states.where("kept").select("doc_id", "seq", "is_art", "merges", "block_id", F.posexplode("footnote_ids").alias("pos", "fn_id"))
     rows = kept.join(footnote_defs.where("kind in ('public', 'private')"), "fn_id").withColumn("is_private", F.col("kind") == "private")
     group = F.when(F.col("is_private"), F.col("block_id") - F.when(F.col("is_art") & ~F.col("merges"), 1).otherwise(0)).otherwise(-1)
-    rows = rows.withColumn("counter", group)
-    order = Window.partitionBy("doc_id", "is_private", "counter").orderBy("seq", "pos")
-    return rows.select("doc_id", "seq", "pos", "fn_id", "is_private", F.row_number().over(order).alias("number"))
+    return numbered(rows.withColumn("counter", group)).select("doc_id", "seq", "pos", "fn_id", "is_private", "number")
 
 
 def elements(headings: DataFrame, articles: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ patterns. Queries without SQL here are checked by tests.
 
 from lexflow.functions.text import ACCENTED, PLAIN
 from lexflow.operators.checks import CODE_LABELS, FAULTS
-from lexflow.plans.views import FOOTNOTE_KIND, LAWS_SQL, STATUTE_SQL, SUBJECT_SQL
+from lexflow.plans.views import FOOTNOTE_KIND, LAWS_SQL, STATUTE_SQL, SUBJECT_SQL, WHOLE_SQL
 
 _NAMES = {"orders": "orders", "lineitem": "lineitem", "part": "part"}
 
@@ -261,8 +261,9 @@ def _order(names: tuple[str, ...], seen: list[str]) -> list[str]:
     return seen
 
 
-def _sql(needs: str, body: str, recursive: bool = False) -> str:
-    parts = ",\n".join(f"{n} AS ({_PARTS[n][0]})" for n in _order(tuple(needs.split()), []))
+def _sql(needs: str, body: str, recursive: bool = False, **other: str) -> str:
+    """A query over named parts and those that they need; other has parts that stand in for those of that name."""
+    parts = ",\n".join(f"{n} AS ({other.get(n, _PARTS[n][0])})" for n in _order(tuple(needs.split()), []))
     return f"WITH {'RECURSIVE ' * recursive}{parts}\n{body}" if parts else body
 
 
@@ -286,6 +287,7 @@ def _escaped(column: str) -> str:
     return f"replace(replace(replace(replace(replace({column}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;'), chr(39), '&#x27;')"
 
 
+_WHOLE = WHOLE_SQL.format(statute=STATUTE_SQL).format(**_NAMES)
 _KEY = f"replace(translate(lower(text), '{ACCENTED}', '{PLAIN}'), chr(160), ' ')"
 _SHOWN = "concat(subject, CASE WHEN sub_subject <> '' THEN ' — ' || sub_subject ELSE '' END)"
 _CLOSED = """
@@ -317,6 +319,10 @@ ORACLE_SQL: dict[str, str] = {
     "version_islands": _sql("a", "SELECT doc_id, block_id, seq, art_number, is_adt, law_name, n_versions FROM a"),
     "hier_uid": _sql("b", "SELECT doc_id, seq, base_uid FROM b"),
     "uid_dedup": _sql("u", "SELECT doc_id, seq, role, uid FROM u"),
+    "segmented_states": _sql("s", "SELECT seq, law_name, in_adt, open AS open_article, is_art OR coalesce(event IN ('PARAGRAFO_UNICO','PARAGRAFO_NUM','INCISO','ALINEA','SUB_ALINEA','ITEM_NUM','OTHER') AND open <> '', false) AS kept, block_id, art_run FROM s", p=_WHOLE),
+    "segmented_headings": _sql("h", "SELECT seq, level, text, subtitle, data_section FROM h", p=_WHOLE),
+    "segmented_uids": _sql("u", "SELECT block_id, seq, role, uid FROM u", p=_WHOLE),
+    "segmented_footnotes": _sql("fnn", "SELECT seq, CAST(fn_id AS INTEGER) AS fn_id, is_private, CAST(number AS INTEGER) AS number FROM fnn", p=_WHOLE),
     "old_versions": _sql("v", "SELECT doc_id, block_id, seq, role, identifier, is_old_version FROM v"),
     "article_revoked": _sql("v", "SELECT doc_id, block_id, bool_or(role = 'caput' AND is_revoked) AND NOT bool_or(role = 'child' AND NOT is_old_version AND NOT is_revoked) AS is_revoked FROM v GROUP BY doc_id, block_id"),
     "footnote_numbers": _sql("fn", "SELECT doc_id, seq, CAST(fn_id AS INTEGER) AS fn_id, kind = 'private' AS is_private, CAST(row_number() OVER (PARTITION BY doc_id, kind, CASE WHEN kind = 'private' THEN blk END ORDER BY seq) AS INTEGER) AS number FROM fn"),

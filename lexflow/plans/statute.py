@@ -5,7 +5,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexflow.operators import checks, classify, export, markdown, outline, render, side_documents, structure, subjects, targets, versions
+from lexflow.operators import checks, classify, export, markdown, outline, render, segments, side_documents, structure, subjects, targets, versions
 from lexflow.schemas import FOOTNOTE_DEFS, LAWS, SUBJECT_ROWS
 from lexflow.sources import ooxml, sinks
 from lexflow.sources.config import Config
@@ -21,23 +21,25 @@ class Statute:
     footnote_defs: DataFrame
 
 
-def build(paragraphs: DataFrame, footnote_defs: DataFrame | None = None, laws: DataFrame | None = None, prefix_uids: bool = True) -> Statute:
+def build(paragraphs: DataFrame, footnote_defs: DataFrame | None = None, laws: DataFrame | None = None, prefix_uids: bool = True, segment: int | None = None) -> Statute:
     """The statute of a paragraph table: versions resolved, articles stamped with their laws.
 
     All windows are over (doc_id, seq), so the stream is exchanged and sorted once. The states of its rows, its
     provisions and its articles are tables in the shared folder (see lexflow.session), as all else comes from them.
-    prefix_uids puts a law's prefix into the uids of its units, as pages do and Markdown doesn't.
+    prefix_uids puts a law's prefix into the uids of its units, as pages do and Markdown doesn't. With segment,
+    documents may be longer than a task can hold: they are scanned in segments of so many rows.
     """
     spark = prepare(paragraphs.sparkSession)
     defs = footnote_defs if footnote_defs is not None else spark.createDataFrame([], FOOTNOTE_DEFS)
-    states = stored(structure.states(structure.events(classify.classify(paragraphs))), "states")
-    units = stored(versions.resolve(structure.units(states)), "units")
+    classified = classify.classify(paragraphs)
+    states = stored(segments.states(classified, segment) if segment else structure.states(structure.events(classified)), "states")
+    units = stored(versions.resolve(segments.units(states) if segment else structure.units(states)), "units")
     articles = structure.articles(states, structure.article_summaries(states, defs))
     articles = targets.stamp_articles(articles, laws if laws is not None else spark.createDataFrame([], LAWS))
     articles = stored(articles.join(versions.revoked_articles(units), ["doc_id", "block_id"]), "articles")
     units = targets.stamp_units(units, articles) if prefix_uids else units.join(articles.select("doc_id", "block_id", "law_prefix"), ["doc_id", "block_id"])
-    notes = structure.footnotes(states, defs)
-    return Statute(structure.headings(states), articles, render.with_notes(targets.paths(units), notes, defs), notes, defs)
+    notes = segments.footnotes(states, defs, segment) if segment else structure.footnotes(states, defs)
+    return Statute(segments.headings(states) if segment else structure.headings(states), articles, render.with_notes(targets.paths(units), notes, defs), notes, defs)
 
 
 def cards(statute: Statute) -> DataFrame:

@@ -67,9 +67,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The statute as paragraphs; a paragraph is one run, or two where it has a separator."""
-    rows = spark.sql(STATUTE_SQL, orders=table(spark, sf_dir, "orders"), lineitem=table(spark, sf_dir, "lineitem"))
+#: All documents as one: a document of the view has less than 4,096 paragraphs.
+WHOLE_SQL = "SELECT CAST(0 AS BIGINT) AS doc_id, doc_id * 4096 + seq AS seq, text, is_centered, has_strike, indent_left, fn_id FROM ({statute})"
+
+
+def paragraphs(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    """The statute as paragraphs; a paragraph is one run, or two where it has a separator. whole: all documents as one."""
+    sql = WHOLE_SQL.format(statute=STATUTE_SQL) if whole else STATUTE_SQL
+    rows = spark.sql(sql, orders=table(spark, sf_dir, "orders"), lineitem=table(spark, sf_dir, "lineitem"))
     cut = F.instr("text", " - ")
     run = lambda text, bold: F.struct(text.alias("text"), bold.alias("bold"), F.lit(False).alias("italic"), F.col("has_strike").alias("strike"), F.lit(None).cast("string").alias("hyperlink_url"), F.lit(None).cast("string").alias("hyperlink_anchor"))
     runs = F.when(cut > 0, F.array(run(F.substr(F.col("text"), F.lit(1), cut), F.lit(True)), run(F.substr(F.col("text"), cut + 1), F.lit(False)))).otherwise(F.array(run(F.col("text"), F.lit(False))))

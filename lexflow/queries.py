@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexflow.functions import text as T
-from lexflow.operators import checks, classify, diff, export, markdown, outline, render, search, side_documents, structure, subjects, targets, versions
+from lexflow.operators import checks, classify, diff, export, markdown, outline, render, search, segments, side_documents, structure, subjects, targets, versions
 from lexflow.plans import statute, views
 from lexflow.plans.views import table
 from lexflow.session import stored
@@ -120,6 +120,27 @@ def uid_dedup(spark, d):
     return structure.units(_states(spark, d)).select("doc_id", "seq", "role", "uid")
 
 
+def _segmented(spark, d) -> DataFrame:
+    """The states of all orders as one document, in segments."""
+    return segments.states(classify.classify(views.paragraphs(spark, d, whole=True)), 4096)
+
+
+def segmented_states(spark, d):
+    return _segmented(spark, d).select("seq", "law_name", "in_adt", F.coalesce("open", F.lit("")).alias("open_article"), "kept", "block_id", "art_run")
+
+
+def segmented_headings(spark, d):
+    return segments.headings(_segmented(spark, d)).drop("doc_id")
+
+
+def segmented_uids(spark, d):
+    return segments.units(_segmented(spark, d)).select("block_id", "seq", "role", "uid")
+
+
+def segmented_footnotes(spark, d):
+    return segments.footnotes(_segmented(spark, d), views.footnote_defs(spark), 4096).select("seq", "fn_id", "is_private", "number")
+
+
 def old_versions(spark, d):
     return _units(spark, d).select("doc_id", "block_id", "seq", "role", "identifier", "is_old_version")
 
@@ -412,7 +433,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         search_all_terms, search_phrase, search_keys, highlight_hits, highlight_html, page_text, filter_pages,
-        classify_units, unit_type_counts, amendment_notes, section_headings, law_ffill, version_islands, hier_uid, uid_dedup, old_versions, article_revoked, next_versions,
+        classify_units, unit_type_counts, amendment_notes, section_headings, law_ffill, version_islands, hier_uid, uid_dedup, segmented_states, segmented_headings, segmented_uids, segmented_footnotes, old_versions, article_revoked, next_versions,
         footnote_numbers, article_summaries, unit_paths, element_counts, document_elements, structure_snapshot,
         device_lines, range_expand, subject_index_flat, subject_index_nested, subject_filter, index_rows, formatted_refs, dangling_refs, dangling_see_also, see_also_links, sheet_lint, lint_codes, issue_counts, locale_sort,
         systematic_outline, section_ranges, outline_search, context_headings, ancestor_headings, current_section, breadcrumbs, unit_breadcrumbs, heading_titles,

@@ -85,14 +85,15 @@ def streams():
     return {k: [rnd.choice(POOL) for _ in range(rnd.randint(0, 45))] for k in range(120)}
 
 
-def test_structure_equals_a_sequential_reading(spark, streams):
+@pytest.mark.parametrize("segment", [None, 7])
+def test_structure_equals_a_sequential_reading(spark, streams, segment):
     rows = None
     for k, s in streams.items():
         part = [(k, i, t, [(t, False, False, o.get("struck", False), None, None)], o.get("centered", False), o.get("struck", False), o.get("indent", 0), "", o.get("notes", [])) for i, (t, o) in enumerate(s)]
         rows = part if rows is None else rows + part
     frame = spark.createDataFrame(rows, PARAGRAPHS)
     defs = spark.createDataFrame([(k, kind, s, []) for k, (kind, s) in DEFS.items()], FOOTNOTE_DEFS)
-    built = statute.build(frame, defs)
+    built = statute.build(frame, defs, segment=segment)
     kinds = {(r.doc_id, r.seq): r for r in classify.classify(frame).collect()}
     heads = sorted((r.doc_id, r.seq, r.level, r.text, r.subtitle, r.data_section) for r in built.headings.collect())
     arts = sorted((r.doc_id, r.seq, r.art_number, r.is_adt, r.law_name, r.summary) for r in built.articles.collect())
