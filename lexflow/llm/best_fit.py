@@ -27,8 +27,8 @@ from lexflow.llm.encoders import encoder
 SIZE, END = 4096, 1
 #: Combinations used up before the indexes of sums are made anew.
 STALE = 256
-#: Rows of counts (tasks times lengths) that are broadcast at most; beyond, they are joined by a shuffle.
-COUNTS = 2_000_000
+#: Rows of counts (tasks times lengths, some 200 bytes each) that are broadcast at most; beyond, they are joined by a shuffle.
+COUNTS = 200_000
 #: Pieces of one length that the plan can number.
 MOST = 1 << 40
 

@@ -176,7 +176,7 @@ def checked_pieces(rows, docs, size, end):
     return len(own)
 
 
-@pytest.mark.parametrize("counts", [2_000_000, 0])
+@pytest.mark.parametrize("counts", [200_000, 0])
 @pytest.mark.parametrize("size", [4096, 16])
 def test_best_fitted(spark, monkeypatch, size, counts):
     monkeypatch.setattr(best_fit, "COUNTS", counts)
