@@ -306,6 +306,7 @@ cr AS (SELECT a.doc_id, a.seq, CASE WHEN any_value(law_prefix) <> '' THEN any_va
 ORACLE_SQL: dict[str, str] = {
     "search_all_terms": f"SELECT doc_id, lang, source, CAST(length(text) AS INTEGER) AS n FROM documents WHERE contains({_KEY}, 'eaux') AND contains({_KEY}, 'tion')",
     "search_phrase": f"SELECT doc_id, lang FROM documents WHERE contains({_KEY}, 'de la') AND contains({_KEY}, 'element')",
+    "indexed_search": " UNION ALL ".join(f"SELECT {k} AS query, doc_id FROM documents WHERE {' AND '.join(f'contains({_KEY}, {t!r})' for t in terms)}" for k, terms in enumerate([["e"], ["qu"], ["eau"], ["eaux", "tion"], ["de la", "element"], ["dans"], ["zq"], ["internationalisations"], ["constantly", "forgotten"]])),
     "search_keys": f"SELECT doc_id, md5({_KEY}) AS key_md5, md5(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')) AS html_md5 FROM documents",
     "highlight_hits": f"SELECT doc_id, len(regexp_extract_all(text, '(?i)[eéèêë]l[eéèêë]m[eéèêë][nñ]t'))::INTEGER AS hits FROM documents WHERE contains({_KEY}, 'element')",
     "highlight_html": "SELECT doc_id, md5(replace(replace(replace(replace(replace(regexp_replace(text, '(?i)([aáàâãä]mp[\\s\u00a0]+[eéèêë]t|[aáàâãä]mp|lt|q[uúùûü][eéèêë])', chr(64976) || '\\1' || chr(64977), 'g'), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(64976), '<mark>'), chr(64977), '</mark>')) AS html_md5 FROM documents",

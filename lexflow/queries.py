@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexflow.functions import text as T
-from lexflow.operators import checks, classify, diff, export, markdown, outline, render, search, segments, side_documents, structure, subjects, targets, versions
+from lexflow.operators import checks, classify, diff, export, markdown, outline, render, search, segments, side_documents, structure, subjects, targets, text_index, versions
 from lexflow.plans import statute, views
 from lexflow.plans.views import table
 from lexflow.session import stored
@@ -61,6 +61,20 @@ def search_phrase(spark, d):
     return search.search_texts(table(spark, d, "documents"), '"de la" élément').select("doc_id", "lang")
 
 
+#: Searches of one to some twenty characters, of several terms, of a phrase, and one that nothing meets.
+INDEXED = ("e", "qu", "eau", "eaux tion", '"de la" élément', "r dans", "zq", "internationalisations", "constantly forgotten")
+
+
+def indexed_search(spark, d):
+    """Searches over documents by an index of trigrams."""
+    index = text_index.build(table(spark, d, "documents").select("doc_id", "text"))
+    found = [text_index.search(index, q).select(F.lit(k).alias("query"), "doc_id") for k, q in enumerate(INDEXED)]
+    rows = found[0]
+    for more in found[1:]:
+        rows = rows.unionByName(more)
+    return rows
+
+
 def search_keys(spark, d):
     rows = table(spark, d, "documents")
     return rows.select("doc_id", F.md5(T.search_key(F.col("text"))).alias("key_md5"), F.md5(T.escape_html(F.col("text"))).alias("html_md5"))
@@ -432,7 +446,7 @@ def information_pages(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        search_all_terms, search_phrase, search_keys, highlight_hits, highlight_html, page_text, filter_pages,
+        search_all_terms, search_phrase, indexed_search, search_keys, highlight_hits, highlight_html, page_text, filter_pages,
         classify_units, unit_type_counts, amendment_notes, section_headings, law_ffill, version_islands, hier_uid, uid_dedup, segmented_states, segmented_headings, segmented_uids, segmented_footnotes, old_versions, article_revoked, next_versions,
         footnote_numbers, article_summaries, unit_paths, element_counts, document_elements, structure_snapshot,
         device_lines, range_expand, subject_index_flat, subject_index_nested, subject_filter, index_rows, formatted_refs, dangling_refs, dangling_see_also, see_also_links, sheet_lint, lint_codes, issue_counts, locale_sort,
