@@ -1,12 +1,16 @@
 """DOCX and XLSX files as tables.
 
 Files are read by Spark as binary rows, so any store and any number of files will do; each file is parsed in
-the worker that has it. Spark's XPath doesn't see name spaces, so parsing is Python's.
+the worker that has it (lexflow.sources.docx_source reads large files from a mounted store without holding them). Spark's XPath
+doesn't see name spaces, so parsing is Python's. Documents are parsed as a stream: a paragraph is forgotten once its row is made, and rows
+leave in batches.
 """
 
 import io
+import itertools
 import re
 import zipfile
+from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -15,6 +19,7 @@ from pyspark.sql import functions as F
 
 from lexflow.schemas import FOOTNOTE_DEFS, PARAGRAPHS, STYLED, SUBJECT_ROWS
 
+#: Name spaces and a relation's type, as the file formats have them. Fixed values.
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 S = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
@@ -23,12 +28,42 @@ HYPERLINK = "http://schemas.openxmlformats.org/officeDocument/2006/relationships
 LAW_SHEET = "Normas"
 
 
-def _part(data: bytes, name: str):
-    with zipfile.ZipFile(io.BytesIO(data)) as z:
-        try:
-            return ElementTree.fromstring(z.read(name))
-        except KeyError:
-            return None
+#: Rows that leave a parser together.
+BATCH = 1_000
+
+
+def archive(data) -> zipfile.ZipFile:
+    """A file's archive, of its bytes or of an open file or path."""
+    return data if isinstance(data, zipfile.ZipFile) else zipfile.ZipFile(io.BytesIO(data) if isinstance(data, bytes) else data)
+
+
+def _part(data, name: str):
+    z = archive(data)
+    try:
+        return ElementTree.fromstring(z.read(name))
+    except KeyError:
+        return None
+
+
+def children(data, name: str, above: tuple[str, ...], tag: str) -> Iterator:
+    """The elements of a tag that stand right below a path of tags in a part, one at a time; nothing else of the part is held."""
+    z = archive(data)
+    if name not in z.namelist():
+        return
+    with z.open(name) as part:
+        stack = []
+        for event, el in ElementTree.iterparse(part, ("start", "end")):
+            if event == "start":
+                stack.append(el)
+                continue
+            stack.pop()
+            inside = len(stack) > len(above) and stack[len(above)].tag == tag and tuple(x.tag for x in stack[: len(above)]) == above
+            if inside:  # belongs to an element that is still to come
+                continue
+            if el.tag == tag and tuple(x.tag for x in stack) == above:
+                yield el
+            if stack:
+                stack[-1].remove(el)
 
 
 def _number(text: str | None, default: int | None = 0) -> int | None:
@@ -52,23 +87,21 @@ def _property(p, path: str, name: str) -> str | None:
     return None if el is None else el.get(W + name)
 
 
-def links(data: bytes) -> dict[str, str]:
+def links(data) -> dict[str, str]:
     """Targets of hyperlinks by relation id; none without that part."""
     root = _part(data, "word/_rels/document.xml.rels")
     rows = [] if root is None else [r for r in root if r.tag.rpartition("}")[2] == "Relationship" and HYPERLINK in r.get("Type", "")]
     return {r.get("Id", ""): r.get("Target", "") for r in rows}
 
 
-def body_paragraphs(data: bytes) -> list:
+def body_paragraphs(data) -> Iterator:
     """The body's own paragraphs; those inside tables aren't."""
-    root = _part(data, "word/document.xml")
-    body = None if root is None else root.find(f"{W}body")
-    return [] if body is None else body.findall(f"{W}p")
+    return children(data, "word/document.xml", (f"{W}document", f"{W}body"), f"{W}p")
 
 
-def paragraphs(data: bytes) -> list[dict]:
+def paragraphs(data) -> Iterator[dict]:
     """Rows of PARAGRAPHS without doc_id."""
-    target, out = links(data), []
+    target = links(data)
     for seq, p in enumerate(body_paragraphs(data)):
         runs, notes = [], []
         for child in p:
@@ -82,38 +115,32 @@ def paragraphs(data: bytes) -> list[dict]:
         runs = [r for r in runs if r["text"]]
         size = lambda rs: sum(len(r["text"].strip()) for r in rs)
         mark = p.find(f"{W}bookmarkStart")
-        out.append(
-            {
-                "seq": seq,
-                "text": "".join(r["text"] for r in runs).strip(),
-                "runs": runs,
-                "is_centered": _property(p, "jc", "val") == "center",
-                "has_strike": 2 * size([r for r in runs if r["strike"]]) > size(runs),
-                "indent_left": _number(_property(p, "ind", "left")),
-                "bookmark_name": "" if mark is None else mark.get(f"{W}name", ""),
-                "footnote_ids": notes,
-            }
-        )
-    return out
-
-
-def lint_paragraphs(data: bytes) -> list[dict]:
+        yield {
+            "seq": seq,
+            "text": "".join(r["text"] for r in runs).strip(),
+            "runs": runs,
+            "is_centered": _property(p, "jc", "val") == "center",
+            "has_strike": 2 * size([r for r in runs if r["strike"]]) > size(runs),
+            "indent_left": _number(_property(p, "ind", "left")),
+            "bookmark_name": "" if mark is None else mark.get(f"{W}name", ""),
+            "footnote_ids": notes,
+        }
+
+
+def lint_paragraphs(data) -> Iterator[dict]:
     """Paragraphs as the document lint sees them: all runs below, no breaks."""
-    out = []
     for seq, p in enumerate(body_paragraphs(data)):
         text = "".join("".join(t.text or "" for t in r.findall(f"{W}t")) + "\t" * len(r.findall(f"{W}tab")) for r in p.iter(f"{W}r"))
-        out.append({"seq": seq, "text": text.strip(), "is_centered": _property(p, "jc", "val") == "center", "indent_left": _number(_property(p, "ind", "left"))})
-    return out
+        yield {"seq": seq, "text": text.strip(), "is_centered": _property(p, "jc", "val") == "center", "indent_left": _number(_property(p, "ind", "left"))}
 
 
 def _begins(text: str, letter: str) -> bool:
     return text[:2].lower() == f"{letter} "
 
 
-def footnote_definitions(data: bytes, include_private: bool = False) -> list[dict]:
+def footnote_definitions(data, include_private: bool = False) -> Iterator[dict]:
     """Rows of FOOTNOTE_DEFS: public notes, private ones ("b …") if asked for, and summaries ("s …")."""
-    root, out = _part(data, "word/footnotes.xml"), []
-    for note in [] if root is None else root.findall(f"{W}footnote"):
+    for note in children(data, "word/footnotes.xml", (f"{W}footnotes",), f"{W}footnote"):
         number = _number(note.get(f"{W}id"), None)
         if number is None or note.get(f"{W}type") in ("separator", "continuationSeparator"):
             continue
@@ -138,21 +165,18 @@ def footnote_definitions(data: bytes, include_private: bool = False) -> list[dic
                     break
         elif _begins(text, "s"):
             kind = "summary"
-        out.append({"fn_id": number, "kind": kind, "summary": text[2:].strip() if kind == "summary" else "", "paragraphs": paras})
-    return out
+        yield {"fn_id": number, "kind": kind, "summary": text[2:].strip() if kind == "summary" else "", "paragraphs": paras}
 
 
-def styled_paragraphs(data: bytes) -> list[dict]:
+def styled_paragraphs(data) -> Iterator[dict]:
     """Rows of STYLED: each run's first text, whether all that has text is bold, and the style."""
-    out = []
     for seq, p in enumerate(body_paragraphs(data)):
         runs = []
         for r in p.findall(f"{W}r"):
             t, flags = r.find(f"{W}t"), r.find(f"{W}rPr")
             runs.append({"text": "" if t is None else t.text or "", "bold": flags is not None and flags.find(f"{W}b") is not None})
         text = "".join(r["text"] for r in runs)
-        out.append({"seq": seq, "style": _property(p, "pStyle", "val"), "runs": runs, "text": text, "all_bold": all(r["bold"] for r in runs if r["text"].strip()), "is_empty": not text.strip()})
-    return out
+        yield {"seq": seq, "style": _property(p, "pStyle", "val"), "runs": runs, "text": text, "all_bold": all(r["bold"] for r in runs if r["text"].strip()), "is_empty": not text.strip()}
 
 
 def _column(ref: str) -> int:
@@ -202,19 +226,28 @@ def law_rows(data: bytes) -> list[dict]:
     return [{"row_no": n, "law_prefix": cell(r, 0), "law_name": cell(r, 1)} for n, r in enumerate(sheets(data).get(LAW_SHEET, [])[1:], 2)]
 
 
-def read_files(spark: SparkSession, path: str, parse, schema: str) -> DataFrame:
-    """The rows that parse gives for each file at path, with doc_id: a hash of the file's path, and path."""
-    files = spark.read.format("binaryFile").load(path).select(F.xxhash64("path").alias("doc_id"), "path", "content")
+def parsed(files: DataFrame, parse, schema: str) -> DataFrame:
+    """The rows that parse gives for each of files (doc_id, path, content), with doc_id and path."""
     columns = [c.split()[0] for c in re.split(r", (?![^<]*>)", schema)]
 
     def run(batches):
         for batch in batches:
             for doc_id, name, content in zip(batch["doc_id"], batch["path"], batch["content"], strict=True):
-                rows = parse(bytes(content))
-                if rows:
+                found = iter(parse(bytes(content)))
+                while rows := list(itertools.islice(found, BATCH)):
                     yield pd.DataFrame({"doc_id": doc_id, "path": name, **{c: [r[c] for r in rows] for c in columns}})
 
-    return files.mapInPandas(run, f"doc_id long, path string, {schema}")
+    return files.select("doc_id", "path", "content").mapInPandas(run, f"doc_id long, path string, {schema}")
+
+
+def read_files(spark: SparkSession, path: str, parse, schema: str) -> DataFrame:
+    """parsed for the files at path; doc_id is a hash of a file's path."""
+    files = spark.read.format("binaryFile").load(path).select(F.xxhash64("path").alias("doc_id"), "path", "content")
+    return parsed(files, parse, schema)
+
+
+LINT = "seq long, text string, is_centered boolean, indent_left int"
+LAW_ROWS = "row_no int, law_prefix string, law_name string"
 
 
 def _without_doc(schema: str) -> str:
@@ -234,7 +267,7 @@ def read_styled(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_lint(spark: SparkSession, path: str) -> DataFrame:
-    return read_files(spark, path, lint_paragraphs, "seq long, text string, is_centered boolean, indent_left int")
+    return read_files(spark, path, lint_paragraphs, LINT)
 
 
 def read_subjects(spark: SparkSession, path: str) -> DataFrame:
@@ -242,4 +275,4 @@ def read_subjects(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_laws(spark: SparkSession, path: str) -> DataFrame:
-    return read_files(spark, path, law_rows, "row_no int, law_prefix string, law_name string")
+    return read_files(spark, path, law_rows, LAW_ROWS)
