@@ -14,6 +14,10 @@ HINT_PART = r"(?U)\([^)]+\)\s*$"
 NUMBERED, SHORT_NUMBERED = r"(?U)^[§Ss]\s*(\d+)$", r"(?iu)^p(\d+)$"
 
 
+#: Numbers of a range that are made from one row.
+PART = 1_000
+
+
 def normal_detail(raw: Column) -> Column:
     """A detail as cards name it: PU as §ú; §1, S1 and p1 as § 1º; the rest as it is."""
     raw = strip(raw)
@@ -62,7 +66,8 @@ def references(entries: DataFrame, lettered: DataFrame | None = None) -> DataFra
     lines = device_lines(entries)
     own = ["row_no", "subject", "sub_subject", "line", "law_prefix", "hint"]
     single = lines.where("lo is null").select(*own, F.lit(0).cast("long").alias("step"), F.lit("").alias("sub"), "art", "detail")
-    numbers = lines.where("lo <= hi").select(*own, F.explode(F.sequence("lo", "hi")).alias("step"))
+    parts = lines.where("lo <= hi").select(*own, "hi", F.explode(F.sequence("lo", "hi", F.lit(PART))).alias("lo"))  # a wide range is dealt out part by part
+    numbers = parts.select(*own, F.explode(F.sequence("lo", F.least("hi", F.col("lo") + PART - 1))).alias("step"))
     plain = numbers.select(*own, "step", F.lit("").alias("sub"), F.col("step").cast("string").alias("art"), F.lit("").alias("detail"))
     out = single.unionByName(plain)
     if lettered is not None:

@@ -6,7 +6,7 @@ patterns. Queries without SQL here are checked by tests.
 
 from lexflow.functions.text import ACCENTED, PLAIN
 from lexflow.operators.checks import CODE_LABELS, FAULTS
-from lexflow.plans.views import FOOTNOTE_KIND, LAWS_SQL, STATUTE_SQL, SUBJECT_SQL, WHOLE_SQL
+from lexflow.plans.views import FOOTNOTE_KIND, LAWS_SQL, STATUTE_SQL, SUBJECT_SQL, WHOLE_SQL, WIDE_SQL
 
 _NAMES = {"orders": "orders", "lineitem": "lineitem", "part": "part"}
 
@@ -287,6 +287,11 @@ def _escaped(column: str) -> str:
     return f"replace(replace(replace(replace(replace({column}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;'), chr(39), '&#x27;')"
 
 
+_WIDE = WIDE_SQL.format(sheet=SUBJECT_SQL, part="{part}").format(**_NAMES)
+#: Numbers of articles that ranges reach, by law prefix.
+_REACHED = r"""
+, kn AS (SELECT DISTINCT unnest(CASE WHEN law_prefix = '' THEN [''] ELSE [law_prefix, ''] END) AS law_prefix, CAST(regexp_extract(art_number, '^\d+') AS BIGINT) AS step, art_number AS art FROM a WHERE regexp_matches(art_number, '^\d+(-[A-Z])?$'))
+"""
 _WHOLE = WHOLE_SQL.format(statute=STATUTE_SQL).format(**_NAMES)
 _KEY = f"replace(translate(lower(text), '{ACCENTED}', '{PLAIN}'), chr(160), ' ')"
 _SHOWN = "concat(subject, CASE WHEN sub_subject <> '' THEN ' — ' || sub_subject ELSE '' END)"
@@ -376,6 +381,17 @@ SELECT key, {_SHOWN} AS context, row_no FROM (SELECT *, row_number() OVER (PARTI
 SELECT target, {_SHOWN} AS context, row_no FROM (SELECT *, row_number() OVER (PARTITION BY lower(replace(target, '|', ' — ')) ORDER BY row_no, pos) AS rn FROM vd
   WHERE lower(replace(target, '|', ' — ')) NOT IN (SELECT lower(subject) FROM entries UNION SELECT lower(subject || ' — ' || sub_subject) FROM entries WHERE sub_subject <> '')) WHERE rn = 1""",
     ),
+    "range_targets": _sql("d a", _REACHED + "SELECT row_no, line, d.law_prefix, step, kn.art FROM d JOIN kn ON kn.law_prefix = d.law_prefix AND step BETWEEN lo AND hi", sheet=_WIDE),
+    "dangling_ranges": _sql(
+        "d a",
+        _REACHED
+        + """
+, own AS (SELECT law_prefix, step FROM kn WHERE regexp_matches(art, '^[0-9]+$')),
+pts AS (SELECT row_no, line, d.law_prefix, lo, hi, step FROM d JOIN own ON own.law_prefix = d.law_prefix AND step BETWEEN lo AND hi UNION ALL SELECT row_no, line, law_prefix, lo, hi, hi + 1 FROM d WHERE lo <= hi),
+g AS (SELECT row_no, line, law_prefix, coalesce(lag(step) OVER (PARTITION BY row_no, line ORDER BY step) + 1, lo) AS f, step - 1 AS t FROM pts)
+SELECT row_no, line, law_prefix, f AS lo, t AS hi FROM g WHERE f <= t""",
+        sheet=_WIDE,
+    ),
     "see_also_links": _sql(
         "vd",
         """

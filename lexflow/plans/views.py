@@ -57,6 +57,13 @@ SELECT p_partkey AS row_no, p_brand AS subject, CASE WHEN p_partkey % 3 = 0 THEN
 FROM {part}
 """
 
+#: The sheet with some wide ranges more.
+WIDE_SQL = """
+SELECT * FROM ({sheet})
+UNION ALL SELECT 10000000 + p_partkey, p_brand, '', CASE p_partkey % 4 WHEN 0 THEN '1-3000000000' WHEN 1 THEN 'LO:' || CAST(p_size AS STRING) || '-4000000000' WHEN 2 THEN 'XX:7-3000000000' ELSE '45-' || CAST(45 + p_size AS STRING) END, ''
+FROM {part} WHERE p_partkey % 5 = 1
+"""
+
 #: What kind a footnote is; those without are of no kind and no definition.
 FOOTNOTE_KIND = "CASE WHEN fn_id % 5 = 0 THEN 'summary' WHEN fn_id % 5 = 1 THEN 'private' WHEN fn_id % 7 <> 0 THEN 'public' END"
 
@@ -92,5 +99,6 @@ def laws(spark: SparkSession) -> DataFrame:
     return spark.sql(LAWS_SQL)
 
 
-def subject_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(SUBJECT_SQL, part=table(spark, sf_dir, "part")).withColumn("width", F.lit(4))
+def subject_sheet(spark: SparkSession, sf_dir: str, wide: bool = False) -> DataFrame:
+    sql = WIDE_SQL.format(sheet=SUBJECT_SQL, part="{part}") if wide else SUBJECT_SQL
+    return spark.sql(sql, part=table(spark, sf_dir, "part")).withColumn("width", F.lit(4))

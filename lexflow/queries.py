@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexflow.functions import text as T
-from lexflow.operators import checks, classify, diff, export, markdown, outline, render, search, segments, side_documents, structure, subjects, targets, text_index, versions
+from lexflow.operators import checks, classify, diff, export, intervals, markdown, outline, render, search, segments, side_documents, structure, subjects, targets, text_index, versions
 from lexflow.plans import statute, views
 from lexflow.plans.views import table
 from lexflow.session import stored
@@ -203,6 +203,16 @@ def range_expand(spark, d):
     return _refs(spark, d, _articles(spark, d)).where("step > 0").select("row_no", "line", "step", "art")
 
 
+def range_targets(spark, d):
+    """The known articles that ranges reach, some of them three thousand million numbers wide."""
+    return intervals.range_targets(subjects.entries(views.subject_sheet(spark, d, wide=True)), _known(spark, d))
+
+
+def dangling_ranges(spark, d):
+    """The parts of these ranges that have no article."""
+    return intervals.dangling_ranges(subjects.entries(views.subject_sheet(spark, d, wide=True)), _known(spark, d))
+
+
 def subject_index_flat(spark, d):
     arts = _known(spark, d)
     refs = subjects.transitional_refs(_refs(spark, d, arts), arts)
@@ -449,7 +459,7 @@ QUERIES = {
         search_all_terms, search_phrase, indexed_search, search_keys, highlight_hits, highlight_html, page_text, filter_pages,
         classify_units, unit_type_counts, amendment_notes, section_headings, law_ffill, version_islands, hier_uid, uid_dedup, segmented_states, segmented_headings, segmented_uids, segmented_footnotes, old_versions, article_revoked, next_versions,
         footnote_numbers, article_summaries, unit_paths, element_counts, document_elements, structure_snapshot,
-        device_lines, range_expand, subject_index_flat, subject_index_nested, subject_filter, index_rows, formatted_refs, dangling_refs, dangling_see_also, see_also_links, sheet_lint, lint_codes, issue_counts, locale_sort,
+        device_lines, range_expand, range_targets, dangling_ranges, subject_index_flat, subject_index_nested, subject_filter, index_rows, formatted_refs, dangling_refs, dangling_see_also, see_also_links, sheet_lint, lint_codes, issue_counts, locale_sort,
         systematic_outline, section_ranges, outline_search, context_headings, ancestor_headings, current_section, breadcrumbs, unit_breadcrumbs, heading_titles,
         subject_semi_filter, marker_filter, article_jump, search_view, search_paging, ref_resolve, marker_labels, marker_paths, snapshot_changes, lint_report, word_diff, turn_diff,
         heading_cards, article_cards, old_version_lines, article_markdown, heading_markdown, subject_markdown, element_json, reference_entries, reference_filter, reference_tab, information_pages,
