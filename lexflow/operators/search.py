@@ -86,8 +86,9 @@ def of_subject(cards: DataFrame, refs: DataFrame) -> DataFrame:
 
 
 def marked(articles: DataFrame, units: DataFrame, markers: DataFrame) -> DataFrame:
-    """The articles that hold a unit with a marker (uid)."""
-    return articles.join(units.join(markers.select("uid").distinct(), "uid", "left_semi").select("doc_id", "block_id").distinct(), ["doc_id", "block_id"], "left_semi")
+    """The articles that hold a unit with a marker: (doc_id, uid), or uid alone for markers without a document, which hold in all."""
+    key = [c for c in ("doc_id", "uid") if c in markers.columns]
+    return articles.join(units.join(markers.select(*key).distinct(), key, "left_semi").select("doc_id", "block_id").distinct(), ["doc_id", "block_id"], "left_semi")
 
 
 def filtered_view(cards: DataFrame, headings: DataFrame, articles: DataFrame, *, query: str = "", refs: DataFrame | None = None, marked_articles: DataFrame | None = None) -> DataFrame:

@@ -67,7 +67,11 @@ def base_article(art_ref: Column) -> Column:
 
 
 def marker_labels(markers: DataFrame, units: DataFrame, articles: DataFrame) -> DataFrame:
-    """markers (uid, colour) with label, short: the article and path of the first unit with the uid, or the uid if there is none."""
+    """markers (doc_id, uid, …) with label, short: the article and path of that document's unit, or the uid if there is none.
+
+    Markers without doc_id hold in all documents; their label is that of the first unit with the uid.
+    """
+    key = [c for c in ("doc_id", "uid") if c in markers.columns]
     art = articles.select("doc_id", "block_id", "art_number", F.col("law_prefix").alias("law"))
     rows = units.select("doc_id", "block_id", "seq", "uid", "identifier", "path").join(art, ["doc_id", "block_id"])
     law = F.when(F.col("law") != "", F.concat("law", F.lit(":"))).otherwise("")
@@ -76,8 +80,8 @@ def marker_labels(markers: DataFrame, units: DataFrame, articles: DataFrame) ->
         .when(~F.col("identifier").startswith("Art."), F.concat(law, F.lit("Art."), F.col("art_number"), F.lit(","), F.col("identifier")))
         .otherwise(F.concat(law, F.col("identifier")))
     )
-    named = rows.groupBy("uid").agg(F.min_by(label, F.struct("doc_id", "seq")).alias("label"))
-    return markers.join(named, "uid", "left").withColumn("label", compact_label(F.coalesce("label", "uid")))
+    named = rows.groupBy(*key).agg(F.min_by(label, F.struct("doc_id", "seq")).alias("label"))
+    return markers.join(named, key, "left").withColumn("label", compact_label(F.coalesce("label", "uid")))
 
 
 #: Colours that markers take in turn.

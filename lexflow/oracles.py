@@ -5,8 +5,8 @@ patterns. Queries without SQL here are checked by tests.
 """
 
 from lexflow.functions.text import ACCENTED, PLAIN
-from lexflow.operators.checks import CODE_LABELS, FAULTS
-from lexflow.plans.views import FOOTNOTE_KIND, LAWS_SQL, STATUTE_SQL, SUBJECT_SQL, WHOLE_SQL, WIDE_SQL
+from lexflow.operators.checks import CATEGORIES, CODE_LABELS, CODES, FAULTS
+from lexflow.plans.views import FOOTNOTE_KIND, LAWS_SQL, MARKERS_SQL, ODD_SQL, STATUTE_SQL, SUBJECT_SQL, WHOLE_SQL, WIDE_SQL
 
 _NAMES = {"orders": "orders", "lineitem": "lineitem", "part": "part"}
 
@@ -626,6 +626,45 @@ FROM v LEFT JOIN p0 ON p0.doc_id = v.doc_id AND p0.seq = v.seq""",
     "snapshot_changes": _sql("a", "SELECT art_number, 'removed' AS change FROM (SELECT art_number FROM a WHERE n_versions > 1 EXCEPT SELECT art_number FROM a WHERE summary <> '') UNION ALL SELECT art_number, 'added' FROM (SELECT art_number FROM a WHERE summary <> '' EXCEPT SELECT art_number FROM a WHERE n_versions > 1)"),
 }
 ORACLE_SQL["lint_report"] = f"SELECT code, '{CODE_LABELS['ART_NO_ORDINAL']}' AS label, count(*) AS n FROM ({ORACLE_SQL['lint_codes']}) GROUP BY code"
+_ODD = ODD_SQL.format(statute=STATUTE_SQL).format(**_NAMES)
+_quoted = lambda text: "'" + text.replace("'", "''") + "'"
+_LINT = f"""
+, ctx AS (SELECT *, last_value(CASE WHEN unit_type = 'ARTIGO' THEN art_number END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS article FROM c),
+lint AS (SELECT doc_id, seq, code, CASE WHEN article IS NULL THEN '(antes do 1º artigo)' ELSE 'Art. ' || article END AS context,
+    CASE code WHEN 'ART_NO_ORDINAL' THEN {_fault("ART_NO_ORDINAL", "article")} WHEN 'ART_UNMATCHED' THEN {_fault("ART_UNMATCHED")} WHEN 'PARA_UNMATCHED' THEN {_fault("PARA_UNMATCHED")} ELSE {_fault("INCISO_L", "regexp_extract(text, '^[^ ]+')")} END AS description, substr(text, 1, 100) AS text
+  FROM (SELECT *, CASE WHEN is_centered OR text = '' THEN NULL WHEN starts_with(text, 'Art.') AND unit_type <> 'ARTIGO' THEN 'ART_UNMATCHED'
+      WHEN unit_type = 'ARTIGO' THEN CASE WHEN CAST(regexp_extract(text, '([0-9]+)', 1) AS BIGINT) <= 9 AND NOT regexp_matches(text, '^Art\\.\\s*[0-9]+[ºª°]') THEN 'ART_NO_ORDINAL' END
+      WHEN starts_with(text, '§') AND NOT regexp_matches(text, '^§\\s*[0-9]') THEN 'PARA_UNMATCHED' WHEN regexp_matches(text, '^l[IVXLC]*\\s*[-–—]') THEN 'INCISO_L' END AS code FROM ctx) WHERE code IS NOT NULL)"""
+_LABEL = "CASE code " + " ".join(f"WHEN {_quoted(k)} THEN {_quoted(v)}" for k, v in CODE_LABELS.items()) + " END"
+ORACLE_SQL["lint_listing"] = _sql("c", _LINT + f" SELECT CAST(list_position([{', '.join(map(_quoted, CODES))}], code) - 1 AS INTEGER) AS code_no, code, {_LABEL} AS label, doc_id, seq, context, description, text FROM lint", p=_ODD)
+ORACLE_SQL["odd_units"] = _sql(
+    "c",
+    r"""
+SELECT doc_id, seq, unit_type, CASE WHEN unit_type = 'INCISO' THEN replace(regexp_extract(text, '^l?[IVXLC]+'), 'l', 'I') ELSE identifier END AS identifier,
+  CASE unit_type WHEN 'PARAGRAFO_NUM' THEN 'p12' WHEN 'INCISO' THEN replace(regexp_extract(text, '^l?[IVXLC]+'), 'l', 'I') ELSE '' END AS suffix FROM c WHERE seq % 4 = 1""",
+    p=_ODD,
+)
+_SHEET_ISSUES = """
+SELECT '  Linha ' || row_no || ' (' || context || ') · ' || field || '[' || line_no || '] ''' || line || ''': ' || fault AS message,
+  row_no || '/' || CASE WHEN field = 'Dispositivos' THEN 0 ELSE 1 END || '/' || line_no || '/' || fault_no AS place FROM sf JOIN ft USING (row_no, field, line_no)"""
+_ISSUES = f"""
+SELECT 'ref_cruzada' AS category, 'erro' AS severity, 'Art. ' || key || ' não encontrado' AS message, context, CAST(row_no AS VARCHAR) AS place FROM ({ORACLE_SQL["dangling_refs"]})
+UNION ALL SELECT 'vide', 'aviso', '''' || replace(target, '|', ' — ') || ''' não encontrado', context, CAST(row_no AS VARCHAR) FROM ({ORACLE_SQL["dangling_see_also"]})
+UNION ALL SELECT 'formato', 'aviso', message, '', place FROM ({_sql("sf", _SHEET_ISSUES)})
+UNION ALL SELECT 'docx', 'aviso', '[' || code || '] ' || description, context, doc_id || '/' || seq FROM ({_sql("c", _LINT + " SELECT * FROM lint", p=_ODD)})"""
+ORACLE_SQL["issue_listing"] = f"SELECT CAST(list_position([{', '.join(map(_quoted, CATEGORIES))}], category) - 1 AS INTEGER) AS category_no, * FROM ({_ISSUES})"
+ORACLE_SQL["issues_json"] = f"""SELECT '{{"category":' || to_json(category) || ',"severity":' || to_json(severity) || ',"message":' || to_json(message) || CASE WHEN context <> '' THEN ',"context":' || to_json(context) ELSE '' END || '}}' AS value FROM ({_ISSUES})"""
+ORACLE_SQL["issue_totals"] = f"SELECT count(*) FILTER (severity = 'erro') AS errors, count(*) FILTER (severity = 'aviso') AS warnings, count(*) FILTER (severity = 'erro') > 0 AS fails, count(*) > 0 AS fails_strict FROM ({_ISSUES})"
+_EVENTS = MARKERS_SQL.format(clicks="clicks")
+_STATE = f"""
+SELECT doc_id, uid, colour, "at", CAST(row_number() OVER (PARTITION BY doc_id ORDER BY "at", writer, n) AS INTEGER) AS position FROM (
+  SELECT * FROM (SELECT DISTINCT * FROM ({_EVENTS})) e WHERE op <> 'clear'
+  QUALIFY row_number() OVER (PARTITION BY doc_id, uid ORDER BY "at" DESC, writer DESC, n DESC) = 1) m
+WHERE op = 'mark' AND NOT EXISTS (SELECT 1 FROM ({_EVENTS}) c WHERE c.op = 'clear' AND (c.doc_id = m.doc_id OR c.doc_id IS NULL) AND (c."at" > m."at" OR (c."at" = m."at" AND (c.writer > m.writer OR (c.writer = m.writer AND c.n >= m.n)))))"""
+ORACLE_SQL["marker_state"] = _STATE
+ORACLE_SQL["marker_colours"] = f"""
+SELECT doc_id, n, CAST(coalesce(list_min(list_filter(range(0, 8), lambda x: NOT list_contains(used, x))), n % 8) AS INTEGER) AS colour
+FROM (SELECT doc_id, count(*) AS n, list(DISTINCT colour) AS used FROM ({_STATE}) GROUP BY doc_id)"""
 _of = lambda name: f"SELECT count(*) FROM ({ORACLE_SQL[name]})"
 ORACLE_SQL["issue_counts"] = f"""
 SELECT * FROM (SELECT 'ref_cruzada' AS category, 'erro' AS severity, ({_of("dangling_refs")}) AS n UNION ALL SELECT 'vide', 'aviso', ({_of("dangling_see_also")})

@@ -110,7 +110,8 @@ def run(spark: SparkSession, config: Config, *, strict: bool = False, template:
     refs = subjects.transitional_refs(subjects.references(entries, lettered), public.articles)
     index = subjects.nested_index(entries, refs)
 
-    lint = checks.document_lint(ooxml.read_lint(spark, config.docx))
+    read = ooxml.read_lint(spark, config.docx)
+    lint = checks.document_lint(read)
     prefixes = [r[0] for r in laws.select("law_prefix").distinct().collect()]
     found = checks.issues(checks.dangling_references(refs, public.articles), checks.dangling_see_also(entries), checks.sheet_faults(rows, prefixes), lint).cache()
     systematic = outline.outline_json(outline.systematic_index(public.headings, public.articles)).collect()
@@ -138,6 +139,7 @@ def run(spark: SparkSession, config: Config, *, strict: bool = False, template:
         whole = export.document_json(export.element_json(public.headings, public.articles, public.units)).collect()
         sinks.write_text(f"{config.export_dir}/statute.json", json.dumps([json.loads(r["json"]) for r in whole], ensure_ascii=False))
         sinks.write_text(f"{config.export_dir}/report.txt", sinks.issue_report(found))
+        sinks.write_text(f"{config.export_dir}/lint.txt", sinks.lint_text(lint, read))
     if debug_dir:
         whole = export.document_json(export.element_json(public.headings, public.articles, public.units)).collect()
         findings = "[" + ",".join(r["value"] for r in checks.issues_json(found).collect()) + "]"

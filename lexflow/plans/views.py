@@ -78,9 +78,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 WHOLE_SQL = "SELECT CAST(0 AS BIGINT) AS doc_id, doc_id * 4096 + seq AS seq, text, is_centered, has_strike, indent_left, fn_id FROM ({statute})"
 
 
-def paragraphs(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    """The statute as paragraphs; a paragraph is one run, or two where it has a separator. whole: all documents as one."""
-    sql = WHOLE_SQL.format(statute=STATUTE_SQL) if whole else STATUTE_SQL
+#: The statute with lines that a lint finds fault with, and romans written with a small l.
+ODD_SQL = """
+SELECT doc_id, seq * 4 AS seq, text, is_centered, has_strike, indent_left, fn_id FROM ({statute})
+UNION ALL SELECT doc_id, seq * 4 + 1, CASE seq % 7 WHEN 0 THEN 'Art. sem número ' || CAST(seq AS STRING) WHEN 1 THEN '§ sem número' WHEN 2 THEN 'l - minúsculo' WHEN 3 THEN 'lV – romano'
+  WHEN 4 THEN 's 12 solto' WHEN 5 THEN 'lI— junto' ELSE 'Art. 3 - ' || repeat('sem marca ', 15) || '.' END, false, false, 0, CAST(NULL AS BIGINT)
+FROM ({statute}) WHERE seq % 11 = 0
+"""
+
+#: Events of a marker log: what clients click on.
+MARKERS_SQL = """
+SELECT CAST(click_id AS BIGINT) AS at, coalesce(kind, '') AS writer, CAST(click_id % 1000 AS BIGINT) AS n,
+       CASE WHEN click_id % 97 = 0 THEN 'clear' WHEN click_id % 3 = 0 THEN 'unmark' ELSE 'mark' END AS op,
+       CASE WHEN click_id % 9700 = 0 THEN NULL ELSE coalesce(client_id, -1) END AS doc_id,
+       CASE WHEN click_id % 97 <> 0 THEN 'art' || CAST(click_id % 12 + 1 AS STRING) END AS uid, CAST(click_id % 5 AS INT) AS colour
+FROM {clicks}
+"""
+
+
+def marker_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(MARKERS_SQL, clicks=table(spark, sf_dir, "clicks"))
+
+
+def paragraphs(spark: SparkSession, sf_dir: str, whole: bool = False, odd: bool = False) -> DataFrame:
+    """The statute as paragraphs; a paragraph is one run, or two where it has a separator. whole: all documents as one; odd: with odd lines."""
+    sql = WHOLE_SQL.format(statute=STATUTE_SQL) if whole else ODD_SQL.format(statute=STATUTE_SQL) if odd else STATUTE_SQL
     rows = spark.sql(sql, orders=table(spark, sf_dir, "orders"), lineitem=table(spark, sf_dir, "lineitem"))
     cut = F.instr("text", " - ")
     run = lambda text, bold: F.struct(text.alias("text"), bold.alias("bold"), F.lit(False).alias("italic"), F.col("has_strike").alias("strike"), F.lit(None).cast("string").alias("hyperlink_url"), F.lit(None).cast("string").alias("hyperlink_anchor"))

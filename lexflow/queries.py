@@ -8,6 +8,7 @@ from lexflow.operators import checks, classify, diff, export, intervals, markdow
 from lexflow.plans import statute, views
 from lexflow.plans.views import table
 from lexflow.session import stored
+from lexflow.sources import marker_log
 
 
 def _classified(spark, d) -> DataFrame:
@@ -272,6 +273,45 @@ def issue_counts(spark, d):
     return checks.issue_counts(found)
 
 
+def lint_listing(spark, d):
+    """All findings of a document lint, of all codes."""
+    return checks.lint_listing(checks.document_lint(views.paragraphs(spark, d, odd=True)))
+
+
+def odd_units(spark, d):
+    """What odd lines are taken for."""
+    rows = classify.classify(views.paragraphs(spark, d, odd=True)).where("seq % 4 = 1")
+    return rows.select("doc_id", "seq", "unit_type", "identifier", classify.uid_suffix(F.col("unit_type"), F.col("text")).alias("suffix"))
+
+
+def _issues(spark, d) -> DataFrame:
+    arts, entries = _known(spark, d), _entries(spark, d)
+    return checks.issues(checks.dangling_references(_refs(spark, d, arts), arts), checks.dangling_see_also(entries), checks.sheet_faults(views.subject_sheet(spark, d), ["CF", "LO"]), checks.document_lint(views.paragraphs(spark, d, odd=True)))
+
+
+def issue_listing(spark, d):
+    """All issues of a build, whole, in the order of a report."""
+    rows = checks.issue_listing(_issues(spark, d))
+    return rows.withColumn("place", F.array_join(F.transform("place", lambda x: x.cast("string")), "/"))
+
+
+def issues_json(spark, d):
+    return checks.issues_json(_issues(spark, d))
+
+
+def issue_totals(spark, d):
+    return checks.issue_totals(_issues(spark, d))
+
+
+def marker_state(spark, d):
+    """What a log of marks leaves marked, document by document."""
+    return marker_log.markers(views.marker_events(spark, d))
+
+
+def marker_colours(spark, d):
+    return marker_log.next_colours(marker_log.markers(views.marker_events(spark, d)))
+
+
 def locale_sort(spark, d):
     """All words of documents with their place in dictionary order."""
     words = table(spark, d, "documents").select(F.explode(F.split("text", r"[^\p{L}]+")).alias("subject")).where("subject <> ''").distinct()
@@ -459,7 +499,7 @@ QUERIES = {
         search_all_terms, search_phrase, indexed_search, search_keys, highlight_hits, highlight_html, page_text, filter_pages,
         classify_units, unit_type_counts, amendment_notes, section_headings, law_ffill, version_islands, hier_uid, uid_dedup, segmented_states, segmented_headings, segmented_uids, segmented_footnotes, old_versions, article_revoked, next_versions,
         footnote_numbers, article_summaries, unit_paths, element_counts, document_elements, structure_snapshot,
-        device_lines, range_expand, range_targets, dangling_ranges, subject_index_flat, subject_index_nested, subject_filter, index_rows, formatted_refs, dangling_refs, dangling_see_also, see_also_links, sheet_lint, lint_codes, issue_counts, locale_sort,
+        device_lines, range_expand, range_targets, dangling_ranges, subject_index_flat, subject_index_nested, subject_filter, index_rows, formatted_refs, dangling_refs, dangling_see_also, see_also_links, sheet_lint, lint_codes, issue_counts, lint_listing, odd_units, issue_listing, issues_json, issue_totals, marker_state, marker_colours, locale_sort,
         systematic_outline, section_ranges, outline_search, context_headings, ancestor_headings, current_section, breadcrumbs, unit_breadcrumbs, heading_titles,
         subject_semi_filter, marker_filter, article_jump, search_view, search_paging, ref_resolve, marker_labels, marker_paths, snapshot_changes, lint_report, word_diff, turn_diff,
         heading_cards, article_cards, old_version_lines, article_markdown, heading_markdown, subject_markdown, element_json, reference_entries, reference_filter, reference_tab, information_pages,
