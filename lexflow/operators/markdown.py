@@ -85,17 +85,10 @@ def subject_markdown(index: DataFrame) -> DataFrame:
     return index.select("subject", "first_row", F.array_join(lines, "\n").alias("markdown"))
 
 
-def subject_index_markdown(index: DataFrame) -> str:
-    """The whole subject index, for a file; its size is that of a sheet that people write."""
-    rows = subject_markdown(index).orderBy(F.lower("subject"), "first_row").collect()
-    return "\n".join(["# Índice Remissivo", *(r["markdown"] for r in rows)]) + "\n"
-
-
-def references_markdown(groups: DataFrame) -> str:
-    """The reference lists, for a file."""
+def category_markdown(groups: DataFrame) -> DataFrame:
+    """doc_id, category_no, markdown of each category of the reference lists."""
     none = F.array().cast("array<string>")
     entry = lambda e: F.concat(F.lit("- "), html_to_markdown(e["html"]), F.when(has(e["art_ref"]), F.concat(F.lit(" — Art. "), e["art_ref"])).otherwise(""))
     group = lambda g: F.concat(F.when(g["title"] != "", F.array(F.concat(F.lit("\n### "), g["title"]))).otherwise(none), F.transform(g["entries"], entry))
     lines = F.concat(F.array(F.concat(F.lit("\n## "), F.col("category"))), F.flatten(F.transform("groups", group)))
-    rows = groups.select("doc_id", "category_no", F.array_join(lines, "\n").alias("markdown")).orderBy("doc_id", "category_no").collect()
-    return "\n".join(["# Referências", *(r["markdown"] for r in rows)]) + "\n"
+    return groups.select("doc_id", "category_no", F.array_join(lines, "\n").alias("markdown"))

@@ -665,6 +665,46 @@ ORACLE_SQL["marker_state"] = _STATE
 ORACLE_SQL["marker_colours"] = f"""
 SELECT doc_id, n, CAST(coalesce(list_min(list_filter(range(0, 8), lambda x: NOT list_contains(used, x))), n % 8) AS INTEGER) AS colour
 FROM (SELECT doc_id, count(*) AS n, list(DISTINCT colour) AS used FROM ({_STATE}) GROUP BY doc_id)"""
+_FILES = "SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY seq) - 1 AS BIGINT) AS place, trim(text) AS shown, CASE WHEN contains(text, ' - ') THEN 2 ELSE 1 END AS n_runs FROM p WHERE seq % 7 <> 3"
+ORACLE_SQL["docx_paragraphs"] = _sql("p", f"SELECT doc_id, place AS seq, shown AS text, is_centered, has_strike AND shown <> '' AS has_strike, indent_left, n_runs, true AS bold, CASE WHEN seq % 5 = 1 AND seq % 3 < 2 THEN 'http://x.org/' || seq % 3 END AS url, CAST(fn_id AS INTEGER) AS fn_id FROM ({_FILES})")
+ORACLE_SQL["docx_lint"] = _sql("c", _LINT + " SELECT doc_id, seq, code, context FROM lint", p=f"SELECT doc_id, place AS seq, shown AS text, is_centered, has_strike, indent_left, fn_id FROM ({_FILES.replace('FROM p', f'FROM ({STATUTE_SQL.format(**_NAMES)})')})")
+ORACLE_SQL["docx_styled"] = _sql("p", f"""
+SELECT doc_id, place AS seq, CASE WHEN is_centered THEN 'Heading1' END AS style, CASE WHEN seq % 5 = 1 THEN '' ELSE text END AS text, CASE WHEN seq % 5 = 1 THEN 0 ELSE n_runs END + CAST(fn_id IS NOT NULL AS INTEGER) AS n_runs,
+  seq % 5 = 1 OR NOT (contains(text, ' - ') AND trim(substr(text, instr(text, ' - ') + 3)) <> '') AS all_bold, seq % 5 = 1 OR shown = '' AS is_empty FROM ({_FILES})""")
+ORACLE_SQL["docx_footnotes"] = _sql("p", f"""
+SELECT with_private, doc_id, CAST(fn_id AS INTEGER) AS fn_id, kind, CASE WHEN kind = 'summary' THEN 'sum ' || fn_id ELSE '' END AS summary, CASE WHEN kind = 'summary' THEN 's sum ' ELSE 'note ' END || fn_id AS text
+FROM (SELECT DISTINCT doc_id, fn_id, {FOOTNOTE_KIND} AS kind FROM p WHERE fn_id IS NOT NULL), (VALUES (false), (true)) w(with_private) WHERE kind IS NOT NULL AND (with_private OR kind <> 'private')""")
+ORACLE_SQL["xlsx_entries"] = _sql("sheet", """
+SELECT CAST(floor(row_no / 1000) * 1000000 + row_no % 1000 + 2 AS BIGINT) AS row_no, subject, sub_subject, devices, array_to_string(list_filter(list_transform(str_split(see_also, chr(10)), lambda x: trim(x)), lambda x: x <> ''), '/') AS vides
+FROM sheet WHERE row_no % 17 <> 5 AND row_no % 13 <> 4""")
+ORACLE_SQL["xlsx_laws"] = "SELECT * FROM (VALUES ('Lei 1', 'LO'), ('Lei 2', 'CF')) t(law_name, law_prefix)"
+ORACLE_SQL["ref_highlights"] = ORACLE_SQL["ref_resolve"] + "\nHAVING max(u.seq) IS NOT NULL OR t.d = ''"
+ORACLE_SQL["unit_depths"] = _sql("v p0", """
+SELECT doc_id, seq, depth, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY depth, seq) AS INTEGER) AS place FROM (
+  SELECT v.doc_id, v.seq, CAST(CASE WHEN coalesce(path, '') = '' THEN 0 ELSE len(str_split(path, ',')) END AS INTEGER) AS depth FROM v LEFT JOIN p0 ON p0.doc_id = v.doc_id AND p0.seq = v.seq)""")
+ORACLE_SQL["markdown_lines"] = _sql("en", "SELECT doc_id, seq, md5(replace(replace(replace(regexp_replace(html, '<b>(.*?)</b>', '**\\1**', 'g'), '&amp;', '&'), '&lt;', '<'), '&gt;', '>')) AS markdown_md5 FROM en")
+ORACLE_SQL["outline_pages"] = f"""
+WITH o AS (SELECT x.*, coalesce(r.art_range, '') AS rg FROM ({ORACLE_SQL["systematic_outline"]}) x LEFT JOIN ({ORACLE_SQL["section_ranges"]}) r ON r.doc_id = x.doc_id AND r.section_id = x.section_id),
+j AS (SELECT *, '","section_id":"' || section_id || '"' || CASE WHEN is_leaf AND rg <> '' THEN ',"art_range":"' || rg || '"' ELSE '' END || '}}' AS rest FROM o),
+l3 AS (SELECT doc_id, seq, parent_seq, '{{"title":"' || title || '","children":[]' || substr(rest, 2) AS js FROM j WHERE depth = 3),
+""" + ",\n".join(f"""l{k} AS (SELECT j.doc_id, j.seq, j.parent_seq, '{{"title":"' || title || '","children":[' || coalesce(kids, '') || ']' || substr(rest, 2) AS js
+  FROM j LEFT JOIN (SELECT doc_id, parent_seq, string_agg(js, ',' ORDER BY seq) AS kids FROM l{k + 1} GROUP BY doc_id, parent_seq) c ON c.doc_id = j.doc_id AND c.parent_seq = j.seq WHERE depth = {k})""" for k in (2, 1, 0)).replace("{{", "{") + """
+SELECT doc_id, '[' || string_agg(js, ',' ORDER BY seq) || ']' AS json FROM l0 GROUP BY doc_id"""
+ORACLE_SQL["outline_pages"] = ORACLE_SQL["outline_pages"].replace("'{{", "'{").replace("'}}'", "'}'")
+ORACLE_SQL["index_tabs"] = f"""
+SELECT 'systematic' AS tab, doc_id || '/' || seq AS key FROM ({ORACLE_SQL["outline_search"]})
+UNION ALL SELECT 'subjects', subject FROM ({ORACLE_SQL["subject_filter"]}) WHERE query = 'below'
+UNION ALL SELECT 'references', doc_id || '/' || seq FROM ({ORACLE_SQL["reference_tab"]}) WHERE kind = 'entry'
+UNION ALL SELECT 'info', CAST(doc_id AS VARCHAR) FROM ({ORACLE_SQL["information_pages"]})"""
+ORACLE_SQL["category_markdown"] = _sql(
+    "ln en",
+    r"""
+, t AS (SELECT ln.doc_id, ln.seq, ln.kind, ln.label, CAST(count(*) FILTER (ln.kind = 'category') OVER w AS BIGINT) AS category_no, last_value(CASE WHEN ln.kind = 'category' THEN ln.label END IGNORE NULLS) OVER w AS category,
+    '- ' || replace(replace(replace(regexp_replace(html, '<b>(.*?)</b>', '**\1**', 'g'), '&amp;', '&'), '&lt;', '<'), '&gt;', '>') || CASE WHEN coalesce(art_ref, '') <> '' THEN ' — Art. ' || art_ref ELSE '' END AS entry
+  FROM ln LEFT JOIN en ON en.doc_id = ln.doc_id AND en.seq = ln.seq WINDOW w AS (PARTITION BY ln.doc_id ORDER BY ln.seq ROWS UNBOUNDED PRECEDING))
+SELECT doc_id, category_no, md5(chr(10) || '## ' || coalesce(any_value(category), 'Geral') || coalesce(chr(10) || string_agg(CASE kind WHEN 'group' THEN chr(10) || '### ' || label ELSE entry END, chr(10) ORDER BY seq) FILTER (kind <> 'category'), '')) AS markdown
+FROM t GROUP BY doc_id, category_no""",
+)
 _of = lambda name: f"SELECT count(*) FROM ({ORACLE_SQL[name]})"
 ORACLE_SQL["issue_counts"] = f"""
 SELECT * FROM (SELECT 'ref_cruzada' AS category, 'erro' AS severity, ({_of("dangling_refs")}) AS n UNION ALL SELECT 'vide', 'aviso', ({_of("dangling_see_also")})

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexflow.operators import checks, classify, export, markdown, outline, render, segments, side_documents, structure, subjects, targets, versions
-from lexflow.schemas import FOOTNOTE_DEFS, LAWS, SUBJECT_ROWS
+from lexflow.schemas import FOOTNOTE_DEFS, LAWS, STYLED, SUBJECT_ROWS
 from lexflow.sources import ooxml, sinks
 from lexflow.sources.config import Config
+from lexflow.sources.one_file import OneFile
 from lexflow.session import prepare, stored
 
 
@@ -77,72 +78,135 @@ def _optional(read, spark: SparkSession, path: str, schema: str) -> DataFrame:
 
     try:
         if path:
-            rows = read(spark, path).cache()
-            rows.count()
-            return rows
+            return stored(read(spark, path), "source")
     except PySparkException:
         pass
     return spark.createDataFrame([], f"doc_id long, path string, {schema}")
 
 
+def _script(text):
+    """JSON that can stand in a script element."""
+    return F.replace(text, F.lit("</"), F.lit("<\\/"))
+
+
+def json_pieces(data: dict[str, DataFrame]) -> dict:
+    """How each part of a page's data is written to an open file: systematic, subjects, references, summaries, information."""
+
+    def rows(f, name, value, order, *, begin="[", end="]", between=","):
+        f.text(begin)
+        f.rows(data[name].withColumn("__value", _script(value)), "__value", order, between=between)
+        f.text(end)
+
+    whole = lambda *columns: F.to_json(F.struct(*columns))
+    inner = lambda text: F.expr(f"substring(to_json(array({text})), 3, length(to_json(array({text}))) - 4)")
+    nodes = F.expr("substring(json, 2, length(json) - 2)")  # of the list of a document's outline
+    subject = [c for c in data["subjects"].columns if c != "first_row"]
+    return {
+        "systematic": lambda f: rows(f, "systematic", nodes, ["doc_id"]),
+        "subjects": lambda f: rows(f, "subjects", whole(*subject), [F.lower("subject"), "first_row"]),
+        "references": lambda f: rows(f, "references", whole("category", "groups"), ["doc_id", "category_no"]),
+        "summaries": lambda f: rows(f, "summaries", F.concat(F.lit('"'), inner("key"), F.lit('":"'), inner("summary"), F.lit('"')), ["key"], begin="{", end="}"),
+        "information": lambda f: rows(f, "information", inner("html"), ["doc_id"], begin='"', end='"', between="\\n"),
+    }
+
+
+def write_page(spark: SparkSession, path: str, template: str, texts: dict[str, str], statute: Statute, pieces: dict) -> None:
+    """A page: the template, its names in double braces replaced by texts, the statute's cards and pieces of data; other names stay."""
+    cards = render.heading_cards(statute.headings).unionByName(render.article_cards(statute.articles, statute.units))
+    with OneFile(spark, path) as f:
+        for text, name in sinks.template_parts(template):
+            f.text(text)
+            if name in texts:
+                f.text(texts[name])
+            elif name == "cards":
+                f.rows(cards, "html", ["doc_id", "seq"], between="\n")
+            elif name in pieces:
+                pieces[name](f)
+            elif name:
+                f.text("{{" + name + "}}")
+
+
+def write_markdown(spark: SparkSession, path: str, statute: Statute) -> None:
+    """All documents as Markdown, one after another."""
+    lines = markdown.heading_markdown(statute.headings).unionByName(markdown.article_markdown(statute.articles, statute.units))
+    first = lines.groupBy("doc_id").agg(F.min("seq").alias("__first"))
+    with OneFile(spark, path) as f:
+        f.rows(lines.join(first, "doc_id"), "markdown", ["doc_id", "seq"], between=F.when(F.col("seq") == F.col("__first"), "\n").otherwise("\n\n"))
+        f.text("\n")
+
+
+def write_json(spark: SparkSession, path: str, statute: Statute) -> None:
+    """All documents as a JSON list of objects with their elements."""
+    rows = export.element_json(statute.headings, statute.articles, statute.units)
+    first = rows.groupBy("doc_id").agg(F.min("seq").alias("__first"))
+    some = not rows.isEmpty()
+    with OneFile(spark, path) as f:
+        f.text('[{"elements":[' if some else "[")
+        f.rows(rows.join(first, "doc_id"), "json", ["doc_id", "seq"], between=F.when(F.col("seq") == F.col("__first"), ']},{"elements":[').otherwise(","))
+        f.text("]}]" if some else "]")
+
+
 def run(spark: SparkSession, config: Config, *, strict: bool = False, template: str = TEMPLATE, style: str = "", template_file: str = "", style_file: str = "", script_file: str = "", debug_dir: str = "") -> int:
     """Builds page, Markdown, JSON and report of one statute from its files; 1 if it fails its checks.
 
     template, style and the script that a template may name come from files where these are given. debug_dir gets
-    the statute, the indexes, the references and the findings as JSON.
+    the statute, the indexes, the references and the findings as JSON. Files are written by tasks, part by part (lexflow.sources.one_file);
+    the driver holds settings, templates and counts.
 
     Optional sources that are missing or broken are empty. The private page has the private notes too, and
     so has the Markdown.
     """
-    import json
-
-    paragraphs = ooxml.read_docx(spark, config.docx).drop("path").cache()
+    paragraphs = stored(ooxml.read_docx(spark, config.docx).drop("path"), "paragraphs")
     rows = _optional(ooxml.read_subjects, spark, config.xlsx, SUBJECT_ROWS)
-    laws = subjects.laws(_optional(ooxml.read_laws, spark, config.xlsx, "row_no int, law_prefix string, law_name string"))
-    styled = "seq long, style string, runs array<struct<text:string,bold:boolean>>, text string, all_bold boolean, is_empty boolean"
-    groups = side_documents.reference_groups(_optional(ooxml.read_styled, spark, config.references, styled))
-    information = "\n".join(r["html"] for r in side_documents.information_html(_optional(ooxml.read_styled, spark, config.information, styled)).collect())
+    laws = subjects.laws(_optional(ooxml.read_laws, spark, config.xlsx, ooxml.LAW_ROWS))
+    groups = side_documents.reference_groups(_optional(ooxml.read_styled, spark, config.references, STYLED))
+    information = side_documents.information_html(_optional(ooxml.read_styled, spark, config.information, STYLED))
 
     defs = {private: ooxml.read_footnotes(spark, config.docx, private).drop("doc_id", "path") for private in (False, True)}
     public = build(paragraphs, defs[False], laws)
     entries = subjects.entries(rows)
     lettered = public.articles.select("art_number").where("art_number rlike '^[0-9]+-[A-Z]'")
     refs = subjects.transitional_refs(subjects.references(entries, lettered), public.articles)
-    index = subjects.nested_index(entries, refs)
+    index = stored(subjects.nested_index(entries, refs), "subjects")
 
     read = ooxml.read_lint(spark, config.docx)
     lint = checks.document_lint(read)
-    prefixes = [r[0] for r in laws.select("law_prefix").distinct().collect()]
-    found = checks.issues(checks.dangling_references(refs, public.articles), checks.dangling_see_also(entries), checks.sheet_faults(rows, prefixes), lint).cache()
-    systematic = outline.outline_json(outline.systematic_index(public.headings, public.articles)).collect()
-    data = {
-        "systematic": "".join(r["json"] for r in systematic) or "[]",
-        "subjects": "[" + ",".join(index.drop("first_row").toJSON().collect()) + "]",
-        "references": "[" + ",".join(groups.select("category", "groups").toJSON().collect()) + "]",
-        "summaries": sinks.inline_json({r["key"]: r["summary"] for r in subjects.summaries(public.articles).collect()}),
-        "information": sinks.inline_json(information),
-    }
-    data = {k: v.replace("</", "<\\/") for k, v in data.items()}
-    private = build(paragraphs, defs[True], laws)
-    for folder, statute in ((config.export_dir, public), (config.private_dir, private)):
-        if folder:
-            parts = {"style": sinks.read_text(spark, style_file) if style_file else style, "script": sinks.read_text(spark, script_file) if script_file else ""}
-            page = "\n".join(r["html"] for r in render.document_html(statute.headings, statute.articles, statute.units).collect())
-            sinks.write_text(f"{folder}/index.html", sinks.assemble(sinks.read_text(spark, template_file) if template_file else template, {"title": "Statute", **parts, "cards": page, **data}))
+    prefixes = [r[0] for r in laws.select("law_prefix").distinct().collect()]  # a sheet's laws: part of the settings
+    found = stored(checks.issues(checks.dangling_references(refs, public.articles), checks.dangling_see_also(entries), checks.sheet_faults(rows, prefixes), lint), "issues")
+    outlines = outline.outline_json(outline.systematic_index(public.headings, public.articles))
+    pieces = json_pieces({"systematic": outlines, "subjects": index, "references": groups, "summaries": subjects.summaries(public.articles), "information": information})
+    texts = {"title": "Statute", "style": sinks.read_text(spark, style_file) if style_file else style, "script": sinks.read_text(spark, script_file) if script_file else ""}
+    template = sinks.read_text(spark, template_file) if template_file else template
+    if config.export_dir:
+        write_page(spark, f"{config.export_dir}/index.html", template, texts, public, pieces)
+    if config.private_dir:
+        write_page(spark, f"{config.private_dir}/index.html", template, texts, build(paragraphs, defs[True], laws), pieces)
     if config.export_dir:
-        plain = build(paragraphs, defs[True], laws, prefix_uids=False)
-        sinks.write_text(f"{config.export_dir}/statute.md", "".join(r["markdown"] for r in markdown.document_markdown(plain.headings, plain.articles, plain.units).collect()))
+        write_markdown(spark, f"{config.export_dir}/statute.md", build(paragraphs, defs[True], laws, prefix_uids=False))
         if not index.isEmpty():
-            sinks.write_text(f"{config.export_dir}/subjects.md", markdown.subject_index_markdown(index))
+            with OneFile(spark, f"{config.export_dir}/subjects.md") as f:
+                f.text("# Índice Remissivo\n")
+                f.rows(markdown.subject_markdown(index), "markdown", [F.lower("subject"), "first_row"], between="\n")
+                f.text("\n")
         if not groups.isEmpty():
-            sinks.write_text(f"{config.export_dir}/references.md", markdown.references_markdown(groups))
-        whole = export.document_json(export.element_json(public.headings, public.articles, public.units)).collect()
-        sinks.write_text(f"{config.export_dir}/statute.json", json.dumps([json.loads(r["json"]) for r in whole], ensure_ascii=False))
-        sinks.write_text(f"{config.export_dir}/report.txt", sinks.issue_report(found))
-        sinks.write_text(f"{config.export_dir}/lint.txt", sinks.lint_text(lint, read))
+            with OneFile(spark, f"{config.export_dir}/references.md") as f:
+                f.text("# Referências\n")
+                f.rows(markdown.category_markdown(groups), "markdown", ["doc_id", "category_no"], between="\n")
+                f.text("\n")
+        write_json(spark, f"{config.export_dir}/statute.json", public)
+        with OneFile(spark, f"{config.export_dir}/report.txt") as f:
+            f.rows(sinks.report_lines(found), "line", ["category_no", "kind", "place", "message"], between="\n")
+            f.text("\n")
+        with OneFile(spark, f"{config.export_dir}/lint.txt") as f:
+            f.rows(sinks.lint_lines(lint, read), "line", ["code_no", "code", "doc_id", "seq", "k"], between="\n")
+            f.text("\n")
     if debug_dir:
-        whole = export.document_json(export.element_json(public.headings, public.articles, public.units)).collect()
-        findings = "[" + ",".join(r["value"] for r in checks.issues_json(found).collect()) + "]"
-        dumps = {"parsed_document": "[" + ",".join(r["json"] for r in whole) + "]", "systematic_index": data["systematic"], "subject_index": data["subjects"], "references": data["references"], "validation_report": findings}
-        sinks.write_dumps(debug_dir, dumps, spark)
+        write_json(spark, f"{debug_dir}/parsed_document.json", public)
+        for name, piece in (("systematic_index", "systematic"), ("subject_index", "subjects"), ("references", "references")):
+            with OneFile(spark, f"{debug_dir}/{name}.json") as f:
+                pieces[piece](f)
+        with OneFile(spark, f"{debug_dir}/validation_report.json") as f:
+            f.text("[")
+            f.rows(checks.issue_listing(found).withColumn("json", checks.issue_json()), "json", ["category_no", "place", "message"], between=",")
+            f.text("]")
     return int(checks.failed(found, strict))

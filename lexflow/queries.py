@@ -1,14 +1,17 @@
 """The queries of the statute operators, one for each group of them, and the SQL that checks them."""
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import partial
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexflow.functions import text as T
 from lexflow.operators import checks, classify, diff, export, intervals, markdown, outline, render, search, segments, side_documents, structure, subjects, targets, text_index, versions
-from lexflow.plans import statute, views
+from lexflow.plans import files, statute, tabs, views
 from lexflow.plans.views import table
+from lexflow.schemas import FOOTNOTE_DEFS, PARAGRAPHS, STYLED, SUBJECT_ROWS
 from lexflow.session import stored
-from lexflow.sources import marker_log
+from lexflow.sources import marker_log, ooxml
 
 
 def _classified(spark, d) -> DataFrame:
@@ -421,8 +424,6 @@ def word_diff(spark, d):
 
 def turn_diff(spark, d):
     """Words kept, removed and added between an assistant's turns that follow one another."""
-    from pyspark.sql import Window
-
     rows = table(spark, d, "conversations").where("role = 'assistant'")
     rows = rows.withColumn("next", F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))).where("next is not null")
     parts = diff.word_diff_column(F.coalesce("text", F.lit("")), "next")
@@ -493,6 +494,89 @@ def information_pages(spark, d):
     return side_documents.information_html(_lines(spark, d)).select("doc_id", F.length("html").alias("chars"), F.md5("html").alias("html_md5"))
 
 
+# Readers of office files, and what else a page is made of.
+
+
+def docx_paragraphs(spark, d):
+    """The paragraphs of DOCX files: text, layout, strike, links and notes."""
+    rows = ooxml.parsed(files.documents(spark, d), ooxml.paragraphs, PARAGRAPHS.removeprefix("doc_id long, "))
+    return rows.select("doc_id", "seq", "text", "is_centered", "has_strike", "indent_left", F.size("runs").alias("n_runs"), F.get("runs", F.lit(0))["bold"].alias("bold"), F.get("runs", F.lit(0))["hyperlink_url"].alias("url"), F.get("footnote_ids", F.lit(0)).alias("fn_id"))
+
+
+def docx_lint(spark, d):
+    return checks.document_lint(ooxml.parsed(files.documents(spark, d), ooxml.lint_paragraphs, ooxml.LINT)).select("doc_id", "seq", "code", "context")
+
+
+def docx_styled(spark, d):
+    return ooxml.parsed(files.documents(spark, d), ooxml.styled_paragraphs, STYLED).select("doc_id", "seq", "style", "text", F.size("runs").alias("n_runs"), "all_bold", "is_empty")
+
+
+def docx_footnotes(spark, d):
+    """Definitions of notes by kind, private ones only where they are asked for."""
+    docs, out = files.documents(spark, d), None
+    for private in (False, True):
+        rows = ooxml.parsed(docs, partial(ooxml.footnote_definitions, include_private=private), FOOTNOTE_DEFS)
+        rows = rows.select(F.lit(private).alias("with_private"), "doc_id", "fn_id", "kind", "summary", F.get(F.get("paragraphs", F.lit(0))["runs"], F.lit(0))["text"].alias("text"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def xlsx_entries(spark, d):
+    """Index entries of XLSX files; rows that are missing, blank or without subject give none."""
+    rows = ooxml.parsed(files.workbooks(spark, d), ooxml.subject_rows, SUBJECT_ROWS)
+    found = [c for c in rows.columns if c != "row_no"]
+    rows = rows.select((F.col("doc_id") * 1_000_000 + F.col("row_no")).alias("row_no"), *found)
+    return subjects.entries(rows).select("row_no", "subject", "sub_subject", "devices", F.array_join("vides", "/").alias("vides"))
+
+
+def xlsx_laws(spark, d):
+    rows = ooxml.parsed(files.workbooks(spark, d), ooxml.law_rows, ooxml.LAW_ROWS)
+    return subjects.laws(rows)
+
+
+def ref_highlights(spark, d):
+    """Targets of all references, without the card in place of a detail that no provision has."""
+    s = _statute(spark, d)
+    refs = _refs(spark, d, s.articles).select(F.concat_ws("/", "row_no", "line", "step", "sub").alias("ref_id"), F.floor(F.col("row_no") * 15 / 512).alias("doc_id"), "law_prefix", "art", "detail")
+    return targets.resolve_refs(refs, s.articles, s.units, fallback=False)
+
+
+def unit_depths(spark, d):
+    """Provisions in the order of their paths' depth, document by document."""
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("depth", "seq"))
+    return targets.by_depth(targets.paths(_units(spark, d))).withColumn("place", place).select("doc_id", "seq", "depth", "place")
+
+
+def markdown_lines(spark, d):
+    """Lines of references as Markdown, from their HTML."""
+    return side_documents.reference_entries(_lines(spark, d)).select("doc_id", "seq", F.md5(T.html_to_markdown(F.col("html"))).alias("markdown_md5"))
+
+
+def category_markdown(spark, d):
+    """Each document's reference lists by category, as Markdown."""
+    return markdown.category_markdown(side_documents.reference_groups(_lines(spark, d))).withColumn("markdown", F.md5("markdown"))
+
+
+def outline_pages(spark, d):
+    """Each document's outline as one JSON text."""
+    return outline.outline_json(outline.systematic_index(_headings(spark, d), _known(spark, d)))
+
+
+def index_tabs(spark, d):
+    """What each tab of the index shows under a filter."""
+    refs, entries = _refs(spark, d, _known(spark, d)), _entries(spark, d)
+    systematic = tabs.tab("systematic", "capitulo", systematic=stored(outline.systematic_index(_headings(spark, d), _known(spark, d)), "outline"))
+    by_subject = tabs.tab("subjects", "small", index=subjects.nested_index(entries, refs))
+    references = tabs.tab("references", "tion", references=side_documents.reference_entries(_lines(spark, d)), category=1)
+    info = tabs.tab("info", information=side_documents.information_html(_lines(spark, d)))
+    rows = [("systematic", systematic, F.concat_ws("/", "doc_id", "seq")), ("subjects", by_subject, F.col("subject")), ("references", references, F.concat_ws("/", "doc_id", "seq")), ("info", info, F.col("doc_id").cast("string"))]
+    out = None
+    for name, frame, key in rows:
+        own = frame.select(F.lit(name).alias("tab"), key.alias("key"))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -503,5 +587,6 @@ QUERIES = {
         systematic_outline, section_ranges, outline_search, context_headings, ancestor_headings, current_section, breadcrumbs, unit_breadcrumbs, heading_titles,
         subject_semi_filter, marker_filter, article_jump, search_view, search_paging, ref_resolve, marker_labels, marker_paths, snapshot_changes, lint_report, word_diff, turn_diff,
         heading_cards, article_cards, old_version_lines, article_markdown, heading_markdown, subject_markdown, element_json, reference_entries, reference_filter, reference_tab, information_pages,
+        docx_paragraphs, docx_lint, docx_styled, docx_footnotes, xlsx_entries, xlsx_laws, ref_highlights, unit_depths, markdown_lines, category_markdown, outline_pages, index_tabs,
     )
 }

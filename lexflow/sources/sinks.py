@@ -14,20 +14,24 @@ def inline_json(value) -> str:
     return json.dumps(value, ensure_ascii=False, separators=(",", ":")).replace("</", "<\\/")
 
 
-def assemble(template: str, parts: dict[str, str]) -> str:
-    """template with each {{name}} replaced by its part; a part isn't searched again."""
+def template_parts(template: str) -> list[tuple[str, str]]:
+    """The texts of a template, each with the name in double braces behind it; the last has none."""
     out = []
     while template:
         head, mark, rest = template.partition("{{")
         name, closing, tail = rest.partition("}}")
-        out.append(head)
-        if mark and closing and name in parts:
-            out.append(parts[name])
+        if mark and closing:
+            out.append((head, name))
             template = tail
         else:
-            out.append(mark)
-            template = rest
-    return "".join(out)
+            out.append((head + mark + rest, ""))
+            break
+    return out
+
+
+def assemble(template: str, parts: dict[str, str]) -> str:
+    """template with each {{name}} replaced by its part; a part isn't searched again."""
+    return "".join(text + (parts.get(name, "{{" + name + "}}") if name else "") for text, name in template_parts(template))
 
 
 def read_text(spark: SparkSession, path: str) -> str:

@@ -119,3 +119,17 @@ def test_sinks(spark, tmp_path):
     sinks.save_table(table, f"{tmp_path}/m")
     sinks.save_table(spark.read.parquet(f"{tmp_path}/m").union(table), f"{tmp_path}/m")
     assert spark.read.parquet(f"{tmp_path}/m").count() == 2
+
+
+def test_build_dumps(spark, tmp_path):
+    """The files for a look inside are JSON, the page's data too, and the lint report has its findings."""
+    main_docx(tmp_path / "a.docx"), xlsx(tmp_path / "a.xlsx"), side(tmp_path / "r.docx")
+    own = config.Config(docx=f"{tmp_path}/a.docx", xlsx=f"{tmp_path}/a.xlsx", references=f"{tmp_path}/r.docx", information=f"{tmp_path}/r.docx", export_dir=f"{tmp_path}/out")
+    statute.run(spark, own, template="{{systematic}}\n{{subjects}}\n{{references}}\n{{summaries}}\n{{information}}\n{{unknown}}{{", debug_dir=f"{tmp_path}/debug")
+    parts = (tmp_path / "out/index.html").read_text().split("\n")
+    data = [json.loads(p) for p in parts[:5]]
+    assert parts[5] == "{{unknown}}{{" and data[0][0]["title"] == "TÍTULO I" and data[1][0]["subject"] == "Mesa" and data[2][1]["category"] == "Leis" and data[3] == {"1": "Resumo"} and data[4].startswith("<p>antes") and "<\\/p>" in parts[4]
+    dumps = {p.stem: json.loads(p.read_text()) for p in (tmp_path / "debug").iterdir()}
+    assert set(dumps) == {"parsed_document", "systematic_index", "subject_index", "references", "validation_report"}
+    assert dumps["subject_index"] == data[1] and [e["type"] for e in dumps["parsed_document"][0]["elements"]] == ["heading", "article"] and any(i["category"] == "docx" for i in dumps["validation_report"])
+    assert "Texto    : § x" in (tmp_path / "out/lint.txt").read_text()
