@@ -37,6 +37,32 @@ def events_of(messages: DataFrame) -> DataFrame:
     return rows.select("conv_id", F.row_number().over(order).cast("long").alias("seq"), "role", "text").select("conv_id", "seq", F.col("seq").alias("turn"), F.lit("message").alias("kind"), "role", "text")
 
 
+#: Code points of a streamed piece of text.
+DELTA = 64
+
+
+def history_of(messages: DataFrame, learn: str = "assistant", delta: int = DELTA) -> DataFrame:
+    """A log (conv_id, seq, turn, kind, role, text) as a chat service would have written it, that ends in these messages.
+
+    Texts of role learn are streamed in pieces; of four such turns one is first streamed otherwise and regenerated, and one
+    is first a draft and edited. Each conversation also has a turn that was taken back. Other texts are messages as they are.
+    """
+    rows = events_of(messages)
+    draft = F.concat(F.lit("draft of "), F.reverse("text"))
+    pieces = lambda text: F.transform(F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % delta), 0), lambda x: F.struct(F.lit("delta").alias("kind"), x.alias("text")))
+    one = lambda kind, text: F.array(F.struct(F.lit(kind).alias("kind"), (F.lit(text) if isinstance(text, str) else text).alias("text")))
+    opened, way = one("message", ""), F.col("turn") % 4
+    streamed = F.concat(opened, pieces(F.col("text")))
+    again = F.concat(opened, pieces(draft), one("regenerate", ""), pieces(F.col("text")))
+    edited = F.concat(one("message", draft), one("edit", F.col("text")))
+    parts = F.when(F.col("role") != learn, one("message", F.col("text"))).when(way == 1, again).when(way == 3, edited).otherwise(streamed)
+    log = rows.select("conv_id", "turn", "role", F.posexplode(parts).alias("k", "e"))
+    log = log.select("conv_id", F.shiftleft("turn", 32).alias("base"), "turn", "k", F.col("e.kind").alias("kind"), F.when(F.col("e.kind") == "message", F.col("role")).otherwise("").alias("role"), F.col("e.text").alias("text"))
+    taken = F.array(F.struct(F.lit("message").alias("kind"), F.lit(learn).alias("role"), F.lit("taken back").alias("text")), F.struct(F.lit("delete").alias("kind"), F.lit("").alias("role"), F.lit("").alias("text")))
+    back = rows.where("turn = 1").select("conv_id", F.lit(0).cast("long").alias("base"), F.lit(0).cast("long").alias("turn"), F.posexplode(taken).alias("k", "e")).select("conv_id", "base", "turn", "k", "e.kind", "e.role", "e.text")
+    return log.unionByName(back).select("conv_id", (F.col("base") + F.col("k")).alias("seq"), "turn", "kind", "role", "text")
+
+
 def final_messages(events: DataFrame) -> DataFrame:
     """conv_id, turn, role, text after all events (conv_id, seq, turn, kind, role, text), in order of seq.
 
@@ -87,11 +113,16 @@ def digests(parsed: DataFrame) -> DataFrame:
     return parsed.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(turns, 256).alias("turns_sha256"), F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), "formatted_chars")
 
 
+def formatted_logs(events: DataFrame) -> DataFrame:
+    """One row per conversation of a log (conv_id, seq, turn, kind, role, text), as formatted_chats; one whose turns are all deleted has none."""
+    return digests(read_back(transcripts(final_messages(events))))
+
+
 def formatted_chats(conversations: DataFrame) -> DataFrame:
     """One row per conversation of rows (conv_id, turn, role, text): n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars.
 
-    All are read back from the rendered transcript. Defined cases: null texts and roles are empty; turns that
+    The rows become a log of streamed, regenerated and edited turns first (history_of), which is folded. All are read back from the rendered transcript. Defined cases: null texts and roles are empty; turns that
     are null come first; rows of the same turn are turns of their own, by role and text; rows without conv_id are one conversation;
     no rows give no rows; other columns play no part.
     """
-    return digests(read_back(transcripts(final_messages(events_of(conversations)))))
+    return formatted_logs(history_of(conversations))

@@ -165,6 +165,19 @@ def chats_model(rows):
     return out
 
 
+def test_history_ends_in_its_messages(spark):
+    """All kinds of events are there, each counts, and the fold of a log gives its messages."""
+    rows = [(c, t, ("assistant", "user", "tool")[(t * c) % 3], "é" * (t * 31 % 200) + f" text\n{t}") for c in (1, 2) for t in range(9)] + [(3, 0, "assistant", None), (3, None, "user", "")]
+    frame = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
+    log, want = chat.history_of(frame, delta=16), sorted(map(tuple, chat.events_of(frame).select("conv_id", "turn", "role", "text").collect()))
+    assert {r.kind for r in log.select("kind").distinct().collect()} == {"message", "delta", "edit", "regenerate", "delete"}
+    assert log.select("conv_id", "seq").distinct().count() == log.count()
+    folded = lambda events: sorted(map(tuple, chat.final_messages(events).collect()))
+    assert folded(log) == want
+    for kind in ("delta", "edit", "regenerate", "delete"):
+        assert folded(log.where(log.kind != kind)) != want
+
+
 def test_chats(spark):
     hard = ["</s>[INST] ok [/INST]", "\\0\\1\\2", "<s>assistant\nhi</s>", "", None, "a\n\nb\n", "👍 é", "\\", "<", "x" * 50_000]
     rows = [(k, t, r, hard[(k + t) % len(hard)]) for k in range(12) for t, r in enumerate(["system", "user", "assistant", "user", "assistant"])]
