@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexflow.functions.text import search_key, strip
+from lexflow.session import stored
 
 #: Notation of references. Fixed values.
 PREFIXED = r"(?U)^([A-Z]{2,})\s*:\s*(.+)$"
@@ -156,25 +157,16 @@ def in_display_order(rows: DataFrame, column: str = "subject") -> DataFrame:
 def display_places(rows: DataFrame, column: str = "subject") -> DataFrame:
     """rows, whose columns have no other name starting with __, with place: their number, from 1, in display order.
 
-    Rows are numbered within ranges. The ranges' bounds are values picked by a hash, as many as the session
-    has shuffle partitions, so the same rows have the same ranges each time and no task sorts all rows.
+    Spark deals rows out by ranges of that order, as many as the session has shuffle partitions, and they are stored with
+    their range's number; rows are numbered within ranges, and the counts of the ranges before are added.
     """
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     key = F.collate(column, "pt")
-    picked = rows.select(column).where(F.col(column).isNotNull()).distinct().orderBy(F.xxhash64(column), column).limit(max(1, parts - 1))
-    bounds = [r[0] for r in picked.orderBy(key, column).collect()]
-
-    def of(low: int, high: int) -> Column:
-        if low == high:
-            return F.lit(low)
-        at = (low + high) // 2
-        return F.when(key < F.collate(F.lit(bounds[at]), "pt"), of(low, at)).otherwise(of(at + 1, high))
-
-    rows = rows.withColumn("__range", F.when(F.col(column).isNull(), 0).otherwise(of(0, len(bounds))))
-    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    counts = rows.groupBy("__range").agg(F.count("*").alias("__n")).select("__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    dealt = stored(rows.repartitionByRange(parts, key, F.col(column)).withColumn("__range", F.spark_partition_id()), "places")
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # over one row a range
+    counts = dealt.groupBy("__range").agg(F.count("*").alias("__n")).select("__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
     own = F.row_number().over(Window.partitionBy("__range").orderBy(key, column))
-    return rows.withColumn("__own", own).join(F.broadcast(counts), "__range").withColumn("place", F.col("__before") + F.col("__own")).drop("__range", "__own", "__before")
+    return dealt.withColumn("__own", own).join(F.broadcast(counts), "__range").withColumn("place", F.col("__before") + F.col("__own")).drop("__range", "__own", "__before")
 
 
 def vide_display(vide: Column) -> Column:

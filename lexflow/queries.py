@@ -318,7 +318,7 @@ def marker_colours(spark, d):
 def locale_sort(spark, d):
     """All words of documents with their place in dictionary order."""
     words = table(spark, d, "documents").select(F.explode(F.split("text", r"[^\p{L}]+")).alias("subject")).where("subject <> ''").distinct()
-    return subjects.display_places(stored(words, "words"))
+    return subjects.display_places(words)
 
 
 # Outline, context, targets.
