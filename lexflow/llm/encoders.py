@@ -67,6 +67,7 @@ class Encoder:
             self.between = self._ids(["\n" if self.rule == "bytes" else MARK])[0]
             if len(self.between) != 1:
                 self.rule = None
+        self.frequent, self.keep = FREQUENT, None
         self._forget()
 
     @staticmethod
@@ -95,7 +96,7 @@ class Encoder:
     def rest(self):
         """Forgets units that were met once."""
         some = np.flatnonzero(self.again)
-        if len(some) > FREQUENT:
+        if len(some) > self.frequent:
             self._forget()
             return
         sizes = self.sizes[some]
@@ -191,7 +192,7 @@ class Encoder:
         hashes = mix(one ^ mix(two))
         order = np.argsort(hashes)
         keys, one, two = hashes[order], one[order], two[order]
-        if len(self.keys) + len(keys) > KEEP:
+        if len(self.keys) + len(keys) > (self.keep or KEEP):
             self._forget()
         at, held = self._known(keys, one, two)
         clash = (keys[1:] == keys[:-1]).any() or (len(self.keys) and (~held & (self.keys[np.minimum(at, len(self.keys) - 1)] == keys)).any())
@@ -246,11 +247,15 @@ class Encoder:
 
 
 @contextmanager
-def encoder(path: str):
-    """The worker's encoder of this file; most of what it has learned goes when the block ends."""
+def encoder(path: str, frequent: int | None = None):
+    """The worker's encoder of this file; most of what it has learned goes when the block ends.
+
+    frequent is how many units it may keep then (None: FREQUENT), and four times as many are known at a time; less saves memory and costs time.
+    """
     store = _store()
     if path not in store:
         store[path] = Encoder(path)
+    store[path].frequent, store[path].keep = (FREQUENT, None) if frequent is None else (frequent, 4 * frequent)
     try:
         yield store[path]
     finally:

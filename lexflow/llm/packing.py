@@ -115,12 +115,11 @@ def pack(documents, *, tiers: tuple = TIERS, block: int = BLOCK, step: int = STE
         yield from rows(made)
 
 
-def _pack_task(path: str, tiers: tuple, end: int):
+def _pack_task(path: str, tiers: tuple, end: int, frequent: int | None):
     names = [f.split()[0] for f in SCHEMA.split(", ")]
     types = [pa.int32() if f.endswith(" int") else pa.int64() for f in SCHEMA.split(", ")]
 
     @task
-
     def run(batches):
         stop = end.to_bytes(4, "little")
 
@@ -132,7 +131,7 @@ def _pack_task(path: str, tiers: tuple, end: int):
         def table(rows):
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
-        with encoder(path) as encode:
+        with encoder(path, frequent) as encode:
             rows = pack(documents(encode), tiers=tiers, base=TaskContext.get().partitionId() << 32)
             while out := list(itertools.islice(rows, 20_000)):
                 yield table(out)
@@ -140,8 +139,8 @@ def _pack_task(path: str, tiers: tuple, end: int):
     return run
 
 
-def packed(docs: DataFrame, tokenizer: str, *, tiers: tuple = TIERS, end: int = END) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, tier, step_group.
+def packed(docs: DataFrame, tokenizer: str, *, tiers: tuple = TIERS, end: int = END, frequent: int | None = None) -> DataFrame:
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, tier, step_group; frequent is as in encoder.
 
     Each id of each document, its closing id end included, lies in exactly one piece; pieces of a sequence
     follow one another from offset 0; a sequence has at most tiers[0] ids, and a power of two of them.
@@ -151,4 +150,4 @@ def packed(docs: DataFrame, tokenizer: str, *, tiers: tuple = TIERS, end: int =
     """
     if any(t & (t - 1) for t in tiers) or list(tiers) != sorted(tiers, reverse=True):
         raise ValueError("tiers are powers of two, longest first")
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_pack_task(tokenizer, tiers, end), SCHEMA)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_pack_task(tokenizer, tiers, end, frequent), SCHEMA)
