@@ -43,8 +43,11 @@ def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of training sequences; each row is a document by itself, a text without words being its closing id."""
-    return packed(docs, public_tokenizers.path("word_bpe_49k.json"))
+    """The pieces of training sequences; each row is a document by itself, a text without words being its closing id.
+
+    Executors hold what the stages before have grown them to, so workers keep few units between tasks.
+    """
+    return packed(docs, public_tokenizers.path("word_bpe_49k.json"), frequent=40_000)
 
 
 STAGES = [("quality", quality), ("exact", exact), ("near", near), ("private", private), ("packing", packing)]
