@@ -67,7 +67,7 @@ class Encoder:
             self.between = self._ids(["\n" if self.rule == "bytes" else MARK])[0]
             if len(self.between) != 1:
                 self.rule = None
-        self.frequent, self.keep = FREQUENT, None
+        self.frequent = self.keep = None
         self._forget()
 
     @staticmethod
@@ -96,7 +96,7 @@ class Encoder:
     def rest(self):
         """Forgets units that were met once."""
         some = np.flatnonzero(self.again)
-        if len(some) > self.frequent:
+        if len(some) > (self.frequent or FREQUENT):
             self._forget()
             return
         sizes = self.sizes[some]
@@ -255,7 +255,7 @@ def encoder(path: str, frequent: int | None = None):
     store = _store()
     if path not in store:
         store[path] = Encoder(path)
-    store[path].frequent, store[path].keep = (FREQUENT, None) if frequent is None else (frequent, 4 * frequent)
+    store[path].frequent, store[path].keep = frequent, frequent and 4 * frequent
     try:
         yield store[path]
     finally:
