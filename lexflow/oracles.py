@@ -705,6 +705,17 @@ ORACLE_SQL["category_markdown"] = _sql(
 SELECT doc_id, category_no, md5(chr(10) || '## ' || coalesce(any_value(category), 'Geral') || coalesce(chr(10) || string_agg(CASE kind WHEN 'group' THEN chr(10) || '### ' || label ELSE entry END, chr(10) ORDER BY seq) FILTER (kind <> 'category'), '')) AS markdown
 FROM t GROUP BY doc_id, category_no""",
 )
+ORACLE_SQL["combined_view"] = _sql(
+    "refs v a hr",
+    f"""
+, t AS (SELECT a.doc_id, a.seq, string_agg(v.text, ' ' ORDER BY v.seq) AS text FROM a JOIN v USING (doc_id, block_id) GROUP BY ALL),
+mk AS (SELECT v.doc_id, v.block_id, v.seq, law_prefix || '/' || uid AS uid FROM v JOIN (SELECT doc_id, block_id, law_prefix FROM a) USING (doc_id, block_id)),
+x AS (SELECT a.doc_id, a.seq FROM a JOIN t ON t.doc_id = a.doc_id AND t.seq = a.seq WHERE contains({_KEY}, 'dada') AND (law_prefix, art_number) IN (SELECT (law_prefix, art) FROM refs WHERE subject IN ('Brand#11', 'Brand#23'))
+  AND (a.doc_id, a.block_id) IN (SELECT (doc_id, block_id) FROM mk WHERE (doc_id, uid) IN (SELECT (doc_id, uid) FROM mk WHERE seq % 3 = 0 AND doc_id % 2 = 0)))
+SELECT doc_id, seq, 'article' AS kind FROM x UNION ALL SELECT DISTINCT doc_id, heading_seq, 'heading' FROM (
+  SELECT x.doc_id, x.seq, hr.lv, max(hr.seq) AS heading_seq FROM x JOIN hr ON hr.doc_id = x.doc_id AND hr.seq < x.seq
+  WHERE NOT EXISTS (SELECT 1 FROM hr y WHERE y.doc_id = x.doc_id AND y.seq > hr.seq AND y.seq < x.seq AND y.lv <= hr.lv) GROUP BY ALL)""",
+)
 _of = lambda name: f"SELECT count(*) FROM ({ORACLE_SQL[name]})"
 ORACLE_SQL["issue_counts"] = f"""
 SELECT * FROM (SELECT 'ref_cruzada' AS category, 'erro' AS severity, ({_of("dangling_refs")}) AS n UNION ALL SELECT 'vide', 'aviso', ({_of("dangling_see_also")})

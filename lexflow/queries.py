@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexflow.functions import text as T
-from lexflow.operators import checks, classify, diff, export, intervals, markdown, outline, render, search, segments, side_documents, structure, subjects, targets, text_index, versions
+from lexflow.operators import bitmaps, checks, classify, diff, export, intervals, markdown, outline, render, search, segments, side_documents, structure, subjects, targets, text_index, versions
 from lexflow.plans import files, statute, tabs, views
 from lexflow.plans.views import table
 from lexflow.schemas import FOOTNOTE_DEFS, PARAGRAPHS, STYLED, SUBJECT_ROWS
@@ -384,6 +384,14 @@ def search_view(spark, d):
     return search.filtered_view(statute.cards(s), s.headings, s.articles, query="urgent redacao")
 
 
+def combined_view(spark, d):
+    """What stays visible under two subjects' references, a document's marks and a search at once."""
+    s = _statute(spark, d)
+    refs = _refs(spark, d, s.articles).where("subject in ('Brand#11', 'Brand#23')")
+    markers = s.units.where("seq % 3 = 0 and doc_id % 2 = 0").select("doc_id", "uid")
+    return bitmaps.view(bitmaps.numbered(statute.cards(s)), s.headings, s.articles, s.units, query="dada", refs=refs, markers=markers)
+
+
 def search_paging(spark, d):
     found = search.search_cards(statute.cards(_statute(spark, d)), "r urgent")
     return search.match_numbers(found).select("doc_id", "seq", "idx", "n", "prev_seq", "next_seq")
@@ -585,7 +593,7 @@ QUERIES = {
         footnote_numbers, article_summaries, unit_paths, element_counts, document_elements, structure_snapshot,
         device_lines, range_expand, range_targets, dangling_ranges, subject_index_flat, subject_index_nested, subject_filter, index_rows, formatted_refs, dangling_refs, dangling_see_also, see_also_links, sheet_lint, lint_codes, issue_counts, lint_listing, odd_units, issue_listing, issues_json, issue_totals, marker_state, marker_colours, locale_sort,
         systematic_outline, section_ranges, outline_search, context_headings, ancestor_headings, current_section, breadcrumbs, unit_breadcrumbs, heading_titles,
-        subject_semi_filter, marker_filter, article_jump, search_view, search_paging, ref_resolve, marker_labels, marker_paths, snapshot_changes, lint_report, word_diff, turn_diff,
+        subject_semi_filter, marker_filter, article_jump, search_view, combined_view, search_paging, ref_resolve, marker_labels, marker_paths, snapshot_changes, lint_report, word_diff, turn_diff,
         heading_cards, article_cards, old_version_lines, article_markdown, heading_markdown, subject_markdown, element_json, reference_entries, reference_filter, reference_tab, information_pages,
         docx_paragraphs, docx_lint, docx_styled, docx_footnotes, xlsx_entries, xlsx_laws, ref_highlights, unit_depths, markdown_lines, category_markdown, outline_pages, index_tabs,
     )
