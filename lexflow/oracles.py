@@ -6,7 +6,7 @@ patterns. Queries without SQL here are checked by tests.
 
 from lexflow.functions.text import ACCENTED, PLAIN
 from lexflow.operators.checks import CATEGORIES, CODE_LABELS, CODES, FAULTS
-from lexflow.plans.views import FOOTNOTE_KIND, LAWS_SQL, MARKERS_SQL, ODD_SQL, STATUTE_SQL, SUBJECT_SQL, WHOLE_SQL, WIDE_SQL
+from lexflow.plans.views import EDITION_SQL, FOOTNOTE_KIND, LAWS_SQL, MARKERS_SQL, ODD_SQL, STATUTE_SQL, SUBJECT_SQL, WHOLE_SQL, WIDE_SQL
 
 _NAMES = {"orders": "orders", "lineitem": "lineitem", "part": "part"}
 
@@ -716,6 +716,17 @@ SELECT doc_id, seq, 'article' AS kind FROM x UNION ALL SELECT DISTINCT doc_id, h
   SELECT x.doc_id, x.seq, hr.lv, max(hr.seq) AS heading_seq FROM x JOIN hr ON hr.doc_id = x.doc_id AND hr.seq < x.seq
   WHERE NOT EXISTS (SELECT 1 FROM hr y WHERE y.doc_id = x.doc_id AND y.seq > hr.seq AND y.seq < x.seq AND y.lv <= hr.lv) GROUP BY ALL)""",
 )
+_EDITION = EDITION_SQL.format(statute=STATUTE_SQL).format(**_NAMES)
+_TREE = """
+, g AS (SELECT doc_id, block_id, string_agg(role || '|' || uid || '|' || unit_type || '|' || identifier || '|' || text || '|' || is_old_version || '|' || is_revoked, chr(10) ORDER BY seq) AS body
+  FROM (SELECT v.*, v.uid FROM v) GROUP BY doc_id, block_id),
+cs AS (SELECT a.doc_id, a.seq, coalesce(arg_max(h.data_section, h.seq), '') AS section_id FROM a LEFT JOIN h ON h.doc_id = a.doc_id AND h.seq < a.seq GROUP BY ALL)
+SELECT a.doc_id, law_prefix, art_number, CAST(row_number() OVER (PARTITION BY a.doc_id, law_prefix, art_number ORDER BY a.seq) AS INTEGER) AS nth, section_id, law_prefix || body AS body
+FROM a JOIN g USING (doc_id, block_id) JOIN cs ON cs.doc_id = a.doc_id AND cs.seq = a.seq"""
+ORACLE_SQL["edition_changes"] = f"""
+SELECT doc_id, law_prefix, art_number, nth, CASE WHEN x.body IS NULL THEN 'added' WHEN y.body IS NULL THEN 'removed' WHEN x.body <> y.body THEN 'changed' ELSE 'moved' END AS change
+FROM ({_sql("v a h", _TREE)}) x FULL JOIN ({_sql("v a h", _TREE, p=_EDITION)}) y USING (doc_id, law_prefix, art_number, nth)
+WHERE x.body IS DISTINCT FROM y.body OR x.section_id IS DISTINCT FROM y.section_id"""
 _of = lambda name: f"SELECT count(*) FROM ({ORACLE_SQL[name]})"
 ORACLE_SQL["issue_counts"] = f"""
 SELECT * FROM (SELECT 'ref_cruzada' AS category, 'erro' AS severity, ({_of("dangling_refs")}) AS n UNION ALL SELECT 'vide', 'aviso', ({_of("dangling_see_also")})

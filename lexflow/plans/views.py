@@ -86,6 +86,12 @@ UNION ALL SELECT doc_id, seq * 4 + 1, CASE seq % 7 WHEN 0 THEN 'Art. sem número
 FROM ({statute}) WHERE seq % 11 = 0
 """
 
+#: A later edition: of every third document some lines are gone and some have a word more.
+EDITION_SQL = """
+SELECT doc_id, seq, CASE WHEN doc_id % 3 = 0 AND seq % 97 = 5 AND NOT is_centered THEN text || ' emenda' ELSE text END AS text, is_centered, has_strike, indent_left, fn_id
+FROM ({statute}) WHERE NOT (doc_id % 3 = 0 AND seq % 211 = 7)
+"""
+
 #: Events of a marker log: what clients click on.
 MARKERS_SQL = """
 SELECT CAST(click_id AS BIGINT) AS at, coalesce(kind, '') AS writer, CAST(click_id % 1000 AS BIGINT) AS n,
@@ -100,9 +106,9 @@ def marker_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(MARKERS_SQL, clicks=table(spark, sf_dir, "clicks"))
 
 
-def paragraphs(spark: SparkSession, sf_dir: str, whole: bool = False, odd: bool = False) -> DataFrame:
-    """The statute as paragraphs; a paragraph is one run, or two where it has a separator. whole: all documents as one; odd: with odd lines."""
-    sql = WHOLE_SQL.format(statute=STATUTE_SQL) if whole else ODD_SQL.format(statute=STATUTE_SQL) if odd else STATUTE_SQL
+def paragraphs(spark: SparkSession, sf_dir: str, whole: bool = False, odd: bool = False, later: bool = False) -> DataFrame:
+    """The statute as paragraphs; a paragraph is one run, or two where it has a separator. whole: all documents as one; odd: with odd lines; later: in a later edition."""
+    sql = (WHOLE_SQL if whole else ODD_SQL if odd else EDITION_SQL if later else "{statute}").format(statute=STATUTE_SQL)
     rows = spark.sql(sql, orders=table(spark, sf_dir, "orders"), lineitem=table(spark, sf_dir, "lineitem"))
     cut = F.instr("text", " - ")
     run = lambda text, bold: F.struct(text.alias("text"), bold.alias("bold"), F.lit(False).alias("italic"), F.col("has_strike").alias("strike"), F.lit(None).cast("string").alias("hyperlink_url"), F.lit(None).cast("string").alias("hyperlink_anchor"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexflow.functions import text as T
-from lexflow.operators import bitmaps, checks, classify, diff, export, intervals, markdown, outline, render, search, segments, side_documents, structure, subjects, targets, text_index, versions
+from lexflow.operators import bitmaps, checks, classify, diff, export, hash_tree, intervals, markdown, outline, render, search, segments, side_documents, structure, subjects, targets, text_index, versions
 from lexflow.plans import files, statute, tabs, views
 from lexflow.plans.views import table
 from lexflow.schemas import FOOTNOTE_DEFS, PARAGRAPHS, STYLED, SUBJECT_ROWS
@@ -413,6 +413,15 @@ def snapshot_changes(spark, d):
     return export.snapshot_changes(arts.where("n_versions > 1"), arts.where("summary <> ''"))
 
 
+def edition_changes(spark, d):
+    """Articles that a later edition adds, takes away, changes or moves, by digests of documents, sections and articles."""
+    trees = []
+    for later in (False, True):
+        s = statute.build(views.paragraphs(spark, d, later=later), views.footnote_defs(spark), views.laws(spark))
+        trees.append(hash_tree.tree(s.headings, s.articles, s.units))
+    return hash_tree.changes(*trees)
+
+
 def lint_report(spark, d):
     return checks.lint_report(checks.document_lint(views.paragraphs(spark, d)))
 
@@ -593,7 +602,7 @@ QUERIES = {
         footnote_numbers, article_summaries, unit_paths, element_counts, document_elements, structure_snapshot,
         device_lines, range_expand, range_targets, dangling_ranges, subject_index_flat, subject_index_nested, subject_filter, index_rows, formatted_refs, dangling_refs, dangling_see_also, see_also_links, sheet_lint, lint_codes, issue_counts, lint_listing, odd_units, issue_listing, issues_json, issue_totals, marker_state, marker_colours, locale_sort,
         systematic_outline, section_ranges, outline_search, context_headings, ancestor_headings, current_section, breadcrumbs, unit_breadcrumbs, heading_titles,
-        subject_semi_filter, marker_filter, article_jump, search_view, combined_view, search_paging, ref_resolve, marker_labels, marker_paths, snapshot_changes, lint_report, word_diff, turn_diff,
+        subject_semi_filter, marker_filter, article_jump, search_view, combined_view, search_paging, ref_resolve, marker_labels, marker_paths, snapshot_changes, edition_changes, lint_report, word_diff, turn_diff,
         heading_cards, article_cards, old_version_lines, article_markdown, heading_markdown, subject_markdown, element_json, reference_entries, reference_filter, reference_tab, information_pages,
         docx_paragraphs, docx_lint, docx_styled, docx_footnotes, xlsx_entries, xlsx_laws, ref_highlights, unit_depths, markdown_lines, category_markdown, outline_pages, index_tabs,
     )
