@@ -14,3 +14,9 @@ def test_packed_tables_are_not_broadcast(spark, sf_dir):
     assert [r[1] for r in whole.collect()] == [800_000] and [r[1] for r in few.collect()] == [20_480]
     plans = [x._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0] for x in (whole, few)]
     assert ["BroadcastHashJoin" in p for p in plans] == [False, True]
+
+
+def test_long_methods_are_not_interpreted(spark, sf_dir):
+    """A stage whose generated method has over 8,000 bytes, which the JVM never compiles, isn't run as one."""
+    views.table(spark, sf_dir, "orders")
+    assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
