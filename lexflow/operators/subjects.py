@@ -17,6 +17,8 @@ NUMBERED, SHORT_NUMBERED = r"(?U)^[§Ss]\s*(\d+)$", r"(?iu)^p(\d+)$"
 
 #: Numbers of a range that are made from one row.
 PART = 1_000
+#: Tasks that a sheet's rows are dealt out to at most. More would cost more to start than they save.
+TASKS = 48
 
 
 def normal_detail(raw: Column) -> Column:
@@ -31,8 +33,14 @@ def lines_of(text: Column) -> Column:
     return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), strip), lambda x: x != "")
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """A sheet's rows dealt out by row_no: a file of a few megabytes, which is one task, has a million rows to parse."""
+    return rows.repartition(min(TASKS, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "row_no")
+
+
 def entries(rows: DataFrame) -> DataFrame:
     """Index entries of a sheet's rows (row_no, subject, sub_subject, devices, see_also, width): those with three cells and a subject."""
+    rows = dealt(rows)
     text = lambda c: strip(F.coalesce(F.col(c), F.lit("")))
     kept = rows.where("width >= 3").select("row_no", text("subject").alias("subject"), text("sub_subject").alias("sub_subject"), text("devices").alias("devices"), lines_of(F.col("see_also")).alias("vides"))
     return kept.where("subject <> ''")
