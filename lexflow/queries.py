@@ -194,7 +194,7 @@ def document_elements(spark, d):
 
 def structure_snapshot(spark, d):
     s = _statute(spark, d)
-    return export.structure_snapshot(s.articles, s.units)
+    return export.structure_snapshot(s.articles, s.provisions)
 
 
 # Subjects and checks.
@@ -356,7 +356,7 @@ def breadcrumbs(spark, d):
 
 def unit_breadcrumbs(spark, d):
     s = _statute(spark, d)
-    return outline.breadcrumbs(s.headings, s.articles, s.units)
+    return outline.breadcrumbs(s.headings, s.articles, s.provisions)
 
 
 def heading_titles(spark, d):
@@ -372,8 +372,8 @@ def subject_semi_filter(spark, d):
 
 def marker_filter(spark, d):
     s = _statute(spark, d)
-    markers = s.units.where("seq % 101 = 0").select("uid").distinct()
-    return search.marked(s.articles, s.units, markers).select("doc_id", "block_id", "art_number")
+    markers = s.provisions.where("seq % 101 = 0").select("uid").distinct()
+    return search.marked(s.articles, s.provisions, markers).select("doc_id", "block_id", "art_number")
 
 
 def article_jump(spark, d):
@@ -389,8 +389,8 @@ def combined_view(spark, d):
     """What stays visible under two subjects' references, a document's marks and a search at once."""
     s = _statute(spark, d)
     refs = _refs(spark, d, s.articles).where("subject in ('Brand#11', 'Brand#23')")
-    markers = s.units.where("seq % 3 = 0 and doc_id % 2 = 0").select("doc_id", "uid")
-    return bitmaps.view(bitmaps.numbered(statute.cards(s)), s.headings, s.articles, s.units, query="dada", refs=refs, markers=markers)
+    markers = s.provisions.where("seq % 3 = 0 and doc_id % 2 = 0").select("doc_id", "uid")
+    return bitmaps.view(bitmaps.numbered(statute.cards(s)), s.headings, s.articles, s.provisions, query="dada", refs=refs, markers=markers)
 
 
 def search_paging(spark, d):
@@ -401,7 +401,7 @@ def search_paging(spark, d):
 def ref_resolve(spark, d):
     s = _statute(spark, d)
     refs = _refs(spark, d, s.articles).select(F.concat_ws("/", "row_no", "line", "step", "sub").alias("ref_id"), F.floor(F.col("row_no") * 15 / 512).alias("doc_id"), "law_prefix", "art", "detail")
-    return targets.resolve_refs(refs, s.articles, s.units)
+    return targets.resolve_refs(refs, s.articles, s.provisions)
 
 
 def marker_paths(spark, d):
@@ -429,7 +429,7 @@ def lint_report(spark, d):
 
 def marker_labels(spark, d):
     s = _statute(spark, d)
-    return targets.marker_labels(s.units.select("uid").distinct(), s.units, s.articles)
+    return targets.marker_labels(s.provisions.select("uid").distinct(), s.provisions, s.articles)
 
 
 def word_diff(spark, d):
@@ -483,7 +483,7 @@ def subject_markdown(spark, d):
 
 def element_json(spark, d):
     s = _statute(spark, d)
-    return export.element_json(s.headings, s.articles, s.units)
+    return export.element_json(s.headings, s.articles, s.provisions)
 
 
 def _lines(spark, d) -> DataFrame:
@@ -556,7 +556,7 @@ def ref_highlights(spark, d):
     """Targets of all references, without the card in place of a detail that no provision has."""
     s = _statute(spark, d)
     refs = _refs(spark, d, s.articles).select(F.concat_ws("/", "row_no", "line", "step", "sub").alias("ref_id"), F.floor(F.col("row_no") * 15 / 512).alias("doc_id"), "law_prefix", "art", "detail")
-    return targets.resolve_refs(refs, s.articles, s.units, fallback=False)
+    return targets.resolve_refs(refs, s.articles, s.provisions, fallback=False)
 
 
 def unit_depths(spark, d):
