@@ -48,3 +48,9 @@ def test_a_build_stores_its_rows_once(spark, sf_dir):
     before = names(spark)
     queries._statute(spark, sf_dir)
     assert sorted(n.partition("-")[0] for n in names(spark) - before) == ["articles", "states"]
+
+
+def test_tables_of_an_edition_go_with_its_tree(spark, sf_dir):
+    before = names(spark)
+    queries.edition_changes(spark, sf_dir)
+    assert {n.partition("-")[0] for n in names(spark) - before} == {"tree"}
