@@ -139,21 +139,21 @@ def uid_dedup(spark, d):
     return structure.units(_states(spark, d)).select("doc_id", "seq", "role", "uid")
 
 
-def _segmented(spark, d) -> DataFrame:
-    """The states of all orders as one document, in segments."""
-    return segments.states(classify.classify(views.paragraphs(spark, d, whole=True)), 4096)
+def _segmented(spark, d, *without: str) -> DataFrame:
+    """The states of all orders as one document, in segments, without columns that the query has no use for: segments are stored, so later choices don't reach what is exchanged for them."""
+    return segments.states(classify.classify(views.paragraphs(spark, d, whole=True)).drop("runs", "bookmark_name", "indent_left", *without), 4096)
 
 
 def segmented_states(spark, d):
-    return _segmented(spark, d).select("seq", "law_name", "in_adt", F.coalesce("open", F.lit("")).alias("open_article"), "kept", "block_id", "art_run")
+    return _segmented(spark, d, "footnote_ids").select("seq", "law_name", "in_adt", F.coalesce("open", F.lit("")).alias("open_article"), "kept", "block_id", "art_run")
 
 
 def segmented_headings(spark, d):
-    return segments.headings(_segmented(spark, d)).drop("doc_id")
+    return segments.headings(_segmented(spark, d, "footnote_ids")).drop("doc_id")
 
 
 def segmented_uids(spark, d):
-    return segments.units(_segmented(spark, d)).select("block_id", "seq", "role", "uid")
+    return segments.units(_segmented(spark, d, "footnote_ids")).select("block_id", "seq", "role", "uid")
 
 
 def segmented_footnotes(spark, d):

@@ -54,3 +54,17 @@ def test_tables_of_an_edition_go_with_its_tree(spark, sf_dir):
     before = names(spark)
     queries.edition_changes(spark, sf_dir)
     assert {n.partition("-")[0] for n in names(spark) - before} == {"tree"}
+
+
+def test_states_of_segments_are_stored_once_and_narrow(spark, sf_dir):
+    before = names(spark)
+    rows = queries._segmented(spark, sf_dir, "footnote_ids")
+    assert [n.partition("-")[0] for n in names(spark) - before] == ["states"] and not {"runs", "footnote_ids"} & set(rows.columns)
+
+
+def test_segmented_bases_are_made_once(spark, sf_dir):
+    """What uids are numbered from is stored and goes after that, it isn't exchanged anew for the numbers and for the rows."""
+    before = names(spark)
+    frame = queries.segmented_uids(spark, sf_dir)
+    assert sorted(n.partition("-")[0] for n in names(spark) - before) == ["states", "uids"]
+    assert exchanges(frame, "art_run") == exchanges(frame, "base_uid") == 0
