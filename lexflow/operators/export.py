@@ -24,6 +24,7 @@ def element_json(headings: DataFrame, articles: DataFrame, units: DataFrame) ->
     """doc_id, seq, json of each heading and article."""
     top = headings.select("doc_id", "seq", F.to_json(F.struct(F.lit("heading").alias("type"), "level", "text", "subtitle", "data_section")).alias("json"))
     of = lambda role: F.transform(F.array_sort(F.collect_list(F.when(F.col("role") == role, F.struct("seq", unit_object().alias("unit"))))), lambda x: x["unit"])
+    units = units.select("doc_id", "block_id", "seq", "role", "unit_type", "identifier", "uid", "runs", "is_revoked", "is_old_version", "amendment_note").repartition("doc_id", "block_id")  # objects are larger than what they are made of
     parts = units.groupBy("doc_id", "block_id").agg(F.get(of("caput"), 0).alias("caput"), of("child").alias("children"), of("version").alias("all_versions"))
     rows = articles.join(parts, ["doc_id", "block_id"])
     some = lambda c: F.nullif(F.col(c), F.lit("")).alias(c)
